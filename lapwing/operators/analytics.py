@@ -364,7 +364,7 @@ def concentration(df: DataFrame, key: str, value: str) -> DataFrame:
     squares = F.sum(F.col(value) * F.col(value))
     return df.groupBy(key).agg(
         F.count(F.lit(1)).alias("constructor_count"),
-        F.when(total > 0, F.round(squares / (total * total), 3)).alias("points_concentration"),
+        F.when(total > 0, round_binary(squares / (total * total), 3)).alias("points_concentration"),
     )
 
 

@@ -1,0 +1,12 @@
+"""Runnable queries over the test tables."""
+
+from importlib import import_module
+
+MODULES = (
+    "race_analytics",
+)
+
+
+def load_all() -> None:
+    for name in MODULES:
+        import_module(f"lapwing.plans.{name}")
