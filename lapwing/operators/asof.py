@@ -146,3 +146,52 @@ def count_within(
         )
     )
     return spans.join(counts, list(dict.fromkeys([*by, *ident])), "left")
+
+
+def unique_within(
+    points: DataFrame,
+    candidates: DataFrame,
+    by: Sequence[str],
+    ident: Sequence[str],
+    at: str,
+    candidate_at: str,
+    value: str,
+    tolerance: int,
+    width: float | None = None,
+) -> DataFrame:
+    """The one candidate within ``tolerance`` of each point, NULL unless unique.
+
+    A candidate count is read at both edges of the band and the newest candidate
+    at the upper edge; if exactly one lies between, it is that one.  No pairs of
+    points and candidates are formed, however dense the band.
+    """
+    cols = list(dict.fromkeys([*by, *ident]))
+    edges = points.where(F.col(at).isNotNull()).select(
+        *cols,
+        F.explode(
+            F.array(
+                F.struct((F.col(at) - tolerance - 1).alias("t"), F.lit(-1).alias("sign")),
+                F.struct((F.col(at) + tolerance).alias("t"), F.lit(1).alias("sign")),
+            )
+        ).alias("__e"),
+    ).select(*cols, F.col("__e.t").alias("__t"), F.col("__e.sign").alias("__sign"), F.lit(1).alias("__side"))
+    marks = candidates.where(F.col(candidate_at).isNotNull()).select(
+        *by, F.col(candidate_at).alias("__t"), F.lit(0).alias("__side"), F.col(value).alias("__v")
+    )
+    both = edges.unionByName(marks, allowMissingColumns=True)
+    scanned = scan(
+        both,
+        series(by, ("__t", "__side"), width),
+        __n=running_sum(F.when(F.col("__side") == 0, 1).otherwise(0).cast("long")),
+        __hit=latest(F.col("__v")),
+    )
+    found = (
+        scanned.where(F.col("__side") == 1)
+        .groupBy(*cols)
+        .agg(
+            F.sum(F.col("__sign") * F.col("__n")).alias("nearby"),
+            F.max(F.when(F.col("__sign") == 1, F.col("__hit"))).alias("__hit"),
+        )
+        .select(*cols, "nearby", F.when(F.col("nearby") == 1, F.col("__hit")).alias(f"near_{value}"))
+    )
+    return points.join(found, cols, "left")

@@ -199,18 +199,18 @@ def telemetry_sessions(
     sessions: DataFrame,
     season: int | None = None,
     session_type: str | None = None,
-    event_id=None,
+    event: str | None = None,
     circuit: str | None = None,
     driver=None,
 ) -> DataFrame:
-    """Telemetry sessions by season, type, event, circuit text and driver."""
+    """Telemetry sessions by season, type, event text, circuit text and driver."""
     out = sessions
     if season is not None:
         out = out.where(F.col("season") == season)
     if session_type is not None:
         out = out.where(F.col("session_type") == session_type)
-    if event_id is not None:
-        out = out.where(F.col("event_id") == F.lit(event_id))
+    if event:
+        out = out.where(F.lower("event_name").contains(event.lower()))
     if circuit:
         out = out.where(F.lower("circuit_name").contains(circuit.lower()))
     if driver is not None:
@@ -250,14 +250,19 @@ def board_at_lap(laps: DataFrame, results: DataFrame, lap: int) -> DataFrame:
 
 
 def link_context(telemetry: DataFrame, replays: DataFrame, races: DataFrame) -> DataFrame:
-    """Attach the replay and race of the same (season, round) when unique."""
+    """Attach the replay and the race of the same (season, round).
+
+    A race must be the only one of its round and pass the quality gate; a
+    replay must be the only stored one.
+    """
     key = ["season", "round_number"]
 
-    def unique(df: DataFrame, out: str) -> DataFrame:
+    def unique(df: DataFrame, eligible: Column, out: str) -> DataFrame:
         return df.groupBy(*key).agg(
-            F.count(F.lit(1)).alias("__n"), F.max("session_id").alias(out)
-        ).where(F.col("__n") == 1).drop("__n")
+            F.count(F.lit(1)).alias("__n"), F.max(F.when(eligible, F.col("session_id"))).alias(out)
+        ).where((F.col("__n") == 1) & F.col(out).isNotNull()).drop("__n")
 
-    return telemetry.join(unique(replays, "replay_session_id"), key, "left").join(
-        unique(races, "race_session_id"), key, "left"
+    gate = (F.col("status") == "completed") & F.col("quality_status").isin("verified", "good")
+    return telemetry.join(unique(replays, F.lit(True), "replay_session_id"), key, "left").join(
+        unique(races, gate, "race_session_id"), key, "left"
     )
