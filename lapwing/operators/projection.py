@@ -48,6 +48,11 @@ def projection_totals(distribution: DataFrame, margin: float = 0.25) -> DataFram
     )
 
 
+def _draw(seed: int) -> Column:
+    digest = F.sha2(F.concat_ws("|", F.lit(str(seed)), "stratum", "rep", "draw"), 256)
+    return F.conv(F.substring(digest, 1, 12), 16, 10).cast("long")
+
+
 def bootstrap_totals(
     counts: DataFrame, samples: DataFrame, ident: str, reps: int = 1000, seed: int = 2216,
     width: float | None = None,
@@ -68,7 +73,7 @@ def bootstrap_totals(
         numbered.select("stratum", F.col("pos").alias("draw"))
         .join(sizes, "stratum")
         .withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-        .withColumn("pos", 1 + F.pmod(F.xxhash64(F.lit(seed), "stratum", "rep", "draw"), F.col("n")))
+        .withColumn("pos", 1 + F.pmod(_draw(seed), F.col("n")))
         .groupBy("rep", "stratum", "pos")
         .agg(F.count(F.lit(1)).alias("hits"))
     )
@@ -97,14 +102,15 @@ def envelope_projection(samples: DataFrame, channels: DataFrame, candidates: int
     ``samples``: season, total_bytes.  ``channels``: channel, bytes.
     """
     per_channel = channels.groupBy("channel").agg(F.sum("bytes").alias("b"))
-    largest = per_channel.agg(
-        F.max_by("channel", F.struct("b", "channel")).alias("largest_channel"), F.max("b").alias("largest_channel_bytes")
+    stacked = samples.select(F.col("total_bytes").alias("t")).unionByName(
+        per_channel, allowMissingColumns=True
     )
-    top = samples.agg(
-        F.ceil(F.max("total_bytes") * F.lit(candidates) * (1 + margin)).alias("projected_bytes"),
-        F.count(F.lit(1)).alias("samples"),
+    return stacked.agg(
+        F.ceil(F.max("t") * F.lit(candidates) * (1 + margin)).alias("projected_bytes"),
+        F.count("t").alias("samples"),
+        F.max_by("channel", F.when(F.col("b").isNotNull(), F.struct("b", "channel"))).alias("largest_channel"),
+        F.max("b").alias("largest_channel_bytes"),
     )
-    return top.join(F.broadcast(largest))  # both one row
 
 
 def missing_years(samples: DataFrame, years: DataFrame) -> DataFrame:

@@ -233,7 +233,7 @@ def driver_races_page(spark, folder):
     )
     order = [F.col("season").desc(), F.col("round_number").desc(), F.col("session_id").desc()]
     paged, total = A.page(rows, order, 10, 25)
-    return paged.join(F.broadcast(total))  # one-row total
+    return paged.withColumn("total", total.scalar())
 
 
 @query("finish_distribution", W_OBS + """
