@@ -186,3 +186,123 @@ obs AS (
   LEFT JOIN lap_agg l ON l.session_id = c.session_id AND l.driver_id = c.driver_id
   LEFT JOIN pit_agg p ON p.session_id = c.session_id AND p.driver_id = c.driver_id
   WHERE e.status = 'completed' AND e.quality_status IN ('verified', 'good'))"""
+
+
+WEEK_US = 604_800_000_000
+DAY_MS = 86_400_000
+
+
+def feed(spark: SparkSession, folder: str) -> DataFrame:
+    """The event log as a timing feed: a week is a session, a user group a driver.
+
+    ``lap_no`` is the lap under way, ``last_end`` the end of the lap before.
+    """
+    from lapwing.operators.scan import latest, running_sum, scan, series
+
+    e = table(spark, folder, "events")
+    us = F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(1_704_067_200_000_000)
+    base = e.select(
+        F.floor(us / F.lit(WEEK_US)).cast("int").alias("session_id"),
+        (F.col("user_id") % 20).cast("int").alias("driver_id"),
+        F.floor((F.pmod(us, F.lit(WEEK_US)) + 500) / F.lit(1000)).cast("long").alias("t_ms"),
+        "event_id", "event_type", "value",
+        F.get_json_object("props", "$.k").cast("int").alias("k"),
+    )
+    click = F.col("event_type") == "click"
+    s = series(("session_id", "driver_id"), ("t_ms", "event_id"), DAY_MS)
+    scanned = scan(
+        base, s,
+        __n=running_sum(F.when(click, 1).otherwise(0).cast("long"), inclusive=False),
+        last_end=latest(F.when(click, F.col("t_ms")), inclusive=False),
+    )
+    return scanned.withColumn("lap_no", (F.coalesce("__n", F.lit(0)) + 1).cast("int")).drop("__n")
+
+
+def timing(spark: SparkSession, folder: str) -> SimpleNamespace:
+    """Canonical timing tables derived from the feed."""
+    f = feed(spark, folder)
+    k = F.col("k")
+    keys = ["session_id", "driver_id"]
+    stint = (1 + F.floor((F.col("lap_no") - 1) / 8)).cast("int")
+    compounds = F.array(*[F.lit(c) for c in ("soft", "medium", "hard", "soft", "intermediate")])
+    laps = f.where(F.col("event_type") == "click").select(
+        *keys,
+        F.col("lap_no").alias("lap_number"),
+        F.coalesce("last_end", F.lit(0)).alias("lap_start_time_ms"),
+        F.col("t_ms").alias("lap_end_time_ms"),
+        F.when(k % 43 != 0, F.col("t_ms") - F.coalesce("last_end", F.lit(0))).alias("lap_time_ms"),
+        stint.alias("stint_number"),
+        F.element_at(compounds, ((stint + F.col("driver_id")) % 5 + 1).cast("int")).alias("compound"),
+        F.when(k % 25 != 0, (F.col("lap_no") - 1) % 8 + 1).cast("double").alias("tyre_life_laps"),
+        (k % 19 == 0).alias("is_deleted"),
+        F.when(k % 10 != 0, F.lit(False)).alias("is_generated"),
+        (k % 17 != 0).alias("is_accurate"),
+        F.when(k % 31 != 0, F.when(k % 12 == 0, "12").otherwise("1")).alias("raw_track_status"),
+        (k % 4 + 1).alias("position"),
+        "event_id",
+    )
+    weather = f.where(F.col("event_type") == "view").select(
+        "session_id", F.col("t_ms").alias("session_time_ms"),
+        F.col("value").alias("air_temperature_c"),
+        F.when(k % 37 != 0, F.col("value") + 10).alias("track_temperature_c"),
+        k.cast("double").alias("humidity_percent"),
+        F.when(k % 41 != 0, k % 29 == 0).alias("rainfall"),
+        "event_id",
+    )
+    kinds = F.array(F.lit("track_status"), F.lit("race_control_message"), F.lit("session_status"))
+    states = F.create_map(
+        *[F.lit(x) for x in (1, "clear", 2, "yellow", 4, "safety-car", 5, "red-flag", 6, "virtual-safety-car", 7, "vsc-ending")]
+    )
+    control = f.where(F.col("event_type") == "error").select(
+        "session_id", F.col("t_ms").alias("session_time_ms"),
+        F.element_at(kinds, (k % 3 + 1).cast("int")).alias("source_kind"),
+        F.when(k % 20 == 0, " Started ").when(k == 77, "CHEQUERED flag").otherwise(F.concat(F.lit("note "), k.cast("string"))).alias("message"),
+        F.coalesce(F.element_at(states, k % 8), F.lit("unknown")).alias("track_status"),
+        F.when(k == 44, "Finalised").alias("raw_status"),
+        F.when(k % 2 == 0, F.col("driver_id")).alias("driver_id"),
+        "event_id",
+    )
+    statuses = f.where((F.col("event_type") == "error") & ((k % 33 == 0) | (k % 27 == 0) | (k % 25 == 0))).select(
+        *keys, F.col("t_ms").alias("session_time_ms"),
+        F.when(k % 33 == 0, "retired").when(k % 27 == 0, "in-pit").otherwise("active").alias("status"),
+        "event_id",
+    )
+    marks = f.where(F.col("event_type").isin("purchase", "signup")).select(
+        *keys, F.col("lap_no").alias("lap_number"), F.col("t_ms").alias("session_time_ms"),
+        F.when(F.col("event_type") == "purchase", "in").otherwise("out").alias("kind"),
+        "event_id",
+    )
+    positions = laps.select(
+        *keys, F.col("lap_end_time_ms").alias("session_time_ms"), "position", "lap_number", "event_id"
+    )
+    return SimpleNamespace(
+        feed=f, laps=laps, weather=weather, control=control, statuses=statuses, marks=marks, positions=positions
+    )
+
+
+TIMING_SQL = """
+fb AS (SELECT CAST(us // 604800000000 AS INT) AS session_id, CAST(user_id % 20 AS INT) AS driver_id,
+   (us % 604800000000 + 500) // 1000 AS t_ms, event_id, event_type, value, CAST(json_extract_string(props, '$.k') AS INT) AS k
+  FROM (SELECT *, epoch_us(ts) - 1704067200000000 AS us FROM events)),
+feed AS (SELECT *, CAST(1 + coalesce(count(*) FILTER (event_type = 'click') OVER w, 0) AS INT) AS lap_no,
+   max(CASE WHEN event_type = 'click' THEN t_ms END) OVER w AS last_end FROM fb
+  WINDOW w AS (PARTITION BY session_id, driver_id ORDER BY t_ms, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+tl AS (SELECT session_id, driver_id, lap_no AS lap_number, coalesce(last_end, 0) AS lap_start_time_ms, t_ms AS lap_end_time_ms,
+   CASE WHEN k % 43 <> 0 THEN t_ms - coalesce(last_end, 0) END AS lap_time_ms, CAST(1 + (lap_no - 1) // 8 AS INT) AS stint_number,
+   (['soft','medium','hard','soft','intermediate'])[CAST((1 + (lap_no - 1) // 8 + driver_id) % 5 + 1 AS INT)] AS compound,
+   CASE WHEN k % 25 <> 0 THEN CAST((lap_no - 1) % 8 + 1 AS DOUBLE) END AS tyre_life_laps, k % 19 = 0 AS is_deleted,
+   CASE WHEN k % 10 <> 0 THEN false END AS is_generated, k % 17 <> 0 AS is_accurate,
+   CASE WHEN k % 31 <> 0 THEN CASE WHEN k % 12 = 0 THEN '12' ELSE '1' END END AS raw_track_status, k % 4 + 1 AS position, event_id
+  FROM feed WHERE event_type = 'click'),
+tw AS (SELECT session_id, t_ms AS session_time_ms, value AS air_temperature_c, CASE WHEN k % 37 <> 0 THEN value + 10 END AS track_temperature_c,
+   CAST(k AS DOUBLE) AS humidity_percent, CASE WHEN k % 41 <> 0 THEN k % 29 = 0 END AS rainfall, event_id FROM feed WHERE event_type = 'view'),
+tc AS (SELECT session_id, t_ms AS session_time_ms, (['track_status','race_control_message','session_status'])[k % 3 + 1] AS source_kind,
+   CASE WHEN k % 20 = 0 THEN ' Started ' WHEN k = 77 THEN 'CHEQUERED flag' ELSE 'note ' || k END AS message,
+   CASE k % 8 WHEN 1 THEN 'clear' WHEN 2 THEN 'yellow' WHEN 4 THEN 'safety-car' WHEN 5 THEN 'red-flag' WHEN 6 THEN 'virtual-safety-car'
+     WHEN 7 THEN 'vsc-ending' ELSE 'unknown' END AS track_status, CASE WHEN k = 44 THEN 'Finalised' END AS raw_status,
+   CASE WHEN k % 2 = 0 THEN driver_id END AS driver_id, event_id FROM feed WHERE event_type = 'error'),
+ts_ AS (SELECT session_id, driver_id, t_ms AS session_time_ms, CASE WHEN k % 33 = 0 THEN 'retired' WHEN k % 27 = 0 THEN 'in-pit' ELSE 'active' END AS status, event_id
+  FROM feed WHERE event_type = 'error' AND (k % 33 = 0 OR k % 27 = 0 OR k % 25 = 0)),
+tm AS (SELECT session_id, driver_id, lap_no AS lap_number, t_ms AS session_time_ms, CASE WHEN event_type = 'purchase' THEN 'in' ELSE 'out' END AS kind, event_id
+  FROM feed WHERE event_type IN ('purchase','signup')),
+tp AS (SELECT session_id, driver_id, lap_end_time_ms AS session_time_ms, position, lap_number, event_id FROM tl)"""
