@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lapwing.operators.scan import position, running_sum, scan, series
+from lapwing.operators.scan import latest, position, scan, series, upcoming
 
 _MARK = "session_id {sid}, driver_id {did}, t long, kind int, lap_number int, mark_id long"
 _OUT = _MARK + ", entry_t long, entry_lap int, entry_id long, state string"
@@ -53,7 +53,7 @@ def _match(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def pair_pits(
-    marks: DataFrame, width: int | None = None, growth: int = 64, levels: int = 2, ident: str = "event_id"
+    marks: DataFrame, width: int | None = None, growth: int = 64, levels: int = 1, ident: str = "event_id"
 ) -> DataFrame:
     """Stops from pit entry and exit marks of each (session, driver).
 
@@ -83,22 +83,21 @@ def pair_pits(
         if size is None:
             done = matched if done is None else done.unionByName(matched)
             break
+        # Read twice below; the Python pass should run once.
+        matched = matched.persist()
         settled = matched.where(F.col("state") != "open")
         done = settled if done is None else done.unionByName(settled)
         opened = scan(
             matched.where(F.col("state") == "open"),
             series(("session_id", "driver_id"), ("t", "kind", "lap_number", "mark_id"), size),
-            entries_before=running_sum(F.when(F.col("kind") == 0, 1).otherwise(0).cast("long")),
-            exits_upto=running_sum(F.when(F.col("kind") == 1, 1).otherwise(0).cast("long")),
+            entry_before=latest(F.when(F.col("kind") == 0, F.lit(1)), inclusive=False),
+            exit_after=upcoming(F.when(F.col("kind") == 1, F.lit(1))),
         )
-        exits = opened.groupBy("session_id", "driver_id").agg(F.sum("kind").alias("all_exits"))
-        judged = opened.join(exits, ["session_id", "driver_id"])
-        final = F.when(F.col("kind") == 1, F.col("entries_before") == 0).otherwise(
-            F.col("exits_upto") == F.col("all_exits")
+        final = F.when(F.col("kind") == 1, F.col("entry_before").isNull()).otherwise(
+            F.col("exit_after").isNull()
         )
-        extra = ["entries_before", "exits_upto", "all_exits"]
-        done = done.unionByName(judged.where(final).drop(*extra))
-        todo = judged.where(~final).select("session_id", "driver_id", "t", "kind", "lap_number", "mark_id")
+        done = done.unionByName(opened.where(final).drop("entry_before", "exit_after"))
+        todo = opened.where(~final).select("session_id", "driver_id", "t", "kind", "lap_number", "mark_id")
     stops = done.where(F.col("state") != "consumed").select(
         "session_id", "driver_id",
         F.coalesce("entry_lap", "lap_number").alias("lap_number"),

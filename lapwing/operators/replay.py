@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lapwing.functions.vocab import TERMINAL_STATUSES
-from lapwing.operators.scan import latest, running_max, running_sum, scan, series
+from lapwing.operators.scan import latest, previous, running_max, running_sum, scan, series
 
 _AFTER_ALL = 2**62
 
@@ -54,8 +54,19 @@ def driver_states(
         F.when(entry, True).when(leave, False).when(state_event, F.col("status") == "in-pit")
     )
     s = series(keys, order, width)
-    first = scan(
-        rows, s,
+    # Only a pit change after a non-pit state counts as a stop: decided on the
+    # few rows that change the pit flag, before the full scan.
+    changes = in_pit.isNotNull()
+    flagged = scan(rows.where(changes), s, __was=previous(in_pit)).withColumn(
+        "stop", F.when(entry & ~F.coalesce("__was", F.lit(False)), 1).otherwise(0).cast("long")
+    ).drop("__was")
+    full = rows.where(~changes).unionByName(flagged, allowMissingColumns=True)
+    stirs = kind.isin("driver-position-changed", "driver-lap-completed", "driver-stint-changed")
+    outside = (
+        F.when(state_event, F.col("status")).when(live & (leave | stirs), F.lit("active"))
+    )
+    out = scan(
+        full, s,
         position_now=latest(F.when(kind == "driver-position-changed", F.col("position"))),
         laps_completed=running_max(F.when(lap, F.col("lap_number"))),
         __last_lap=latest(F.when(lap, F.struct(F.col("lap_time_ms").alias("v")))),
@@ -65,23 +76,12 @@ def driver_states(
             F.when(stint | (lap & F.col("tyre_age_laps").isNotNull()), F.struct(F.col("tyre_age_laps").alias("v")))
         ),
         __pit_lap=latest(F.when(entry, F.struct(F.col("lap_number").alias("v")))),
-        in_pit=latest(in_pit),
-        __was_in_pit=latest(in_pit, inclusive=False),
+        __in=latest(in_pit),
+        __outside=latest(outside),
+        pit_stop_count=running_sum(F.coalesce("stop", F.lit(0))),
     )
-    inside = F.coalesce(F.col("in_pit"), F.lit(False))
-    was_inside = F.coalesce(F.col("__was_in_pit"), F.lit(False))
-    stirs = kind.isin("driver-position-changed", "driver-lap-completed", "driver-stint-changed")
-    status_now = (
-        F.when(entry, F.lit("in-pit"))
-        .when(state_event, F.col("status"))
-        .when(live & (leave | (stirs & ~inside)), F.lit("active"))
-    )
-    second = scan(
-        first, s,
-        status_now=latest(status_now),
-        pit_stop_count=running_sum(F.when(entry & ~was_inside, 1).otherwise(0).cast("long")),
-    )
-    return second.where(kind == "cursor").select(
+    inside = F.coalesce(F.col("__in"), F.lit(False))
+    return out.where(kind == "cursor").select(
         *keys,
         F.col("session_time_ms").alias("cursor_ms"),
         F.col("position_now").alias("position"),
@@ -90,10 +90,10 @@ def driver_states(
         "current_stint",
         F.col("compound_now").alias("compound"),
         F.col("__age.v").alias("tyre_age_laps"),
-        F.coalesce("in_pit", F.lit(False)).alias("in_pit"),
+        inside.alias("in_pit"),
         "pit_stop_count",
         F.col("__pit_lap.v").alias("last_pit_lap"),
-        F.coalesce("status_now", F.lit("not-started")).alias("status"),
+        F.when(inside, "in-pit").otherwise(F.coalesce("__outside", F.lit("not-started"))).alias("status"),
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lapwing.operators.scan import latest, position, previous, scan, series
+from lapwing.operators.scan import position, previous, scan, series
 
 # Order of event types at the same instant.
 PRIORITY = {

@@ -5,6 +5,7 @@ from importlib import import_module
 MODULES = (
     "race_analytics",
     "inventory_queries",
+    "replay_queries",
 )
 
 

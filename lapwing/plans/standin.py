@@ -12,6 +12,9 @@ from types import SimpleNamespace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lapwing.operators.scan import latest, running_sum, scan, series
+from lapwing.session import durable
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -192,13 +195,30 @@ WEEK_US = 604_800_000_000
 DAY_MS = 86_400_000
 
 
+_STORED: dict[tuple, DataFrame] = {}
+
+
+def stored(spark: SparkSession, folder: str, name: str, build) -> DataFrame:
+    """A canonical table, written once per session and folder, then reused.
+
+    Ingest writes these tables before anything queries them; here the first
+    query that needs one does.
+    """
+    key = (spark.sparkContext.applicationId, folder, name)
+    if key not in _STORED:
+        _STORED[key] = durable(build())
+    return _STORED[key]
+
+
 def feed(spark: SparkSession, folder: str) -> DataFrame:
+    return stored(spark, folder, "feed", lambda: build_feed(spark, folder))
+
+
+def build_feed(spark: SparkSession, folder: str) -> DataFrame:
     """The event log as a timing feed: a week is a session, a user group a driver.
 
     ``lap_no`` is the lap under way, ``last_end`` the end of the lap before.
     """
-    from lapwing.operators.scan import latest, running_sum, scan, series
-
     e = table(spark, folder, "events")
     us = F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(1_704_067_200_000_000)
     base = e.select(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,16 +25,31 @@ def build_session(app: str = "lapwing", cores: str | int = "*", partitions: int
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder for cut lineage.
+
+    ``spark.checkpoint.dir`` names it; a temporary folder is only used where
+    that is unset (tests on one machine).
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[application] = tempfile.mkdtemp(prefix="lapwing-")
+    return _LOCAL_FOLDERS[application]
+
+
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` through the shared checkpoint folder.
+    """Write ``df`` as a table in the shared folder and read it back.
 
-    Iterative or heavily reused results survive executor loss because the
-    checkpoint lives in ``spark.checkpoint.dir``.  A temporary folder is only
-    used where the session names none (tests on one machine).
+    Cuts the lineage of results that later steps read several times.  The table
+    survives lost executors and stays columnar, so readers still prune it.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lapwing-checkpoint-"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark)}/lapwing-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
