@@ -6,6 +6,7 @@ MODULES = (
     "race_analytics",
     "inventory_queries",
     "replay_queries",
+    "normalize_queries",
 )
 
 
