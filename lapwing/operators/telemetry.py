@@ -406,7 +406,10 @@ def window_times(points: DataFrame) -> DataFrame:
 
 
 def window_metrics(points: DataFrame, persistence_s: float = 0.2, width: float | None = None) -> DataFrame:
-    """Entry, minimum and exit speed, gear at the minimum, brake and throttle marks."""
+    """Entry, minimum and exit speed, gear at the minimum, brake and throttle marks.
+
+    Reads ``points`` several times: hand in a stored table (``session.durable``).
+    """
     key = ["lap_id", "window_id"]
     slow = F.struct("speed_kmh", "d", "side_order")
     basics = points.groupBy(*key).agg(
@@ -420,11 +423,11 @@ def window_metrics(points: DataFrame, persistence_s: float = 0.2, width: float |
     )
     brakes = brake_events(points, persistence_s, width)
     from_minimum = points.join(basics.select(*key, "minimum_at_m"), key).where(F.col("d") >= F.col("minimum_at_m"))
-    pickup = throttle_onset(from_minimum, 20.0, persistence_s, "throttle_pickup_m", width)
-    full = throttle_onset(from_minimum, 98.0, persistence_s, "full_throttle_m", width)
+    throttle = throttle_onsets(
+        from_minimum, {"throttle_pickup_m": 20.0, "full_throttle_m": 98.0}, persistence_s, width
+    )
     return (
-        basics.join(window_times(points), key, "left").join(brakes, key, "left")
-        .join(pickup, key, "left").join(full, key, "left")
+        basics.join(window_times(points), key, "left").join(brakes, key, "left").join(throttle, key, "left")
     )
 
 
@@ -463,24 +466,29 @@ def brake_events(points: DataFrame, persistence_s: float = 0.2, width: float | N
     )
 
 
-def throttle_onset(
-    points: DataFrame, threshold: float, persistence_s: float = 0.2, out: str = "throttle_onset_m",
-    width: float | None = None,
+def throttle_onsets(
+    points: DataFrame, thresholds: dict[str, float], persistence_s: float = 0.2, width: float | None = None,
 ) -> DataFrame:
-    """Distance where throttle first reaches ``threshold`` and stays there."""
+    """Per threshold, the distance where throttle first reaches it and stays there."""
     key = ("lap_id", "window_id")
-    s = series(key, ("d", "side_order"), width)
-    a, b = F.col("throttle_percent"), F.col("n.throttle_percent")
+    keyed = (*key, "mark")
+    s = series(keyed, ("d", "side_order"), width)
+    marks = F.array(
+        *[F.struct(F.lit(n).alias("mark"), F.lit(float(v)).alias("level")) for n, v in thresholds.items()]
+    )
+    rows = points.where(F.col("n").isNotNull()).select(
+        *key, "d", "side_order", "t", "n", "ok", "throttle_percent", F.explode(marks).alias("m")
+    ).select("*", "m.mark", "m.level")
+    a, b, level = F.col("throttle_percent"), F.col("n.throttle_percent"), F.col("level")
     usable = F.coalesce(F.col("ok"), F.lit(False)) & a.isNotNull() & b.isNotNull()
-    segments = points.where(F.col("n").isNotNull()).withColumn("__use", usable)
-    fraction = (F.lit(threshold) - a) / (b - a)
-    rising = (a < threshold) & (b >= threshold)
-    falling = (a >= threshold) & (b < threshold)
+    fraction = (level - a) / (b - a)
+    rising = (a < level) & (b >= level)
+    falling = (a >= level) & (b < level)
     span_t, span_d = F.col("n.t") - F.col("t"), F.col("n.d") - F.col("d")
-    marked = segments.select(
-        *key, "d", "side_order",
-        (F.col("__use") & ((a >= threshold) | (b >= threshold))).alias("__on"),
-        F.when(F.col("__use"), b >= threshold).otherwise(False).alias("__holds"),
+    marked = rows.withColumn("__use", usable).select(
+        *keyed, "d", "side_order",
+        (F.col("__use") & ((a >= level) | (b >= level))).alias("__on"),
+        F.when(F.col("__use"), b >= level).otherwise(False).alias("__holds"),
         F.when(F.col("__use"), rising).otherwise(False).alias("__rises"),
         F.when(rising, F.col("t") + fraction * span_t).otherwise(F.col("t")).alias("__t0"),
         F.when(rising, F.col("d") + fraction * span_d).otherwise(F.col("d")).alias("__d0"),
@@ -491,11 +499,11 @@ def throttle_onset(
     numbered = scan(
         chain.where(F.col("__on")).withColumn("__new", start.cast("long")), s, run=running_sum(F.col("__new"))
     )
-    runs = numbered.groupBy(*key, "run").agg(
+    runs = numbered.groupBy(*keyed, "run").agg(
         F.min("__t0").alias("t0"), F.min("__d0").alias("d0"), F.max("__t1").alias("t1")
-    )
-    return runs.where(F.col("t1") - F.col("t0") + 1e-12 >= persistence_s).groupBy(*key).agg(
-        F.min_by("d0", "run").alias(out)
+    ).where(F.col("t1") - F.col("t0") + 1e-12 >= persistence_s)
+    return runs.groupBy(*key).agg(
+        *[F.min_by("d0", F.when(F.col("mark") == n, F.col("run"))).alias(n) for n in thresholds]
     )
 
 
@@ -520,7 +528,8 @@ def microsectors(
             )
         ).alias("x"),
     ).select("pair_id", "x.side", "x.lap")
-    paired = trace.join(sides, F.col("lap_id") == F.col("lap")).select(
+    bare = trace.select("lap_id", "distance_m", "elapsed_s")
+    paired = bare.join(sides, F.col("lap_id") == F.col("lap")).select(
         F.struct("pair_id", "side").alias("lap_id"), "distance_m", "elapsed_s"
     )
     windows = bins.join(sides, "pair_id").select(

@@ -7,6 +7,7 @@ MODULES = (
     "inventory_queries",
     "replay_queries",
     "normalize_queries",
+    "telemetry_queries",
 )
 
 
