@@ -41,7 +41,7 @@ LAP = ["session_id", "driver_id", "lap_number"]
 
 @dataclass(frozen=True)
 class Rules:
-    """Bounds that the reference fixes and stand-in data scales."""
+    """Bounds with their usual values; data on another time scale brings its own."""
 
     min_lap_ms: int = 50_000
     max_lap_ms: int = 300_000

@@ -200,9 +200,11 @@ def trailing(df: DataFrame, s: Series, n: int, **values: Column) -> DataFrame:
                 F.when(F.size("__b") > n, F.slice("__b", -n, n)).otherwise(F.col("__b")),
             )
         )
-    return out.select(
-        *df.columns, *[F.transform("__t", lambda e, k=k: e[k]).alias(k) for k in values]
-    )
+    return out.select(*df.columns, *[F.transform("__t", _field(k)).alias(k) for k in values])
+
+
+def _field(name: str) -> Callable[[Column], Column]:
+    return lambda e: e[name]
 
 
 def _types(df: DataFrame, values: dict[str, Column]):

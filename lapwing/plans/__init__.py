@@ -8,6 +8,7 @@ MODULES = (
     "replay_queries",
     "normalize_queries",
     "telemetry_queries",
+    "learning_queries",
 )
 
 
