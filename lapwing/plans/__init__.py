@@ -9,6 +9,8 @@ MODULES = (
     "normalize_queries",
     "telemetry_queries",
     "learning_queries",
+    "strategy_queries",
+    "source_queries",
 )
 
 

@@ -21,17 +21,19 @@ PITS_SCHEMA = "PitStops array<struct<driverId:string,stop:string,lap:string,dura
 
 def flatten_results(pages: DataFrame) -> DataFrame:
     """(session_id, payload) race results to one row per driver."""
-    r = F.col("r")
-    name = F.trim(F.concat_ws(" ", F.coalesce(r["Driver.givenName"], F.lit("")), F.coalesce(r["Driver.familyName"], F.lit(""))))
+    c = F.col
+    name = F.trim(
+        F.concat_ws(" ", F.coalesce("r.Driver.givenName", F.lit("")), F.coalesce("r.Driver.familyName", F.lit("")))
+    )
     return pages.select("session_id", F.explode(F.from_json("payload", RESULTS_SCHEMA)["Results"]).alias("r")).select(
-        "session_id", r["Driver.driverId"].alias("driver_id"), as_text(r["Driver.code"]).alias("driver_code"),
-        name.alias("driver_name"), as_text(r["Constructor.constructorId"]).alias("team_id"),
-        as_text(r["Constructor.name"]).alias("team_name"), as_int(r["number"]).cast("int").alias("car_number"),
-        as_int(r["grid"]).cast("int").alias("grid_position"), as_int(r["position"]).cast("int").alias("finish_position"),
-        F.coalesce(r["points"].try_cast("double"), F.lit(0.0)).alias("points"),
-        as_int(r["laps"]).cast("int").alias("laps_completed"), as_text(r["status"]).alias("status"),
-        F.coalesce(r["positionText"].rlike("^[0-9]+$"), F.lit(False)).alias("classified"),
-        as_int(r["Time.millis"]).alias("total_time_ms"),
+        "session_id", c("r.Driver.driverId").alias("driver_id"), as_text(c("r.Driver.code")).alias("driver_code"),
+        name.alias("driver_name"), as_text(c("r.Constructor.constructorId")).alias("team_id"),
+        as_text(c("r.Constructor.name")).alias("team_name"), as_int(c("r.number")).cast("int").alias("car_number"),
+        as_int(c("r.grid")).cast("int").alias("grid_position"), as_int(c("r.position")).cast("int").alias("finish_position"),
+        F.coalesce(c("r.points").try_cast("double"), F.lit(0.0)).alias("points"),
+        as_int(c("r.laps")).cast("int").alias("laps_completed"), as_text(c("r.status")).alias("status"),
+        F.coalesce(c("r.positionText").rlike("^[0-9]+$"), F.lit(False)).alias("classified"),
+        as_int(c("r.Time.millis")).alias("total_time_ms"),
     )
 
 
