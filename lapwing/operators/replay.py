@@ -9,6 +9,10 @@ from lapwing.functions.vocab import TERMINAL_STATUSES
 from lapwing.operators.scan import latest, previous, running_max, running_sum, scan, series
 
 _AFTER_ALL = 2**62
+PAYLOAD_TYPES = {
+    "position": "int", "lap_number": "int", "lap_time_ms": "long", "stint_number": "int", "compound": "string",
+    "tyre_age_laps": "double", "status": "string",
+}
 
 
 def driver_states(
@@ -24,7 +28,8 @@ def driver_states(
     """
     keys = ["session_id", "driver_id"]
     order = ("session_time_ms", "sequence")
-    log = events.where(F.col("driver_id").isNotNull()).join(roster.select(*keys), keys, "left_semi")
+    absent = {n: F.lit(None).cast(t) for n, t in PAYLOAD_TYPES.items() if n not in events.columns}
+    log = events.withColumns(absent).where(F.col("driver_id").isNotNull()).join(roster.select(*keys), keys, "left_semi")
     terminal = (
         log.where(
             (F.col("event_type") == "driver-status-changed") & F.col("status").isin(*TERMINAL_STATUSES)

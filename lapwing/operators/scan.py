@@ -140,14 +140,11 @@ def position() -> Step:
     return running_sum(F.lit(1).cast("long"))
 
 
-def scan(df: DataFrame, s: Series, **steps: Step) -> DataFrame:
+def scan(df: DataFrame, s: Series, /, **steps: Step) -> DataFrame:
     """Add one column per step."""
     if s.width is None:
         none = F.lit(None)
-        out = df
-        for name, step in steps.items():
-            out = out.withColumn(name, step.combine(step.window(s, ()), none))
-        return out
+        return df.select("*", *[st.combine(st.window(s, ()), none).alias(n) for n, st in steps.items()])
     base = df.withColumn(CHUNK, s.chunk())
     names = list(steps)
     summary = base.groupBy(*s.keys, CHUNK).agg(
@@ -166,7 +163,7 @@ def scan(df: DataFrame, s: Series, **steps: Step) -> DataFrame:
     )
 
 
-def trailing(df: DataFrame, s: Series, n: int, **values: Column) -> DataFrame:
+def trailing(df: DataFrame, s: Series, n: int, /, **values: Column) -> DataFrame:
     """Add, per value, the array of the last ``n`` rows up to the current one."""
     cols = F.struct(*[v.alias(k) for k, v in values.items()])
     frame = F.collect_list(cols)

@@ -3,7 +3,7 @@
 Events of one (session, driver) wait in state until the watermark has passed
 them, are then applied in (time, priority, sequence) order, and the driver's
 state after each trigger is emitted.  Events older than the watermark are late:
-they are counted, never applied.
+Spark drops and counts them, they are never applied.
 """
 
 from __future__ import annotations
@@ -24,17 +24,17 @@ EVENT_FIELDS = (
 OUTPUT = (
     "session_id int, driver_id int, applied_to_ms long, position int, laps_completed int, last_lap_time_ms long, "
     "current_stint int, compound string, tyre_age_laps double, in_pit boolean, pit_stop_count long, "
-    "last_pit_lap int, status string, late_events long"
+    "last_pit_lap int, status string"
 )
 # One row of state: the folded driver, then the waiting events as parallel arrays.
 STATE = (
     "applied_to_ms long, position int, laps_completed int, last_lap_time_ms long, current_stint int, compound string, "
-    "tyre_age_laps double, in_pit boolean, pit_stop_count long, last_pit_lap int, status string, late_events long, "
+    "tyre_age_laps double, in_pit boolean, pit_stop_count long, last_pit_lap int, status string, "
     "waiting array<struct<session_time_ms:long,priority:int,sequence:long,event_type:string,position:int,lap_number:int,"
     "lap_time_ms:long,stint_number:int,compound:string,tyre_age_laps:double,status:string>>"
 )
-_START = (-1, None, 0, None, None, None, None, False, 0, None, "not-started", 0, [])
-_APPLIED, _POS, _LAPS, _LAST, _STINT, _COMP, _AGE, _PIT, _STOPS, _PITLAP, _STATUS, _LATE, _WAIT = range(13)
+_START = (-1, None, 0, None, None, None, None, False, 0, None, "not-started", [])
+_APPLIED, _POS, _LAPS, _LAST, _STINT, _COMP, _AGE, _PIT, _STOPS, _PITLAP, _STATUS, _WAIT = range(12)
 
 
 def _none(value):
@@ -94,12 +94,7 @@ def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> I
     mark = state.getCurrentWatermarkMs()
     for frame in frames:
         for row in zip(*[frame[c] for c in EVENT_FIELDS]):
-            event = _event(row)
-            # Applied instants are closed: an event at or before one is late.
-            if event[0] <= s[_APPLIED] and event[0] < mark:
-                s[_LATE] += 1
-            else:
-                waiting.append(event)
+            waiting.append(_event(row))
     waiting.sort(key=lambda e: e[:3])
     ready = [e for e in waiting if e[0] < mark]
     for event in ready:
@@ -127,6 +122,8 @@ def replay_stream(events: DataFrame, delay: str = "10 seconds") -> DataFrame:
     )
 
 
-def late_counts(states: DataFrame) -> DataFrame:
-    """Late events per driver from the emitted states."""
-    return states.groupBy("session_id", "driver_id").agg(F.max("late_events").alias("late_events"))
+def late_rows(query) -> int:
+    """Rows the stream dropped as late so far, from its progress reports."""
+    return sum(
+        op["numRowsDroppedByWatermark"] for progress in query.recentProgress for op in progress["stateOperators"]
+    )
