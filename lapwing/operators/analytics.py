@@ -51,45 +51,29 @@ def driver_race(
 ) -> DataFrame:
     """One observation per result row of a gated event.
 
-    The three tables are stacked and aggregated once on (session, driver), so
-    laps and stops are combined map-side and shuffled a single time.
+    Laps and stops are stacked and aggregated once on (session, driver), so
+    both are combined map-side and cross the network together; results, already
+    one row per key, join the reduced side.
     """
     keys = ["session_id", "driver_id"]
-    fields = [
-        "driver_name", "team_id", "team_name", "grid_position", "finish_position",
-        "points", "laps_completed", "status", "classified",
-    ]
-    stacked = (
-        results.select(*keys, F.struct(*fields).alias("r"))
-        .unionByName(
-            laps.select(
-                *keys,
-                F.lit(1).alias("lap"),
-                F.col("lap_time_ms").alias("lap_ms"),
-                F.coalesce(F.col("is_fastest_lap"), F.lit(False)).alias("fast"),
-            ),
-            allowMissingColumns=True,
-        )
-        .unionByName(
-            pits.select(*keys, F.lit(1).alias("pit"), F.col("duration_ms").alias("pit_ms")),
-            allowMissingColumns=True,
-        )
-    )
-    grouped = (
-        stacked.groupBy(*keys)
-        .agg(
-            F.max("r").alias("r"),
-            F.count("lap").alias("recorded_lap_count"),
-            F.count("lap_ms").alias("timed_lap_count"),
-            F.avg("lap_ms").alias("raw_mean_lap_ms"),
-            F.percentile("lap_ms", F.lit(0.5)).alias("raw_median_lap_ms"),
-            F.min("lap_ms").alias("best_recorded_lap_ms"),
-            F.coalesce(F.bool_or("fast"), F.lit(False)).alias("fastest_lap_recorded"),
-            F.count("pit").alias("__pits"),
-            F.percentile("pit_ms", F.lit(0.5)).alias("median_pit_duration_ms"),
-            F.array_sort(F.collect_list("pit_ms")).alias("pit_durations_ms"),
-        )
-        .where(F.col("r").isNotNull())
+    stacked = laps.select(
+        *keys,
+        F.lit(1).alias("lap"),
+        F.col("lap_time_ms").alias("lap_ms"),
+        F.coalesce(F.col("is_fastest_lap"), F.lit(False)).cast("int").alias("fast"),
+    ).unionByName(
+        pits.select(*keys, F.lit(1).alias("pit"), F.col("duration_ms").alias("pit_ms")), allowMissingColumns=True
+    )
+    stats = stacked.groupBy(*keys).agg(
+        F.count("lap").alias("recorded_lap_count"),
+        F.count("lap_ms").alias("timed_lap_count"),
+        F.avg("lap_ms").alias("raw_mean_lap_ms"),
+        F.percentile("lap_ms", F.lit(0.5)).alias("raw_median_lap_ms"),
+        F.min("lap_ms").alias("best_recorded_lap_ms"),
+        (F.coalesce(F.max("fast"), F.lit(0)) == 1).alias("fastest_lap_recorded"),
+        F.count("pit").alias("__pits"),
+        F.percentile("pit_ms", F.lit(0.5)).alias("median_pit_duration_ms"),
+        F.array_sort(F.collect_list("pit_ms")).alias("pit_durations_ms"),
     )
     gated = resolve_circuit(quality_gate(events), identities).select(
         "session_id", "event_id", "season", "round_number", "event_name", "event_date",
@@ -97,30 +81,29 @@ def driver_race(
         F.col("cap_pit_stops").alias("pit_data_available"),
         (F.col("cap_lap_times") | F.col("cap_lap_positions")).alias("lap_data_available"),
     )
-    joined = grouped.join(gated, "session_id").withColumn(
-        "outcome", outcome(F.col("r.status"), F.col("r.classified"), F.col("r.laps_completed"))
-    )
-    grid, finish = F.col("r.grid_position"), F.col("r.finish_position")
-    gained = F.when(
-        (grid > 0) & (finish > 0) & F.col("outcome").isin(*SCORED), grid - finish
+    c = F.col
+    joined = results.join(gated, "session_id").join(stats, keys, "left").withColumn(
+        "outcome", outcome(c("status"), c("classified"), c("laps_completed"))
     )
+    grid, finish = c("grid_position"), c("finish_position")
+    gained = F.when((grid > 0) & (finish > 0) & c("outcome").isin(*SCORED), grid - finish)
+    none = F.lit(0)
     return joined.select(
         "event_id", "session_id", "season", "round_number", "event_name", "event_date",
-        "circuit_id", "circuit_name", "driver_id",
-        F.col("r.driver_name").alias("driver_name"),
-        F.col("r.team_id").alias("constructor_id"),
-        F.col("r.team_name").alias("constructor_name"),
-        grid.alias("grid_position"),
-        finish.alias("finish_position"),
-        F.coalesce(F.col("r.points"), F.lit(0.0)).alias("points"),
-        F.col("r.laps_completed").alias("laps_completed"),
-        "outcome",
-        F.coalesce(F.col("r.classified"), F.lit(False)).alias("classified"),
+        "circuit_id", "circuit_name", "driver_id", "driver_name",
+        c("team_id").alias("constructor_id"), c("team_name").alias("constructor_name"),
+        "grid_position", "finish_position",
+        F.coalesce("points", F.lit(0.0)).alias("points"),
+        "laps_completed", "outcome",
+        F.coalesce("classified", F.lit(False)).alias("classified"),
         gained.alias("positions_gained"),
-        "recorded_lap_count", "timed_lap_count", "raw_mean_lap_ms", "raw_median_lap_ms",
-        "best_recorded_lap_ms", "fastest_lap_recorded",
-        F.when(F.col("pit_data_available"), F.col("__pits")).alias("pit_stop_count"),
-        "median_pit_duration_ms", "pit_durations_ms",
+        F.coalesce("recorded_lap_count", none).alias("recorded_lap_count"),
+        F.coalesce("timed_lap_count", none).alias("timed_lap_count"),
+        "raw_mean_lap_ms", "raw_median_lap_ms", "best_recorded_lap_ms",
+        F.coalesce("fastest_lap_recorded", F.lit(False)).alias("fastest_lap_recorded"),
+        F.when(c("pit_data_available"), F.coalesce("__pits", none)).alias("pit_stop_count"),
+        "median_pit_duration_ms",
+        F.coalesce("pit_durations_ms", F.array().cast("array<bigint>")).alias("pit_durations_ms"),
         "lap_data_available", "pit_data_available", "quality_status",
     )
 

@@ -6,18 +6,23 @@ from pyspark.sql import functions as F
 
 from lapwing.operators import analytics as A
 from lapwing.plans.registry import query, sql_round
-from lapwing.plans.standin import ARCHIVE_SQL, OBS_SQL, archive
+from lapwing.plans.standin import ARCHIVE_SQL, OBS_SQL, archive, stored
 
 FLOOR = 1995  # the test orders start in 1995
 W_ARCHIVE = "WITH " + ARCHIVE_SQL
 W_OBS = "WITH " + OBS_SQL
 
 
-def observations(spark, folder):
+def build_observations(spark, folder):
     v = archive(spark, folder)
     return A.driver_race(v.results, v.laps, v.pits, v.events)
 
 
+def observations(spark, folder):
+    """The stored fact table every analytics surface reads."""
+    return stored(spark, folder, "driver_race", lambda: build_observations(spark, folder))
+
+
 def sql_summary(keys: str, source: str = "obs", tail: str = "") -> str:
     """Entity summary written the direct way, with distinct counts."""
     scored = "outcome IN ('finished','classified')"
@@ -68,7 +73,7 @@ def sql_latest(key: str, name: str, out: str = "entity_name", source: str = "obs
     W_OBS + " SELECT * REPLACE (array_to_string(pit_durations_ms, ',') AS pit_durations_ms) FROM obs",
 )
 def driver_race(spark, folder):
-    obs = observations(spark, folder)
+    obs = build_observations(spark, folder)
     return obs.withColumn("pit_durations_ms", F.array_join(F.col("pit_durations_ms").cast("array<string>"), ","))
 
 
@@ -135,9 +140,8 @@ def _sql_coverage() -> str:
 
 @query("coverage_report", _sql_coverage())
 def coverage_report(spark, folder):
-    v = archive(spark, folder)
-    obs = A.driver_race(v.results, v.laps, v.pits, v.events)
-    return A.coverage(obs, v.events, A.coverage_metrics())
+    events = archive(spark, folder).events
+    return A.coverage(observations(spark, folder), events, A.coverage_metrics())
 
 
 @query("season_report", W_OBS + f""",
@@ -162,8 +166,7 @@ spread AS (SELECT season, {sql_round('max(points) - min(points)', 2)} AS driver_
 SELECT * FROM sched LEFT JOIN o USING (season) LEFT JOIN lead USING (season) LEFT JOIN conc USING (season)
   LEFT JOIN spread USING (season)""")
 def season_report(spark, folder):
-    v = archive(spark, folder)
-    return A.season_report(A.driver_race(v.results, v.laps, v.pits, v.events), v.events)
+    return A.season_report(observations(spark, folder), archive(spark, folder).events)
 
 
 SQL_RACES = """
@@ -299,8 +302,7 @@ SELECT session_id, driver_id, lap_number, position FROM laps
 WHERE position IS NOT NULL AND (session_id, driver_id) IN (
   SELECT (session_id, driver_id) FROM obs QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY {FINISH}, driver_id) <= 5)""")
 def position_progression(spark, folder):
-    v = archive(spark, folder)
-    return A.position_progression(A.driver_race(v.results, v.laps, v.pits, v.events), v.laps)
+    return A.position_progression(observations(spark, folder), archive(spark, folder).laps)
 
 
 @query("compare_drivers_common", W_OBS + """, c AS (

@@ -12,7 +12,7 @@ from lapwing.operators import strategy as S
 from lapwing.plans.learning_queries import FEATURE_SQL, featured
 from lapwing.plans.registry import query, sql_round
 from lapwing.plans.replay_queries import CURSOR_SQL, PITS_SQL, STATE_OUT, STATE_SQL, W_TIMING, canonical, cursors, full_log
-from lapwing.plans.standin import DAY_MS, table
+from lapwing.plans.standin import DAY_MS, spread, table
 
 MODES = ("lower-90", "point", "upper-90")
 
@@ -91,7 +91,7 @@ def path_classification(spark, folder):
 
 
 def planned(spark, folder):
-    states = table(spark, folder, "lineitem").select(
+    states = spread(table(spark, folder, "lineitem")).select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_linenumber").alias("laps_completed"),
         F.col("l_quantity").cast("int").alias("scheduled_laps"),
         F.element_at(F.array(F.lit("soft"), F.lit("medium"), F.lit("hard"), F.lit("wet")), (F.col("l_partkey") % 4 + 1).cast("int")).alias("compound"),
