@@ -257,7 +257,7 @@ def coverage(eligible: DataFrame, catalog: DataFrame, metrics: dict[str, tuple[C
         F.min("season").alias("first_season"),
         F.max("season").alias("last_season"),
     )
-    # At most a hundred seasons: one row each.
+    # A row per metric and season of its span: a few hundred rows at most.
     excluded = (
         catalog.where(
             (F.col("status") == "completed") & ~F.col("quality_status").isin("verified", "good")
@@ -265,11 +265,8 @@ def coverage(eligible: DataFrame, catalog: DataFrame, metrics: dict[str, tuple[C
         .groupBy("season")
         .agg(F.sum("result_rows").alias("rows"))
     )
-    spans = table.join(
-        F.broadcast(excluded),
-        F.col("season").between(F.col("first_season"), F.col("last_season")),
-        "left",
-    )
+    years = table.withColumn("season", F.explode(F.sequence("first_season", "last_season")))
+    spans = years.join(excluded, "season", "left")
     keep = [c for c in table.columns if c not in ("first_season", "last_season")]
     return (
         spans.groupBy(*keep)

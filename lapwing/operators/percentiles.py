@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 from lapwing.operators.scan import running_sum, scan, series
 
 
+def _with_totals(running: DataFrame, counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    totals = counts.groupBy(*keys).agg(F.sum("__n").alias("__total"))
+    if not keys:
+        return running.withColumn("__total", totals.scalar())
+    return running.join(totals, list(keys), "inner")
+
+
 def grouped_percentiles(
     df: DataFrame,
     keys: Sequence[str],
@@ -22,17 +29,13 @@ def grouped_percentiles(
     Values are first counted, then the counts are accumulated in value order
     in chunks of ``width``; only the two neighbours of each index are kept.
     """
-    if not keys:
-        whole = grouped_percentiles(df.withColumn("__all", F.lit(0)), ("__all",), value, quantiles, width)
-        return whole.drop("__all")
     counts = (
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).alias("__v"))
         .agg(F.count(F.lit(1)).alias("__n"))
     )
     running = scan(counts, series(keys, ("__v",), width), __upto=running_sum(F.col("__n")))
-    totals = counts.groupBy(*keys).agg(F.sum("__n").alias("__total"))
-    joined = running.join(totals, list(keys), "inner")
+    joined = _with_totals(running, counts, keys)
     low_index = F.col("__upto") - F.col("__n")
     picks = []
     for name, q in quantiles.items():
@@ -53,17 +56,13 @@ def conformal_rank(
     df: DataFrame, keys: Sequence[str], residual: str, coverages: dict[str, float], width: float
 ) -> DataFrame:
     """Half-width at rank ``min(n, ceil((n + 1) * coverage))`` of |residual|."""
-    if not keys:
-        whole = conformal_rank(df.withColumn("__all", F.lit(0)), ("__all",), residual, coverages, width)
-        return whole.drop("__all")
     counts = (
         df.where(F.col(residual).isNotNull())
         .groupBy(*keys, F.abs(F.col(residual)).alias("__v"))
         .agg(F.count(F.lit(1)).alias("__n"))
     )
     running = scan(counts, series(keys, ("__v",), width), __upto=running_sum(F.col("__n")))
-    totals = counts.groupBy(*keys).agg(F.sum("__n").alias("__total"))
-    joined = running.join(totals, list(keys), "inner")
+    joined = _with_totals(running, counts, keys)
     picks = []
     for name, coverage in coverages.items():
         rank = F.least(F.col("__total"), F.ceil((F.col("__total") + 1) * F.lit(coverage)))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lapwing.functions.values import round_binary
 from lapwing.functions.vocab import DRY_COMPOUNDS, TERMINAL_STATUSES
 from lapwing.operators.percentiles import grouped_percentiles
+from lapwing.operators.scan import position, scan, series
 
 THRESHOLD = 0.60
 
@@ -51,9 +52,8 @@ def paired_superiority(paths: DataFrame, a: str, b: str) -> DataFrame:
         .agg(side(a).alias("x"), side(b).alias("y")).where(F.col("x").isNotNull() & F.col("y").isNotNull())
     )
     return pairs.agg(
-        F.count(F.lit(1)).alias("iterations"),
-        round_binary(F.avg((F.col("x") < F.col("y")).cast("double")), 4).alias("probability"),
-    )
+        F.count(F.lit(1)).alias("iterations"), F.avg((F.col("x") < F.col("y")).cast("double")).alias("raw")
+    ).withColumn("probability", round_binary(F.col("raw"), 4))
 
 
 def sensitivity(paths: DataFrame, modes: Sequence[str] = ("lower-90", "point", "upper-90")) -> DataFrame:
@@ -86,49 +86,37 @@ def recommend(
     )
 
 
-def recommendations(paths: DataFrame, limited_field: bool, width: float, by: Sequence[str] = ()) -> DataFrame:
-    """Leading strategy, runner-up and guard reasons, per ``by`` group."""
-    groups = [*by]
-    if not groups:
-        return recommendations(paths.withColumn("__g", F.lit(0)), limited_field, width, ("__g",)).drop("__g")
-    table = outcome_distribution(paths, width, [*groups, "strategy_id"])
-    # One entry per candidate strategy: five at most.
-    ranked = table.groupBy(*groups).agg(
-        F.slice(F.array_sort(F.collect_list(F.struct("expected_position", "p50", "strategy_id", "horizon_exceeded_probability"))), 1, 2).alias("top")
-    ).where(F.size("top") == 2)
-    named = ranked.select(
-        *groups, F.col("top")[0]["strategy_id"].alias("leading"), F.col("top")[1]["strategy_id"].alias("runner_up"),
-        F.col("top")[0]["horizon_exceeded_probability"].alias("__h1"), F.col("top")[1]["horizon_exceeded_probability"].alias("__h2"),
-    )
-    tagged = paths.join(named.select(*groups, "leading", "runner_up"), groups)
-    score = F.struct("position", "final_time_ms")
-    wins = (
-        tagged.groupBy(*groups, "iteration")
-        .agg(
-            F.min(F.when(F.col("strategy_id") == F.col("leading"), score)).alias("x"),
-            F.min(F.when(F.col("strategy_id") == F.col("runner_up"), score)).alias("y"),
-        )
-        .where(F.col("x").isNotNull() & F.col("y").isNotNull())
-        .groupBy(*groups).agg(F.avg((F.col("x") < F.col("y")).cast("double")).alias("superiority"))
-    )
-    modes = paths.groupBy(*groups, "pit_loss_mode", "strategy_id").agg(
-        F.avg("position").alias("p"), F.avg("final_time_ms").alias("t")
-    ).groupBy(*groups, "pit_loss_mode").agg(
-        F.min_by("strategy_id", F.struct("p", "t", "strategy_id")).alias("winner")
-    ).groupBy(*groups).agg((F.min("winner") != F.max("winner")).alias("fragile"))
-    joined = named.join(wins, groups).join(modes, groups)
-    reasons = recommend(F.col("superiority"), F.col("fragile"), F.col("__h1"), F.col("__h2"), F.lit(limited_field))
-    return joined.withColumn("guard_reasons", reasons).withColumn(
+def recommendations(paths: DataFrame, limited_field: bool, width: float) -> DataFrame:
+    """Leading strategy, runner-up and guard reasons.
+
+    The two best of a handful of strategies are named first; the paired
+    comparison then filters the paths by those names.
+    """
+    table = outcome_distribution(paths, width)
+    top = table.orderBy("expected_position", "p50", "strategy_id").select("strategy_id", "horizon_exceeded_probability").head(2)
+    if len(top) < 2:
+        raise ValueError("a recommendation needs two strategies")
+    (leading, first), (runner_up, second) = top
+    pair = paired_superiority(paths, leading, runner_up)
+    flips = sensitivity(paths).agg(F.bool_or("fragile").alias("fragile"))
+    row = pair.select(
+        F.lit(leading).alias("leading"), F.lit(runner_up).alias("runner_up"), F.col("probability").alias("superiority"),
+        F.col("raw"),
+    ).withColumn("fragile", flips.scalar())
+    reasons = recommend(F.col("raw"), F.col("fragile"), F.lit(first), F.lit(second), F.lit(limited_field))
+    return row.withColumn("guard_reasons", reasons).withColumn(
         "recommended", F.when(F.size("guard_reasons") == 0, F.col("leading"))
-    ).withColumn("superiority", round_binary(F.col("superiority"), 4)).drop("__h1", "__h2")
+    ).drop("raw")
 
 
-def classify(field: DataFrame, path: Sequence[str]) -> DataFrame:
-    """Finishing order of each path: laps, then time, then source position."""
-    w = W.partitionBy(*path).orderBy(
-        F.col("laps").desc(), F.col("completion_ms"), F.col("source_position"), F.col("driver_id")
-    )
-    return field.withColumn("position", F.row_number().over(w))
+def classify(field: DataFrame, path: Sequence[str], width: float = 1) -> DataFrame:
+    """Finishing order of each path: laps, then time, then source position.
+
+    Numbered in chunks of equal lap counts, so a crowded path is not one task.
+    """
+    ordered = field.withColumn("__laps", -F.col("laps"))
+    s = series(path, ("__laps", "completion_ms", "source_position", "driver_id"), width)
+    return scan(ordered, s, position=position()).drop("__laps")
 
 
 def candidates(states: DataFrame) -> DataFrame:

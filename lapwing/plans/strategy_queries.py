@@ -55,7 +55,7 @@ def position_probabilities(spark, folder):
 SELECT n AS iterations, {sql_round('w', 4)} AS probability FROM (SELECT count(*) AS n, avg(CAST(a.position < b.position OR (a.position = b.position AND a.final_time_ms < b.final_time_ms) AS DOUBLE)) AS w
   FROM pth a JOIN pth b ON a.iteration = b.iteration AND a.strategy_id = 'A' AND b.strategy_id = 'R')""")
 def paired_superiority(spark, folder):
-    return S.paired_superiority(paths(spark, folder), "A", "R")
+    return S.paired_superiority(paths(spark, folder), "A", "R").drop("raw")
 
 
 SENS_SQL = """,
