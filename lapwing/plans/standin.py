@@ -32,7 +32,7 @@ def spread(df: DataFrame) -> DataFrame:
 
 def archive(spark: SparkSession, folder: str) -> SimpleNamespace:
     """results, laps, pits and events derived from orders and line items."""
-    items = table(spark, folder, "lineitem")
+    items = spread(table(spark, folder, "lineitem"))
     orders = table(spark, folder, "orders")
     customer = table(spark, folder, "customer")
     supplier = table(spark, folder, "supplier")
