@@ -39,7 +39,7 @@ def classify_completion(sessions: DataFrame, status_log: DataFrame) -> DataFrame
     supported, source_missing, integrity.  ``status_log``: session_id, seq, status.
     """
     log = status_log.groupBy("session_id").agg(
-        F.max_by("status", "seq").alias("last_status"),
+        F.max_by("status", F.struct("seq", "status")).alias("last_status"),
         F.bool_or(F.col("status") == "Started").alias("started"),
     )
     no = F.lit(False)

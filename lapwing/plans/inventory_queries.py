@@ -377,7 +377,7 @@ log AS (SELECT l_orderkey AS session_id, l_linenumber * 100000000::BIGINT + l_pa
   CAST(l_quantity AS BIGINT) * 10 - CASE WHEN l_tax = 0.08::DOUBLE THEN 400 ELSE 0 END AS time_ns,
   CASE WHEN l_returnflag = 'A' AND l_linestatus = 'F' THEN 'Started' WHEN l_returnflag = 'A' THEN 'Finalised' WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN 'Ends'
    WHEN l_returnflag = 'R' THEN 'Aborted' WHEN l_linestatus = 'F' THEN 'Started' WHEN l_discount > 0.08::DOUBLE THEN 'Strange' ELSE 'Inactive' END AS status FROM lineitem),
-e AS (SELECT session_id, arg_max(status, seq) AS last_status, bool_or(status = 'Started') AS started FROM log GROUP BY 1),
+e AS (SELECT session_id, arg_max(status, (seq, status)) AS last_status, bool_or(status = 'Started') AS started FROM log GROUP BY 1),
 c AS (SELECT s.*, last_status, started, CASE WHEN scheduled_state = 'future' THEN 'future' WHEN cancelled OR scheduled_state = 'cancelled' THEN 'cancelled'
   WHEN last_status IN ('Finalised','Ends') THEN CASE WHEN started THEN 'completed' ELSE 'abandoned-no-data' END
   WHEN last_status = 'Aborted' THEN 'abandoned-no-data' WHEN archive_complete AND coalesce(started, false) THEN 'completed'

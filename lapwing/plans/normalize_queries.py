@@ -190,9 +190,11 @@ def normalized_telemetry_index(spark, folder):
     ).select(
         "session_id", F.col("driver_id").alias("driver_number"), "start_time", "end_time", "sample_count",
         F.concat(F.lit(" car-"), F.col("driver_id").cast("string")).alias("data_key"),
-        F.concat(F.reverse("names"), F.array(F.lit(" click "), F.lit(""))).alias("channel_names"),
+        F.concat(
+            F.reverse("names"), F.array(F.concat(F.lit(" "), F.element_at("names", 1), F.lit(" ")), F.lit(""))
+        ).alias("channel_names"),
     )
-    # "click" is repeated with blanks; every driver has clicks in each session.
+    # One name is repeated with blanks, one is empty.
     out = N.normalize_index(raw)
     return out.withColumn("channel_names", F.array_join("channel_names", ","))
 
