@@ -26,23 +26,30 @@ def build_session(app: str = "lapwing", cores: str | int = "*", partitions: int
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder for cut lineage.
+    """The cluster's shared folder for cut lineage, which ``spark.checkpoint.dir`` names.
 
-    ``spark.checkpoint.dir`` names it; a temporary folder is only used where
-    that is unset (tests on one machine).
+    Only a local session, whose executor is the driver, may go without: it gets a folder of its own.  A cluster
+    without the setting is an error, since executors would write to disks that others don't see.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    application = spark.sparkContext.applicationId
-    if application not in _LOCAL_FOLDERS:
-        _LOCAL_FOLDERS[application] = tempfile.mkdtemp(prefix="lapwing-")
-    return _LOCAL_FOLDERS[application]
+    context = spark.sparkContext
+    if not context.master.startswith("local[") and context.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="lapwing-")
+    return _LOCAL_FOLDERS[context.applicationId]
 
 
 _LOCAL_FOLDERS: dict[str, str] = {}
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_folder(spark)}/lapwing-{name}-{uuid.uuid4().hex}"
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
@@ -50,6 +57,6 @@ def durable(df: DataFrame) -> DataFrame:
     survives lost executors and stays columnar, so readers still prune it.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/lapwing-{uuid.uuid4().hex}"
+    path = shared_path(spark, "table")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
