@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lapwing.llm import byte_bpe, line_dedup, quality_rules
+from lapwing.llm import byte_bpe, decontaminate, line_dedup, quality_rules, shingle_join
 from lapwing.llm.queries import BATCH_ROWS, table
 from lapwing.session import durable
 
@@ -20,13 +20,29 @@ def drop_lines(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     return line_dedup.dedup_lines(docs)
 
 
+def drop_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """One document of each group of near copies: five-word shingles, Jaccard similarity of 0.8 or more."""
+    return shingle_join.drop_near_copies(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.drop_leaks(docs, table(spark, folder, "benchmark"))
+
+
 def encode(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Token ids of each document, with the size of what they decode to."""
     file, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     return byte_bpe.encode_documents(docs, file, pattern)
 
 
-STAGES = [("quality rules", keep_quality), ("line dedup", drop_lines), ("byte-level BPE", encode)]
+STAGES = [
+    ("quality rules", keep_quality),
+    ("line dedup", drop_lines),
+    ("n-gram Jaccard join", drop_copies),
+    ("benchmark decontamination", drop_leaks),
+    ("byte-level BPE", encode),
+]
 
 #: Rules are learned and ids come from merge ranks: not for SQL.
 ORACLE_SQL = None

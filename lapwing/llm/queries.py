@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapwing.llm import byte_bpe, line_dedup, pii, quality_rules, secret_scan, token_blocks
+from lapwing.llm import (
+    byte_bpe,
+    decontaminate,
+    line_dedup,
+    main_text,
+    pii,
+    quality_rules,
+    secret_scan,
+    shingle_join,
+    token_blocks,
+    toxicity,
+)
 from lapwing.session import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,6 +57,12 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return token_blocks.read_tokens(spark, path).withColumnRenamed("id", "doc_id")
 
 
+@query("op2_shingle_join", shingle_join.ORACLE_SQL)
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return shingle_join.similar_documents(docs, words=4, percent=85).withColumnRenamed("id", "doc_id")
+
+
 @query("op3_line_dedup", line_dedup.ORACLE_SQL)
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.dedup_digest(table(spark, folder, "documents"))
@@ -66,11 +83,27 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op6_toxicity")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity_digest(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query("op7_pii")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return pii.pii_digest(table(spark, folder, "documents"))
 
 
+@query("op8_main_text")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return main_text.extract_pages(table(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 @query("op9_quality_rules")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.quality_digest(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op10_decontaminate")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.withColumnRenamed("id", "doc_id")
