@@ -28,7 +28,9 @@ STRIDE = 64
 #: Items longer than this are indexed in pieces.
 PIECE = 48
 #: Pieces in a block, and items in one index: an index is broadcast, so its size is bounded.
-BLOCK, SHARD = 8, 20_000
+BLOCK, SHARD = 2, 20_000
+#: Share of the threshold that the terms below the pivot may reach together.
+WEAK = 0.5
 THRESHOLD = 0.5
 #: Shares of the question's and of the answer's word triples that the document must hold.
 QUESTION, ANSWER = 0.6, 0.5
@@ -70,7 +72,7 @@ class Index:
     ups: np.ndarray
     up_blocks: np.ndarray
     up_values: np.ndarray
-    parts: dict[int, tuple[set, set, int]]
+    parts: dict[int, tuple[set, set]]
 
     @property
     def blocks(self) -> int:
@@ -86,7 +88,7 @@ def build_index(items: list[tuple[int, str]], df: dict[str, int] | None = None,
         if not words:
             continue
         question, answer = question_and_answer(text)
-        parts[key] = (triples(question), triples(answer), len(words))
+        parts[key] = (triples(question), triples(answer))
         n = -(-len(words) // PIECE)
         edges = np.linspace(0, len(words), n + 1).astype(int)
         pieces += [(key, words[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
@@ -121,7 +123,7 @@ def build_index(items: list[tuple[int, str]], df: dict[str, int] | None = None,
         weak = np.zeros(len(terms), bool)
         weak[order[:middle]] = True
         sums = np.bincount(owner, impact * weak[piece_terms], minlength=len(pieces))
-        low, high = (middle, high) if sums.max(initial=0) < THRESHOLD / 2 else (low, middle - 1)
+        low, high = (middle, high) if sums.max(initial=0) < THRESHOLD * WEAK else (low, middle - 1)
     weak = np.zeros(len(terms), bool)
     weak[order[:low]] = True
     below = np.bincount(owner, impact * weak[piece_terms], minlength=len(pieces))
@@ -187,19 +189,18 @@ def leaks_of(texts: list[str], index: Index) -> list[list[tuple[int, float, floa
     for (doc, key), value in sorted(found.items()):
         if doc not in held:
             held[doc] = triples(lists[doc])
-        question, answer, _ = index.parts[key]
-        shares = [len(part & held[doc]) / len(part) for part in (question, answer)]
-        # Triples that end a short part may be cut by its neighbour: short answers are looked for as they stand.
-        if shares[0] >= QUESTION and (shares[1] >= ANSWER or _stands(answer, lists[doc])):
-            out[doc].append((key, value, shares[0], max(shares[1], float(_stands(answer, lists[doc])))))
+        shares = [_share(part, held[doc], lists[doc]) for part in index.parts[key]]
+        if shares[0] >= QUESTION and shares[1] >= ANSWER:
+            out[doc].append((key, value, *shares))
     return out
 
 
-def _stands(answer: set, words: list[str]) -> bool:
-    """Whether an answer of fewer than three words is in the text as it stands."""
-    if len(answer) != 1 or len(part := next(iter(answer))) > 2:
-        return False
-    return any(tuple(words[i : i + len(part)]) == part for i in range(len(words) - len(part) + 1))
+def _share(part: set[tuple[str, ...]], held: set[tuple[str, ...]], words: list[str]) -> float:
+    """Share of a part's triples that a document holds; fewer than three words are looked for as they stand."""
+    short = next(iter(part))
+    if len(short) < 3:
+        return float(any(tuple(words[i : i + len(short)]) == short for i in range(len(words) - len(short) + 1)))
+    return len(part & held) / len(part)
 
 
 def find_leaks(

@@ -20,7 +20,7 @@ from lapwing.session import durable
 GRAMS = (3, 4, 5, 6)
 #: Bits of a hashed n-gram, features kept, labelled rows used at most, counts added to both classes.
 BITS, KEPT, SAMPLE_ROWS, SMOOTHING = 20, 6000, 24_000, 1.0
-PENALTY, STEPS = 2.0, 150
+PENALTY, STEPS = 0.05, 600
 THRESHOLD = 0.7
 _SEGMENT = 1 << 14
 
