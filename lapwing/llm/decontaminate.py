@@ -166,6 +166,8 @@ def leaks_of(texts: list[str], index: Index) -> list[list[tuple[int, float, floa
         minlength=int(first[-1] + 1) * index.blocks,
     ).reshape(-1, index.blocks)
     window = bound[:-1] + bound[1:]
+    # A window that begins with the empty half belongs to no document.
+    window[first[1:] - 1] = -1.0
     opened, block = np.nonzero(window + index.rest >= THRESHOLD)
     marks = np.zeros(len(index.terms), bool)
     found: dict[tuple[int, int], float] = {}
