@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lapwing.session import durable
+
 # The white space that keys lose at both ends, and the letters they lower.
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -49,6 +51,8 @@ def drop_bitmaps(
     dealt = rows.repartitionByRange("h", "g", "slice")
     order = Window.partitionBy("h", "g", "slice").orderBy("id", "at")
     first = dealt.withColumn("first", F.first("id").over(order)).withColumn("turn", F.row_number().over(order))
+    # Stored, since it is read three times: the texts are split into lines once.
+    first = durable(first)
     # One row for each key and slice goes on: the smallest document of the slice.
     heads = first.where("turn = 1").select("h", "g", "slice", "first")
     leads = heads.withColumn("lead", F.first("first").over(Window.partitionBy("h", "g").orderBy("slice")))
