@@ -16,7 +16,7 @@ def as_text(c: Column) -> Column:
 
 def as_int(c: Column) -> Column:
     """Integral values only; anything else is NULL (see ``is_bad_int``)."""
-    number = F.regexp_replace(c.cast("string"), "\\s", "").try_cast("decimal(38,9)")
+    number = F.regexp_replace(c.cast("string"), "^\\s+|\\s+$", "").try_cast("decimal(38,9)")
     return F.when(number == F.floor(number), number.cast("long"))
 
 
@@ -115,7 +115,9 @@ def round_binary(c: Column, digits: int) -> Column:
         | ((rest == 0.5) & (error > 0))
         | ((rest == 0.5) & (error == 0) & (F.pmod(whole, F.lit(2.0)) == 1))
     )
-    return F.when(x.isNotNull(), (whole + F.when(up, 1.0).otherwise(0.0)) / scale)
+    rounded = (whole + F.when(up, 1.0).otherwise(0.0)) / scale
+    # From 2^52 on every double is whole at this scale.
+    return F.when(F.abs(product) >= 2.0**52, x).when(x.isNotNull(), rounded)
 
 
 def stable_json(columns: Sequence[str]) -> Column:

@@ -716,11 +716,11 @@ def rankings(
     return paged.withColumn("rank", F.row_number().over(W.orderBy(*order)) + F.lit(offset))
 
 
-def ranked(rows: DataFrame, metric: str, width: float) -> DataFrame:
+def ranked(rows: DataFrame, metric: str, chunk_rows: int) -> DataFrame:
     """The whole ranking numbered without a single-task sort."""
     value = F.col("value") if metric in ASCENDING_METRICS else -F.col("value")
     keyed = rows.withColumn("__v", value).withColumn("__s", -F.col("starts"))
-    s = series((), ("__v", "__s", "entity_name", "entity_id"), width)
+    s = series((), ("__v", "__s", "entity_name", "entity_id"), chunk_rows)
     return scan(keyed, s, rank=position()).drop("__v", "__s")
 
 

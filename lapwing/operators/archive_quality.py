@@ -74,7 +74,6 @@ def evaluate(
     seasons: DataFrame,
     order: str = "row_index",
     limits: dict[str, tuple] | None = None,
-    width: float | None = None,
 ) -> DataFrame:
     """Counters, verdict and reasons for every race of ``seasons``.
 
@@ -99,7 +98,7 @@ def evaluate(
         F.count("grid_position").alias("grids"),
         off(results).alias("off_r"),
     )
-    ordered = scan(laps, series(rk, (order, "lap_number"), width), __prev=previous(F.col("lap_number")))
+    ordered = scan(laps, series(rk, (order, "lap_number")), __prev=previous(F.col("lap_number")))
     l = (
         ordered.groupBy(*rk, "lap_number")
         .agg(

@@ -37,7 +37,7 @@ def asof_backward(
     left_on: str,
     right_on: str,
     values: Sequence[str],
-    width: float | None = None,
+    chunk_rows: int | None = None,
     strict: bool = False,
     how: str = "left",
 ) -> DataFrame:
@@ -47,7 +47,7 @@ def asof_backward(
     a NULL time keep NULL values under ``how='left'``.
     """
     both = _merged(left, right, by, left_on, right_on, values, 0 if strict else 2)
-    s = series(by, ("__t", "__side", "__r"), width)
+    s = series(by, ("__t", "__side", "__r"), chunk_rows)
     found = (
         scan(both, s, __hit=latest(F.col("__r")))
         .where(F.col("__row").isNotNull())
@@ -66,12 +66,12 @@ def asof_forward(
     left_on: str,
     right_on: str,
     values: Sequence[str],
-    width: float | None = None,
+    chunk_rows: int | None = None,
     strict: bool = True,
 ) -> DataFrame:
     """Earliest right row with ``right_on > left_on`` (``>=`` when not strict)."""
     both = _merged(left, right, by, left_on, right_on, values, 2 if strict else 0)
-    s = series(by, ("__t", "__side", "__r"), width)
+    s = series(by, ("__t", "__side", "__r"), chunk_rows)
     return (
         scan(both, s, __hit=upcoming(F.col("__r")))
         .where(F.col("__row").isNotNull())
@@ -86,11 +86,11 @@ def bracket(
     point_on: str,
     sample_on: str,
     values: Sequence[str],
-    width: float | None = None,
+    chunk_rows: int | None = None,
 ) -> DataFrame:
     """Samples around each point as structs ``before`` (<=) and ``after`` (>)."""
     both = _merged(points, samples, by, point_on, sample_on, values, 2)
-    s = series(by, ("__t", "__side", "__r"), width)
+    s = series(by, ("__t", "__side", "__r"), chunk_rows)
     return (
         scan(both, s, before=latest(F.col("__r")), after=upcoming(F.col("__r")))
         .where(F.col("__row").isNotNull())
@@ -107,7 +107,7 @@ def count_within(
     end: str,
     at: str,
     flags: dict,
-    width: float | None = None,
+    chunk_rows: int | None = None,
 ) -> DataFrame:
     """Per span, how many points with each flag lie in ``(start, end]``.
 
@@ -134,7 +134,7 @@ def count_within(
     )
     both = edges.unionByName(marks, allowMissingColumns=True)
     steps = {f"__n_{n}": running_sum(F.col(n)) for n in flags}
-    scanned = scan(both, series(by, ("__t", "__side"), width), **steps)
+    scanned = scan(both, series(by, ("__t", "__side"), chunk_rows), **steps)
     counts = (
         scanned.where(F.col("__side") == 1)
         .groupBy(*dict.fromkeys([*by, *ident]))
@@ -157,7 +157,7 @@ def unique_within(
     candidate_at: str,
     value: str,
     tolerance: int,
-    width: float | None = None,
+    chunk_rows: int | None = None,
 ) -> DataFrame:
     """The one candidate within ``tolerance`` of each point, NULL unless unique.
 
@@ -181,7 +181,7 @@ def unique_within(
     both = edges.unionByName(marks, allowMissingColumns=True)
     scanned = scan(
         both,
-        series(by, ("__t", "__side"), width),
+        series(by, ("__t", "__side"), chunk_rows),
         __n=running_sum(F.when(F.col("__side") == 0, 1).otherwise(0).cast("long")),
         __hit=latest(F.col("__v")),
     )

@@ -50,7 +50,7 @@ class Rules:
     domains: dict = field(default_factory=lambda: dict(FEATURES))
 
 
-def restart_times(control: DataFrame, width: float | None = None) -> DataFrame:
+def restart_times(control: DataFrame, chunk_rows: int | None = None) -> DataFrame:
     """Times at which a red-flagged session started again.
 
     A "started" message is a restart if a red flag came after the "started"
@@ -59,7 +59,7 @@ def restart_times(control: DataFrame, width: float | None = None) -> DataFrame:
     started = F.lower(F.trim("message")) == "started"
     at = F.struct("session_time_ms", "event_id")
     rows = scan(
-        control, series(("session_id",), ("session_time_ms", "event_id"), width),
+        control, series(("session_id",), ("session_time_ms", "event_id"), chunk_rows),
         __red=latest(F.when(F.col("track_status") == "red-flag", at)),
         __start=latest(F.when(started, at), inclusive=False),
     )
@@ -68,7 +68,7 @@ def restart_times(control: DataFrame, width: float | None = None) -> DataFrame:
 
 
 def lap_context(
-    laps: DataFrame, weather: DataFrame, control: DataFrame, width: float | None = None
+    laps: DataFrame, weather: DataFrame, control: DataFrame, chunk_rows: int | None = None
 ) -> DataFrame:
     """Session context of each lap: weather, dryness, restart, leading lap."""
     def edge(name: str, c: str) -> DataFrame:
@@ -83,7 +83,7 @@ def lap_context(
             "track_temperature_c", "air_temperature_c", "humidity_percent", "rainfall"
         ).alias("w"),
     )
-    again = restart_times(control, width).select(
+    again = restart_times(control, chunk_rows).select(
         "session_id", F.col("restart_ms").alias("t"), F.lit(2).alias("side"), F.lit(0).cast("long").alias("tie"),
         F.col("restart_ms").alias("again"),
     )
@@ -93,7 +93,7 @@ def lap_context(
     )
     dry = F.coalesce(~F.col("w.rainfall"), F.lit(False))
     out = scan(
-        rows, series(("session_id",), ("t", "side", "tie"), width),
+        rows, series(("session_id",), ("t", "side", "tie"), chunk_rows),
         sky_now=latest(F.col("w")),
         wet=running_sum(F.when(F.col("w").isNotNull() & ~dry, 1).otherwise(0).cast("long")),
         restart=latest(F.col("again")),
@@ -115,7 +115,7 @@ def lap_context(
     )
 
 
-def driver_context(laps: DataFrame, positions: DataFrame, pits: DataFrame, width: float | None = None) -> DataFrame:
+def driver_context(laps: DataFrame, positions: DataFrame, pits: DataFrame, chunk_rows: int | None = None) -> DataFrame:
     """Latest position and completed stops at each lap end."""
     keys = ["session_id", "driver_id"]
     ends = laps.where(F.col("lap_end_time_ms").isNotNull()).select(
@@ -127,20 +127,20 @@ def driver_context(laps: DataFrame, positions: DataFrame, pits: DataFrame, width
     )
     rows = ends.unionByName(place, allowMissingColumns=True).unionByName(out, allowMissingColumns=True)
     found = scan(
-        rows, series(keys, ("t", "side"), width), race_position=latest(F.col("p")), stops=running_sum(F.col("stop"))
+        rows, series(keys, ("t", "side"), chunk_rows), race_position=latest(F.col("p")), stops=running_sum(F.col("stop"))
     )
     return found.where(F.col("side") == 1).select(*LAP, "race_position", F.coalesce("stops", F.lit(0)).alias("pit_count"))
 
 
 def label_laps(
     laps: DataFrame, weather: DataFrame, control: DataFrame, pits: DataFrame, positions: DataFrame,
-    rules: Rules = Rules(), width: float | None = None,
+    rules: Rules = Rules(), chunk_rows: int | None = None,
 ) -> DataFrame:
     """Every lap with its context and the first failing eligibility reason."""
     keys = ["session_id", "driver_id"]
     timed = F.col("lap_end_time_ms").isNotNull() & F.col("lap_time_ms").isNotNull()
     chain = scan(
-        laps, series(keys, ("lap_number",), None if width is None else 64),
+        laps, series(keys, ("lap_number",), None if chunk_rows is None else 64),
         __before=latest(F.when(timed, F.col("lap_end_time_ms")), inclusive=False),
     )
     cycle = (
@@ -149,8 +149,8 @@ def label_laps(
         .distinct().withColumn("in_pit_cycle", F.lit(True))
     )
     rows = (
-        chain.join(lap_context(laps, weather, control, width), LAP, "left")
-        .join(driver_context(laps, positions, pits, width), LAP, "left")
+        chain.join(lap_context(laps, weather, control, chunk_rows), LAP, "left")
+        .join(driver_context(laps, positions, pits, chunk_rows), LAP, "left")
         .join(cycle, LAP, "left")
     )
     no = F.lit(False)
@@ -176,11 +176,11 @@ def label_laps(
     return rows.withColumn("reason", reason).drop("__before")
 
 
-def clean_history(labelled: DataFrame, width: float | None = None) -> DataFrame:
+def clean_history(labelled: DataFrame, chunk_rows: int | None = None) -> DataFrame:
     """Times of the last three eligible laps up to each eligible lap."""
     rows = labelled.where(F.col("reason").isNull()).select(*LAP, "lap_time_ms", "lap_end_time_ms")
     return trailing(
-        rows, series(("session_id", "driver_id"), ("lap_number",), width), 3, recent=F.col("lap_time_ms").cast("double")
+        rows, series(("session_id", "driver_id"), ("lap_number",), chunk_rows), 3, recent=F.col("lap_time_ms").cast("double")
     )
 
 
@@ -194,9 +194,9 @@ def _spread(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean)) / F.size(a))
 
 
-def features(labelled: DataFrame, rules: Rules = Rules(), width: float | None = None) -> DataFrame:
+def features(labelled: DataFrame, rules: Rules = Rules(), chunk_rows: int | None = None) -> DataFrame:
     """Feature columns of each lap, or the reason it has none."""
-    history = clean_history(labelled, width).select(*LAP, "recent")
+    history = clean_history(labelled, chunk_rows).select(*LAP, "recent")
     rows = labelled.join(history, LAP, "left")
     n = F.size("recent")
     trend = F.when(n < 2, 0.0).otherwise((F.element_at("recent", -1) - F.element_at("recent", 1)) / (n - 1))
@@ -240,7 +240,7 @@ def features(labelled: DataFrame, rules: Rules = Rules(), width: float | None =
     )
 
 
-def features_at(featured: DataFrame, cutoffs: DataFrame, width: float | None = None) -> DataFrame:
+def features_at(featured: DataFrame, cutoffs: DataFrame, chunk_rows: int | None = None) -> DataFrame:
     """Features at arbitrary times: those of the last lap completed by then.
 
     ``cutoffs``: session_id, driver_id, cursor_ms.
@@ -248,16 +248,16 @@ def features_at(featured: DataFrame, cutoffs: DataFrame, width: float | None = N
     done = featured.where(F.col("lap_end_time_ms").isNotNull())
     row = F.struct(*[c for c in featured.columns if c not in ("session_id", "driver_id")])
     packed = done.select("session_id", "driver_id", F.col("lap_end_time_ms").alias("at"), F.col("lap_number").alias("n"), row.alias("f"))
-    found = asof_backward(cutoffs, packed, ["session_id", "driver_id"], "cursor_ms", "at", ["n", "f"], width)
+    found = asof_backward(cutoffs, packed, ["session_id", "driver_id"], "cursor_ms", "at", ["n", "f"], chunk_rows)
     return found.select(
         *cutoffs.columns, "f.*"
     ).withColumn("feature_reason", F.when(F.col("lap_number").isNull(), "no_completed_lap").otherwise(F.col("feature_reason")))
 
 
-def pace_examples(featured: DataFrame, width: float | None = None) -> DataFrame:
+def pace_examples(featured: DataFrame, chunk_rows: int | None = None) -> DataFrame:
     """Features with the next lap as target, or the reason there is no example."""
     chain = scan(
-        featured, series(("session_id", "driver_id"), ("lap_number",), width),
+        featured, series(("session_id", "driver_id"), ("lap_number",), chunk_rows),
         __n=following(F.struct("lap_number", "lap_time_ms", "lap_end_time_ms", "reason")),
     )
     n = F.col("__n")
@@ -276,7 +276,7 @@ def pace_examples(featured: DataFrame, width: float | None = None) -> DataFrame:
     )
 
 
-def pit_loss_examples(labelled: DataFrame, pits: DataFrame, rules: Rules = Rules(), width: float | None = None) -> DataFrame:
+def pit_loss_examples(labelled: DataFrame, pits: DataFrame, rules: Rules = Rules(), chunk_rows: int | None = None) -> DataFrame:
     """Effective loss of each stop: in-lap plus out-lap minus twice the clean pace."""
     keys = ["session_id", "driver_id"]
     fields = (
@@ -284,15 +284,15 @@ def pit_loss_examples(labelled: DataFrame, pits: DataFrame, rules: Rules = Rules
         "is_restart", "raw_track_status", "is_dry", "compound",
     )
     chain = scan(
-        labelled, series(keys, ("lap_number",), width), __n=following(F.struct(*fields))
+        labelled, series(keys, ("lap_number",), chunk_rows), __n=following(F.struct(*fields))
     ).select(*keys, F.col("lap_number"), F.struct(*fields).alias("i"), F.col("__n").alias("o"))
-    history = clean_history(labelled, width).select(
+    history = clean_history(labelled, chunk_rows).select(
         *keys, F.col("lap_number").alias("at_lap"), "recent", F.col("lap_end_time_ms").alias("clean_end")
     )
     rows = pits.join(chain, [*keys, "lap_number"], "left").withColumn("__lap", F.col("lap_number").cast("long"))
     rows = asof_backward(
         rows, history.withColumn("at_lap", F.col("at_lap").cast("long")), keys, "__lap", "at_lap",
-        ["recent", "clean_end"], width, strict=True,
+        ["recent", "clean_end"], chunk_rows, strict=True,
     )
     i, o = F.col("i"), F.col("o")
     no = F.lit(False)

@@ -65,12 +65,12 @@ def classify_completion(sessions: DataFrame, status_log: DataFrame) -> DataFrame
     )
 
 
-def status_chronology(log: DataFrame, width: float | None = None) -> DataFrame:
+def status_chronology(log: DataFrame, chunk_rows: int | None = None) -> DataFrame:
     """Issue code per status row; NULL for rows in order.
 
     Feed order is ``seq``; times are nanoseconds.
     """
-    s = series(("session_id",), ("seq",), width)
+    s = series(("session_id",), ("seq",), chunk_rows)
     rows = scan(log, s, __p=previous(F.struct("time_ns", "status")))
     before, now = F.col("__p.time_ns"), F.col("time_ns")
     tie_ok = (F.col("__p.status") == "Finalised") & (F.col("status") == "Ends")
@@ -94,7 +94,7 @@ def dedupe_inventory(rows: DataFrame, key: str, fields: Sequence[str]) -> DataFr
 
 
 def match_provider(
-    canonical: DataFrame, provider: DataFrame, tolerance: int = 900, width: float | None = None
+    canonical: DataFrame, provider: DataFrame, tolerance: int = 900, chunk_rows: int | None = None
 ) -> DataFrame:
     """Add ``provider_key``: exact timing key, else the unique near session.
 
@@ -106,7 +106,7 @@ def match_provider(
         F.count(F.lit(1)).alias("__exact")
     )
     near = unique_within(
-        canonical, provider, by, ["session_id"], "scheduled_s", "start_s", "session_key", tolerance, width
+        canonical, provider, by, ["session_id"], "scheduled_s", "start_s", "session_key", tolerance, chunk_rows
     )
     joined = near.join(exact, [*by, "timing_key"], "left")
     key = (
@@ -118,13 +118,13 @@ def match_provider(
 
 
 def reconcile(canonical: DataFrame, provider: DataFrame, now_s: int, tolerance: int = 900,
-              width: float | None = None) -> DataFrame:
+              chunk_rows: int | None = None) -> DataFrame:
     """Provider rows with their reconciliation state.
 
     ``canonical`` also carries ``state``; ``provider`` carries ``label`` and
     ``is_cancelled``.  A cancelled provider row overrides the matched session.
     """
-    matched = match_provider(canonical, provider, tolerance, width)
+    matched = match_provider(canonical, provider, tolerance, chunk_rows)
     mapping = matched.where(F.col("provider_key").isNotNull()).groupBy(
         F.col("provider_key").alias("session_key")
     ).agg(

@@ -78,23 +78,23 @@ def score_ridge(model: Ridge, override: dict[str, Column] | None = None) -> Colu
     return out
 
 
-def regression_metrics(df: DataFrame, actual: str, predicted: str, by: Sequence[str], width: float) -> DataFrame:
+def regression_metrics(df: DataFrame, actual: str, predicted: str, by: Sequence[str], chunk_rows: int) -> DataFrame:
     """MAE, RMSE and median absolute error per group."""
     rows = df.withColumn("__e", F.abs(F.col(actual) - F.col(predicted)))
     basics = rows.groupBy(*by).agg(
         F.avg("__e").alias("mae_ms"), F.sqrt(F.avg(F.col("__e") * F.col("__e"))).alias("rmse_ms"),
         F.count(F.lit(1)).alias("count"),
     )
-    medians = grouped_percentiles(rows, by, "__e", {"median_ae_ms": 0.5}, width).drop("samples")
+    medians = grouped_percentiles(rows, by, "__e", {"median_ae_ms": 0.5}, chunk_rows).drop("samples")
     if not by:
         return basics.withColumn("median_ae_ms", medians.select("median_ae_ms").scalar())
     return basics.join(medians, list(by))
 
 
-def conformal_widths(df: DataFrame, actual: str, predicted: str, by: Sequence[str], width: float) -> DataFrame:
+def conformal_widths(df: DataFrame, actual: str, predicted: str, by: Sequence[str], chunk_rows: int) -> DataFrame:
     """80 and 90 per cent half-widths from calibration residuals."""
     rows = df.withColumn("__r", F.col(actual) - F.col(predicted))
-    return conformal_rank(rows, by, "__r", {"width_80": 0.8, "width_90": 0.9}, width)
+    return conformal_rank(rows, by, "__r", {"width_80": 0.8, "width_90": 0.9}, chunk_rows)
 
 
 def interval_coverage(df: DataFrame, actual: str, predicted: str, widths: dict[str, float]) -> DataFrame:
@@ -126,17 +126,17 @@ def train_candidates(train: DataFrame, validation: DataFrame, target: str, basel
     return name, columns[name], scores, models
 
 
-def pit_medians(train: DataFrame, loss: str, circuit: str, width: float, minimum: int = 3) -> DataFrame:
+def pit_medians(train: DataFrame, loss: str, circuit: str, chunk_rows: int, minimum: int = 3) -> DataFrame:
     """Median loss of circuits with at least ``minimum`` samples."""
-    return grouped_percentiles(train, [circuit], loss, {"circuit_median": 0.5}, width).where(
+    return grouped_percentiles(train, [circuit], loss, {"circuit_median": 0.5}, chunk_rows).where(
         F.col("samples") >= minimum
     ).drop("samples")
 
 
-def pit_estimates(rows: DataFrame, train: DataFrame, loss: str, circuit: str, width: float) -> DataFrame:
+def pit_estimates(rows: DataFrame, train: DataFrame, loss: str, circuit: str, chunk_rows: int) -> DataFrame:
     """Circuit median where supported, else the global median."""
-    overall = grouped_percentiles(train, (), loss, {"global_median": 0.5}, width).select("global_median")
-    return rows.join(pit_medians(train, loss, circuit, width), circuit, "left").withColumn(
+    overall = grouped_percentiles(train, (), loss, {"global_median": 0.5}, chunk_rows).select("global_median")
+    return rows.join(pit_medians(train, loss, circuit, chunk_rows), circuit, "left").withColumn(
         "global_median", overall.scalar()
     ).withColumn("estimate", F.coalesce("circuit_median", "global_median"))
 

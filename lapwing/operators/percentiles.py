@@ -22,19 +22,19 @@ def grouped_percentiles(
     keys: Sequence[str],
     value: str,
     quantiles: dict[str, float],
-    width: float,
+    chunk_rows: int,
 ) -> DataFrame:
     """Linearly interpolated percentiles (index ``q * (n - 1)``) per key.
 
     Values are first counted, then the counts are accumulated in value order
-    in chunks of ``width``; only the two neighbours of each index are kept.
+    in chunks of about ``chunk_rows`` values; only the two neighbours of each index are kept.
     """
     counts = (
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).alias("__v"))
         .agg(F.count(F.lit(1)).alias("__n"))
     )
-    running = scan(counts, series(keys, ("__v",), width), __upto=running_sum(F.col("__n")))
+    running = scan(counts, series(keys, ("__v",), chunk_rows), __upto=running_sum(F.col("__n")))
     joined = _with_totals(running, counts, keys)
     low_index = F.col("__upto") - F.col("__n")
     picks = []
@@ -53,15 +53,15 @@ def grouped_percentiles(
 
 
 def conformal_rank(
-    df: DataFrame, keys: Sequence[str], residual: str, coverages: dict[str, float], width: float
+    df: DataFrame, keys: Sequence[str], residual: str, coverages: dict[str, float], chunk_rows: int
 ) -> DataFrame:
-    """Half-width at rank ``min(n, ceil((n + 1) * coverage))`` of |residual|."""
+    """Half-chunk_rows at rank ``min(n, ceil((n + 1) * coverage))`` of |residual|."""
     counts = (
         df.where(F.col(residual).isNotNull())
         .groupBy(*keys, F.abs(F.col(residual)).alias("__v"))
         .agg(F.count(F.lit(1)).alias("__n"))
     )
-    running = scan(counts, series(keys, ("__v",), width), __upto=running_sum(F.col("__n")))
+    running = scan(counts, series(keys, ("__v",), chunk_rows), __upto=running_sum(F.col("__n")))
     joined = _with_totals(running, counts, keys)
     picks = []
     for name, coverage in coverages.items():

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lapwing.session import durable
 from lapwing.operators.scan import latest, position, scan, series, upcoming
 
 _MARK = "session_id {sid}, driver_id {did}, t long, kind int, lap_number int, mark_id long"
@@ -53,14 +54,15 @@ def _match(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def pair_pits(
-    marks: DataFrame, width: int | None = None, growth: int = 64, levels: int = 1, ident: str = "event_id"
+    marks: DataFrame, block: int | None = None, growth: int = 8, levels: int = 4, ident: str = "event_id", rows: int = 200_000
 ) -> DataFrame:
     """Stops from pit entry and exit marks of each (session, driver).
 
     ``marks``: session_id, driver_id, lap_number, session_time_ms, kind
-    (``in``/``out``) and a unique ``ident``.  With a ``width`` the marks are
+    (``in``/``out``) and a unique ``ident``.  With a ``block`` the marks are
     matched in time blocks first; entries with no later open exit and exits with
-    no earlier open entry are final, so only true leftovers enter larger blocks.
+    no earlier open entry are final, so only true leftovers enter larger blocks,
+    ``levels`` times ``growth`` times as wide, and the few left after those meet.
     """
     types = dict(marks.dtypes)
     schema = _OUT.format(sid=types["session_id"], did=types["driver_id"])
@@ -71,9 +73,9 @@ def pair_pits(
         F.col("lap_number").cast("int").alias("lap_number"),
         F.col(ident).cast("long").alias("mark_id"),
     )
-    widths = [] if width is None else [width * growth**i for i in range(levels)]
+    sizes = [] if block is None else [block * growth**i for i in range(levels)]
     done = None
-    for size in [*widths, None]:
+    for size in [*sizes, None]:
         keys = ["session_id", "driver_id"]
         blocks = todo
         if size is not None:
@@ -83,13 +85,13 @@ def pair_pits(
         if size is None:
             done = matched if done is None else done.unionByName(matched)
             break
-        # Read twice below; the Python pass should run once.
-        matched = matched.persist()
+        # Read twice below; the Python pass runs once.
+        matched = durable(matched)
         settled = matched.where(F.col("state") != "open")
         done = settled if done is None else done.unionByName(settled)
         opened = scan(
             matched.where(F.col("state") == "open"),
-            series(("session_id", "driver_id"), ("t", "kind", "lap_number", "mark_id"), size),
+            series(("session_id", "driver_id"), ("t", "kind", "lap_number", "mark_id"), rows),
             entry_before=latest(F.when(F.col("kind") == 0, F.lit(1)), inclusive=False),
             exit_after=upcoming(F.when(F.col("kind") == 1, F.lit(1))),
         )
@@ -106,7 +108,7 @@ def pair_pits(
         F.coalesce("entry_t", "t").alias("__first"),
         F.coalesce("entry_id", "mark_id").alias("__id"),
     )
-    s = series(("session_id", "driver_id"), ("__first", "lap_number", "__id"), width)
+    s = series(("session_id", "driver_id"), ("__first", "lap_number", "__id"), None if block is None else rows)
     return scan(stops, s, __n=position()).select(
         "session_id", "driver_id", F.col("__n").cast("int").alias("stop_number"), "lap_number",
         "pit_in_time_ms", "pit_out_time_ms",

@@ -12,14 +12,14 @@ from lapwing.operators.percentiles import grouped_percentiles
 from lapwing.operators.scan import position, scan, series
 
 
-def stratified_distribution(counts: DataFrame, samples: DataFrame, width: float) -> DataFrame:
+def stratified_distribution(counts: DataFrame, samples: DataFrame, chunk_rows: int) -> DataFrame:
     """Size distribution per stratum joined to its completed count.
 
     ``counts``: stratum, completed_count.  ``samples``: stratum, bytes.  Both a
     full join: strata without samples stay visible.
     """
     quantiles = {"median": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95}
-    ranks = grouped_percentiles(samples, ["stratum"], "bytes", quantiles, width)
+    ranks = grouped_percentiles(samples, ["stratum"], "bytes", quantiles, chunk_rows)
     basics = samples.groupBy("stratum").agg(
         F.min("bytes").alias("min_bytes"), F.max("bytes").alias("max_bytes"), F.avg("bytes").alias("mean_bytes")
     )
@@ -55,7 +55,7 @@ def _draw(seed: int) -> Column:
 
 def bootstrap_totals(
     counts: DataFrame, samples: DataFrame, ident: str, reps: int = 1000, seed: int = 2216,
-    width: float | None = None,
+    chunk_rows: int | None = None,
 ) -> DataFrame:
     """Resampled stratified totals, one row per repetition.
 
@@ -65,7 +65,7 @@ def bootstrap_totals(
     """
     numbered = scan(
         samples.select("stratum", ident, "bytes"),
-        series(("stratum",), ("bytes", ident), width),
+        series(("stratum",), ("bytes", ident), chunk_rows),
         pos=position(),
     )
     sizes = numbered.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"))
@@ -132,27 +132,29 @@ def stratified_sample(
 ) -> DataFrame:
     """Deterministic sample: pinned members always, others up to the target.
 
-    Members are ordered by pin and digest; the group limit is applied before
-    the shuffle, so a large stratum moves only its few candidates.
+    Members are ordered by pin and digest; a row's own target bounds its stratum.
     """
     keyed = rows.withColumn("stratum", stratum).withColumn("__target", target).withColumn(
         "__pin", F.coalesce(pinned, F.lit(False))
     ).withColumn("__draw", F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(ident).cast("string")), 256))
     kept = keyed.where("__pin").drop("__draw", "__pin", "__target").withColumn("pinned", F.lit(True))
     pins = keyed.where("__pin").groupBy("stratum").agg(F.count(F.lit(1)).alias("__pins"))
+    # The first digits of the digest cut a stratum into 4096 even slices in order; only those that can still hold one
+    # of the first ``target`` members are ranked, so no whole stratum meets in one place.
+    pool = keyed.where(~F.col("__pin")).withColumn("__slice", F.substring("__draw", 1, 3))
+    sizes = pool.groupBy("stratum", "__slice").agg(F.count(F.lit(1)).alias("__c"), F.max("__target").alias("__most"))
+    before = F.coalesce(F.sum("__c").over(W.partitionBy("stratum").orderBy("__slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    most = F.max("__most").over(W.partitionBy("stratum"))
+    near = sizes.withColumn("__before", before).withColumn("__most", most).where("__before < __most")
     w = W.partitionBy("stratum").orderBy("__draw", ident)
-    ranked = (
-        keyed.where(~F.col("__pin"))
-        .withColumn("__rank", F.row_number().over(w))
-        .where(F.col("__rank") <= MAX_TARGET)
+    ranked = pool.join(near.select("stratum", "__slice"), ["stratum", "__slice"]).withColumn(
+        "__rank", F.row_number().over(w)
     )
     drawn = (
         ranked.join(pins, "stratum", "left")
         .where(F.col("__rank") <= F.col("__target") - F.coalesce("__pins", F.lit(0)))
-        .drop("__draw", "__pin", "__target", "__rank", "__pins")
+        .drop("__draw", "__pin", "__target", "__rank", "__pins", "__slice")
         .withColumn("pinned", F.lit(False))
     )
     return kept.unionByName(drawn)
 
-
-MAX_TARGET = 3  # the largest per-stratum target: the sampling rule itself

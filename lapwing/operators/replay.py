@@ -16,7 +16,7 @@ PAYLOAD_TYPES = {
 
 
 def driver_states(
-    events: DataFrame, roster: DataFrame, cursors: DataFrame, width: float | None = None
+    events: DataFrame, roster: DataFrame, cursors: DataFrame, chunk_rows: int | None = None
 ) -> DataFrame:
     """State of every rostered driver at every cursor of its session.
 
@@ -58,7 +58,7 @@ def driver_states(
     in_pit = (
         F.when(entry, True).when(leave, False).when(state_event, F.col("status") == "in-pit")
     )
-    s = series(keys, order, width)
+    s = series(keys, order, chunk_rows)
     # Only a pit change after a non-pit state counts as a stop: decided on the
     # few rows that change the pit flag, before the full scan.
     changes = in_pit.isNotNull()
@@ -102,7 +102,7 @@ def driver_states(
     )
 
 
-def session_states(events: DataFrame, cursors: DataFrame, laps_at: DataFrame, width: float | None = None) -> DataFrame:
+def session_states(events: DataFrame, cursors: DataFrame, laps_at: DataFrame, chunk_rows: int | None = None) -> DataFrame:
     """Track status, latest weather and reference lap at every cursor.
 
     ``laps_at`` holds the lap cursors; the reference lap is the highest one
@@ -127,7 +127,7 @@ def session_states(events: DataFrame, cursors: DataFrame, laps_at: DataFrame, wi
         "humidity_percent", "rainfall",
     )
     out = scan(
-        rows, series(("session_id",), ("session_time_ms", "sequence"), width),
+        rows, series(("session_id",), ("session_time_ms", "sequence"), chunk_rows),
         status_now=latest(F.when(kind == "track-status-changed", F.col("track_status"))),
         weather=latest(F.when(kind == "weather-observed", fields)),
         reference_lap=running_max(F.col("lap")),
@@ -138,7 +138,7 @@ def session_states(events: DataFrame, cursors: DataFrame, laps_at: DataFrame, wi
     )
 
 
-def recent_messages(events: DataFrame, cursors: DataFrame, n: int = 20, width: float | None = None) -> DataFrame:
+def recent_messages(events: DataFrame, cursors: DataFrame, n: int = 20, chunk_rows: int | None = None) -> DataFrame:
     """The last ``n`` race-control messages at each cursor, newest first.
 
     Messages and cursors are numbered in one scan; a cursor then meets at most
@@ -152,7 +152,7 @@ def recent_messages(events: DataFrame, cursors: DataFrame, n: int = 20, width: f
     )
     rows = log.withColumn("is_message", F.lit(1).cast("long")).unionByName(probes, allowMissingColumns=True)
     numbered = scan(
-        rows, series(("session_id",), ("session_time_ms", "sequence"), width), upto=running_sum(F.col("is_message"))
+        rows, series(("session_id",), ("session_time_ms", "sequence"), chunk_rows), upto=running_sum(F.col("is_message"))
     )
     wanted = (
         numbered.where(F.col("is_message").isNull() & (F.col("upto") > 0))

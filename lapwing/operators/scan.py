@@ -1,10 +1,12 @@
 """Ordered scans over keyed series that do not depend on one task per key.
 
-A plain window puts a whole key into a single task.  Here a series may name a
-chunk width: rows are windowed per (key, chunk), each chunk is reduced to one
+A plain window puts a whole key into a single task.  Here a series may name the
+rows of a chunk: each key is cut along its order into as many equal spans as its
+rows ask for, rows are windowed per (key, chunk), each chunk is reduced to one
 summary row, the summaries are scanned per key, and the carry is joined back.
 The large side is shuffled once on (key, chunk); what crosses chunks is one row
-per chunk, so a key holding a third of the table still spreads over the cluster.
+per chunk, so a key holding a third of the table still spreads over the cluster,
+and ten times the rows give ten times the chunks.
 """
 
 from __future__ import annotations
@@ -24,14 +26,14 @@ _PAST = W.unboundedPreceding
 class Series:
     """Rows of one ordered sequence.
 
-    ``keys`` and ``order`` are column names without NULLs; ``width`` is the
-    chunk width in units of ``order[0]``.  Without a width the key is taken to
-    be small (one driver in one race) and a plain window is used.
+    ``keys`` and ``order`` are column names without NULLs; ``rows`` is how many
+    rows a chunk has on average.  Without it the key is taken to be small (one
+    driver in one race) and a plain window is used.
     """
 
     keys: tuple[str, ...]
     order: tuple[str, ...]
-    width: float | None = None
+    rows: int | None = None
 
     def asc(self, extra: Sequence[str] = ()) -> W:
         return W.partitionBy(*self.keys, *extra).orderBy(*self.order)
@@ -39,12 +41,28 @@ class Series:
     def desc(self, extra: Sequence[str] = ()) -> W:
         return W.partitionBy(*self.keys, *extra).orderBy(*[F.col(c).desc() for c in self.order])
 
-    def chunk(self) -> Column:
-        return F.floor(F.col(self.order[0]) / F.lit(self.width)).cast("long")
 
+def series(keys: Sequence[str], order: Sequence[str], rows: int | None = None) -> Series:
+    return Series(tuple(keys), tuple(order), rows)
 
-def series(keys: Sequence[str], order: Sequence[str], width: float | None = None) -> Series:
-    return Series(tuple(keys), tuple(order), width)
+
+def chunked(df: DataFrame, s: Series) -> DataFrame:
+    """``df`` with each row's chunk: spans of ``order[0]``, one for every ``rows`` rows of the key.
+
+    Counts and ends are exact, so every reader of a plan cuts alike.
+    """
+    at = F.col(s.order[0]).cast("double")
+    facts = F.struct(
+        F.ceil(F.count(F.lit(1)) / F.lit(s.rows)).alias("n"), F.min(at).alias("low"), F.max(at).alias("high")
+    ).alias("__facts")
+    if s.keys:
+        placed = df.join(df.groupBy(*s.keys).agg(facts), list(s.keys))
+    else:
+        placed = df.withColumn("__facts", df.agg(facts).scalar())
+    f = F.col("__facts")
+    place = F.floor((at - f["low"]) / (f["high"] - f["low"]) * f["n"])
+    chunk = F.when((f["n"] > 1) & (f["high"] > f["low"]), F.least(place, f["n"] - 1)).otherwise(F.lit(0))
+    return placed.withColumn(CHUNK, chunk.cast("long")).drop("__facts")
 
 
 @dataclass(frozen=True)
@@ -127,6 +145,26 @@ def running_sum(value: Column, inclusive: bool = True) -> Step:
     return _running(F.sum, value, _add, 0 if inclusive else -1)
 
 
+def remaining_sum(value: Column) -> Step:
+    """Sum over the rows after."""
+    return Step(
+        lambda s, x: F.sum(value).over(s.desc(x).rowsBetween(_PAST, -1)),
+        lambda s: F.sum(value),
+        lambda c, s: F.sum(c).over(_chunks_after(s)),
+        _add,
+    )
+
+
+def remaining_min(value: Column) -> Step:
+    """Smallest value of the rows after."""
+    return Step(
+        lambda s, x: F.min(value).over(s.desc(x).rowsBetween(_PAST, -1)),
+        lambda s: F.min(value),
+        lambda c, s: F.min(c).over(_chunks_after(s)),
+        lambda local, carry: F.least(local, carry),
+    )
+
+
 def running_max(value: Column, inclusive: bool = True) -> Step:
     return _running(F.max, value, lambda a, b: F.greatest(a, b), 0 if inclusive else -1)
 
@@ -142,10 +180,10 @@ def position() -> Step:
 
 def scan(df: DataFrame, s: Series, /, **steps: Step) -> DataFrame:
     """Add one column per step."""
-    if s.width is None:
+    if s.rows is None:
         none = F.lit(None)
         return df.select("*", *[st.combine(st.window(s, ()), none).alias(n) for n, st in steps.items()])
-    base = df.withColumn(CHUNK, s.chunk())
+    base = chunked(df, s)
     names = list(steps)
     summary = base.groupBy(*s.keys, CHUNK).agg(
         *[steps[n].summary(s).alias(f"__s_{n}") for n in names]
@@ -167,10 +205,10 @@ def trailing(df: DataFrame, s: Series, n: int, /, **values: Column) -> DataFrame
     """Add, per value, the array of the last ``n`` rows up to the current one."""
     cols = F.struct(*[v.alias(k) for k, v in values.items()])
     frame = F.collect_list(cols)
-    if s.width is None:
+    if s.rows is None:
         out = df.withColumn("__t", frame.over(s.asc().rowsBetween(-(n - 1), 0)))
     else:
-        base = df.withColumn(CHUNK, s.chunk())
+        base = chunked(df, s)
         rank = F.row_number().over(s.desc((CHUNK,)))
         tails = (
             base.select(*s.keys, CHUNK, *[c for c in s.order if c not in s.keys],

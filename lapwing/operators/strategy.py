@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 from lapwing.functions.values import round_binary
 from lapwing.functions.vocab import DRY_COMPOUNDS, TERMINAL_STATUSES
 from lapwing.operators.percentiles import grouped_percentiles
-from lapwing.operators.scan import position, scan, series
+from lapwing.operators.scan import position, remaining_min, remaining_sum, scan, series
 
 THRESHOLD = 0.60
 
 
-def outcome_distribution(paths: DataFrame, width: float, by: Sequence[str] = ("strategy_id",)) -> DataFrame:
+def outcome_distribution(paths: DataFrame, chunk_rows: int, by: Sequence[str] = ("strategy_id",)) -> DataFrame:
     """Expected and median position, top-three share, time percentiles."""
     positions = paths.groupBy(*by, "position").agg(F.count(F.lit(1)).alias("n"))
     places = positions.groupBy(*by).agg(
@@ -25,7 +25,7 @@ def outcome_distribution(paths: DataFrame, width: float, by: Sequence[str] = ("s
         round_binary(F.percentile("position", F.lit(0.5), F.col("n")), 3).alias("median_position"),
         round_binary(F.sum(F.when(F.col("position") <= 3, F.col("n")).otherwise(0)) / F.sum("n"), 4).alias("probability_top_3"),
     )
-    times = grouped_percentiles(paths, by, "final_time_ms", {"p10": 0.1, "p50": 0.5, "p90": 0.9}, width).drop("samples")
+    times = grouped_percentiles(paths, by, "final_time_ms", {"p10": 0.1, "p50": 0.5, "p90": 0.9}, chunk_rows).drop("samples")
     horizon = paths.groupBy(*by).agg(
         round_binary(F.avg(F.col("local_horizon_exceeded").cast("double")), 4).alias("horizon_exceeded_probability")
     )
@@ -86,13 +86,13 @@ def recommend(
     )
 
 
-def recommendations(paths: DataFrame, limited_field: bool, width: float) -> DataFrame:
+def recommendations(paths: DataFrame, limited_field: bool, chunk_rows: int) -> DataFrame:
     """Leading strategy, runner-up and guard reasons.
 
     The two best of a handful of strategies are named first; the paired
     comparison then filters the paths by those names.
     """
-    table = outcome_distribution(paths, width)
+    table = outcome_distribution(paths, chunk_rows)
     top = table.orderBy("expected_position", "p50", "strategy_id").select("strategy_id", "horizon_exceeded_probability").head(2)
     if len(top) < 2:
         raise ValueError("a recommendation needs two strategies")
@@ -109,13 +109,10 @@ def recommendations(paths: DataFrame, limited_field: bool, width: float) -> Data
     ).drop("raw")
 
 
-def classify(field: DataFrame, path: Sequence[str], width: float = 1) -> DataFrame:
-    """Finishing order of each path: laps, then time, then source position.
-
-    Numbered in chunks of equal lap counts, so a crowded path is not one task.
-    """
+def classify(field: DataFrame, path: Sequence[str]) -> DataFrame:
+    """Finishing order of each path (one race): laps, then time, then source position."""
     ordered = field.withColumn("__laps", -F.col("laps"))
-    s = series(path, ("__laps", "completion_ms", "source_position", "driver_id"), width)
+    s = series(path, ("__laps", "completion_ms", "source_position", "driver_id"))
     return scan(ordered, s, position=position()).drop("__laps")
 
 
@@ -188,14 +185,22 @@ def active_field(states: DataFrame, featured: DataFrame) -> DataFrame:
     ).drop("__lap", "__why")
 
 
-def observed_overlay(rows: DataFrame, results: DataFrame, pits: DataFrame) -> DataFrame:
-    """What actually happened after each cursor: final result and later stops."""
+def observed_overlay(rows: DataFrame, results: DataFrame, pits: DataFrame, chunk_rows: int | None = None) -> DataFrame:
+    """What actually happened after each cursor: final result and later stops.
+
+    A stop counts when its entry is known and after the cursor.  Stops and cursors are one ordered scan from the end,
+    so no cursor meets a stop in a pair.
+    """
     keys = ["session_id", "driver_id"]
-    later = (
-        rows.select(*keys, "cursor_ms").join(pits, keys)
-        .where(F.coalesce("pit_in_time_ms", "pit_out_time_ms") > F.col("cursor_ms"))
-        .groupBy(*keys, "cursor_ms").agg(F.count(F.lit(1)).alias("later_stops"), F.min("lap_number").alias("next_stop_lap"))
+    cursors = rows.select(*keys, F.col("cursor_ms").alias("t"), F.lit(1).alias("side"), F.lit(None).cast("int").alias("lap"))
+    stops = pits.where(F.col("pit_in_time_ms").isNotNull()).select(
+        *keys, F.col("pit_in_time_ms").alias("t"), F.lit(0).alias("side"), F.col("lap_number").cast("int").alias("lap")
     )
-    return rows.join(results, keys, "left").join(later, [*keys, "cursor_ms"], "left").withColumn(
+    # A stop at the cursor's own time comes before it.
+    seen = scan(
+        cursors.distinct().unionByName(stops), series(keys, ("t", "side"), chunk_rows),
+        later_stops=remaining_sum(F.when(F.col("side") == 0, 1).otherwise(0)), next_stop_lap=remaining_min(F.col("lap")),
+    ).where("side = 1").select(*keys, F.col("t").alias("cursor_ms"), "later_stops", "next_stop_lap")
+    return rows.join(results, keys, "left").join(seen, [*keys, "cursor_ms"], "left").withColumn(
         "later_stops", F.coalesce("later_stops", F.lit(0))
     )

@@ -30,7 +30,7 @@ DISCRETE = ("gear", "brake", "drs_raw")
 
 def cut(
     samples: DataFrame, spans: DataFrame, by: Sequence[str], axis: str, low: str, high: str,
-    fields: Sequence[str], width: float | None = None,
+    fields: Sequence[str], chunk_rows: int | None = None,
 ) -> DataFrame:
     """Samples strictly inside each span plus both edges with their neighbours.
 
@@ -53,7 +53,7 @@ def cut(
     ).select(*by, F.col("e.at").alias("__at"), F.col("e.side").alias("__side"), "__span", F.col("e.kind").alias("__kind"))
     rows = marks.unionByName(edges, allowMissingColumns=True)
     out = scan(
-        rows, series(by, ("__at", "__side"), width),
+        rows, series(by, ("__at", "__side"), chunk_rows),
         __open=latest(F.when(F.col("__kind") == "open", F.col("__span"))),
         before=latest(F.col("__s")),
         after=upcoming(F.col("__s")),
@@ -86,7 +86,7 @@ REJECTIONS = ("pit_in", "pit_out", "deleted", "provider_generated", "unreliable"
 
 def slice_laps(
     samples: DataFrame, laps: DataFrame, by: Sequence[str], channels: Sequence[str],
-    allow: Sequence[str] = (), max_edge_gap_s: float = 2.0, width: float | None = None,
+    allow: Sequence[str] = (), max_edge_gap_s: float = 2.0, chunk_rows: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(trace rows, one verdict per lap).
 
@@ -96,7 +96,7 @@ def slice_laps(
     gap allows; ``allow`` may name rejections to accept, ``partial`` included.
     """
     cols = [*by, "lap_id", "start_ns", "end_ns"]
-    pieces = cut(samples, laps.select(*cols), by, "t_ns", "start_ns", "end_ns", channels, width)
+    pieces = cut(samples, laps.select(*cols), by, "t_ns", "start_ns", "end_ns", channels, chunk_rows)
     gap_ok = (F.col("after.__x") - F.col("before.__x")) / 1e9 <= max_edge_gap_s
     bracketed = F.col("before").isNotNull() & F.col("after").isNotNull()
     exact = F.coalesce(F.col("before.__x") == F.col("at"), F.lit(False))
@@ -114,14 +114,18 @@ def slice_laps(
         "lap_id", "side", "t_ns", ((F.col("t_ns") - F.col("start_ns")) / 1e9).alias("elapsed_s"), *channels
     )
     seen = scan(
-        rows.where("usable").select("lap_id", "t_ns", "side"), series(("lap_id",), ("t_ns", "side"), width),
+        rows.where("usable").select("lap_id", "t_ns", "side"), series(("lap_id",), ("t_ns", "side"), chunk_rows),
         __p=previous(F.col("t_ns")),
     ).groupBy("lap_id").agg(F.bool_or(F.coalesce(F.col("t_ns") == F.col("__p"), F.lit(False))).alias("repeated"))
+    # A stretch without a speed has no distance, so the lap has none either.
+    speed = F.col("speed_kmh").cast("double") if "speed_kmh" in channels else F.lit(0.0)
+    bad_speed = speed.isNull() | F.isnan(speed) | (speed < 0) | (speed == float("inf"))
     facts = rows.groupBy("lap_id").agg(
         F.count(F.when(F.col("usable"), 1)).alias("samples"),
         F.bool_or((F.col("side") == "start") & F.col("usable")).alias("start_covered"),
         F.bool_or((F.col("side") == "end") & F.col("usable")).alias("finish_covered"),
         F.bool_or("interpolated").alias("interpolated"), F.bool_or("edge_gap").alias("edge_gap"),
+        F.bool_or(F.col("usable") & bad_speed).alias("bad_speed"),
     )
     joined = laps.join(facts, "lap_id", "left").join(seen, "lap_id", "left")
     no = F.lit(False)
@@ -143,6 +147,7 @@ def slice_laps(
     if "partial" not in allowed:
         rules.append((partial, "partial_lap"))
     rules.append((F.coalesce("repeated", no), "duplicate_timestamp"))
+    rules.append((F.coalesce("bad_speed", no), "invalid_speed"))
     for cond, code in reversed(rules):
         reason = F.when(cond, F.lit(code)).otherwise(reason)
     flags = F.array_compact(
@@ -152,6 +157,7 @@ def slice_laps(
             F.when(F.coalesce("interpolated", no), "interpolated_lap_edge"),
             F.when(F.coalesce("edge_gap", no), "lap_edge_gap"),
             F.when(partial & ~short, "partial_lap"),
+            F.when(F.coalesce("bad_speed", no), "invalid_speed"),
         )
     )
     verdict = joined.select(
@@ -164,18 +170,18 @@ def slice_laps(
     return kept, verdict
 
 
-def integrate_distance(trace: DataFrame, width: float | None = None) -> DataFrame:
+def integrate_distance(trace: DataFrame, chunk_rows: int | None = None) -> DataFrame:
     """Distance by the trapezoid rule over speed in km/h."""
-    s = series(("lap_id",), ("elapsed_s",), width)
+    s = series(("lap_id",), ("elapsed_s",), chunk_rows)
     paired = scan(trace, s, __p=previous(F.struct("elapsed_s", "speed_kmh")))
     step = (F.col("__p.speed_kmh") + F.col("speed_kmh")) / 7.2 * (F.col("elapsed_s") - F.col("__p.elapsed_s"))
-    stepped = paired.withColumn("__d", F.coalesce(step, F.lit(0.0))).drop("__p")
+    stepped = paired.withColumn("__d", F.when(F.col("__p").isNull(), 0.0).otherwise(step)).drop("__p")
     return scan(stepped, s, distance_m=running_sum(F.col("__d"))).drop("__d")
 
 
-def order_flags(df: DataFrame, keys: Sequence[str], row: str, value: str, width: float | None = None) -> DataFrame:
+def order_flags(df: DataFrame, keys: Sequence[str], row: str, value: str, chunk_rows: int | None = None) -> DataFrame:
     """Whether a column repeats, decreases or is not finite in stored order."""
-    chain = scan(df, series(keys, (row,), width), __p=previous(F.col(value)))
+    chain = scan(df, series(keys, (row,), chunk_rows), __p=previous(F.col(value)))
     v, p = F.col(value), F.col("__p")
     finite = ~F.isnan(v.cast("double")) & (F.abs(v.cast("double")) != float("inf"))
     no = F.lit(False)
@@ -187,14 +193,13 @@ def order_flags(df: DataFrame, keys: Sequence[str], row: str, value: str, width:
 
 
 def distance_grid(
-    trace: DataFrame, pairs: DataFrame, spacing_m: float = 1.0, max_points: int = 20_000,
-    union: bool = False,
+    trace: DataFrame, pairs: DataFrame, spacing_m: float = 1.0, union: bool = False, chunk_rows: int | None = None,
 ) -> DataFrame:
     """Grid of each pair on its common support.
 
     Fixed spacing from the common start plus the common end, or with ``union``
-    every native distance of both laps.  Pairs without overlap or with too many
-    points have no grid.
+    every native distance of both laps, numbered in chunks of ``chunk_rows``.
+    Pairs without overlap have no grid; ``comparison_summary`` names them.
     """
     support = trace.groupBy("lap_id").agg(F.min("distance_m").alias("lo"), F.max("distance_m").alias("hi"))
     a = support.select(F.col("lap_id").alias("lap_a"), F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"))
@@ -209,7 +214,7 @@ def distance_grid(
     if not union:
         count = F.ceil((F.col("end_m") - F.col("start_m")) / F.lit(spacing_m)).cast("int")
         return (
-            common.withColumn("n", count).where(F.col("n") + 1 <= max_points)
+            common.withColumn("n", count)
             .select(*head, "n", F.explode(F.sequence(F.lit(0), F.col("n"))).alias("grid_index"))
             .withColumn(
                 "at",
@@ -225,17 +230,14 @@ def distance_grid(
     ).select(*head, "at")
     ends = common.select(*head, F.explode(F.array("start_m", "end_m")).alias("at"))
     points = native.unionByName(ends).distinct()
-    small = points.groupBy("pair_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= max_points)
-    kept = points.join(small, "pair_id").drop("n")
-    # At most ``max_points`` points per pair reach this numbering.
-    return scan(kept, series(("pair_id",), ("at",)), grid_index=position()).withColumn(
+    return scan(points, series(("pair_id",), ("at",), chunk_rows), grid_index=position()).withColumn(
         "grid_index", (F.col("grid_index") - 1).cast("int")
     )
 
 
 def resample(
     trace: DataFrame, points: DataFrame, channels: Sequence[str],
-    max_gap_m: float = 100.0, max_gap_s: float = 2.0, width: float | None = None,
+    max_gap_m: float = 100.0, max_gap_s: float = 2.0, chunk_rows: int | None = None,
 ) -> DataFrame:
     """Time and channels at each (lap_id, at); gaps too wide give NULL.
 
@@ -244,7 +246,7 @@ def resample(
     samples = trace.select(
         "lap_id", F.col("distance_m").alias("__x"), F.col("elapsed_s"), *channels
     )
-    near = bracket(points, samples, ["lap_id"], "at", "__x", ["__x", "elapsed_s", *channels], width)
+    near = bracket(points, samples, ["lap_id"], "at", "__x", ["__x", "elapsed_s", *channels], chunk_rows)
     b, a = F.col("before"), F.col("after")
     ok = ((a["__x"] - b["__x"]) <= max_gap_m) & ((a["elapsed_s"] - b["elapsed_s"]) <= max_gap_s)
     return near.select(
@@ -257,11 +259,10 @@ def resample(
 
 def align_laps(
     trace: DataFrame, pairs: DataFrame, channels: Sequence[str], spacing_m: float = 1.0,
-    max_gap_m: float = 100.0, max_gap_s: float = 2.0, union: bool = False, width: float | None = None,
-    max_points: int = 20_000,
+    max_gap_m: float = 100.0, max_gap_s: float = 2.0, union: bool = False, chunk_rows: int | None = None,
 ) -> DataFrame:
     """Both laps of each pair on one grid; delta is time A minus time B."""
-    grid = distance_grid(trace, pairs, spacing_m, max_points, union)
+    grid = distance_grid(trace, pairs, spacing_m, union, chunk_rows)
     points = grid.select(
         "pair_id", "grid_index", "at",
         F.explode(
@@ -271,7 +272,7 @@ def align_laps(
             )
         ).alias("x"),
     ).select("pair_id", "grid_index", "at", "x.side", "x.lap_id")
-    both = resample(trace, points, channels, max_gap_m, max_gap_s, width)
+    both = resample(trace, points, channels, max_gap_m, max_gap_s, chunk_rows)
 
     def pick(side: str, c: str) -> Column:
         return F.max(F.when(F.col("side") == side, F.col(c))).alias(f"{c}_{side}")
@@ -284,7 +285,11 @@ def align_laps(
 
 
 def comparison_summary(aligned: DataFrame, trace: DataFrame, pairs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """End delta, observed delta and their agreement per pair."""
+    """End delta, observed delta and their agreement of every pair.
+
+    A pair that cannot be compared has ``refused``: ``trace_rejected`` if a lap has no trace, ``no_common_distance`` if
+    the laps share no stretch.
+    """
     ends = aligned.groupBy("pair_id").agg(
         F.count(F.lit(1)).alias("points"),
         F.min("distance_m").alias("start_m"), F.max("distance_m").alias("end_m"),
@@ -300,7 +305,10 @@ def comparison_summary(aligned: DataFrame, trace: DataFrame, pairs: DataFrame, v
 
     joined = (
         pairs.select("pair_id", F.col("lap_a").alias("lap_id_a"), F.col("lap_b").alias("lap_id_b"))
-        .join(ends, "pair_id").join(side("a"), "lap_id_a").join(side("b"), "lap_id_b")
+        .join(ends, "pair_id", "left").join(side("a"), "lap_id_a", "left").join(side("b"), "lap_id_b", "left")
+    )
+    refused = F.when(F.col("lo_a").isNull() | F.col("lo_b").isNull(), "trace_rejected").when(
+        F.col("points").isNull(), "no_common_distance"
     )
     covered = F.col("start_covered_a") & F.col("start_covered_b") & F.col("finish_covered_a") & F.col("finish_covered_b")
     same = (
@@ -313,16 +321,17 @@ def comparison_summary(aligned: DataFrame, trace: DataFrame, pairs: DataFrame, v
         "pair_id", "points", "start_m", "end_m", "end_delta_s", observed.alias("observed_delta_s"),
         finish.alias("finish_comparable"),
         F.when(finish, F.col("end_delta_s") - observed).alias("error_s"), "interpolation_gaps",
+        refused.alias("refused"),
     )
 
 
 def align_positions(
-    points: DataFrame, positions: DataFrame, by: Sequence[str], max_gap_s: float = 2.0, width: float | None = None
+    points: DataFrame, positions: DataFrame, by: Sequence[str], max_gap_s: float = 2.0, chunk_rows: int | None = None
 ) -> DataFrame:
     """x, y, z at each (by, t_ns) of ``points``; wide gaps and ends give NULL."""
     near = bracket(
         points.withColumn("at", F.col("t_ns")), positions.withColumn("__x", F.col("t_ns")), by, "at", "__x",
-        ["__x", "x", "y", "z"], width,
+        ["__x", "x", "y", "z"], chunk_rows,
     )
     ok = (F.col("after.__x") - F.col("before.__x")) / 1e9 <= max_gap_s
     return near.select(*points.columns, *[_at(c, False, ok).alias(c) for c in ("x", "y", "z")])
@@ -363,7 +372,7 @@ def equal_windows(supports: DataFrame, count: int = 10) -> DataFrame:
 
 def window_points(
     trace: DataFrame, windows: DataFrame, channels: Sequence[str],
-    max_gap_m: float = 100.0, max_gap_s: float = 2.0, width: float | None = None,
+    max_gap_m: float = 100.0, max_gap_s: float = 2.0, chunk_rows: int | None = None,
 ) -> DataFrame:
     """Ordered points of each window with the segment to the next point.
 
@@ -371,7 +380,7 @@ def window_points(
     ``ok`` tells whether the segment after the point is supported throughout.
     """
     spans = windows.select("lap_id", "window_id", "low_m", "high_m")
-    pieces = cut(trace, spans, ["lap_id"], "distance_m", "low_m", "high_m", ["elapsed_s", *channels], width)
+    pieces = cut(trace, spans, ["lap_id"], "distance_m", "low_m", "high_m", ["elapsed_s", *channels], chunk_rows)
     b, a = F.col("before"), F.col("after")
     near = ((a["__x"] - b["__x"]) <= max_gap_m) & ((a["elapsed_s"] - b["elapsed_s"]) <= max_gap_s)
     points = pieces.select(
@@ -381,7 +390,7 @@ def window_points(
         _at("elapsed_s", False, near).alias("t"),
         *[_at(c, c in DISCRETE, near).alias(c) for c in channels],
     )
-    s = series(("lap_id", "window_id"), ("d", "side_order"), width)
+    s = series(("lap_id", "window_id"), ("d", "side_order"), chunk_rows)
     order = F.when(F.col("side") == "start", 0).when(F.col("side") == "inner", 1).otherwise(2)
     chain = scan(
         points.withColumn("side_order", order).drop("__first"), s,
@@ -405,7 +414,7 @@ def window_times(points: DataFrame) -> DataFrame:
     )
 
 
-def window_metrics(points: DataFrame, persistence_s: float = 0.2, width: float | None = None) -> DataFrame:
+def window_metrics(points: DataFrame, persistence_s: float = 0.2, chunk_rows: int | None = None) -> DataFrame:
     """Entry, minimum and exit speed, gear at the minimum, brake and throttle marks.
 
     Reads ``points`` several times: hand in a stored table (``session.durable``).
@@ -421,24 +430,24 @@ def window_metrics(points: DataFrame, persistence_s: float = 0.2, width: float |
             F.min_by("d", F.when(F.col("speed_kmh").isNotNull(), slow)), F.min("d")
         ).alias("minimum_at_m"),
     )
-    brakes = brake_events(points, persistence_s, width)
+    brakes = brake_events(points, persistence_s, chunk_rows)
     from_minimum = points.join(basics.select(*key, "minimum_at_m"), key).where(F.col("d") >= F.col("minimum_at_m"))
     throttle = throttle_onsets(
-        from_minimum, {"throttle_pickup_m": 20.0, "full_throttle_m": 98.0}, persistence_s, width
+        from_minimum, {"throttle_pickup_m": 20.0, "full_throttle_m": 98.0}, persistence_s, chunk_rows
     )
     return (
         basics.join(window_times(points), key, "left").join(brakes, key, "left").join(throttle, key, "left")
     )
 
 
-def brake_events(points: DataFrame, persistence_s: float = 0.2, width: float | None = None) -> DataFrame:
+def brake_events(points: DataFrame, persistence_s: float = 0.2, chunk_rows: int | None = None) -> DataFrame:
     """Onset of the first lasting brake run and the first lasting release after it.
 
     Runs are maximal stretches of equal brake state over touching supported
     segments; an unsupported stretch after the onset leaves the release unknown.
     """
     key = ("lap_id", "window_id")
-    s = series(key, ("d", "side_order"), width)
+    s = series(key, ("d", "side_order"), chunk_rows)
     segments = points.where(F.coalesce("ok", F.lit(False)) & F.col("brake").isNotNull())
     chain = scan(segments, s, __p=previous(F.struct("brake", F.col("n.t").alias("t1"))))
     fresh = F.col("__p").isNull() | (F.col("__p.brake") != F.col("brake")) | (F.col("__p.t1") != F.col("t"))
@@ -467,12 +476,12 @@ def brake_events(points: DataFrame, persistence_s: float = 0.2, width: float | N
 
 
 def throttle_onsets(
-    points: DataFrame, thresholds: dict[str, float], persistence_s: float = 0.2, width: float | None = None,
+    points: DataFrame, thresholds: dict[str, float], persistence_s: float = 0.2, chunk_rows: int | None = None,
 ) -> DataFrame:
     """Per threshold, the distance where throttle first reaches it and stays there."""
     key = ("lap_id", "window_id")
     keyed = (*key, "mark")
-    s = series(keyed, ("d", "side_order"), width)
+    s = series(keyed, ("d", "side_order"), chunk_rows)
     marks = F.array(
         *[F.struct(F.lit(n).alias("mark"), F.lit(float(v)).alias("level")) for n, v in thresholds.items()]
     )
@@ -509,7 +518,7 @@ def throttle_onsets(
 
 def microsectors(
     trace: DataFrame, supports: DataFrame, count: int = 20, max_gap_m: float = 100.0, max_gap_s: float = 2.0,
-    width: float | None = None,
+    chunk_rows: int | None = None,
 ) -> DataFrame:
     """Times of both laps in ``count`` equal bins of each pair's support.
 
@@ -535,7 +544,7 @@ def microsectors(
     windows = bins.join(sides, "pair_id").select(
         F.struct("pair_id", "side").alias("lap_id"), F.col("window_index").alias("window_id"), "low_m", "high_m"
     )
-    times = window_times(window_points(paired, windows, [], max_gap_m, max_gap_s, width))
+    times = window_times(window_points(paired, windows, [], max_gap_m, max_gap_s, chunk_rows))
     return times.groupBy(F.col("lap_id.pair_id").alias("pair_id"), F.col("window_id").alias("sector")).agg(
         F.max(F.when(F.col("lap_id.side") == "a", F.col("time_s"))).alias("time_a_s"),
         F.max(F.when(F.col("lap_id.side") == "b", F.col("time_s"))).alias("time_b_s"),
@@ -615,9 +624,9 @@ def session_clock(samples: DataFrame, laps: DataFrame) -> DataFrame:
     ).withColumn("clock_ns", F.coalesce("session_time_ns", derived))
 
 
-def downsample(trace: DataFrame, key: str, x: str, value: str, budget: int, width: float | None = None) -> DataFrame:
+def downsample(trace: DataFrame, key: str, x: str, value: str, budget: int, chunk_rows: int | None = None) -> DataFrame:
     """Rows that keep a trace's shape: ends, bucket ends, minima, maxima, NULL edges."""
-    s = series((key,), (x,), width)
+    s = series((key,), (x,), chunk_rows)
     numbered = scan(trace, s, __n=position(), __p=previous(F.struct(F.col(value).alias("v"))))
     totals = trace.groupBy(key).agg(F.count(F.lit(1)).alias("__total"))
     stride = F.greatest(F.lit(1), F.ceil(F.col("__total") / F.lit(budget / 4)))
@@ -640,9 +649,9 @@ def downsample(trace: DataFrame, key: str, x: str, value: str, budget: int, widt
     return joined.where(keep).select(*trace.columns)
 
 
-def downsample_changes(trace: DataFrame, key: str, x: str, value: str, budget: int, width: float | None = None) -> DataFrame:
+def downsample_changes(trace: DataFrame, key: str, x: str, value: str, budget: int, chunk_rows: int | None = None) -> DataFrame:
     """First, last and both sides of every change; short traces stay whole."""
-    s = series((key,), (x,), width)
+    s = series((key,), (x,), chunk_rows)
     rows = scan(
         trace, s, __p=previous(F.struct(F.col(value).alias("v"))), __f=following(F.struct(F.col(value).alias("v"))),
     ).join(trace.groupBy(key).agg(F.count(F.lit(1)).alias("__total")), key)
@@ -656,10 +665,10 @@ def downsample_changes(trace: DataFrame, key: str, x: str, value: str, budget: i
 
 def nearest_sample(
     targets: DataFrame, samples: DataFrame, by: Sequence[str], target: str, x: str, values: Sequence[str],
-    width: float | None = None,
+    chunk_rows: int | None = None,
 ) -> DataFrame:
     """Sample nearest to each target; equal distances take the upper one."""
-    near = bracket(targets, samples.withColumn("__x", F.col(x)), by, target, "__x", ["__x", *values], width)
+    near = bracket(targets, samples.withColumn("__x", F.col(x)), by, target, "__x", ["__x", *values], chunk_rows)
     down, up = F.col(target) - F.col("before.__x"), F.col("after.__x") - F.col(target)
     lower = F.col("after").isNull() | (down < up) | (down == 0)
     chosen = F.when(F.col("before").isNotNull() & F.coalesce(lower, F.lit(True)), F.col("before")).otherwise(F.col("after"))

@@ -35,10 +35,10 @@ PAYLOAD = {
 }
 
 
-def status_changes(control: DataFrame, width: float | None = None) -> DataFrame:
+def status_changes(control: DataFrame, chunk_rows: int | None = None) -> DataFrame:
     """Control rows whose known track status differs from the last known one."""
     known = control.where(F.col("track_status") != "unknown")
-    s = series(("session_id",), ("session_time_ms", "event_id"), width)
+    s = series(("session_id",), ("session_time_ms", "event_id"), chunk_rows)
     marked = scan(known, s, __p=previous(F.col("track_status")))
     return marked.where(~F.col("track_status").eqNullSafe(F.col("__p"))).drop("__p")
 
@@ -62,7 +62,7 @@ def _id(prefix: str, *parts: str) -> Column:
 
 def candidates(
     laps: DataFrame, stints: DataFrame, pits: DataFrame, positions: DataFrame,
-    weather: DataFrame, control: DataFrame, width: float | None = None,
+    weather: DataFrame, control: DataFrame, chunk_rows: int | None = None,
 ) -> DataFrame:
     """Every event the canonical tables support; final results are never read.
 
@@ -72,7 +72,7 @@ def candidates(
     marker = laps.select("session_id").unionByName(weather.select("session_id")).unionByName(
         control.select("session_id")
     ).distinct()
-    changes = status_changes(control, width)
+    changes = status_changes(control, chunk_rows)
     control_key = _id("control", "session_time_ms", "event_id")
     parts = [
         _events(marker, "session-marker", F.lit(0), F.lit("session-origin"), marker=F.lit("session-origin")),
@@ -142,19 +142,19 @@ def payload_json(df: DataFrame) -> Column:
     return out
 
 
-def build_timeline(events: DataFrame, width: float | None = None) -> DataFrame:
+def build_timeline(events: DataFrame, chunk_rows: int | None = None) -> DataFrame:
     """Distinct events numbered from 0 per session in identity order."""
     keyed = events.dropDuplicates().withColumn(
         "__driver", F.coalesce(F.col("driver_id").cast("string"), F.lit(""))
     ).withColumn("payload_json", payload_json(events))
     order = ("session_time_ms", "priority", "event_type", "__driver", "source_key", "payload_json")
-    numbered = scan(keyed, series(("session_id",), order, width), __n=position())
+    numbered = scan(keyed, series(("session_id",), order, chunk_rows), __n=position())
     return numbered.withColumn("sequence", F.col("__n") - 1).drop("__n", "__driver")
 
 
-def sequence_issues(events: DataFrame, width: float | None = None) -> DataFrame:
+def sequence_issues(events: DataFrame, chunk_rows: int | None = None) -> DataFrame:
     """Rows of a stored log whose sequence is not contiguous or goes back in time."""
-    s = series(("session_id",), ("sequence", "session_time_ms"), width)
+    s = series(("session_id",), ("sequence", "session_time_ms"), chunk_rows)
     rows = scan(events, s, __n=position(), __t=previous(F.col("session_time_ms")))
     issue = F.when(F.col("sequence") != F.col("__n") - 1, "noncontiguous-sequence").when(
         F.col("session_time_ms") < F.col("__t"), "time-moved-backward"

@@ -51,9 +51,9 @@ def missing_parent(df: DataFrame, parent: DataFrame, on: list[str], level: str,
     return _issue(lost, level, code, table, key)
 
 
-def lap_issues(laps: DataFrame, roster: DataFrame, width: float | None = None) -> DataFrame:
+def lap_issues(laps: DataFrame, roster: DataFrame, chunk_rows: int | None = None) -> DataFrame:
     key = _key("driver:driver_id", "lap:lap_number")
-    s = series(("session_id", "driver_id"), ("lap_number", "lap_end_time_ms"), width)
+    s = series(("session_id", "driver_id"), ("lap_number", "lap_end_time_ms"), chunk_rows)
     seen = scan(
         laps, s, __end=latest(F.col("lap_end_time_ms"), inclusive=False), __lap=previous(F.col("lap_number")),
     )
@@ -69,7 +69,7 @@ def lap_issues(laps: DataFrame, roster: DataFrame, width: float | None = None) -
     )
 
 
-def stint_issues(stints: DataFrame, laps: DataFrame, roster: DataFrame, width: float | None = None) -> DataFrame:
+def stint_issues(stints: DataFrame, laps: DataFrame, roster: DataFrame, chunk_rows: int | None = None) -> DataFrame:
     key = _key("driver:driver_id", "stint:stint_number")
     id_cols = ["session_id", "driver_id", "stint_number"]
     observed = laps.where(F.col("stint_number").isNotNull()).groupBy(*id_cols).agg(
@@ -77,7 +77,7 @@ def stint_issues(stints: DataFrame, laps: DataFrame, roster: DataFrame, width: f
     )
     ranged = stints.join(observed, id_cols, "left")
     bad_range = F.col("__lo").isNull() | (F.col("__lo") != F.col("start_lap")) | ~F.col("__hi").eqNullSafe(F.col("end_lap"))
-    s = series(("session_id", "driver_id"), ("stint_number", "start_lap"), width)
+    s = series(("session_id", "driver_id"), ("stint_number", "start_lap"), chunk_rows)
     chain = scan(stints, s, __p=previous(F.struct("start_lap", "end_lap", "end_time_ms")))
     p = F.col("__p")
     starts = stints.withColumn("lap_number", F.col("start_lap"))
@@ -102,10 +102,10 @@ def stint_issues(stints: DataFrame, laps: DataFrame, roster: DataFrame, width: f
     )
 
 
-def pit_issues(pits: DataFrame, laps: DataFrame, roster: DataFrame, width: float | None = None) -> DataFrame:
+def pit_issues(pits: DataFrame, laps: DataFrame, roster: DataFrame, chunk_rows: int | None = None) -> DataFrame:
     key = _key("driver:driver_id", "stop:stop_number")
     at = F.coalesce("pit_in_time_ms", "pit_out_time_ms")
-    s = series(("session_id", "driver_id"), ("stop_number",), width)
+    s = series(("session_id", "driver_id"), ("stop_number",), chunk_rows)
     chain = scan(pits.withColumn("__at", at), s, __before=latest(F.col("__at"), inclusive=False))
     lane = F.col("pit_out_time_ms") - F.col("pit_in_time_ms")
     return _union(
@@ -128,11 +128,11 @@ def pit_issues(pits: DataFrame, laps: DataFrame, roster: DataFrame, width: float
 
 
 def timed_issues(
-    df: DataFrame, table: str, order: str, identity: list[str], width: float | None = None,
+    df: DataFrame, table: str, order: str, identity: list[str], chunk_rows: int | None = None,
     roster: DataFrame | None = None, laps: DataFrame | None = None,
 ) -> DataFrame:
     """Checks of a timed table stored in ``order``: time, identity, references."""
-    s = series(("session_id",), (order, "session_time_ms"), width)
+    s = series(("session_id",), (order, "session_time_ms"), chunk_rows)
     chain = scan(df, s, __max=running_max(F.col("session_time_ms"), inclusive=False))
     back = chain.where(F.col("session_time_ms") < F.col("__max")).select("session_id").distinct()
     parts = [
@@ -156,9 +156,9 @@ def timed_issues(
     return _union(parts)
 
 
-def index_issues(index: DataFrame, width: float | None = None) -> DataFrame:
+def index_issues(index: DataFrame, chunk_rows: int | None = None) -> DataFrame:
     """Telemetry ranges: duplicate keys, empty ranges, order per driver."""
-    s = series(("session_id", "driver_id"), ("row_index",), width)
+    s = series(("session_id", "driver_id"), ("row_index",), chunk_rows)
     chain = scan(index, s, __before=latest(F.col("start_time_ms"), inclusive=False))
     key = F.col("data_key")
     return _union(

@@ -7,6 +7,7 @@ from types import SimpleNamespace
 from pyspark.sql import functions as F
 
 from lapwing.functions.vocab import session_type, stratum
+from lapwing.operators import analytics as A
 from lapwing.operators import archive_quality as Q
 from lapwing.operators import catalog as C
 from lapwing.operators import channels as K
@@ -14,7 +15,7 @@ from lapwing.operators import digest as D
 from lapwing.operators import inventory as I
 from lapwing.operators import projection as P
 from lapwing.plans.registry import query
-from lapwing.plans.standin import ARCHIVE_SQL, archive, table
+from lapwing.plans.standin import ARCHIVE_SQL, ROWS, archive, table
 
 LIMITS = {
     "grid_position": (0, 18), "finish_position": (1, 6), "laps_completed": (0, 69),
@@ -25,7 +26,9 @@ LIMITS = {
 def filed(spark, folder):
     """Archive tables filed under ``race_id`` with some foreign session ids."""
     v = archive(spark, folder)
-    results = v.results.where(F.col("driver_id") % 17 != 0).withColumn("race_id", F.col("session_id")).withColumn(
+    results = v.results.withColumn(
+        "driver_id", F.when(F.col("driver_id") % 17 == 0, F.col("driver_id") + 1_000_000).otherwise(F.col("driver_id"))
+    ).withColumn("race_id", F.col("session_id")).withColumn(
         "session_id", F.col("race_id") + F.when(F.col("laps_completed") == 70, 1).otherwise(0)
     )
     items = table(spark, folder, "lineitem")
@@ -44,8 +47,8 @@ def filed(spark, folder):
 
 
 FILED_SQL = "WITH " + ARCHIVE_SQL + """,
-fr AS (SELECT * REPLACE (session_id + CASE WHEN laps_completed = 70 THEN 1 ELSE 0 END AS session_id),
-   session_id AS race_id FROM results WHERE driver_id % 17 <> 0),
+fr AS (SELECT * REPLACE (session_id + CASE WHEN laps_completed = 70 THEN 1 ELSE 0 END AS session_id,
+   driver_id + CASE WHEN driver_id % 17 = 0 THEN 1000000 ELSE 0 END AS driver_id), session_id AS race_id FROM results),
 fl AS (SELECT l_orderkey AS race_id, l_orderkey AS session_id, l_suppkey AS driver_id, l_linenumber AS lap_number,
    l_partkey AS row_index, CASE WHEN l_discount <> 0 THEN CAST(l_partkey % 20 + 1 AS INT) END AS position,
    CASE WHEN l_tax <> 0 THEN CAST(round(l_extendedprice * 100) AS BIGINT) - 100000 END AS lap_time_ms FROM lineitem),
@@ -114,7 +117,7 @@ SELECT *, concat_ws(',',
   CASE WHEN status = 'good' AND season >= 2011 AND pit_stop_rows = 0 THEN 'pit_stop_rows_not_present' END) AS reasons FROM v""")
 def archive_quality(spark, folder):
     results, laps, pits, seasons = filed(spark, folder)
-    out = Q.evaluate(results, laps, pits, seasons, limits=LIMITS, width=500)
+    out = Q.evaluate(results, laps, pits, seasons, limits=LIMITS)
     return out.withColumn("reasons", F.array_join("reasons", ","))
 
 
@@ -191,7 +194,7 @@ cat AS (SELECT e.*, upper(event_name) AS official_name, CASE WHEN event_id % 2 =
 
 
 @query("catalog_search", CATALOG_SQL + """
-SELECT event_id, season, round_number, circuit_name, tier, status FROM cat
+SELECT event_id, season, round_number, circuit_name, tier, status, count(*) OVER () AS total FROM cat
 WHERE status = 'completed' AND rc AND len(list_filter(drivers, lambda x: contains(lower(x), '#00000000'))) > 0
   AND contains(lower(concat_ws(' ', event_name, official_name, circuit_name, coalesce(country, ''), array_to_string(drivers, ' '), array_to_string(teams, ' '))), 'nation_1')
 ORDER BY season DESC, round_number DESC, event_id DESC LIMIT 50""")
@@ -200,7 +203,8 @@ def catalog_search(spark, folder):
         catalog(spark, folder), status="completed", capability="race_control", driver="#00000000", text="Nation_1"
     )
     rows = found.select("event_id", "season", "round_number", "circuit_name", "tier", "status")
-    return rows.orderBy(*C.newest_first()).limit(50)
+    shown, total = A.page(rows, C.newest_first())
+    return shown.withColumn("total", total.scalar())
 
 
 @query("season_index", "WITH " + ARCHIVE_SQL + """
@@ -411,7 +415,7 @@ SELECT session_id, seq, time_ns, status, CASE WHEN status = 'Strange' THEN 'unkn
   WHEN time_ns < pt THEN 'decreasing-timestamp' WHEN time_ns = pt AND status <> ps AND NOT (ps = 'Finalised' AND status = 'Ends') THEN 'ambiguous-timestamp' END AS issue FROM o""")
 def status_chronology(spark, folder):
     _, log = sessions(spark, folder)
-    return I.status_chronology(log, width=100000000)
+    return I.status_chronology(log, chunk_rows=ROWS)
 
 
 @query("schedule_inventory", SESSIONS_SQL + """
@@ -467,7 +471,7 @@ m AS (SELECT c.*, CASE WHEN ex.n = 1 THEN c.timing_key WHEN ex.n > 1 THEN NULL W
 @query("provider_matches", PROVIDER_SQL + " SELECT session_id, session_type, scheduled_s, timing_key, provider_key FROM m")
 def provider_matches(spark, folder):
     canonical, provider = providers(spark, folder)
-    return I.match_provider(canonical, provider, 900, width=86400).select(
+    return I.match_provider(canonical, provider, 900, chunk_rows=ROWS).select(
         "session_id", "session_type", "scheduled_s", "timing_key", "provider_key"
     )
 
@@ -480,7 +484,7 @@ SELECT p.*, canonical_session_id, coalesce(n, 0) AS claims, CASE WHEN st IS NOT
 FROM pr p LEFT JOIN g USING (session_key)""")
 def provider_reconciliation(spark, folder):
     canonical, provider = providers(spark, folder)
-    return I.reconcile(canonical, provider, 1706000000, 900, width=86400)
+    return I.reconcile(canonical, provider, 1706000000, 900, chunk_rows=ROWS)
 
 
 @query("inventory_dedupe", """
@@ -512,18 +516,15 @@ def inventory_assessment(spark, folder):
 
 
 @query("context_links", "WITH " + ARCHIVE_SQL + """,
-t AS (SELECT session_id, season, round_number FROM ev WHERE session_id % 5 = 0),
-rep AS (SELECT season, round_number, count(*) AS n, max(session_id) AS sid FROM ev WHERE session_id % 97 = 3 GROUP BY 1, 2),
-rc AS (SELECT season, round_number, count(*) AS n, max(session_id) FILTER (status = 'completed' AND quality_status IN ('verified','good')) AS sid FROM ev WHERE session_id % 61 = 3 GROUP BY 1, 2)
+t AS (SELECT session_id, season, session_id // 8 AS round_number FROM ev),
+rep AS (SELECT season, round_number, count(*) AS n, max(session_id) AS sid FROM t GROUP BY 1, 2),
+rc AS (SELECT season, session_id // 8 AS round_number, count(*) AS n, max(session_id) FILTER (status = 'completed' AND quality_status IN ('verified','good')) AS sid FROM ev GROUP BY 1, 2)
 SELECT t.*, CASE WHEN rep.n = 1 THEN rep.sid END AS replay_session_id, CASE WHEN rc.n = 1 THEN rc.sid END AS race_session_id
 FROM t LEFT JOIN rep USING (season, round_number) LEFT JOIN rc USING (season, round_number)""")
 def context_links(spark, folder):
-    ev = archive(spark, folder).events
-    return C.link_context(
-        ev.where(F.col("session_id") % 5 == 0).select("session_id", "season", "round_number"),
-        ev.where(F.col("session_id") % 97 == 3),
-        ev.where(F.col("session_id") % 61 == 3),
-    )
+    # Eight neighbouring orders share a round, seldom with another of their season.
+    ev = archive(spark, folder).events.withColumn("round_number", F.floor(F.col("session_id") / 8).cast("long"))
+    return C.link_context(ev.select("session_id", "season", "round_number"), ev, ev)
 
 
 @query("telemetry_sessions", CATALOG_SQL + """
@@ -579,7 +580,7 @@ sd AS (SELECT c.stratum, completed_count, coalesce(samples, 0) AS samples, media
 @query("stratified_distribution", SIZED_SQL + " SELECT * FROM sd")
 def stratified_distribution(spark, folder):
     v = sized(spark, folder)
-    return P.stratified_distribution(v.counts, v.samples, 1000)
+    return P.stratified_distribution(v.counts, v.samples, ROWS)
 
 
 @query("stratified_projection", SIZED_SQL + """
@@ -589,18 +590,18 @@ SELECT CAST(sum(completed_count) AS BIGINT) AS completed, CAST(ceil(sum(complete
   count(*) FILTER (strength = 'missing') AS missing_strata, count(*) FILTER (strength <> 'empirical') AS weak_strata FROM sd""")
 def stratified_projection(spark, folder):
     v = sized(spark, folder)
-    return P.projection_totals(P.stratified_distribution(v.counts, v.samples, 1000))
+    return P.projection_totals(P.stratified_distribution(v.counts, v.samples, ROWS))
 
 
 @query("bootstrap_interval", SIZED_SQL + """,
 num AS (SELECT stratum, bytes, row_number() OVER (PARTITION BY stratum ORDER BY bytes, doc_id) AS pos, count(*) OVER (PARTITION BY stratum) AS n FROM smp),
-drw AS (SELECT stratum, rep, 1 + CAST('0x' || substr(sha256('2216|' || stratum || '|' || rep || '|' || pos), 1, 12) AS BIGINT) % n AS pick FROM num, range(0, 200) r(rep)),
+drw AS (SELECT stratum, rep, 1 + CAST('0x' || substr(sha256('2216|' || stratum || '|' || rep || '|' || pos), 1, 12) AS BIGINT) % n AS pick FROM num, range(0, 1000) r(rep)),
 mn AS (SELECT rep, d.stratum, avg(bytes) AS mean FROM drw d JOIN num ON num.stratum = d.stratum AND num.pos = d.pick GROUP BY 1, 2),
 tot AS (SELECT rep, sum(completed_count * mean) AS total FROM mn JOIN counts USING (stratum) GROUP BY 1)
 SELECT count(*) AS repetitions, round(quantile_cont(total, 0.025), 3) AS low_bytes, round(quantile_cont(total, 0.975), 3) AS high_bytes FROM tot""")
 def bootstrap_interval(spark, folder):
     v = sized(spark, folder)
-    totals = P.bootstrap_totals(v.counts, v.samples, "doc_id", reps=200, width=1000)
+    totals = P.bootstrap_totals(v.counts, v.samples, "doc_id", chunk_rows=ROWS)
     return P.bootstrap_interval(totals).withColumns(
         {c: F.round(c, 3) for c in ("low_bytes", "high_bytes")}
     )

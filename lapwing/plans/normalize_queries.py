@@ -8,7 +8,7 @@ from lapwing.operators import normalize as N
 from lapwing.operators import validate as V
 from lapwing.plans.registry import query
 from lapwing.plans.replay_queries import PITS_SQL, W_TIMING, canonical
-from lapwing.plans.standin import DAY_MS, TIMING_SQL, feed, timing
+from lapwing.plans.standin import ROWS, TIMING_SQL, feed, timing
 
 W_FEED = "WITH " + TIMING_SQL
 
@@ -238,7 +238,7 @@ UNION ALL SELECT session_id, 'error', 'nonmonotonic-lap-time', 'laps', 'driver='
 UNION ALL SELECT session_id, 'warning', 'lap-duration-mismatch', 'laps', 'driver=' || driver_id || ',lap=' || lap_number FROM bl WHERE lap_end_time_ms - lap_start_time_ms <> lap_time_ms""")
 def lap_validation(spark, folder):
     v = damaged(spark, folder)
-    return V.lap_issues(v.bad_laps, v.roster, width=50)
+    return V.lap_issues(v.bad_laps, v.roster, chunk_rows=ROWS)
 
 
 @query("stint_validation", W_TIMING + DAMAGED_SQL + """,
@@ -254,7 +254,7 @@ UNION ALL SELECT session_id, 'error', 'overlapping-stint-range', 'stints', 'driv
 UNION ALL SELECT session_id, 'error', 'overlapping-stint-time', 'stints', 'driver=' || driver_id || ',stint=' || stint_number FROM sp WHERE start_time_ms < pt""")
 def stint_validation(spark, folder):
     v = damaged(spark, folder)
-    return V.stint_issues(v.stints, v.bad_laps, v.roster, width=20)
+    return V.stint_issues(v.stints, v.bad_laps, v.roster, chunk_rows=ROWS)
 
 
 @query("pit_validation", W_TIMING + DAMAGED_SQL + """,
@@ -270,7 +270,7 @@ def pit_validation(spark, folder):
         "pit_out_time_ms",
         F.when(F.col("stop_number") % 5 == 0, F.col("pit_out_time_ms") - 90000000).otherwise(F.col("pit_out_time_ms")),
     )
-    return V.pit_issues(bad, v.bad_laps, v.roster, width=50)
+    return V.pit_issues(bad, v.bad_laps, v.roster, chunk_rows=ROWS)
 
 
 @query("timed_validation", W_TIMING + DAMAGED_SQL + """,
@@ -287,7 +287,7 @@ def timed_validation(spark, folder):
         "session_id", "driver_id", (F.floor(F.col("session_time_ms") / 43200000) * 43200000).cast("long").alias("session_time_ms"),
         "lap_number", (F.col("event_id") + F.when(F.col("event_id") % 500 == 1, 3000).otherwise(0)).alias("row_index"),
     )
-    return V.timed_issues(rows, "race_positions", "row_index", ["driver_id", "lap_number"], 2000, v.roster, v.bad_laps)
+    return V.timed_issues(rows, "race_positions", "row_index", ["driver_id", "lap_number"], ROWS, v.roster, v.bad_laps)
 
 
 @query("index_validation", W_FEED + """,
@@ -303,7 +303,7 @@ def index_validation(spark, folder):
         F.col("t_ms").alias("start_time_ms"), (F.col("t_ms") + F.col("k")).alias("end_time_ms"),
         (F.col("k") % 5).alias("sample_count"), (F.col("event_id") * 7919 % 10007).alias("row_index"),
     )
-    return V.index_issues(index, width=1000)
+    return V.index_issues(index, chunk_rows=ROWS)
 
 
 @query("roster_validation", W_TIMING + """

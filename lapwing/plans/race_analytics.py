@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lapwing.operators import analytics as A
 from lapwing.plans.registry import query, sql_round
-from lapwing.plans.standin import ARCHIVE_SQL, OBS_SQL, archive, stored
+from lapwing.plans.standin import ARCHIVE_SQL, OBS_SQL, ROWS, archive, stored
 
 FLOOR = 1995  # the test orders start in 1995
 W_ARCHIVE = "WITH " + ARCHIVE_SQL
@@ -392,7 +392,7 @@ def rank_average_finish(spark, folder):
     "driver_id", "driver_name", sql_round("dnf / nullif(starts, 0)::DOUBLE", 3), "starts", True))
 def rank_dnf_rate(spark, folder):
     obs = observations(spark, folder)
-    return A.ranked(A.ranking_rows(obs, "driver_id", "driver_name", "dnf_rate"), "dnf_rate", 0.01)
+    return A.ranked(A.ranking_rows(obs, "driver_id", "driver_name", "dnf_rate"), "dnf_rate", ROWS)
 
 
 @query("constructor_rankings_points", _sql_ranking(
@@ -408,7 +408,7 @@ def rank_points(spark, folder):
     "constructor_id", "constructor_name", "pit_stops", "pit_coverage_races", False, constructor=True))
 def rank_pit_stops(spark, folder):
     obs = observations(spark, folder)
-    return A.ranked(A.ranking_rows(obs, "constructor_id", "constructor_name", "pit_stops"), "pit_stops", 500.0)
+    return A.ranked(A.ranking_rows(obs, "constructor_id", "constructor_name", "pit_stops"), "pit_stops", ROWS)
 
 
 @query("top_drivers", W_OBS + f"""

@@ -8,7 +8,7 @@ from lapwing.operators import pits as PT
 from lapwing.operators import replay as R
 from lapwing.operators import timeline as T
 from lapwing.plans.registry import query
-from lapwing.plans.standin import DAY_MS, TIMING_SQL, stored, timing
+from lapwing.plans.standin import DAY_MS, ROWS, TIMING_SQL, stored, timing
 
 W_TIMING = "WITH RECURSIVE " + TIMING_SQL
 
@@ -65,19 +65,19 @@ CURSORS = (1, 100_000_000, 250_000_000, 400_000_000, 604_800_000)
 def log(spark, folder):
     """Timing tables, stops, stints, and the numbered timeline."""
     v = canonical(spark, folder)
-    v.events = stored(spark, folder, "events", lambda: T.build_timeline(all_candidates(v), DAY_MS))
+    v.events = stored(spark, folder, "events", lambda: T.build_timeline(all_candidates(v), ROWS))
     return v
 
 
 def canonical(spark, folder):
     v = timing(spark, folder)
-    v.pits = stored(spark, folder, "pits", lambda: PT.pair_pits(v.marks, width=2 * DAY_MS))
+    v.pits = stored(spark, folder, "pits", lambda: PT.pair_pits(v.marks, block=2 * DAY_MS))
     v.stints = PT.derive_stints(v.laps)
     return v
 
 
 def all_candidates(v):
-    return T.candidates(v.laps, v.stints, v.pits, v.positions, v.weather, v.control, DAY_MS)
+    return T.candidates(v.laps, v.stints, v.pits, v.positions, v.weather, v.control, ROWS)
 
 
 def cursors(v):
@@ -88,7 +88,7 @@ def cursors(v):
 
 @query("pit_stops", W_TIMING + PITS_SQL + " SELECT * FROM tpit")
 def pit_stops(spark, folder):
-    return PT.pair_pits(timing(spark, folder).marks, width=2 * DAY_MS)
+    return PT.pair_pits(timing(spark, folder).marks, block=2 * DAY_MS)
 
 
 @query("stints", W_TIMING + PITS_SQL + " SELECT * FROM tst")
@@ -98,14 +98,14 @@ def stints(spark, folder):
 
 @query("track_status_changes", W_TIMING + EVENTS_SQL + " SELECT session_id, session_time_ms, event_id, track_status FROM chg")
 def track_status_changes(spark, folder):
-    return T.status_changes(timing(spark, folder).control, DAY_MS).select(
+    return T.status_changes(timing(spark, folder).control, ROWS).select(
         "session_id", "session_time_ms", "event_id", "track_status"
     )
 
 
 @query("timeline", W_TIMING + EVENTS_SQL + " SELECT * FROM evt")
 def timeline(spark, folder):
-    return T.build_timeline(all_candidates(canonical(spark, folder)), DAY_MS).select(
+    return T.build_timeline(all_candidates(canonical(spark, folder)), ROWS).select(
         "session_id", "session_time_ms", "priority", "event_type", "driver_id", "source_key", "sequence"
     )
 
@@ -183,7 +183,7 @@ def full_log(spark, folder):
     v.events = stored(
         spark, folder, "full_events",
         lambda: T.build_timeline(
-            all_candidates(v).unionByName(T.status_events(v.statuses), allowMissingColumns=True), DAY_MS
+            all_candidates(v).unionByName(T.status_events(v.statuses), allowMissingColumns=True), ROWS
         ),
     )
     v.roster = v.feed.select("session_id", "driver_id").distinct()
@@ -193,14 +193,14 @@ def full_log(spark, folder):
 @query("driver_states", W_TIMING + STATE_SQL + CURSOR_SQL + STATE_OUT)
 def driver_states(spark, folder):
     v = full_log(spark, folder)
-    return R.driver_states(v.events, v.roster, cursors(v), DAY_MS)
+    return R.driver_states(v.events, v.roster, cursors(v), ROWS)
 
 
 @query("driver_states_at_lap_end", W_TIMING + STATE_SQL + """, crs AS (SELECT session_id, end_time_ms AS cursor_ms FROM cur WHERE lap_number = 5)""" + STATE_OUT)
 def driver_states_at_lap_end(spark, folder):
     v = full_log(spark, folder)
     laps = T.lap_cursors(v.positions, v.laps).where(F.col("lap_number") == 5)
-    return R.driver_states(v.events, v.roster, R.lap_cursor_points(laps, "end"), DAY_MS)
+    return R.driver_states(v.events, v.roster, R.lap_cursor_points(laps, "end"), ROWS)
 
 
 @query("session_states", W_TIMING + EVENTS_SQL + CURSOR_SQL + """
@@ -211,7 +211,7 @@ FROM crs c LEFT JOIN (SELECT crs.session_id, crs.cursor_ms, arg_max(tw, (tw.sess
   USING (session_id, cursor_ms)""")
 def session_states(spark, folder):
     v = log(spark, folder)
-    return R.session_states(v.events, cursors(v), T.lap_cursors(v.positions, v.laps), DAY_MS)
+    return R.session_states(v.events, cursors(v), T.lap_cursors(v.positions, v.laps), ROWS)
 
 
 @query("recent_messages", W_TIMING + EVENTS_SQL + CURSOR_SQL + """
@@ -220,7 +220,7 @@ FROM crs c JOIN evt e ON e.session_id = c.session_id AND e.event_type = 'race-co
 JOIN tc ON tc.session_id = e.session_id AND e.source_key = 'control-' || tc.session_time_ms || '-' || tc.event_id QUALIFY recency <= 20""")
 def recent_messages(spark, folder):
     v = log(spark, folder)
-    return R.recent_messages(v.events, cursors(v), 20, DAY_MS)
+    return R.recent_messages(v.events, cursors(v), 20, ROWS)
 
 
 @query("finished_sessions", W_TIMING + CURSOR_SQL + """
@@ -279,8 +279,8 @@ def event_log_issues(spark, folder):
     from lapwing.operators.scan import position, scan, series
 
     f = timing(spark, folder).feed
-    stored = scan(f, series(("session_id",), ("t_ms", "event_id"), DAY_MS), n=position()).select(
+    stored = scan(f, series(("session_id",), ("t_ms", "event_id"), ROWS), n=position()).select(
         "session_id", F.col("t_ms").alias("session_time_ms"), "event_id",
         (F.col("n") - 1 + F.when(F.col("k") == 13, 1).otherwise(0)).alias("sequence"),
     )
-    return T.sequence_issues(stored, 1000).select("session_id", "event_id", "sequence", "issue")
+    return T.sequence_issues(stored, ROWS).select("session_id", "event_id", "sequence", "issue")

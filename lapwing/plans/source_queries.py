@@ -10,7 +10,7 @@ from lapwing.functions import vocab as VB
 from lapwing.operators import normalize as N
 from lapwing.operators import timeline as T
 from lapwing.plans.registry import query, sql_round
-from lapwing.plans.standin import TIMING_SQL, feed, spread, table
+from lapwing.plans.standin import ROWS, TIMING_SQL, feed, table
 from lapwing.sources import dump, feeds, lossless, tables
 
 W_FEED = "WITH " + TIMING_SQL
@@ -121,7 +121,7 @@ def flattened_results(spark, folder):
         text(c("l_quantity")).alias("points"),
         F.when(c("l_discount") != 0, F.struct(text(c("l_partkey")).alias("millis"))).alias("Time"),
     )
-    pages = spread(table(spark, folder, "lineitem")).select(
+    pages = table(spark, folder, "lineitem").select(
         c("l_orderkey").alias("session_id"), F.to_json(F.struct(F.array(row).alias("Results"))).alias("payload")
     )
     return feeds.flatten_results(pages).select(
@@ -171,7 +171,7 @@ def schedule_rows(spark, folder):
     }
     for n in (1, 2, 3, 4, 5):
         fields[f"session{n}_date"] = F.when(k % 6 != n, F.concat(text(c("o_orderdate").cast("date")), F.lit(f"T0{n}:00:00")))
-    years = spread(table(spark, folder, "orders")).select(
+    years = table(spark, folder, "orders").select(
         (F.year("o_orderdate") + 24).alias("season"), k.alias("source_id"),
         F.to_json(F.struct(*[F.create_map(F.lit("0"), v).alias(n) for n, v in fields.items()])).alias("payload"),
     )
@@ -221,7 +221,7 @@ SELECT session_id, number, millis, status, concat_ws(',', CASE WHEN millis IS NU
   CASE WHEN millis < pm THEN 'nonmonotonic' END, CASE WHEN millis IS NOT NULL AND ps IS NOT NULL AND ps <> coalesce(status, '?') AND NOT (ps = 'Finalised' AND coalesce(status, '?') = 'Ends') THEN 'timestamp-conflict' END) AS issues,
   CASE WHEN millis IS NOT NULL AND ps = 'Finalised' AND status = 'Ends' THEN 'coincident-terminal-progression' END AS note FROM m""")
 def status_line_issues(spark, folder):
-    out = feeds.parse_status_lines(status_lines(spark, folder), 2000)
+    out = feeds.parse_status_lines(status_lines(spark, folder), ROWS)
     return out.drop("line").withColumn("issues", F.array_join("issues", ","))
 
 

@@ -20,19 +20,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores when the input has fewer splits than the cluster has.
-
-    A single small file is one task however many cores wait; an input of real
-    size already has more splits and is left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def archive(spark: SparkSession, folder: str) -> SimpleNamespace:
     """results, laps, pits and events derived from orders and line items."""
-    items = spread(table(spark, folder, "lineitem"))
+    items = table(spark, folder, "lineitem")
     orders = table(spark, folder, "orders")
     customer = table(spark, folder, "customer")
     supplier = table(spark, folder, "supplier")
@@ -204,6 +194,9 @@ obs AS (
 WEEK_US = 604_800_000_000
 DAY_MS = 86_400_000
 
+#: Rows of a chunk of an ordered scan.
+ROWS = 200_000
+
 
 _STORED: dict[tuple, DataFrame] = {}
 
@@ -231,7 +224,7 @@ def build_feed(spark: SparkSession, folder: str) -> DataFrame:
     """
     e = table(spark, folder, "events")
     us = F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(1_704_067_200_000_000)
-    base = spread(e).select(
+    base = e.select(
         F.floor(us / F.lit(WEEK_US)).cast("int").alias("session_id"),
         (F.col("user_id") % 20).cast("int").alias("driver_id"),
         F.floor((F.pmod(us, F.lit(WEEK_US)) + 500) / F.lit(1000)).cast("long").alias("t_ms"),
@@ -239,7 +232,7 @@ def build_feed(spark: SparkSession, folder: str) -> DataFrame:
         F.get_json_object("props", "$.k").cast("int").alias("k"),
     )
     click = F.col("event_type") == "click"
-    s = series(("session_id", "driver_id"), ("t_ms", "event_id"), DAY_MS)
+    s = series(("session_id", "driver_id"), ("t_ms", "event_id"), ROWS)
     scanned = scan(
         base, s,
         __n=running_sum(F.when(click, 1).otherwise(0).cast("long"), inclusive=False),

@@ -12,7 +12,7 @@ from lapwing.operators import strategy as S
 from lapwing.plans.learning_queries import FEATURE_SQL, featured
 from lapwing.plans.registry import query, sql_round
 from lapwing.plans.replay_queries import CURSOR_SQL, PITS_SQL, STATE_OUT, STATE_SQL, W_TIMING, canonical, cursors, full_log
-from lapwing.plans.standin import DAY_MS, spread, table
+from lapwing.plans.standin import ROWS, table
 
 MODES = ("lower-90", "point", "upper-90")
 
@@ -42,7 +42,7 @@ od AS (SELECT strategy_id, count(*) AS paths, avg(position) AS ap, quantile_cont
 SELECT strategy_id, paths, {sql_round('ap', 3)} AS expected_position, {sql_round('mp', 3)} AS median_position, {sql_round('t3', 4)} AS probability_top_3, {sql_round('q1', 0)} AS p10, {sql_round('q5', 0)} AS p50, {sql_round('q9', 0)} AS p90,
   {sql_round('hz', 4)} AS horizon_exceeded_probability FROM od""")
 def outcome_distribution(spark, folder):
-    return S.outcome_distribution(paths(spark, folder), 200_000.0)
+    return S.outcome_distribution(paths(spark, folder), ROWS)
 
 
 @query("position_probabilities", PATHS_SQL + f"""
@@ -76,7 +76,7 @@ SELECT (SELECT strategy_id FROM rk WHERE r = 1) AS leading, (SELECT strategy_id
   concat_ws(',', CASE WHEN s < 0.6 THEN 'paired_superiority_below_product_threshold' END, CASE WHEN fr THEN 'pit_loss_sensitivity_winner_flip' END, CASE WHEN h > 0.5 THEN 'local_tyre_horizon_exceeded' END, 'incomplete_or_fallback_background_field') AS guard_reasons,
   NULL::VARCHAR AS recommended FROM gd""")
 def recommendation(spark, folder):
-    out = S.recommendations(paths(spark, folder), True, 200_000.0)
+    out = S.recommendations(paths(spark, folder), True, ROWS)
     return out.withColumn("guard_reasons", F.array_join("guard_reasons", ","))
 
 
@@ -91,7 +91,7 @@ def path_classification(spark, folder):
 
 
 def planned(spark, folder):
-    states = spread(table(spark, folder, "lineitem")).select(
+    states = table(spark, folder, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_linenumber").alias("laps_completed"),
         F.col("l_quantity").cast("int").alias("scheduled_laps"),
         F.element_at(F.array(F.lit("soft"), F.lit("medium"), F.lit("hard"), F.lit("wet")), (F.col("l_partkey") % 4 + 1).cast("int")).alias("compound"),
@@ -133,20 +133,20 @@ SELECT session_id, driver_id, cursor_ms, status, excluded_reason, excluded_reaso
 def active_field(spark, folder):
     v = full_log(spark, folder)
     at = cursors(v)
-    states = R.driver_states(v.events, v.roster, at, DAY_MS)
+    states = R.driver_states(v.events, v.roster, at, ROWS)
     slim = featured(spark, folder).select("session_id", "driver_id", "lap_number", "lap_end_time_ms", "feature_reason")
-    feats = M.features_at(slim, v.roster.join(at, "session_id"), DAY_MS)
+    feats = M.features_at(slim, v.roster.join(at, "session_id"), ROWS)
     return S.active_field(states, feats).select(
         "session_id", "driver_id", "cursor_ms", "status", "excluded_reason", "model_supported"
     )
 
 
 @query("observed_overlay", W_TIMING + PITS_SQL + CURSOR_SQL + """
-SELECT c.session_id, d.driver_id, c.cursor_ms, r.best, (SELECT count(*) FROM tpit p WHERE p.session_id = c.session_id AND p.driver_id = d.driver_id AND coalesce(pit_in_time_ms, pit_out_time_ms) > cursor_ms) AS later_stops,
-  (SELECT min(lap_number) FROM tpit p WHERE p.session_id = c.session_id AND p.driver_id = d.driver_id AND coalesce(pit_in_time_ms, pit_out_time_ms) > cursor_ms) AS next_stop_lap
+SELECT c.session_id, d.driver_id, c.cursor_ms, r.best, (SELECT count(*) FROM tpit p WHERE p.session_id = c.session_id AND p.driver_id = d.driver_id AND pit_in_time_ms > cursor_ms) AS later_stops,
+  (SELECT min(lap_number) FROM tpit p WHERE p.session_id = c.session_id AND p.driver_id = d.driver_id AND pit_in_time_ms > cursor_ms) AS next_stop_lap
 FROM crs c JOIN (SELECT DISTINCT session_id, driver_id FROM feed) d USING (session_id) LEFT JOIN (SELECT session_id, driver_id, min(position) AS best FROM tp GROUP BY 1, 2) r USING (session_id, driver_id)""")
 def observed_overlay(spark, folder):
     v = canonical(spark, folder)
     rows = v.feed.select("session_id", "driver_id").distinct().join(cursors(v), "session_id")
     results = v.positions.groupBy("session_id", "driver_id").agg(F.min("position").alias("best"))
-    return S.observed_overlay(rows, results, v.pits)
+    return S.observed_overlay(rows, results, v.pits, ROWS)

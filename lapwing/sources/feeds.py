@@ -129,7 +129,7 @@ def split_lines(bodies: DataFrame, body: str = "body") -> DataFrame:
     )
 
 
-def parse_status_lines(lines: DataFrame, width: float | None = None) -> DataFrame:
+def parse_status_lines(lines: DataFrame, chunk_rows: int | None = None) -> DataFrame:
     """Status lines (12-character clock, then JSON) with their issues and notes.
 
     ``lines``: session_id, number, line.  Every line stays; nothing is repaired.
@@ -148,12 +148,12 @@ def parse_status_lines(lines: DataFrame, width: float | None = None) -> DataFram
         "value_json", F.when(c("__ok"), F.to_json("__v"))
     ).drop("__v")
     chain = scan(
-        rows, series(("session_id",), ("number",), width),
+        rows, series(("session_id",), ("number",), chunk_rows),
         __before=latest(c("millis"), inclusive=False),
     )
     timed = chain.where(c("millis").isNotNull())
     same = scan(
-        timed, series(("session_id", "millis"), ("number",), width),
+        timed, series(("session_id", "millis"), ("number",), chunk_rows),
         __same=previous(F.struct("value_json")),
     )
     both = same.unionByName(chain.where(c("millis").isNull()), allowMissingColumns=True)

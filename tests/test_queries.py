@@ -5,9 +5,11 @@ import pytest
 import __spark_entry__ as entry
 from compare import compare, connect
 
-FOLDER = "/root/testdata/sf0.001"
+FOLDER, DENSER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 QUERIES = entry.queries()
 ORACLES = entry.oracle_sql()
+#: Learned, encoded or streamed results; tests of their own hold them against brute force.
+WITHOUT_TWIN = {name for name in QUERIES if name not in ORACLES}
 
 
 @pytest.fixture(scope="module")
@@ -15,13 +17,24 @@ def con():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
-def test_matches_twin(spark, con, name):
-    df = QUERIES[name](spark, FOLDER)
-    assert name in ORACLES
-    problems = [p for p in compare(df, con, ORACLES[name]) if p != "empty result"]
+@pytest.fixture(scope="module")
+def denser():
+    return connect(DENSER)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_matches_twin(spark, con, denser, name):
+    problems = compare(QUERIES[name](spark, FOLDER), con, ORACLES[name])
+    if problems == ["empty result"]:
+        # Too few rows for this query: an empty result says nothing, so the next size decides.
+        problems = compare(QUERIES[name](spark, DENSER), denser, ORACLES[name])
     assert not problems
 
 
+@pytest.mark.parametrize("name", sorted(WITHOUT_TWIN))
+def test_runs_without_twin(spark, name):
+    assert QUERIES[name](spark, FOLDER).count() > 0
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0

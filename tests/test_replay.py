@@ -123,7 +123,7 @@ def test_pit_pairing_against_stack(spark, width, levels):
         [(*m[:3], m[3], m[4], i) for i, m in enumerate(marks)],
         "session_id int, driver_id int, session_time_ms long, kind string, lap_number int, event_id long",
     )
-    got = PT.pair_pits(df, width=width, growth=4, levels=levels).collect()
+    got = PT.pair_pits(df, block=width, growth=4, levels=levels).collect()
     for driver in range(4):
         mine = sorted(((r["pit_in_time_ms"], r["pit_out_time_ms"], r["lap_number"]) for r in got if r["driver_id"] == driver), key=str)
         assert mine == pair([(t, k, lap) for _, d, t, k, lap in marks if d == driver])

@@ -129,3 +129,59 @@ def test_percentiles_and_conformal_rank(spark):
     ranked = conformal_rank(df, [], "v", {"w": 0.8}, 7).head()
     ordered = sorted(v for _, v in values)
     assert ranked["w"] == ordered[min(301, -(-302 * 8 // 10)) - 1]
+
+
+def test_chunks_follow_the_rows(spark):
+    """Ten times the rows in the same thirty days make ten times the chunks."""
+    from lapwing.operators.scan import CHUNK, chunked
+
+    def chunks(n):
+        month = 30 * 86_400_000
+        rows = spark.range(n).select(F.lit("s").alias("k"), (F.col("id") * (month // n)).alias("t"))
+        return chunked(rows, series(["k"], ["t"], 100)).select(CHUNK).distinct().count()
+
+    assert (chunks(1000), chunks(10_000)) == (10, 100)
+
+
+def test_remaining(spark):
+    from lapwing.operators.scan import remaining_min, remaining_sum
+
+    rows = spark.createDataFrame([("a", t, t % 7) for t in range(50)], "k string, t long, v long")
+    for size in (None, 3, 20):
+        got = scan(rows, series(["k"], ["t"], size), s=remaining_sum(F.col("v")), m=remaining_min(F.col("v")))
+        for r in got.collect():
+            after = [t % 7 for t in range(r["t"] + 1, 50)]
+            assert (r["s"], r["m"]) == ((sum(after), min(after)) if after else (None, None))
+
+
+def test_sample_targets_have_no_cap(spark):
+    from lapwing.operators.projection import stratified_sample
+
+    rows = spark.range(100).withColumn("kind", F.col("id") % 2)
+    got = stratified_sample(rows, F.col("kind"), F.when(F.col("kind") == 0, 10).otherwise(2), F.col("id") == 4, "id")
+    counts = {r["stratum"]: r["count"] for r in got.groupBy("stratum").count().collect()}
+    assert counts == {0: 10, 1: 2} and got.where("pinned").count() == 1
+
+
+def test_overlay_counts_entries_after_the_cursor(spark):
+    from lapwing.operators.strategy import observed_overlay
+
+    rows = spark.createDataFrame([("s", 1, 10), ("s", 1, 30), ("s", 2, 10)], "session_id string, driver_id int, cursor_ms long")
+    pits = spark.createDataFrame(
+        [("s", 1, 10, 12, 3), ("s", 1, 20, 22, 5), ("s", 1, 40, None, 9), ("s", 1, None, 50, 2)],
+        "session_id string, driver_id int, pit_in_time_ms long, pit_out_time_ms long, lap_number int",
+    )
+    results = spark.createDataFrame([("s", 1, 4)], "session_id string, driver_id int, best int")
+    for size in (None, 2):
+        got = {(r["driver_id"], r["cursor_ms"]): (r["later_stops"], r["next_stop_lap"]) for r in observed_overlay(rows, results, pits, size).collect()}
+        assert got == {(1, 10): (2, 5), (1, 30): (1, 9), (2, 10): (0, None)}
+
+
+def test_large_values_and_inner_blanks(spark):
+    from lapwing.functions.values import as_int, round_binary
+
+    row = spark.range(1).select(
+        round_binary(F.lit(1e17), 2).alias("big"), round_binary(F.lit(0.15), 1).alias("low"),
+        as_int(F.lit("1 2")).alias("split"), as_int(F.lit(" 12 ")).alias("trimmed"),
+    ).first()
+    assert tuple(row) == (1e17, 0.1, None, 12)

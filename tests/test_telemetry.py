@@ -26,7 +26,7 @@ def pair(spark):
 
 @pytest.mark.parametrize("width", [None, 25.0])
 def test_constant_speed_delta(constant, pair, width):
-    rows = X.align_laps(constant, pair, ["speed_kmh", "gear"], 1.0, width=width).orderBy("grid_index").collect()
+    rows = X.align_laps(constant, pair, ["speed_kmh", "gear"], 1.0, chunk_rows=width).orderBy("grid_index").collect()
     assert len(rows) == 101 and rows[-1]["distance_m"] == 100.0
     assert abs(rows[-1]["delta_s"] - 5.0) < 1e-9 and rows[-1]["elapsed_s_a"] == 10.0
     assert all(abs(r["delta_s"] - r["distance_m"] * 0.05) < 1e-9 for r in rows)
@@ -63,7 +63,7 @@ def corner(spark):
 @pytest.mark.parametrize("width", [None, 30.0])
 def test_corner_metrics(spark, width):
     windows = spark.createDataFrame([(1, 1, 0.0, 100.0)], "lap_id int, window_id int, low_m double, high_m double")
-    points = X.window_points(corner(spark), windows, ["speed_kmh", "throttle_percent", "brake", "gear"], width=width)
+    points = X.window_points(corner(spark), windows, ["speed_kmh", "throttle_percent", "brake", "gear"], chunk_rows=width)
     m = X.window_metrics(points, 0.2, width).head()
     assert (m["entry_speed"], m["minimum_speed"], m["exit_speed"], m["gear_at_minimum"], m["time_s"]) == (100.0, 50.0, 100.0, 3, 10.0)
     assert m["brake_onset_m"] == 20.0 and m["brake_release_m"] == 50.0
@@ -90,14 +90,14 @@ def test_slice_edges(spark, width):
         "car int, lap_id int, start_ns long, end_ns long, lap_time_seconds double, pit_in boolean, pit_out boolean, deleted boolean, "
         "provider_generated boolean, reliable boolean",
     )
-    rows, verdicts = X.slice_laps(samples, laps, ["car"], ["speed_kmh"], width=width)
+    rows, verdicts = X.slice_laps(samples, laps, ["car"], ["speed_kmh"], chunk_rows=width)
     v = {r["lap_id"]: r for r in verdicts.collect()}
     assert v[10]["rejected"] is None and v[10]["flags"] == ["interpolated_lap_edge"]
     assert v[11]["rejected"] is None
     assert v[12]["rejected"] == "partial_lap" and v[13]["rejected"] == "pit_in"
     got = sorted((r["t_ns"], r["speed_kmh"]) for r in rows.where("lap_id = 10").collect())
     assert got == [(10**9, 15.0), (15 * 10**8, 20.0), (2 * 10**9, 25.0)]
-    kept, _ = X.slice_laps(samples, laps, ["car"], ["speed_kmh"], ("partial",), width=width)
+    kept, _ = X.slice_laps(samples, laps, ["car"], ["speed_kmh"], ("partial",), chunk_rows=width)
     assert kept.where("lap_id = 12").count() == 2
 
 
