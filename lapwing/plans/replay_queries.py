@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lapwing.operators import pits as PT
 from lapwing.operators import replay as R
 from lapwing.operators import timeline as T
 from lapwing.plans.registry import query
 from lapwing.plans.standin import DAY_MS, ROWS, TIMING_SQL, stored, timing
+from lapwing.session import shared_path
+from lapwing.streaming.replay_stream import replay_stream
 
 W_TIMING = "WITH RECURSIVE " + TIMING_SQL
 
@@ -196,11 +199,46 @@ def driver_states(spark, folder):
     return R.driver_states(v.events, v.roster, cursors(v), ROWS)
 
 
-@query("driver_states_at_lap_end", W_TIMING + STATE_SQL + """, crs AS (SELECT session_id, end_time_ms AS cursor_ms FROM cur WHERE lap_number = 5)""" + STATE_OUT)
-def driver_states_at_lap_end(spark, folder):
+STREAM_EVENT = (
+    "session_time_ms long, priority int, sequence long, event_type string, position int, lap_number int, lap_time_ms long, "
+    "stint_number int, compound string, tyre_age_laps double, status string"
+)
+
+
+@query("streamed_states", W_TIMING + STATE_SQL + """ SELECT session_id, driver_id, t AS applied_to_ms, position, laps AS laps_completed, last_lap AS last_lap_time_ms, stint AS current_stint,
+  compound, age AS tyre_age_laps, in_pit, stops AS pit_stop_count, pit_lap AS last_pit_lap, status FROM st WHERE n > 0
+  QUALIFY row_number() OVER (PARTITION BY session_id, driver_id ORDER BY n DESC) = 1""")
+def streamed_states(spark, folder):
+    """The log as a stream to its end: a marker a day later passes the watermark over every event."""
+    schema = StructType.fromDDL(f"session_id int, driver_id int, {STREAM_EVENT}")
+    kinds = {f.name: f.dataType for f in schema.fields}
+    log_rows = full_log(spark, folder).events.where(F.col("driver_id").isNotNull())
+    rows = log_rows.select(*[F.col(n).cast(t).alias(n) for n, t in kinds.items()])
+    end = rows.agg((F.max("session_time_ms") + DAY_MS).alias("session_time_ms"))
+    given = {"session_id": -1, "driver_id": -1, "priority": 0, "sequence": 0}
+    marker = end.select(
+        *[F.col(n) if n == "session_time_ms" else F.lit(given.get(n)).cast(t).alias(n) for n, t in kinds.items()]
+    )
+    root = shared_path(spark, "stream")
+    rows.unionByName(marker).write.parquet(f"{root}/log")
+    stream = spark.readStream.schema(schema).parquet(f"{root}/log")
+    run = (
+        replay_stream(stream).writeStream.format("parquet").outputMode("append")
+        .option("checkpointLocation", f"{root}/checkpoint").option("path", f"{root}/states").trigger(availableNow=True).start()
+    )
+    run.awaitTermination()
+    states = spark.read.parquet(f"{root}/states").where("session_id >= 0")
+    newest = states.groupBy("session_id", "driver_id").agg(F.max_by(F.struct(*states.columns[2:]), "applied_to_ms").alias("s"))
+    return newest.select("session_id", "driver_id", "s.*")
+
+
+@query("driver_states_at_laps", W_TIMING + STATE_SQL + """, crs AS (SELECT session_id, start_time_ms AS cursor_ms FROM cur WHERE start_time_ms IS NOT NULL UNION SELECT session_id, end_time_ms FROM cur WHERE end_time_ms IS NOT NULL)""" + STATE_OUT)
+def driver_states_at_laps(spark, folder):
     v = full_log(spark, folder)
-    laps = T.lap_cursors(v.positions, v.laps).where(F.col("lap_number") == 5)
-    return R.driver_states(v.events, v.roster, R.lap_cursor_points(laps, "end"), ROWS)
+    laps = T.lap_cursors(v.positions, v.laps)
+    points = R.lap_cursor_points(laps, "start").unionByName(R.lap_cursor_points(laps, "end"))
+    both = points.where(F.col("cursor_ms").isNotNull()).select("session_id", "cursor_ms").distinct()
+    return R.driver_states(v.events, v.roster, both, ROWS)
 
 
 @query("session_states", W_TIMING + EVENTS_SQL + CURSOR_SQL + """

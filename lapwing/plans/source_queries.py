@@ -9,8 +9,9 @@ from lapwing.functions import values as V
 from lapwing.functions import vocab as VB
 from lapwing.operators import normalize as N
 from lapwing.operators import timeline as T
-from lapwing.plans.registry import query, sql_round
+from lapwing.plans.registry import ORACLES, query, sql_round
 from lapwing.plans.standin import ROWS, TIMING_SQL, feed, table
+from lapwing.session import shared_path
 from lapwing.sources import dump, feeds, lossless, tables
 
 W_FEED = "WITH " + TIMING_SQL
@@ -95,6 +96,15 @@ def dump_laps(spark, folder):
     return dump.archive_tables(dump_tables(spark, folder), 1996, 1999)[2]
 
 
+@query("csv_dump_laps", ORACLES["dump_laps"])
+def csv_dump_laps(spark, folder):
+    """The laps again, from CSV files."""
+    root = shared_path(spark, "dump")
+    for name, rows in dump_tables(spark, folder).items():
+        rows.write.option("header", True).csv(f"{root}/{dump.FILES[name]}")
+    return dump.load_dump(spark, root, 1996, 1999)[2]
+
+
 @query("dump_pit_stops", DUMP_SQL + """
 SELECT session_id, s_name AS driver_id, l_linenumber AS stop_number, l_linenumber AS lap_number, CASE WHEN l_tax <> 0 THEN CAST(l_quantity AS BIGINT) * 1000 END AS duration_ms, '12:00:00' AS local_time
 FROM evd JOIN lineitem ON l_orderkey = o_orderkey AND l_returnflag = 'R' JOIN supplier ON s_suppkey = l_suppkey""")
@@ -280,6 +290,17 @@ def telemetry_ranges(spark, folder):
     return tables.telemetry_index(car).withColumn("channel_names", F.array_join("channel_names", ","))
 
 
+@query("stored_time_slice", W_FEED + " SELECT session_id, driver_id, t_ms, value AS speed FROM feed WHERE t_ms BETWEEN 100000000 AND 120000000")
+def stored_time_slice(spark, folder):
+    """A span of a canonical table: written with partitions, read with its schema; an absent table adds nothing."""
+    rows = feed(spark, folder).select("session_id", "driver_id", "t_ms", F.col("value").alias("speed"))
+    root = shared_path(spark, "canonical")
+    tables.write_table(rows, f"{root}/samples", ["session_id"])
+    samples = tables.read_table(spark, root, "samples", rows.schema)
+    both = samples.unionByName(tables.read_table(spark, root, "absent", rows.schema))
+    return tables.read_range(both, 100_000_000, 120_000_000, ["session_id", "driver_id", "t_ms", "speed"], "t_ms")
+
+
 @query("telemetry_time_slice", W_FEED + " SELECT session_id, driver_id, t_ms, value AS speed FROM feed WHERE t_ms BETWEEN 100000000 AND 120000000")
 def telemetry_time_slice(spark, folder):
     car = feed(spark, folder).select("session_id", "driver_id", F.col("value").alias("Speed"), "t_ms", "k")
