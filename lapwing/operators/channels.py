@@ -89,10 +89,9 @@ def availability_rollup(states: DataFrame) -> DataFrame:
     return states.groupBy("session_id").agg(
         F.count(F.lit(1)).alias("partitions"),
         F.count(F.when(F.col("state") == "degraded", 1)).alias("degraded"),
-        F.array_sort(F.collect_set(F.when(F.col("state") == "degraded", F.col("driver_id")))).alias("degraded_drivers"),
         F.bool_and(F.col("state") == "available").alias("__ok"),
     ).select(
-        "session_id", "partitions", "degraded", "degraded_drivers",
+        "session_id", "partitions", "degraded",
         F.when(F.col("degraded") == 0, "available")
         .when(F.col("degraded") == F.col("partitions"), "telemetry-unsupported")
         .otherwise("partially-available").alias("car_data_state"),
@@ -100,6 +99,11 @@ def availability_rollup(states: DataFrame) -> DataFrame:
     )
 
 
+def degraded_drivers(states: DataFrame) -> DataFrame:
+    """The drivers behind a session's verdict, a row each."""
+    return states.where(F.col("state") == "degraded").select("session_id", "driver_id").distinct()
+
+
 def unusable_laps(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Laps whose moving channels are all exactly zero (two samples or more)."""
     zero = F.lit(True)

@@ -327,13 +327,16 @@ def dead_sensors(spark, folder):
 
 @query("channel_availability", CAR_SQL + """
 SELECT session_id, count(*) AS partitions, count(*) FILTER (state = 'degraded') AS degraded,
-  coalesce(string_agg(CAST(driver_id AS VARCHAR), ',' ORDER BY driver_id) FILTER (state = 'degraded'), '') AS degraded_drivers,
   CASE WHEN count(*) FILTER (state = 'degraded') = 0 THEN 'available' WHEN count(*) FILTER (state = 'degraded') = count(*) THEN 'telemetry-unsupported'
    ELSE 'partially-available' END AS car_data_state,
   CASE WHEN count(*) FILTER (state = 'degraded') = 0 THEN 'complete' ELSE 'partial' END AS quality FROM dead GROUP BY 1""")
 def channel_availability(spark, folder):
-    out = K.availability_rollup(K.dead_sensors(*car_feed(spark, folder)))
-    return out.withColumn("degraded_drivers", F.array_join(F.col("degraded_drivers").cast("array<string>"), ","))
+    return K.availability_rollup(K.dead_sensors(*car_feed(spark, folder)))
+
+
+@query("degraded_drivers", CAR_SQL + " SELECT DISTINCT session_id, driver_id FROM dead WHERE state = 'degraded'")
+def degraded_drivers(spark, folder):
+    return K.degraded_drivers(K.dead_sensors(*car_feed(spark, folder)))
 
 
 def sessions(spark, folder):

@@ -317,10 +317,13 @@ def conformal_widths(spark, folder):
 
 
 @query("interval_coverage", CONFORMAL_SQL + """
-SELECT count(*) AS "rows", round(avg(CAST(abs(price - predicted) <= 20000 AS DOUBLE)), 6) AS coverage_80, round(avg(CAST(abs(price - predicted) <= 30000 AS DOUBLE)), 6) AS coverage_90 FROM pr WHERE split = 'test'""")
+SELECT count(*) AS "rows", round(avg(CAST(abs(price - predicted) <= width_80 AS DOUBLE)), 6) AS coverage_80, round(avg(CAST(abs(price - predicted) <= width_90 AS DOUBLE)), 6) AS coverage_90 FROM pr, wd WHERE split = 'test'""")
 def interval_coverage(spark, folder):
-    rows = predicted(spark, folder).where(F.col("split") == "test")
-    out = L.interval_coverage(rows, "price", "predicted", {"80": 20000.0, "90": 30000.0})
+    """Coverage on the test split of the widths that the calibration split gives."""
+    rows = predicted(spark, folder)
+    calibrated = L.conformal_widths(rows.where(F.col("split") == "calibration"), "price", "predicted", (), ROWS).head()
+    widths = {"80": calibrated["width_80"], "90": calibrated["width_90"]}
+    out = L.interval_coverage(rows.where(F.col("split") == "test"), "price", "predicted", widths)
     return out.withColumns({c: F.round(c, 6) for c in ("coverage_80", "coverage_90")})
 
 
