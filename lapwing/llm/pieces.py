@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterable
 
 _CUT = re.compile(r" (?=\S)")
 _RUN = re.compile(r" (?!\S)")
+_MARKS = re.compile(r"([^\w\s]+)\Z")
 
 #: Pieces longer than this are never kept; the rest of the cache is bounded by its entries.
 KEPT_LENGTH = 64
@@ -24,6 +25,17 @@ def cut(text: str) -> list[str]:
     return text.split(" ") if _RUN.search(text) is None else _CUT.split(text)
 
 
+def _places_of_none(values: list) -> list[int]:
+    out: list[int] = []
+    at = -1
+    try:
+        while True:
+            at = values.index(None, at + 1)
+            out.append(at)
+    except ValueError:
+        return out
+
+
 class PieceCache:
     """Ids of whole texts as bytes, from a function that encodes missing pieces.
 
@@ -32,10 +44,11 @@ class PieceCache:
     worker's memory is bounded whatever it reads.
     """
 
-    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], limit: int = 250_000):
+    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], limit: int = 150_000):
         self.encode, self.limit = encode, limit
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
 
     def ids(self, texts: list[str]) -> list[bytes]:
         cuts = [cut(text) for text in texts]
@@ -44,20 +57,40 @@ class PieceCache:
         young, old = self.young, self.old
         get = young.get
         got = [list(map(get, parts)) for parts in cuts]
-        holes = [[i for i, ids in enumerate(ids_of) if ids is None] for ids_of in got]
+        holes = [_places_of_none(ids_of) for ids_of in got]
         new = {parts[i] for parts, gaps in zip(cuts, holes, strict=True) for i in gaps}
-        for piece in new.intersection(old):
-            young[piece] = old[piece]
-        missing = list(new.difference(old))
+        for piece in new:
+            if piece in old:
+                young[piece] = old[piece]
+        missing = new.difference(old)
+        # Letters with marks after them are two matches of the pattern: the letters are often known.
+        ends = {
+            piece: m.start()
+            for piece in missing
+            if not piece[-1:].isalnum() and (m := _MARKS.search(piece)) and piece[: m.start()].isalpha()
+        }
+        whole = list(missing.difference(ends))
+        stems = {piece[:end] for piece, end in ends.items()}.difference(young, whole)
+        for stem in stems:
+            if stem in old:
+                young[stem] = old[stem]
+        whole.extend(stems.difference(old))
+        young.update(zip(whole, self.encode([" " + piece for piece in whole]), strict=True))
+        for piece, end in ends.items():
+            marks = piece[end:]
+            if marks not in self.marks:
+                if len(self.marks) > 10_000:
+                    self.marks.clear()
+                (self.marks[marks],) = self.encode([marks])
+            young[piece] = young[piece[:end]] + self.marks[marks]
         heads = [parts[0] for parts in cuts]
-        young.update(zip(missing, self.encode([" " + piece for piece in missing]), strict=True))
         out = []
         for head, parts, ids_of, gaps in zip(self.encode(heads), cuts, got, holes, strict=True):
             for i in gaps:
                 ids_of[i] = young[parts[i]]
             ids_of[0] = head
             out.append(b"".join(ids_of))
-        for piece in missing:
+        for piece in [*missing, *stems]:
             if len(piece) > KEPT_LENGTH:
-                del young[piece]
+                young.pop(piece, None)
         return out

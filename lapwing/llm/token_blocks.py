@@ -28,6 +28,8 @@ BLOCK = 512
 CHUNK_IDS = 1 << 17
 #: Widths are taken from these percentiles of a block; the one with the smallest result is used.
 PERCENTILES = (100, 99, 95, 90)
+#: Pieces in a generation of the encoder's cache: about 100 MB a worker.
+KEPT_PIECES = 600_000
 _HEAD = np.dtype("<u4")
 
 
@@ -43,36 +45,37 @@ def pack(ids: np.ndarray, block: int = BLOCK) -> bytes:
     """A payload with the ids (unsigned, below 2^32)."""
     n = len(ids)
     blocks = -(-n // block)
-    table = np.zeros((blocks, block), dtype="<u4")
-    table.reshape(-1)[:n] = ids
+    kind = np.dtype("<u2" if not n or int(ids.max()) < 1 << 16 else "<u4")
+    table = np.empty((blocks, block), kind)
     if n:
+        table.reshape(-1)[:n] = ids
         table.reshape(-1)[n:] = ids[-1]  # the filler costs no bits of its own
-    low = table.min(axis=1) if n else np.zeros(0, "<u4")
+    low = table.min(axis=1) if n else np.zeros(0, kind)
     table -= low[:, None]
     ranks = sorted({max(0, block * p // 100 - 1) for p in PERCENTILES})
-    tops = np.partition(table, ranks, axis=1)[:, ranks] if n else np.zeros((0, len(ranks)), "<u4")
+    tops = np.partition(table, ranks, axis=1)[:, ranks] if n else np.zeros((0, len(ranks)), kind)
     widths = _width(tops)
-    cost = np.stack(
-        [
-            block * w.astype(np.int64) + 48 * (table >> w[:, None].astype(np.uint64) != 0).sum(axis=1)
-            for w in widths.T
-        ],
-        axis=1,
-    )
-    width = widths[np.arange(blocks), cost.argmin(axis=1)] if n else np.zeros(0, np.uint8)
-    upper = (table >> width[:, None].astype(np.uint64)).astype("<u4")
-    row, column = np.nonzero(upper)
+    # Outliers are those above the widest number that the width holds.
+    most = ((np.uint64(1) << widths.astype(np.uint64)) - np.uint64(1)).astype(kind)
+    over = np.stack([np.count_nonzero(table > m[:, None], axis=1) for m in most.T], axis=1) if n else np.zeros((0, 1), int)
+    best = (block * widths.astype(np.int64) + 48 * over).argmin(axis=1) if n else np.zeros(0, int)
+    width = widths[np.arange(blocks), best] if n else np.zeros(0, np.uint8)
+    row, column = np.nonzero(table > most[np.arange(blocks), best][:, None]) if n else (np.zeros(0, int),) * 2
+    upper = (table[row, column].astype(np.uint64) >> width[row].astype(np.uint64)).astype("<u4")
     counts = np.bincount(row, minlength=blocks).astype("<u2")
     sizes = (width.astype(np.int64) * block + 7) // 8 + 6 * counts.astype(np.int64)
     starts = np.concatenate([[0], np.cumsum(sizes)]).astype("<u4")
     packed: list[bytes] = [b""] * blocks
     for w in np.unique(width):
         which = np.flatnonzero(width == w)
-        bits = np.unpackbits(table[which].view(np.uint8).reshape(len(which), block, 4), axis=2, bitorder="little")
-        rows = np.packbits(bits[:, :, :w].reshape(len(which), -1), axis=1, bitorder="little")
+        if w in (8, 16, 32):
+            rows = table[which].astype(f"<u{w // 8}").view(np.uint8)
+        else:
+            bits = np.unpackbits(table[which].view(np.uint8).reshape(len(which), block, -1), axis=2, bitorder="little")
+            rows = np.packbits(bits[:, :, :w].reshape(len(which), -1), axis=1, bitorder="little")
         for index, data in zip(which, rows, strict=True):
             packed[index] = data.tobytes()
-    spots, tails = column.astype("<u2"), upper[row, column].astype("<u4")
+    spots, tails = column.astype("<u2"), upper
     ends = np.cumsum(counts.astype(np.int64))
     body = [
         packed[i] + spots[e - c : e].tobytes() + tails[e - c : e].tobytes()
@@ -105,6 +108,9 @@ def unpack(payload: bytes, begin: int = 0, end: int | None = None) -> np.ndarray
         if not size:
             continue
         raw = np.stack([np.frombuffer(payload, np.uint8, size, body + int(starts[i])) for i in which])
+        if w in (8, 16, 32):
+            out[which - first] = raw.view(f"<u{w // 8}")
+            continue
         bits = np.unpackbits(raw, axis=1, bitorder="little")[:, : int(w) * block].reshape(len(which), block, int(w))
         wide = np.zeros((len(which), block, 32), np.uint8)
         wide[:, :, : int(w)] = bits
@@ -149,8 +155,10 @@ def encoder(path: str) -> PieceCache:
 
         def encode(pieces: list[str]) -> list[bytes]:
             # A piece with its own space can follow the mark, one that ends in white space would swallow the next.
-            joined = [i for i, p in enumerate(pieces) if p[:1] == " " and "\x0b" not in p and not p[-1].isspace()]
-            alone = sorted(set(range(len(pieces))).difference(joined))
+            joined, alone = [], []
+            for i, piece in enumerate(pieces):
+                fits = piece[:1] == " " and not piece[-1].isspace() and "\x0b" not in piece
+                (joined if fits else alone).append(i)
             out: list[bytes] = [b""] * len(pieces)
             for i, ids in zip(alone, plain([pieces[i] for i in alone]), strict=True):
                 out[i] = ids
@@ -164,7 +172,7 @@ def encoder(path: str) -> PieceCache:
                     out[i] = data[a:b]
             return out
 
-        _ENCODERS[path] = PieceCache(encode)
+        _ENCODERS[path] = PieceCache(encode, KEPT_PIECES)
     return _ENCODERS[path]
 
 
