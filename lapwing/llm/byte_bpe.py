@@ -32,7 +32,7 @@ class ByteBpe:
     ``ranks`` holds every single byte and, for every longer token, tokens of lower rank that merge into it.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, kept_pairs: int = 500_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, kept_pairs: int = 200_000):
         import ahocorasick
         import regex
 
@@ -156,7 +156,7 @@ def codec(path: str, pattern: str) -> tuple[ByteBpe, PieceCache]:
         known: dict[str, bytes] = {}
 
         def encode(pieces: list[str]) -> Iterator[bytes]:
-            if len(known) > 250_000:
+            if len(known) > 100_000:
                 known.clear()
             for piece in pieces:
                 parts = bpe.split(piece)
