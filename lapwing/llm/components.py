@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 from lapwing.session import durable
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """A stored table for what is far smaller than the documents: an eighth of the shuffle's partitions, 8 at least.
+
+    Every file costs its writer a process (the local file system sets its mode by one), so small tables get few.
+    """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return durable(df.coalesce(max(8, partitions // 8)))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(``node``, ``root``) of every node that is in a link (``a``, ``b``); the root is the smallest node reachable.
 
@@ -17,7 +26,7 @@ def components(links: DataFrame) -> DataFrame:
     null end and links from a node to itself say nothing.
     """
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges, mark = durable(edges), None
+    edges, mark = stored(edges), None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -25,7 +34,7 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         near = large.join(least, "a")
         small = near.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        edges = durable(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        edges = stored(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
         if now == mark:
             break

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lapwing.llm.components import components
+from lapwing.llm.components import components, stored
 from lapwing.session import durable
 
 #: Longest surplus l of a frequency-ordered prefix.
@@ -204,14 +204,14 @@ def _block_links(posts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         .alias("slot"),
     )
     block = F.xxhash64("family", F.coalesce("pure", F.lit(-1)), F.col("pure").isNull(), "slot")
-    placed = durable(placed.withColumn("block", block))
+    placed = stored(placed.withColumn("block", block))
     blocks = placed.select("family", "pure", "block").distinct()
     mixed = blocks.alias("x").join(
         blocks.alias("y"), F.expr("x.family = y.family AND (x.block < y.block OR x.block = y.block AND x.pure IS NULL)"
                                   " AND NOT (x.pure <=> y.pure AND x.pure IS NOT NULL)")
     )
     pairs = mixed.select(F.col("x.block").alias("left"), F.col("y.block").alias("right"))
-    whole = durable(placed.select("block", "rep", "root").join(sets, "rep"))
+    whole = stored(placed.select("block", "rep", "root").join(sets, "rep"))
     task = F.xxhash64("left", "right").alias("task")
     one = pairs.select(task, F.col("left").alias("block"), F.lit(0).alias("side"))
     two = pairs.select(task, F.col("right").alias("block"), F.lit(1).alias("side"))
@@ -272,19 +272,19 @@ def similar_documents(
     posts = reps.select("rep", "need", F.explode("tokens").alias("token"))
     common = posts.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token")
     met = posts.join(common, "token").groupBy("rep").agg(F.count("*").alias("c"), F.min("need").alias("need"))
-    able = durable(met.where("c >= need").select("rep"))
+    able = stored(met.where("c >= need").select("rep"))
     texts = docs.select(F.col(id_column).cast("long").alias("rep"), F.col(text_column).alias("text"))
     sets = durable(_full_sets(texts.join(able, "rep", "left_semi"), words))
 
-    prefixes = durable(_prefixes(sets, percent))
-    links = durable(verify(_leader_pairs(prefixes), sets, percent))
+    prefixes = stored(_prefixes(sets, percent))
+    links = stored(verify(_leader_pairs(prefixes), sets, percent))
     roots = components(links)
     rooted = prefixes.join(roots, prefixes["rep"] == roots["node"], "left")
-    rooted = durable(rooted.select("rep", "n", "alone", "l", "token", F.coalesce("root", "rep").alias("root")))
+    rooted = stored(rooted.select("rep", "n", "alone", "l", "token", F.coalesce("root", "rep").alias("root")))
     # Shingles whose documents are all of one class have nothing left to join.
     usage = rooted.groupBy("token").agg(F.count("*").alias("g"), F.min("root").alias("r"), F.max("root").alias("s"))
     usage = usage.where("r < s").select("token", (F.col("g") > LISTED).alias("frequent"))
-    open_posts = durable(rooted.join(usage, "token"))
+    open_posts = stored(rooted.join(usage, "token"))
     listed = verify(_listed_pairs(open_posts.where("NOT frequent"), percent), sets, percent)
     blocks = _block_links(open_posts.where("frequent"), sets, percent)
 
