@@ -61,10 +61,13 @@ def triples(words: list[str]) -> set[tuple[str, ...]]:
 
 @dataclass
 class Index:
-    """Terms by number; impacts by piece, block maxima by term, and the items' parts for verification."""
+    """Terms by number; impacts by piece, block maxima by term, and the items' parts for verification.
+
+    ``row`` is the text of each piece, by place; ``keys`` and ``parts`` are the id and the parts of each text.
+    """
 
     terms: dict[str, int]
-    item: np.ndarray
+    row: np.ndarray
     starts: np.ndarray
     piece_terms: np.ndarray
     impacts: np.ndarray
@@ -72,7 +75,8 @@ class Index:
     ups: np.ndarray
     up_blocks: np.ndarray
     up_values: np.ndarray
-    parts: dict[int, tuple[set, set]]
+    keys: list[int]
+    parts: list[tuple[set, set]]
 
     @property
     def blocks(self) -> int:
@@ -82,16 +86,18 @@ class Index:
 def build_index(items: list[tuple[int, str]], df: dict[str, int] | None = None, count: int | None = None) -> Index:
     """The index of ``items`` (id, text); ``df`` and ``count`` are those of all items when these are a part of them."""
     pieces: list[tuple[int, list[str]]] = []
-    parts = {}
+    keys, parts = [], []
     for key, text in items:
         words = words_of(text)
         if not words:
             continue
         question, answer = question_and_answer(text)
-        parts[key] = (triples(question), triples(answer))
+        row = len(keys)
+        keys.append(key)
+        parts.append((triples(question), triples(answer)))
         n = -(-len(words) // PIECE)
         edges = np.linspace(0, len(words), n + 1).astype(int)
-        pieces += [(key, words[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        pieces += [(row, words[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
     if df is None:
         df = Counter(w for _, text in items for w in set(words_of(text)))
         count = len(items)
@@ -135,13 +141,13 @@ def build_index(items: list[tuple[int, str]], df: dict[str, int] | None = None,
     np.maximum.at(values, back, impact[strong])
     ups = np.searchsorted(cells, np.arange(len(terms) + 1) * max(1, blocks))
     return Index(
-        terms, np.array([key for key, _ in pieces], np.int64), np.array(starts), piece_terms, impact, rest,
-        ups, (cells % max(1, blocks)).astype(np.int32), values, parts,
+        terms, np.array([row for row, _ in pieces], np.int64), np.array(starts), piece_terms, impact, rest,
+        ups, (cells % max(1, blocks)).astype(np.int32), values, keys, parts,
     )
 
 
 def leaks_of(texts: list[str], index: Index) -> list[list[tuple[int, float, float, float]]]:
-    """For each text, (item, score, question share, answer share) of every item found in it."""
+    """For each text, (item, score, question share, answer share) of every text of an item found in it."""
     out: list[list[tuple[int, float, float, float]]] = [[] for _ in texts]
     if not index.blocks:
         return out
@@ -179,26 +185,31 @@ def leaks_of(texts: list[str], index: Index) -> list[list[tuple[int, float, floa
             lo, hi = np.searchsorted(half_of, [w, w + 2])
             present, at_window = term[lo:hi], w
             marks[present] = True
-        p, q = b * BLOCK, min((b + 1) * BLOCK, len(index.item))
+        p, q = b * BLOCK, min((b + 1) * BLOCK, len(index.row))
         s, e = index.starts[p], index.starts[q]
         hit = index.impacts[s:e] * marks[index.piece_terms[s:e]]
         scores = np.add.reduceat(hit, index.starts[p:q] - s)
         doc = int(np.searchsorted(first, w, "right")) - 1
         for i in np.flatnonzero(scores >= THRESHOLD):
-            pair = (doc, int(index.item[p + i]))
+            pair = (doc, int(index.row[p + i]))
             found[pair] = max(found.get(pair, 0.0), float(scores[i]))
     held: dict[int, set] = {}
-    for (doc, key), value in sorted(found.items()):
+    for (doc, row), value in sorted(found.items()):
         if doc not in held:
             held[doc] = triples(lists[doc])
-        shares = [_share(part, held[doc], lists[doc]) for part in index.parts[key]]
+        shares = [_share(part, held[doc], lists[doc]) for part in index.parts[row]]
         if shares[0] >= QUESTION and shares[1] >= ANSWER:
-            out[doc].append((key, value, *shares))
+            out[doc].append((index.keys[row], value, *shares))
     return out
 
 
 def _share(part: set[tuple[str, ...]], held: set[tuple[str, ...]], words: list[str]) -> float:
-    """Share of a part's triples that a document holds; fewer than three words are looked for as they stand."""
+    """Share of a part's triples that a document holds; fewer than three words are looked for as they stand.
+
+    The question of an item of one word has no words and counts as held.
+    """
+    if not part:
+        return 1.0
     short = next(iter(part))
     if len(short) < 3:
         return float(any(tuple(words[i : i + len(short)]) == short for i in range(len(words) - len(short) + 1)))
@@ -211,12 +222,13 @@ def find_leaks(
 ) -> DataFrame:
     """(``id``, ``item_id``, ``score``, ``question``, ``answer``) of every leak; documents without one have no row.
 
-    Items with a null id or no words match nothing; items with the same id are several texts of one.  Null and empty
-    documents hold nothing.  Repeated documents are repeated in the result.  Items come in indexes of at most
-    ``SHARD``, each of which passes over the documents once; term statistics are those of all items.
+    Items with a null id or no words match nothing; items with the same id are several texts of one, each of them with a
+    row for a document that holds it; repeated rows of the benchmark count once.  Null and empty documents hold nothing.
+    Repeated documents are repeated in the result.  Texts of items come in indexes of about ``SHARD``, each of which
+    passes over the documents once; term statistics are those of all items.
     """
     items = benchmark.where(F.col(item_column).isNotNull() & F.col(item_text).isNotNull())
-    items = durable(items.select(F.col(item_column).cast("long").alias("item"), F.col(item_text).alias("text")))
+    items = durable(items.select(F.col(item_column).cast("long").alias("item"), F.col(item_text).alias("text")).distinct())
     total = items.count()
     shards = max(1, -(-total // SHARD))
     rows = docs.where(F.col(text_column).isNotNull()).select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))

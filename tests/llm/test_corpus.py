@@ -236,6 +236,19 @@ def test_shards_find_the_same(spark, monkeypatch):
     assert got == [(1, 1), (2, 2)]
 
 
+@pytest.mark.parametrize("shard", [20_000, 1])
+def test_texts_of_one_item_and_items_of_one_word(spark, monkeypatch, shard):
+    monkeypatch.setattr(decontaminate, "SHARD", shard)
+    one, two = ITEMS[0][1], ITEMS[1][1]
+    schema = "item_id long, text string"
+    items = spark.createDataFrame([(1, one), (1, two), (1, two), (5, "short one"), (6, "Zebra."), (7, one)], schema)
+    rows = [(1, one), (2, two), (3, "a zebra there"), (4, "a short one there"), (5, "only a brief one"), (6, f"{one} x {two}")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["id"], r["item_id"]) for r in decontaminate.find_leaks(frame, items).collect())
+    assert got == [(1, 1), (1, 7), (2, 1), (3, 6), (4, 5), (6, 1), (6, 1), (6, 7)]
+    assert sorted(r["doc_id"] for r in decontaminate.drop_leaks(frame, items).collect()) == [5]
+
+
 def plain_scores(text, items):
     """BM25 of every window and piece by the formula, without bounds."""
     df, n = Counter(w for _, t in items for w in set(decontaminate.words_of(t))), len(items)
