@@ -105,6 +105,24 @@ def test_pii_adds_accounts_and_scores(spark, nothing):
     assert pii.pii_digest(nothing).count() == 0
 
 
+def test_pii_accounts_end_where_the_checksum_says(spark):
+    spain, austria, britain = "ES91 2100 0418 4502 0005 1332", "AT61 1904 3002 3457 3201", "GB82 WEST 1234 5698 7654 32"
+    joined = [number.replace(" ", "") for number in (spain, austria, britain)]
+    cases = [
+        (f"é {number}{after}", [(2, 2 + len(number))])
+        for number in (spain, austria, britain, *joined)
+        for after in ("", ".", " El banco", " Bank", " BANK", " BANK OF X", " A", " 12", " 2024 12", " x", ", x", "\n", "😀")
+    ]
+    cases += [(f"{number}{after}", []) for number in (spain, *joined) for after in ("x", "9z", "A")]
+    # Heads that are no number hide none, and a number may follow another at once.
+    cases += [(f"AB12 3456 7890 {austria}", [(15, 39)]), (f"{austria} {spain} Q", [(0, 24), (25, 54)]), (f"X{austria}", [])]
+    cases += [("ES92" + spain[4:] + " El", []), ("AB12 3456 " * 300, []), ("AB12" * 5000, [])]
+    frame = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(cases)], "doc_id long, text string").repartition(4)
+    for row in pii.find_pii(frame).collect():
+        text, want = cases[row["id"]]
+        assert [(s["start"], s["end"]) for s in row["found"] if s["kind"] == "iban"] == want, text
+
+
 @pytest.mark.parametrize(
     ("html", "text"),
     [
