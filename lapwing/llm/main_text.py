@@ -3,12 +3,15 @@
 The page becomes lines, one for each block of text, with the number of tags in it.  The ratio of text to tags is smoothed
 along the page with a Gaussian and lines above a threshold mark content.  Lines are clustered by the element that holds
 them; a cluster with a marked line is a content region and is kept whole, so that short paragraphs of an article stay.
-What the markup itself names as something else (menus, notices, adverts, forms, comments) never enters a cluster.
+An article in the markup is a prior: where a page has one, the ratios outside of it count less.
+What the markup itself names as something else (menus, notices, adverts, forms, comments) never enters a cluster,
+unless the element so named holds the page's largest article or, on pages without one, most of the text.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -39,10 +42,28 @@ OTHER_WORDS = frozenset(
     " replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe teaser toolbar"
     " widget widgets".split()
 )
+#: Words that may stand beside them in a name; any other word makes it the name of something else (has-sidebar).
+PLAIN_WORDS = frozenset(
+    "area bar block bottom box button buttons container footer global group icons inner item items left link links list"
+    " page panel post posts primary right secondary section site slot stories top unit".split()
+)
+#: Elements among the silent that can wrap a whole page.
+WRAPPERS = frozenset(("form", "fieldset"))
 _NAME = re.compile(r"[a-z]+")
 
 #: Width of the smoothing in lines, and the share of the ratios' spread that a marked line exceeds.
 SIGMA, SPREAD = 1.5, 0.5
+#: What a ratio outside the articles of a page counts.
+OUTSIDE = 0.25
+
+
+def _names_other(value: str, allowed: frozenset[str] = frozenset()) -> bool:
+    """Whether one of the names in a class or id, taken whole, is that of something else than the article."""
+    for name in value.split():
+        words = set(_NAME.findall(name))
+        if words <= OTHER_WORDS | PLAIN_WORDS and words & OTHER_WORDS - allowed:
+            return True
+    return False
 
 
 class _Lines(HTMLParser):
@@ -50,24 +71,27 @@ class _Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, bool]] = []
-        #: Open elements that matter: (tag, silent, article, region).
-        self.open: list[tuple[str, bool, bool, int]] = []
-        self.parts: list[str] = []
+        #: (parts with the named elements that hold them, tags, region, open articles).
+        self.found: list[tuple[list[tuple[str, tuple[int, ...]]], int, int, tuple[int, ...]]] = []
+        #: Open elements that matter: (tag, silent, article or 0, region, named elements that hold it).
+        self.open: list[tuple[str, bool, int, int, tuple[int, ...]]] = []
+        self.parts: list[tuple[str, tuple[int, ...]]] = []
         self.tags = 0
         self.regions = 0
+        self.articles = 0
+        self.named = 0
+        #: The named elements that hold each article.
+        self.holders: dict[int, tuple[int, ...]] = {}
 
     def _end_line(self) -> None:
-        text = " ".join("".join(self.parts).split())
-        if text:
+        if self.parts:
             region = self.open[-1][3] if self.open else 0
-            self.lines.append((text, self.tags, region, any(x[2] for x in self.open)))
+            self.found.append((self.parts, self.tags, region, tuple(x[2] for x in self.open if x[2])))
             self.tags = 0
         self.parts = []
 
-    def _is_other(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-        in_article = any(x[2] for x in self.open)
-        if tag in SILENT or (tag == "header" and not in_article):
+    def _is_hidden(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+        if tag in SILENT and tag not in WRAPPERS:
             return True
         for name, value in attrs:
             value = (value or "").lower()
@@ -75,15 +99,20 @@ class _Lines(HTMLParser):
                 return True
             if name == "style" and "display:none" in value.replace(" ", ""):
                 return True
+        return False
+
+    def _is_named(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+        in_article = any(x[2] for x in self.open)
+        if tag in WRAPPERS or (tag == "header" and not in_article):
+            return True
+        for name, value in attrs:
+            value = (value or "").lower()
             if name == "role" and value in OTHER_ROLES:
                 return True
             if name in ("class", "id") and tag not in ("html", "body", *ARTICLES):
-                words = set(_NAME.findall(value))
-                if in_article:
-                    words -= {"header"}
-                if words & OTHER_WORDS:
+                if _names_other(value, frozenset(("header",)) if in_article else frozenset()):
                     return True
-            elif name in ("class", "id") and tag in ARTICLES and {"comment", "teaser"} & set(_NAME.findall(value)):
+            elif name in ("class", "id") and tag in ARTICLES and {"comment", "teaser"} & set(value.split()):
                 return True
         return False
 
@@ -95,20 +124,28 @@ class _Lines(HTMLParser):
                 while self.open and self.open[-1][0] in SELF_ENDING and self.open[-1][0] not in CONTAINERS:
                     self.open.pop()
         elif tag == "br":
-            self.parts.append(" ")
+            self.parts.append((" ", self.open[-1][4] if self.open else ()))
         self.tags += 1
         if tag in VOID:
             return
         silent = bool(self.open and self.open[-1][1])
-        other = silent or self._is_other(tag, attrs)
-        if other or tag in CONTAINERS:
-            article = tag in ARTICLES and not other
-            inside = any(x[2] for x in self.open)
-            if tag in CONTAINERS and not inside:
+        hidden = silent or self._is_hidden(tag, attrs)
+        named = self.open[-1][4] if self.open else ()
+        is_named = not hidden and self._is_named(tag, attrs)
+        if is_named:
+            self.named += 1
+            named = (*named, self.named)
+        if hidden or named or tag in CONTAINERS:
+            article = 0
+            if tag in ARTICLES and not hidden and not is_named:
+                self.articles += 1
+                article = self.articles
+                self.holders[article] = named
+            region = self.open[-1][3] if self.open else 0
+            if tag in CONTAINERS:
                 self.regions += 1
-            # An article is one region, whatever elements it is made of.
-            region = self.open[-1][3] if inside else self.regions
-            self.open.append((tag, other, article, region))
+                region = self.regions
+            self.open.append((tag, hidden, article, region, named))
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
@@ -124,34 +161,58 @@ class _Lines(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if not (self.open and self.open[-1][1]):
-            self.parts.append(data)
+            self.parts.append((data, self.open[-1][4] if self.open else ()))
+
+    def _kept(self) -> frozenset[int]:
+        """Named elements that are not silent: those that hold the largest article, or most of a page without one."""
+        sizes, articles = Counter(), Counter()
+        total = 0
+        for parts, _, _, inside in self.found:
+            for text, named in parts:
+                size = len("".join(text.split()))
+                total += size
+                sizes.update(dict.fromkeys(named, size))
+                for article in inside:
+                    # What has a name of its own inside an article is not counted for it.
+                    if named == self.holders[article]:
+                        articles[article] += size
+        if articles:
+            return frozenset(self.holders[max(articles, key=lambda article: (articles[article], -article))])
+        return frozenset(key for key, size in sizes.items() if 2 * size > total)
 
     def finish(self) -> list[tuple[str, int, int, bool]]:
         self.close()
         self._end_line()
-        return self.lines
-
-
-def marked(ratios: np.ndarray) -> np.ndarray:
-    """Lines whose smoothed ratio of text to tags is above the threshold."""
+        kept = self._kept()
+        lines, carried = [], 0
+        for parts, tags, region, inside in self.found:
+            text = " ".join("".join(data for data, named in parts if kept.issuperset(named)).split())
+            carried += tags
+            if text:
+                lines.append((text, carried, region, bool(inside)))
+                carried = 0
+        return lines
+
+
+def marked(ratios: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """Lines whose smoothed ratio of text to tags, times their prior, is above the threshold."""
     reach = int(np.ceil(3 * SIGMA))
     kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / SIGMA) ** 2)
     weight = np.convolve(np.ones(len(ratios)), kernel)[reach : reach + len(ratios)]
     smooth = np.convolve(ratios, kernel)[reach : reach + len(ratios)] / weight
-    return smooth >= SPREAD * ratios.std()
+    return smooth * prior >= SPREAD * (ratios * prior).std()
 
 
 def main_text(html: str) -> str:
     parser = _Lines()
     parser.feed(html)
     lines = parser.finish()
-    if any(line[3] for line in lines):
-        # An article in the markup bounds where content is.
-        lines = [line for line in lines if line[3]]
     if not lines:
         return ""
     ratios = np.array([len(text) / max(1, tags) for text, tags, _, _ in lines])
-    regions = {line[2] for line, good in zip(lines, marked(ratios), strict=True) if good}
+    inside = np.array([line[3] for line in lines])
+    prior = np.where(inside | ~inside.any(), 1.0, OUTSIDE)
+    regions = {line[2] for line, good in zip(lines, marked(ratios, prior), strict=True) if good}
     return "\n".join(text for text, _, region, _ in lines if region in regions)
 
 

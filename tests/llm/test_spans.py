@@ -142,6 +142,52 @@ def test_main_text(html, text):
     assert main_text.main_text(html) == text
 
 
+PROSE = "The river ran past the old stone house, and nobody in the village could say who had built it."
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        (f"<div class='{name}'><nav>menu</nav><article><h1>T</h1><p>{PROSE}</p></article></div>", f"T\n{PROSE}")
+        for name in ("site has-sidebar", "content-sidebar-wrap", "sidebar", "widget", "header")
+    ]
+    + [
+        (f"<form><div id=page><main><p>{PROSE}</p></main></div><input></form>", PROSE),
+        # Without an article: the same wrappers, and named elements that hold little.
+        (f"<div class='site has-sidebar'><p>{PROSE}</p><div class=sidebar>links</div></div>", PROSE),
+        (f"<div class='sidebar'><p>{PROSE}</p><p>{PROSE}</p></div><p>{PROSE}</p>", "\n".join([PROSE] * 3)),
+        (f"<form><p>{PROSE}</p></form><div class=site-footer>f</div>", PROSE),
+        # Inside an article: whole names only; other articles and what they hold don't come back.
+        (f"<article><p class=has-share>{PROSE}</p><p>{PROSE}</p><div class=share>s</div></article>", f"{PROSE}\n{PROSE}"),
+        (f"<article><p>{PROSE}</p></article><div class=related-posts><article><p>more</p></article></div>", PROSE),
+        (f"<article><p>{PROSE}</p><div class=comments><p>{PROSE}</p><p>{PROSE}</p></div></article>", PROSE),
+    ],
+)
+def test_names_of_wrappers(html, text):
+    assert main_text.main_text(html) == text
+
+
+LINKS = "".join(f"<li><a href=x>l{i}</a></li>" for i in range(9))
+LONG = " ".join([PROSE] * 3)
+LONG_LINES = "\n".join([LONG] * 5)
+LONG_HTML = f"<p>{LONG}</p>" * 5
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        # The ratio drops regions inside an article, and keeps them outside of it where they are as dense.
+        (f"<article><div><ul>{LINKS}</ul></div><hr><div>a</div><div>b</div><div>c</div><div>{LONG_HTML}</div></article>", None),
+        (f"<article>{LONG_HTML}</article><div>{LONG_HTML}</div>", f"{LONG_LINES}\n{LONG_LINES}"),
+        (f"<article>{LONG_HTML}</article><div><ul>{LINKS}</ul></div>", LONG_LINES),
+        (f"<div>{LONG_HTML}</div><div><div>Posted in news</div></div><ul>{LINKS}</ul>", None),
+    ],
+)
+def test_ratio_selects_regions(html, text):
+    got = main_text.main_text(html)
+    assert got == text if text is not None else (LONG_LINES in got and "l0\n" not in got and "l8" not in got)
+
+
 def test_pages(spark):
     rows = [(1, "u", "<p>x</p>", "t"), (1, "u", "<p>x</p>", "t"), (None, None, None, None)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
