@@ -10,6 +10,7 @@ exception list.  The payload begins with an index of the blocks' starts, so that
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -138,7 +139,6 @@ def encoder(path: str) -> PieceCache:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as file:
             kinds = json.load(file)
         splitter = kinds.get("pre_tokenizer") or {}
@@ -172,7 +172,24 @@ def encoder(path: str) -> PieceCache:
                     out[i] = data[a:b]
             return out
 
-        _ENCODERS[path] = PieceCache(encode, KEPT_PIECES)
+        cache = PieceCache(encode, KEPT_PIECES)
+        whole = cache.ids
+        # Marks of the tokenizer written in a text are ids of their own and end what stands before them.
+        marks = [token["content"] for token in kinds.get("added_tokens") or []]
+        marked = re.compile("|".join(map(re.escape, marks))) if marks else None
+
+        def ids(texts: list[str]) -> list[bytes]:
+            odd = [i for i, text in enumerate(texts) if marked and marked.search(text)]
+            if not odd:
+                return whole(texts)
+            at = set(odd)
+            out = dict(zip(odd, plain([texts[i] for i in odd]), strict=True))
+            rest = [i for i in range(len(texts)) if i not in at]
+            out.update(zip(rest, whole([texts[i] for i in rest]), strict=True))
+            return [out[i] for i in range(len(texts))]
+
+        cache.ids = ids
+        _ENCODERS[path] = cache
     return _ENCODERS[path]
 
 

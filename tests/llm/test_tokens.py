@@ -73,6 +73,20 @@ def test_pieces_encode_like_the_whole(tokenizer):
     assert token_blocks.encoder(JSON).ids(texts) == want
 
 
+def test_marks_in_texts_encode_like_the_library():
+    from tokenizers import Tokenizer
+
+    default = Tokenizer.from_file(JSON)
+    rng = random.Random(6)
+    parts = ["<|endoftext|>", "<|endoftext|", "one", " ", "  ", "\n", "é", "two", "<|", "."]
+    texts = ["one<|endoftext|>two", "<|endoftext|>", "a  <|endoftext|>  b", "plain text", ""]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(500)]
+    want = [np.array(e.ids, "<u4").tobytes() for e in default.encode_batch(texts, add_special_tokens=False)]
+    assert np.frombuffer(want[0], "<u4").tolist() == [505, 50256, 11545]
+    assert token_blocks.encoder(JSON).ids(texts) == want
+    assert token_blocks.encoder(JSON).ids(texts[3:5]) == want[3:5] and token_blocks.encoder(JSON).ids([]) == []
+
+
 def test_piece_cache_is_bounded():
     cache = PieceCache(lambda pieces: [p.encode() for p in pieces], limit=10)
     for i in range(100):
