@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lapwing.llm import byte_bpe, decontaminate, line_dedup, quality_rules, shingle_join
 from lapwing.llm.queries import BATCH_ROWS, table
@@ -31,9 +32,13 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Token ids of each document, with the size of what they decode to."""
+    """Token ids of each document, with the size and the digest of what they decode to; ``id`` is ``doc_id`` again."""
     file, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    return byte_bpe.encode_documents(docs, file, pattern)
+    encoded = byte_bpe.encode_documents(docs, file, pattern)
+    return byte_bpe.decode_documents(encoded, file, pattern, keep_ids=True).select(
+        F.col("id").alias("doc_id"), "id", "ids", "n_tokens", F.octet_length("decoded").alias("n_bytes"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
 
 
 STAGES = [

@@ -187,8 +187,12 @@ def encode_documents(
     return rows.mapInArrow(encode, f"id {rows.schema['id'].dataType.simpleString()}, ids binary")
 
 
-def decode_documents(encoded: DataFrame, ranks: str, pattern: str) -> DataFrame:
-    """``id``, n_tokens, ids_sha256 and ``decoded``, the bytes of the ids, for rows of ``encode_documents``."""
+def decode_documents(encoded: DataFrame, ranks: str, pattern: str, keep_ids: bool = False) -> DataFrame:
+    """``id``, n_tokens, ids_sha256 and ``decoded``, the bytes of the ids, for rows of ``encode_documents``.
+
+    With ``keep_ids`` also their ``ids``.
+    """
+    names = ["id", "n_tokens", "ids_sha256", "decoded", *(["ids"] if keep_ids else [])]
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, _ = codec(ranks, pattern)
@@ -200,9 +204,11 @@ def decode_documents(encoded: DataFrame, ranks: str, pattern: str) -> DataFrame:
                     pa.array([len(d) // 4 for d in data], pa.int64()),
                     pa.array([hashlib.sha256(d).hexdigest() for d in data]),
                     pa.array([bpe.decode(np.frombuffer(d, "<u4").tolist()) for d in data], pa.binary()),
+                    *([batch.column(1)] if keep_ids else []),
                 ],
-                names=["id", "n_tokens", "ids_sha256", "decoded"],
+                names=names,
             )
 
     kind = encoded.schema["id"].dataType.simpleString()
-    return encoded.mapInArrow(decode, f"id {kind}, n_tokens long, ids_sha256 string, decoded binary")
+    more = ", ids binary" if keep_ids else ""
+    return encoded.mapInArrow(decode, f"id {kind}, n_tokens long, ids_sha256 string, decoded binary{more}")

@@ -300,5 +300,13 @@ def test_pipeline_stage_by_stage(spark):
     assert {r["id"] for r in last.select("id").collect()} == set(rows)
 
 
+def test_pipeline_decodes_what_it_encodes(spark, docs, texts):
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, "")
+    assert last.columns == ["doc_id", "id", "ids", "n_tokens", "n_bytes", "decoded_sha256"]
+    got = {r["doc_id"]: (r["n_bytes"], r["decoded_sha256"]) for r in last.collect()}
+    assert got == {k: (len(data := (t or "").encode()), hashlib.sha256(data).hexdigest()) for k, t in texts}
+    assert last.where("n_tokens != octet_length(ids) / 4 or id != doc_id").count() == 0
+
+
 def test_pipeline_runs(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 50
