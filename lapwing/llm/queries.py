@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 
 from lapwing.llm import (
     byte_bpe,
+    collocations,
     decontaminate,
     line_dedup,
     main_text,
+    packing,
     pii,
     quality_rules,
     secret_scan,
     shingle_join,
+    spelling,
     token_blocks,
     toxicity,
 )
@@ -107,3 +110,20 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.withColumnRenamed("id", "doc_id")
+
+
+@query("op11_spelling_variants", spelling.ORACLE_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, folder, "documents"))
+
+
+@query("op12_packing")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    pieces = packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return pieces.withColumnRenamed("id", "doc_id")
+
+
+@query("op13_collocations", collocations.ORACLE_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
