@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapwing.operators.features import FEATURES, NONLINEAR
@@ -16,6 +16,10 @@ from lapwing.operators.percentiles import conformal_rank, grouped_percentiles
 LINEAR_NAMES = tuple(FEATURES)
 NONLINEAR_NAMES = (*LINEAR_NAMES, *NONLINEAR)
 
+# Strengths of the penalty, for the linear and the nonlinear ridge.
+PACE_STRENGTHS = (25.0, 40.0)
+TYRE_STRENGTHS = (40.0, 60.0)
+
 
 @dataclass(frozen=True)
 class Ridge:
@@ -115,15 +119,159 @@ def select_model(validation: DataFrame, target: str, candidates: dict[str, Colum
     return min(scores, key=scores.__getitem__), scores
 
 
-def train_candidates(train: DataFrame, validation: DataFrame, target: str, baseline: Column, linear: float, nonlinear: float):
-    """(chosen name, its column, scores, models) over baseline and two ridges."""
-    models = {
-        "ridge-linear": fit_ridge(train, LINEAR_NAMES, target, linear),
-        "ridge-nonlinear": fit_ridge(train, NONLINEAR_NAMES, target, nonlinear),
+def aged(age: Column) -> dict[str, Column]:
+    """Feature columns that change with the tyre age while all else stays."""
+    return {
+        "tyre_age_laps": age, "tyre_age_squared": age * age, "tyre_age_x_lap": age * F.col("lap_number"),
+        "tyre_age_x_track_temperature": age * F.col("track_temperature_c"),
     }
-    columns = {"baseline": baseline, **{n: score_ridge(m) for n, m in models.items()}}
-    name, scores = select_model(validation, target, columns)
-    return name, columns[name], scores, models
+
+
+@dataclass(frozen=True)
+class Choice:
+    """The model chosen for one target: a ridge, or a baseline column (0 where it has none)."""
+
+    target: str
+    selected: str
+    model: Ridge | None
+    baseline: str | None
+    validation_mae: dict[str, float]
+    widths: dict[str, float]
+
+    def prediction(self, override: dict[str, Column] | None = None) -> Column:
+        if self.model is not None:
+            return score_ridge(self.model, override)
+        return F.lit(0.0) if self.baseline is None else F.col(self.baseline).cast("double")
+
+    def to_json(self) -> str:
+        return json.dumps(asdict(self))
+
+    @staticmethod
+    def from_json(text: str) -> Choice:
+        raw = json.loads(text)
+        if raw["model"] is not None:
+            raw["model"] = Ridge.from_json(json.dumps(raw["model"]))
+        return Choice(**raw)
+
+
+def train_candidates(
+    train: DataFrame, validation: DataFrame, calibration: DataFrame, target: str, baseline: str | None,
+    linear: float, nonlinear: float, chunk_rows: int, names: Sequence[str] = LINEAR_NAMES,
+    more_names: Sequence[str] = NONLINEAR_NAMES,
+) -> Choice:
+    """The best of a baseline and two ridges by validation MAE, with widths from the calibration rows.
+
+    ``baseline`` is the column that the baseline predicts, None for zero.
+    """
+    models: dict[str, Ridge | None] = {
+        "zero-residual-baseline" if baseline is None else "rolling-median-baseline": None,
+        "ridge-linear": fit_ridge(train, names, target, linear),
+        "ridge-nonlinear": fit_ridge(train, more_names, target, nonlinear),
+    }
+    candidates = {name: Choice(target, name, model, baseline, {}, {}) for name, model in models.items()}
+    name, scores = select_model(validation, target, {n: c.prediction() for n, c in candidates.items()})
+    chosen = candidates[name]
+    rows = calibration.withColumn("__p", chosen.prediction())
+    return replace(chosen, validation_mae=scores, widths=_widths(rows, target, "__p", chunk_rows))
+
+
+def _widths(rows: DataFrame, actual: str, predicted: str, chunk_rows: int) -> dict[str, float]:
+    row = conformal_widths(rows, actual, predicted, (), chunk_rows).head()
+    if row is None or row["width_80"] is None:
+        raise ValueError("calibration rows are empty")
+    return {"80": float(row["width_80"]), "90": float(row["width_90"])}
+
+
+@dataclass(frozen=True)
+class PitChoice:
+    """The chosen pit-loss estimator; the circuits of its training rows are a table beside it."""
+
+    selected: str
+    global_median: float
+    validation_mae: dict[str, float]
+    widths: dict[str, float]
+
+
+@dataclass(frozen=True)
+class Bundle:
+    """Everything scoring needs.  ``circuits`` has a row per trained circuit with its median, null where the global one
+    holds."""
+
+    pace: Choice
+    tyre: Choice
+    pit: PitChoice
+    circuits: DataFrame
+
+    def write(self, path: str) -> None:
+        """Store as two Parquet tables below ``path``."""
+        spark = self.circuits.sparkSession
+        row = (self.pace.to_json(), self.tyre.to_json(), json.dumps(asdict(self.pit)))
+        spark.createDataFrame([row], "pace string, tyre string, pit string").write.parquet(f"{path}/models")
+        self.circuits.write.parquet(f"{path}/circuits")
+
+
+def read_bundle(spark: SparkSession, path: str) -> Bundle:
+    row = spark.read.parquet(f"{path}/models").head()
+    return Bundle(
+        Choice.from_json(row["pace"]), Choice.from_json(row["tyre"]), PitChoice(**json.loads(row["pit"])),
+        spark.read.parquet(f"{path}/circuits"),
+    )
+
+
+def train_pit(
+    train: DataFrame, validation: DataFrame, calibration: DataFrame, loss: str, circuit: str, chunk_rows: int
+) -> tuple[PitChoice, DataFrame]:
+    """The pit-loss estimator by validation MAE and the circuits it knows (circuit, circuit_median)."""
+    row = prefer_circuit_median(pit_estimates(validation, train, loss, circuit, chunk_rows), loss).head()
+    overall = grouped_percentiles(train, (), loss, {"m": 0.5}, chunk_rows).head()
+    if overall is None or row["global_mae"] is None:
+        raise ValueError("training and validation stops are empty")
+    by_circuit = row["selected"] != "global-median"
+    known = train.select(circuit).distinct()
+    medians = pit_medians(train, loss, circuit, chunk_rows)
+    circuits = known.join(medians, circuit, "left") if by_circuit else known.withColumn(
+        "circuit_median", F.lit(None).cast("double")
+    )
+    middle = float(overall["m"])
+    estimated = calibration.join(circuits, circuit, "left").withColumn("__p", F.coalesce("circuit_median", F.lit(middle)))
+    choice = PitChoice(
+        row["selected"], middle,
+        {"global-median": row["global_mae"], "circuit-median-with-global-fallback": row["circuit_mae"]},
+        _widths(estimated, loss, "__p", chunk_rows),
+    )
+    return choice, circuits
+
+
+def train_bundle(
+    pace: DataFrame, stops: DataFrame, chunk_rows: int, circuit: str = "circuit_id",
+    pace_target: str = "target_lap_time_ms", tyre_target: str = "target_pace_residual_ms",
+    loss: str = "target_effective_loss_ms", names: Sequence[str] = LINEAR_NAMES, more_names: Sequence[str] = NONLINEAR_NAMES,
+) -> Bundle:
+    """Models of the next lap, of its distance from recent pace, and of the loss at a stop.
+
+    ``pace`` and ``stops`` are examples with their ``split``; an empty split is an error.
+    """
+    part = {name: pace.where(F.col("split") == name) for name in ("train", "validation", "calibration")}
+    choices = {
+        target: train_candidates(*part.values(), target, baseline, *strengths, chunk_rows, names, more_names)
+        for target, baseline, strengths in (
+            (pace_target, "rolling_median_3_ms", PACE_STRENGTHS), (tyre_target, None, TYRE_STRENGTHS)
+        )
+    }
+    halves = [stops.where(F.col("split") == name) for name in ("train", "validation", "calibration")]
+    pit, circuits = train_pit(*halves, loss, circuit, chunk_rows)
+    return Bundle(choices[pace_target], choices[tyre_target], pit, circuits)
+
+
+def bundle_metrics(pace: DataFrame, choice: Choice) -> DataFrame:
+    """Test error of a chosen model and of its baseline, and the coverage of its widths."""
+    error = F.abs(F.col(choice.target) - choice.prediction())
+    plain = F.abs(F.col(choice.target) - replace(choice, model=None).prediction())
+    return pace.where(F.col("split") == "test").agg(
+        F.lit(choice.target).alias("target"), F.lit(choice.selected).alias("selected"), F.count(F.lit(1)).alias("rows"),
+        F.avg(error).alias("mae_ms"), F.sqrt(F.avg(error * error)).alias("rmse_ms"), F.avg(plain).alias("baseline_mae_ms"),
+        *[F.avg((error <= F.lit(w)).cast("double")).alias(f"coverage_{n}") for n, w in choice.widths.items()],
+    )
 
 
 def pit_medians(train: DataFrame, loss: str, circuit: str, chunk_rows: int, minimum: int = 3) -> DataFrame:
@@ -155,40 +303,57 @@ def prefer_circuit_median(validation: DataFrame, loss: str, slack: float = 0.10)
 
 
 def predict(
-    featured: DataFrame, pace: Column, residual, widths: dict[str, float], tyre_widths: dict[str, float],
+    featured: DataFrame, bundle: Bundle, circuit: str = "circuit_id", finished: str = "session_finished",
     min_lap_ms: float = 50_000, max_lap_ms: float = 300_000, max_residual_ms: float = 30_000, horizon: int = 5,
 ) -> DataFrame:
-    """Lap predictions with intervals, a monotone wear curve and guard reasons.
+    """Lap predictions of a trained bundle: intervals, a monotone wear curve, the loss at a stop, or the guard that fails.
 
-    ``residual(age)`` gives the residual column at a tyre age.  The curve takes
-    the running maximum of the added loss, so it never falls.
+    ``featured`` holds the features with ``feature_reason``, the circuit and whether the session has finished.  The curve
+    takes the running maximum of the added loss, so it never falls.
     """
-    age = F.col("tyre_age_laps")
-    base = featured.withColumn("__pace", pace).withColumn("__now", residual(age))
-    for h in range(1, horizon + 1):
-        base = base.withColumn(f"__f{h}", residual(age + h))
+    pace, tyre, pit = bundle.pace, bundle.tyre, bundle.pit
+    known = bundle.circuits.select(
+        F.col(circuit), F.lit(True).alias("__known"), F.col("circuit_median").cast("double").alias("__median")
+    )
+    age = F.col("tyre_age_laps").cast("double")
+    base = featured.join(known, circuit, "left").withColumns(
+        {
+            "__pace": pace.prediction(), "__now": tyre.prediction(aged(age)),
+            **{f"__f{h}": tyre.prediction(aged(age + h)) for h in range(1, horizon + 1)},
+            "__loss": F.coalesce("__median", F.lit(pit.global_median)),
+        }
+    )
     ahead = [F.col(f"__f{h}") for h in range(1, horizon + 1)]
     wild = F.abs(F.col("__now")) > max_residual_ms
     for f in ahead:
         wild = wild | (F.abs(f) > max_residual_ms)
     reason = (
-        F.when(F.col("feature_reason").isNotNull(), F.col("feature_reason"))
+        F.when(F.coalesce(F.col(finished), F.lit(False)), "session_finished")
+        .when(F.col("feature_reason").isNotNull(), F.col("feature_reason"))
+        .when(F.col("__known").isNull(), "unsupported_circuit")
         .when(age + horizon > 100, "tyre_forecast_out_of_distribution")
         .when(~F.col("__pace").between(min_lap_ms, max_lap_ms), "implausible_pace_output")
-        .when(F.col("__pace") - widths["90"] <= 0, "implausible_prediction_interval")
+        .when(F.col("__pace") - pace.widths["90"] <= 0, "implausible_prediction_interval")
         .when(wild, "implausible_tyre_output")
     )
     steps = [F.greatest(F.lit(0.0), f - F.col("__now")) for f in ahead]
     curve = [F.greatest(*steps[: i + 1]) if i else steps[0] for i in range(horizon)]
     ok = reason.isNull()
+
+    def whole(value: Column, name: str) -> Column:
+        return F.when(ok, F.bround(value, 0)).alias(name)
+
     return base.select(
         "session_id", "driver_id", "lap_number", reason.alias("unavailable_reason"),
-        F.when(ok, F.bround("__pace", 0)).alias("predicted_lap_ms"),
-        *[F.when(ok, F.bround(F.col("__pace") - w, 0)).alias(f"lower_{n}") for n, w in widths.items()],
-        *[F.when(ok, F.bround(F.col("__pace") + w, 0)).alias(f"upper_{n}") for n, w in widths.items()],
-        F.when(ok, F.bround("__now", 0)).alias("residual_ms"),
-        *[F.lit(w).alias(f"residual_width_{n}") for n, w in tyre_widths.items()],
+        whole(F.col("__pace"), "predicted_lap_ms"),
+        *[whole(F.col("__pace") - w, f"lower_{n}") for n, w in pace.widths.items()],
+        *[whole(F.col("__pace") + w, f"upper_{n}") for n, w in pace.widths.items()],
+        whole(F.col("__now"), "residual_ms"),
+        *[whole(F.lit(w), f"residual_width_{n}") for n, w in tyre.widths.items()],
         F.when(ok, F.array(*[F.bround(c, 0) for c in curve])).alias("curve"),
+        whole(F.col("__loss"), "pit_loss_ms"),
+        *[whole(F.greatest(F.lit(0.0), F.col("__loss") - w), f"pit_lower_{n}") for n, w in pit.widths.items()],
+        *[whole(F.col("__loss") + w, f"pit_upper_{n}") for n, w in pit.widths.items()],
     )
 
 

@@ -15,6 +15,7 @@ from lapwing.operators.scan import following, scan, series, trailing
 from lapwing.plans.registry import query
 from lapwing.plans.replay_queries import PITS_SQL, W_TIMING
 from lapwing.plans.standin import DAY_MS, ROWS, TIMING_SQL, stored, table, timing
+from lapwing.session import shared_path
 
 W_FEED = "WITH " + TIMING_SQL
 CAR = ["session_id", "driver_id"]
@@ -327,18 +328,96 @@ def interval_coverage(spark, folder):
     return out.withColumns({c: F.round(c, 6) for c in ("coverage_80", "coverage_90")})
 
 
-@query("model_selection", EX_SQL + """,
-s AS (SELECT avg(abs(price - my)) AS baseline, avg(abs(price - predicted)) AS ridge FROM pr, mo WHERE split = 'validation')
-SELECT CASE WHEN ridge < baseline THEN 'ridge' ELSE 'baseline' END AS selected, round(baseline, 2) AS baseline_mae, round(ridge, 2) AS ridge_mae FROM s""")
-def model_selection(spark, folder):
-    rows = examples(spark, folder)
-    fitted = model(spark, folder)
-    valid = rows.where(F.col("split") == "validation")
-    name, scores = L.select_model(valid, "price", {"baseline": F.lit(fitted.intercept), "ridge": L.score_ridge(fitted)})
-    # Three scalars describe the choice, whatever the tables hold.
-    return spark.range(1).select(
-        F.lit(name).alias("selected"), F.round(F.lit(scores["baseline"]), 2).alias("baseline_mae"), F.round(F.lit(scores["ridge"]), 2).alias("ridge_mae")
+# ---- a trained bundle: line items as laps, parts as circuits, the last lines of an order as stops -------------
+
+BUNDLE_NAMES, BUNDLE_MORE = ("tyre_age_laps", "disc"), ("tyre_age_laps", "disc", "tyre_age_squared")
+
+
+def bundle_laps(spark, folder):
+    age = (F.col("l_quantity") * 2).cast("double")
+    laps = table(spark, folder, "lineitem").select(
+        F.col("l_orderkey").alias("session_id"), F.col("l_suppkey").alias("driver_id"), F.col("l_linenumber").alias("lap_number"),
+        F.col("l_partkey").alias("circuit_id"), age.alias("tyre_age_laps"), (age * age).alias("tyre_age_squared"),
+        (F.col("l_discount") * 100).cast("double").alias("disc"), (age * 700).alias("rolling_median_3_ms"),
+        F.col("l_extendedprice").cast("double").alias("target_lap_time_ms"),
+        (F.col("l_extendedprice").cast("double") - age * 700).alias("target_pace_residual_ms"),
+        F.round(F.col("l_extendedprice") * 100).cast("double").alias("target_effective_loss_ms"),
+        F.when(F.col("l_tax") == 0, "opening_lap").alias("feature_reason"), F.lit(20.0).alias("track_temperature_c"),
     )
+    ended = table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("session_id"), (F.col("o_orderstatus") == "F").alias("session_finished")
+    )
+    return M.assign_split(laps, corpus(spark, folder)).join(ended, "session_id")
+
+
+def bundle(spark, folder):
+    """The bundle trained on the whole table, stored and read back as scoring would."""
+    laps = bundle_laps(spark, folder)
+    stops = laps.where(F.col("lap_number") >= 6)
+    path = shared_path(spark, "bundle")
+    L.train_bundle(laps, stops, ROWS, names=BUNDLE_NAMES, more_names=BUNDLE_MORE).write(path)
+    return L.read_bundle(spark, path)
+
+
+def _solved(target: str, kind: str, strength: int) -> str:
+    """SQL of one ridge: two or three unknowns by Cramer's rule."""
+    aa, bb, cc = (f"({n} + {strength})" for n in ("aa", "bb", "cc"))
+    a, b, c = (f"{n}{target}" for n in "abc")
+    if kind == "ridge-linear":
+        det = f"({aa} * {bb} - ab * ab)"
+        wa, wb, wc = f"({a} * {bb} - {b} * ab) / {det}", f"({b} * {aa} - {a} * ab) / {det}", "0"
+    else:
+        det = f"({aa} * ({bb} * {cc} - bc * bc) - ab * (ab * {cc} - bc * ac) + ac * (ab * bc - {bb} * ac))"
+        wa = f"({a} * ({bb} * {cc} - bc * bc) - ab * ({b} * {cc} - bc * {c}) + ac * ({b} * bc - {bb} * {c})) / {det}"
+        wb = f"({aa} * ({b} * {cc} - bc * {c}) - {a} * (ab * {cc} - bc * ac) + ac * (ab * {c} - {b} * ac)) / {det}"
+        wc = f"({aa} * ({bb} * {c} - {b} * bc) - ab * (ab * {c} - {b} * ac) + {a} * (ab * bc - {bb} * ac)) / {det}"
+    return f"SELECT {target} AS target, '{kind}' AS candidate, m{target} AS mean, {wa} AS wa, {wb} AS wb, {wc} AS wc FROM gm, mo"
+
+
+BUNDLE_SQL = """
+WITH lp AS (SELECT l_orderkey AS session_id, l_suppkey AS driver_id, l_linenumber AS lap_number, l_partkey AS circuit_id, l_quantity * 2.0::DOUBLE AS age, CAST(l_discount * 100 AS DOUBLE) AS disc, CAST(l_extendedprice AS DOUBLE) AS y1,
+  CAST(l_extendedprice AS DOUBLE) - l_quantity * 2.0::DOUBLE * 700 AS y2, l_quantity * 2.0::DOUBLE * 700 AS rolling, CAST(round(l_extendedprice * 100) AS DOUBLE) AS loss, CASE WHEN l_tax = 0 THEN 'opening_lap' END AS fr, o_orderstatus = 'F' AS ended,
+  CASE WHEN year(o_orderdate) <= 1997 THEN 'train' WHEN year(o_orderdate) = 1998 THEN 'validation' WHEN year(o_orderdate) = 1999 THEN 'calibration' ELSE 'test' END AS split FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+mo AS (SELECT avg(age) AS ma, greatest(1, stddev_pop(age)) AS sa, avg(disc) AS mb, greatest(1, stddev_pop(disc)) AS sb, avg(age * age) AS mc, greatest(1, stddev_pop(age * age)) AS sc, avg(y1) AS m1, avg(y2) AS m2 FROM lp WHERE split = 'train'),
+z AS (SELECT lp.*, (age - ma) / sa AS a, (disc - mb) / sb AS b, (age * age - mc) / sc AS c FROM lp, mo),
+gm AS (SELECT sum(a * a) AS aa, sum(a * b) AS ab, sum(a * c) AS ac, sum(b * b) AS bb, sum(b * c) AS bc, sum(c * c) AS cc, sum(a * (y1 - m1)) AS a1, sum(b * (y1 - m1)) AS b1, sum(c * (y1 - m1)) AS c1,
+  sum(a * (y2 - m2)) AS a2, sum(b * (y2 - m2)) AS b2, sum(c * (y2 - m2)) AS c2 FROM z, mo WHERE split = 'train'),
+cf AS (""" + " UNION ALL ".join(
+    _solved(target, kind, strength)
+    for target, strengths in (("1", (25, 40)), ("2", (40, 60)))
+    for kind, strength in zip(("ridge-linear", "ridge-nonlinear"), strengths)
+) + """),
+pd AS (SELECT z.split, target, candidate, CASE target WHEN 1 THEN y1 ELSE y2 END AS y, mean + wa * a + wb * b + wc * c AS p FROM z, cf UNION ALL SELECT split, 1, 'rolling-median-baseline', y1, rolling FROM z UNION ALL SELECT split, 2, 'zero-residual-baseline', y2, 0 FROM z),
+sco AS (SELECT target, candidate, avg(abs(y - p)) AS mae FROM pd WHERE split = 'validation' GROUP BY 1, 2),
+cho AS (SELECT target, arg_min(candidate, mae) AS selected FROM sco GROUP BY 1),
+cal AS (SELECT pd.target, abs(y - p) AS r, row_number() OVER (PARTITION BY pd.target ORDER BY abs(y - p)) AS n, count(*) OVER (PARTITION BY pd.target) AS t FROM pd JOIN cho ON cho.target = pd.target AND selected = candidate WHERE split = 'calibration'),
+wd AS (SELECT target, max(r) FILTER (n = least(t, ceil((t + 1) * 0.8::DOUBLE))) AS w80, max(r) FILTER (n = least(t, ceil((t + 1) * 0.9::DOUBLE))) AS w90 FROM cal GROUP BY 1)"""
+
+
+@query("model_selection", BUNDLE_SQL + """
+SELECT CASE target WHEN 1 THEN 'target_lap_time_ms' ELSE 'target_pace_residual_ms' END AS target, candidate, round(mae, 3) AS mae_ms, candidate = selected AS selected FROM sco JOIN cho USING (target)""")
+def model_selection(spark, folder):
+    """Three candidates for each of two targets."""
+    trained = bundle(spark, folder)
+    rows = [
+        (choice.target, name, round(float(mae), 3), name == choice.selected)
+        for choice in (trained.pace, trained.tyre) for name, mae in choice.validation_mae.items()
+    ]
+    # Six rows describe the choice, whatever the tables hold.
+    return spark.createDataFrame(rows, "target string, candidate string, mae_ms double, selected boolean")
+
+
+@query("bundle_metrics", BUNDLE_SQL + """
+SELECT CASE pd.target WHEN 1 THEN 'target_lap_time_ms' ELSE 'target_pace_residual_ms' END AS target, selected, count(*) AS "rows", round(avg(abs(y - p)), 3) AS mae_ms, round(sqrt(avg((y - p) * (y - p))), 3) AS rmse_ms,
+  round(avg(abs(y - base)), 3) AS baseline_mae_ms, round(avg(CAST(abs(y - p) <= w80 AS DOUBLE)), 6) AS coverage_80, round(avg(CAST(abs(y - p) <= w90 AS DOUBLE)), 6) AS coverage_90
+FROM (SELECT z.split, cho.target, selected, CASE cho.target WHEN 1 THEN y1 ELSE y2 END AS y, CASE cho.target WHEN 1 THEN rolling ELSE 0 END AS base,
+  coalesce(mean + wa * a + wb * b + wc * c, CASE cho.target WHEN 1 THEN rolling ELSE 0 END) AS p FROM z CROSS JOIN cho LEFT JOIN cf ON cf.target = cho.target AND candidate = selected) pd JOIN wd ON wd.target = pd.target WHERE split = 'test' GROUP BY 1, 2""")
+def bundle_metrics(spark, folder):
+    """Test error and coverage of both chosen models."""
+    trained, laps = bundle(spark, folder), bundle_laps(spark, folder)
+    out = L.bundle_metrics(laps, trained.pace).unionByName(L.bundle_metrics(laps, trained.tyre))
+    digits = {"mae_ms": 3, "rmse_ms": 3, "baseline_mae_ms": 3, "coverage_80": 6, "coverage_90": 6}
+    return out.withColumns({c: F.round(c, n) for c, n in digits.items()})
 
 
 PITMED_SQL = EX_SQL + """,
@@ -371,40 +450,58 @@ def wear(age):
     return age * age * 0.5 - age * 3.0
 
 
-@query("lap_predictions", """
-WITH b AS (SELECT l_orderkey AS session_id, l_suppkey AS driver_id, l_linenumber AS lap_number, l_quantity * 2 AS age, l_extendedprice AS pace, CASE WHEN l_tax = 0 THEN 'opening_lap' END AS fr FROM lineitem),
-r AS (SELECT *, age * age * 0.5 - age * 3.0 AS now, [(age + h) * (age + h) * 0.5 - (age + h) * 3.0 for h in [1, 2, 3, 4, 5]] AS f FROM b),
-g AS (SELECT *, CASE WHEN fr IS NOT NULL THEN fr WHEN age + 5 > 100 THEN 'tyre_forecast_out_of_distribution' WHEN pace NOT BETWEEN 5000 AND 90000 THEN 'implausible_pace_output' WHEN pace - 9000 <= 0 THEN 'implausible_prediction_interval'
-  WHEN abs(now) > 3000 OR len(list_filter(f, lambda x: abs(x) > 3000)) > 0 THEN 'implausible_tyre_output' END AS reason FROM r)
-SELECT reason, count(*) AS n, CAST(sum(CASE WHEN reason IS NULL THEN round_even(pace, 0) END) AS BIGINT) AS pace_total, CAST(sum(CASE WHEN reason IS NULL THEN round_even(pace - 4000, 0) END) AS BIGINT) AS lower_total,
-  round(sum(CASE WHEN reason IS NULL THEN round_even(greatest(0, f[1] - now, f[2] - now, f[3] - now, f[4] - now, f[5] - now), 0) END), 1) AS wear_total FROM g GROUP BY 1""")
+@query("lap_predictions", BUNDLE_SQL + """,
+med AS (SELECT circuit_id, quantile_cont(loss, 0.5) AS cm, count(*) AS n FROM lp WHERE split = 'train' AND lap_number >= 6 GROUP BY 1),
+gmd AS (SELECT quantile_cont(loss, 0.5) AS g FROM lp WHERE split = 'train' AND lap_number >= 6),
+pv AS (SELECT avg(abs(loss - g)) AS gmae, avg(abs(loss - coalesce(CASE WHEN n >= 3 THEN cm END, g))) AS cmae FROM lp CROSS JOIN gmd LEFT JOIN med USING (circuit_id) WHERE split = 'validation' AND lap_number >= 6),
+cir AS (SELECT circuit_id, CASE WHEN cmae <= least(gmae, cmae) * 1.1 AND n >= 3 THEN cm END AS cm FROM med, pv),
+pc AS (SELECT abs(loss - coalesce(cm, g)) AS r FROM lp CROSS JOIN gmd LEFT JOIN cir USING (circuit_id) WHERE split = 'calibration' AND lap_number >= 6),
+pn AS (SELECT r, row_number() OVER (ORDER BY r) AS n, count(*) OVER () AS t FROM pc),
+pw AS (SELECT max(r) FILTER (n = least(t, ceil((t + 1) * 0.8::DOUBLE))) AS p80, max(r) FILTER (n = least(t, ceil((t + 1) * 0.9::DOUBLE))) AS p90 FROM pn),
+m1 AS (SELECT selected, mean, wa, wb, wc, w80, w90 FROM cho JOIN wd USING (target) LEFT JOIN cf ON cf.target = cho.target AND candidate = selected WHERE cho.target = 1),
+m2 AS (SELECT selected, mean, wa, wb, wc, w80, w90 FROM cho JOIN wd USING (target) LEFT JOIN cf ON cf.target = cho.target AND candidate = selected WHERE cho.target = 2),
+sc AS (SELECT z.*, cir.circuit_id AS known, coalesce(cm, g) AS pit, p80, p90, m1.w80, m1.w90, coalesce(m1.mean + m1.wa * a + m1.wb * b + m1.wc * c, rolling) AS pace, m2.w80 AS t80, m2.w90 AS t90,
+  [coalesce(m2.mean + m2.wa * (age + h - ma) / sa + m2.wb * b + m2.wc * ((age + h) * (age + h) - mc) / mo.sc, 0) for h in [0, 1, 2, 3, 4, 5]] AS f
+  FROM z CROSS JOIN mo CROSS JOIN m1 CROSS JOIN m2 CROSS JOIN gmd CROSS JOIN pw LEFT JOIN cir ON cir.circuit_id = z.circuit_id),
+g AS (SELECT *, CASE WHEN ended THEN 'session_finished' WHEN fr IS NOT NULL THEN fr WHEN known IS NULL THEN 'unsupported_circuit' WHEN age + 5 > 100 THEN 'tyre_forecast_out_of_distribution' WHEN pace NOT BETWEEN 5000 AND 60000 THEN 'implausible_pace_output'
+  WHEN pace - w90 <= 0 THEN 'implausible_prediction_interval' WHEN len(list_filter(f, lambda x: abs(x) > 2000)) > 0 THEN 'implausible_tyre_output' END AS reason FROM sc)
+SELECT reason, count(*) AS n, CAST(sum(CASE WHEN reason IS NULL THEN round_even(pace, 0) END) AS BIGINT) AS pace_total, CAST(sum(CASE WHEN reason IS NULL THEN round_even(pace - w80, 0) + round_even(pace + w90, 0) END) AS BIGINT) AS bounds_total,
+  CAST(sum(CASE WHEN reason IS NULL THEN round_even(f[1], 0) + round_even(t80, 0) + round_even(t90, 0) END) AS BIGINT) AS residual_total, CAST(sum(CASE WHEN reason IS NULL THEN round_even(greatest(0, f[2] - f[1], f[3] - f[1], f[4] - f[1], f[5] - f[1], f[6] - f[1]), 0) END) AS BIGINT) AS wear_total,
+  CAST(sum(CASE WHEN reason IS NULL THEN round_even(pit, 0) END) AS BIGINT) AS pit_total, CAST(sum(CASE WHEN reason IS NULL THEN round_even(greatest(0, pit - p80), 0) + round_even(greatest(0, pit - p90), 0) + round_even(pit + p80, 0) + round_even(pit + p90, 0) END) AS BIGINT) AS pit_bounds_total FROM g GROUP BY 1""")
 def lap_predictions(spark, folder):
-    rows = table(spark, folder, "lineitem").select(
-        F.col("l_orderkey").alias("session_id"), F.col("l_suppkey").alias("driver_id"), F.col("l_linenumber").alias("lap_number"),
-        (F.col("l_quantity") * 2).alias("tyre_age_laps"), F.col("l_extendedprice").alias("pace"),
-        F.when(F.col("l_tax") == 0, "opening_lap").alias("feature_reason"),
-    )
+    """Every lap scored by the trained bundle, behind all guards."""
     out = L.predict(
-        rows, F.col("pace"), wear, {"80": 4000.0, "90": 9000.0}, {"80": 10.0, "90": 20.0}, 5000, 90000, 3000
+        bundle_laps(spark, folder), bundle(spark, folder), min_lap_ms=5_000, max_lap_ms=60_000, max_residual_ms=2_000
     )
+
+    def total(name, *columns):
+        return F.sum(sum(F.col(c) for c in columns)).cast("long").alias(name)
+
     return out.groupBy(F.col("unavailable_reason").alias("reason")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("predicted_lap_ms").cast("long").alias("pace_total"),
-        F.sum("lower_80").cast("long").alias("lower_total"), F.round(F.sum(F.element_at("curve", -1)), 1).alias("wear_total"),
+        F.count(F.lit(1)).alias("n"), total("pace_total", "predicted_lap_ms"), total("bounds_total", "lower_80", "upper_90"),
+        total("residual_total", "residual_ms", "residual_width_80", "residual_width_90"),
+        F.sum(F.element_at("curve", -1)).cast("long").alias("wear_total"), total("pit_total", "pit_loss_ms"),
+        total("pit_bounds_total", "pit_lower_80", "pit_lower_90", "pit_upper_80", "pit_upper_90"),
     )
 
 
-@query("lap_projections", """
-WITH b AS (SELECT l_linenumber, l_extendedprice AS anchor, l_quantity AS age, CAST(l_partkey % 40 AS DOUBLE) AS a0 FROM lineitem),
-c AS (SELECT *, least(age, a0 + 5) AS cap FROM b), m AS (SELECT *, anchor + cap * cap * 0.5 - cap * 3.0 AS mean, sqrt(1.0 + greatest(0, age - cap) / 5.0) AS wid FROM c)
-SELECT l_linenumber, count(*) AS n, count(*) FILTER (mean NOT BETWEEN 45000 AND 330000) AS rejected, count(*) FILTER (age > cap) AS exceeded, round(avg(CASE WHEN mean BETWEEN 45000 AND 330000 THEN mean END), 2) AS mean_ms,
-  round(avg(CASE WHEN mean BETWEEN 45000 AND 330000 THEN 100 * wid END), 4) AS width_ms FROM m GROUP BY 1""")
+@query("lap_projections", BUNDLE_SQL + """,
+m2 AS (SELECT mean, wa, wb, wc, w80 FROM cho JOIN wd USING (target) LEFT JOIN cf ON cf.target = cho.target AND candidate = selected WHERE cho.target = 2),
+k AS (SELECT z.*, least(age, circuit_id % 40 + 5.0) AS cap FROM z),
+v AS (SELECT lap_number, age > cap AS over, w80 * sqrt(1.0 + greatest(0, age - cap) / 5.0) AS wid, y1 + coalesce(mean + wa * (cap - ma) / sa + wb * b + wc * (cap * cap - mc) / sc, 0) AS proj FROM k, mo, m2)
+SELECT lap_number, count(*) AS n, count(*) FILTER (proj NOT BETWEEN 45000 AND 330000) AS rejected, count(*) FILTER (over) AS exceeded, round(avg(CASE WHEN proj BETWEEN 45000 AND 330000 THEN proj END), 2) AS mean_ms,
+  round(avg(CASE WHEN proj BETWEEN 45000 AND 330000 THEN wid END), 4) AS width_ms FROM v GROUP BY 1""")
 def lap_projections(spark, folder):
-    rows = table(spark, folder, "lineitem").select(
-        "l_linenumber", F.col("l_extendedprice").alias("anchor_ms"), F.col("l_quantity").alias("tyre_age"),
-        (F.col("l_partkey") % 40).cast("double").alias("anchor_age"),
+    """Lap times at the tyre ages of the table, by the trained residual."""
+    tyre = bundle(spark, folder).tyre
+    rows = bundle_laps(spark, folder).withColumns(
+        {
+            "anchor_ms": F.col("target_lap_time_ms"), "tyre_age": F.col("tyre_age_laps"),
+            "anchor_age": (F.col("circuit_id") % 40).cast("double"),
+        }
     )
-    out = L.project_lap(rows, wear, 100.0, 150.0)
-    return out.groupBy("l_linenumber").agg(
+    out = L.project_lap(rows, lambda age: tyre.prediction(L.aged(age)), tyre.widths["80"], tyre.widths["90"])
+    return out.groupBy("lap_number").agg(
         F.count(F.lit(1)).alias("n"), F.count("rejected").alias("rejected"), F.count(F.when(F.col("horizon_exceeded"), 1)).alias("exceeded"),
         F.round(F.avg("mean_lap_ms"), 2).alias("mean_ms"), F.round(F.avg("width_80_ms"), 4).alias("width_ms"),
     )
