@@ -11,7 +11,7 @@ from lapwing.operators import timeline as T
 from lapwing.plans.registry import query
 from lapwing.plans.standin import DAY_MS, ROWS, TIMING_SQL, stored, timing
 from lapwing.session import shared_path
-from lapwing.streaming.replay_stream import replay_stream
+from lapwing.streaming.replay_stream import late_rows, replay_stream
 
 W_TIMING = "WITH RECURSIVE " + TIMING_SQL
 
@@ -206,30 +206,32 @@ STREAM_EVENT = (
 
 
 @query("streamed_states", W_TIMING + STATE_SQL + """ SELECT session_id, driver_id, t AS applied_to_ms, position, laps AS laps_completed, last_lap AS last_lap_time_ms, stint AS current_stint,
-  compound, age AS tyre_age_laps, in_pit, stops AS pit_stop_count, pit_lap AS last_pit_lap, status FROM st WHERE n > 0
+  compound, age AS tyre_age_laps, in_pit, stops AS pit_stop_count, pit_lap AS last_pit_lap, status, 0 AS late_rows FROM st WHERE n > 0
   QUALIFY row_number() OVER (PARTITION BY session_id, driver_id ORDER BY n DESC) = 1""")
 def streamed_states(spark, folder):
-    """The log as a stream to its end: a marker a day later passes the watermark over every event."""
+    """The log as a stream of files in no order; a marker after the allowed delay passes the watermark over all events."""
     schema = StructType.fromDDL(f"session_id int, driver_id int, {STREAM_EVENT}")
     kinds = {f.name: f.dataType for f in schema.fields}
     log_rows = full_log(spark, folder).events.where(F.col("driver_id").isNotNull())
     rows = log_rows.select(*[F.col(n).cast(t).alias(n) for n, t in kinds.items()])
-    end = rows.agg((F.max("session_time_ms") + DAY_MS).alias("session_time_ms"))
+    end = rows.agg((F.max("session_time_ms") + 10 * DAY_MS).alias("session_time_ms"))
     given = {"session_id": -1, "driver_id": -1, "priority": 0, "sequence": 0}
     marker = end.select(
         *[F.col(n) if n == "session_time_ms" else F.lit(given.get(n)).cast(t).alias(n) for n, t in kinds.items()]
     )
     root = shared_path(spark, "stream")
-    rows.unionByName(marker).write.parquet(f"{root}/log")
-    stream = spark.readStream.schema(schema).parquet(f"{root}/log")
+    # Files hold events of all times: what one brings lies before most of what the others brought.
+    rows.repartition(6, F.hash("sequence", "session_time_ms")).write.parquet(f"{root}/log")
+    marker.coalesce(1).write.mode("append").parquet(f"{root}/log")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/log")
     run = (
-        replay_stream(stream).writeStream.format("parquet").outputMode("append")
+        replay_stream(stream, "9 days").writeStream.format("parquet").outputMode("append")
         .option("checkpointLocation", f"{root}/checkpoint").option("path", f"{root}/states").trigger(availableNow=True).start()
     )
     run.awaitTermination()
     states = spark.read.parquet(f"{root}/states").where("session_id >= 0")
     newest = states.groupBy("session_id", "driver_id").agg(F.max_by(F.struct(*states.columns[2:]), "applied_to_ms").alias("s"))
-    return newest.select("session_id", "driver_id", "s.*")
+    return newest.select("session_id", "driver_id", "s.*", F.lit(late_rows(run)).cast("int").alias("late_rows"))
 
 
 @query("driver_states_at_laps", W_TIMING + STATE_SQL + """, crs AS (SELECT session_id, start_time_ms AS cursor_ms FROM cur WHERE start_time_ms IS NOT NULL UNION SELECT session_id, end_time_ms FROM cur WHERE end_time_ms IS NOT NULL)""" + STATE_OUT)

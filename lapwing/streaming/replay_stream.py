@@ -4,6 +4,9 @@ Events of one (session, driver) wait in state until the watermark has passed
 them, are then applied in (time, priority, sequence) order, and the driver's
 state after each trigger is emitted.  Events older than the watermark are late:
 Spark drops and counts them, they are never applied.
+
+A stream's first watermark is the epoch and rows at or before it are late, so session times are set off from an origin
+of their own: what happens at time 0 or before a session's start is kept.
 """
 
 from __future__ import annotations
@@ -33,7 +36,9 @@ STATE = (
     "waiting array<struct<session_time_ms:long,priority:int,sequence:long,event_type:string,position:int,lap_number:int,"
     "lap_time_ms:long,stint_number:int,compound:string,tyre_age_laps:double,status:string>>"
 )
-_START = (-1, None, 0, None, None, None, None, False, 0, None, "not-started", [])
+#: Event time of session time 0: sessions may begin as long before it.
+ORIGIN_MS = 10**10
+_START = (None, None, 0, None, None, None, None, False, 0, None, "not-started", [])
 _APPLIED, _POS, _LAPS, _LAST, _STINT, _COMP, _AGE, _PIT, _STOPS, _PITLAP, _STATUS, _WAIT = range(12)
 
 
@@ -91,7 +96,7 @@ def _event(row: tuple) -> tuple:
 def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     s = list(state.get) if state.exists else list(_START)
     waiting = [tuple(w) for w in s[_WAIT]]
-    mark = state.getCurrentWatermarkMs()
+    mark = state.getCurrentWatermarkMs() - ORIGIN_MS
     for frame in frames:
         for row in zip(*[frame[c] for c in EVENT_FIELDS]):
             waiting.append(_event(row))
@@ -102,7 +107,7 @@ def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> I
     s[_WAIT] = waiting[len(ready):]
     state.update(tuple(s))
     if s[_WAIT]:
-        state.setTimeoutTimestamp(max(mark + 1, s[_WAIT][0][0] + 1))
+        state.setTimeoutTimestamp(ORIGIN_MS + max(mark + 1, s[_WAIT][0][0] + 1))
     if ready:
         yield pd.DataFrame([[*key, *s[:_WAIT]]], columns=[f.split()[0] for f in OUTPUT.split(", ")])
 
@@ -115,7 +120,7 @@ def replay_stream(events: DataFrame, delay: str = "10 seconds") -> DataFrame:
     events of that driver become final.
     """
     timed = events.where(F.col("driver_id").isNotNull()).withColumn(
-        "event_at", F.timestamp_millis("session_time_ms")
+        "event_at", F.timestamp_millis(F.col("session_time_ms") + ORIGIN_MS)
     ).withWatermark("event_at", delay)
     return timed.select("session_id", "driver_id", "event_at", *EVENT_FIELDS).groupBy("session_id", "driver_id").applyInPandasWithState(
         _advance, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout

@@ -200,3 +200,43 @@ def test_latest_positions_gate(spark):
     cursors = spark.createDataFrame([(1, 3500), (1, 4500), (1, 20000)], "session_id int, cursor_ms long")
     got = {(r["driver_id"], r["cursor_ms"]): r["x_m"] for r in R.latest_positions(points, cursors).collect()}
     assert got == {(1, 3500): 100.0, (1, 4500): 300.0, (2, 3500): 1.0, (2, 4500): 1.0}
+
+
+def _event_row(driver, time, sequence, kind="driver-position-changed", **values):
+    names = ("position", "lap_number", "lap_time_ms", "stint_number", "compound", "tyre_age_laps", "status")
+    return (1, driver, time, 60, sequence, kind, *(values.get(name) for name in names))
+
+
+EVENT_SCHEMA = (
+    "session_id int, driver_id int, session_time_ms long, priority int, sequence long, event_type string, position int, "
+    "lap_number int, lap_time_ms long, stint_number int, compound string, tyre_age_laps double, status string"
+)
+
+
+@pytest.mark.parametrize("begin", [0, 1, -3_600_000])
+def test_stream_keeps_what_happens_at_the_start(spark, begin):
+    """Events at time 0 and before, brought by files out of order, are applied and none is late."""
+    folder = tempfile.mkdtemp(prefix="stream-")
+    rows = [
+        _event_row(1, begin, 1, "driver-stint-changed", stint_number=1, compound="soft", tyre_age_laps=1.0),
+        _event_row(1, begin, 2, position=4),
+        _event_row(2, begin, 3, "driver-stint-changed", stint_number=1, compound="hard", tyre_age_laps=0.0),
+        _event_row(1, begin + 90_000, 4, "driver-lap-completed", lap_number=1, lap_time_ms=90_000),
+        _event_row(1, begin + 95_000, 5, position=2),
+        _event_row(1, begin + 99_000, 6, "driver-pit-entered", lap_number=2),
+    ]
+    for row in [*reversed(rows), _event_row(9, begin + 10**9, 9, position=1)]:
+        spark.createDataFrame([row], EVENT_SCHEMA).coalesce(1).write.mode("append").parquet(folder + "/in")
+    stream = spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", 1).parquet(folder + "/in")
+    query = (
+        replay_stream(stream, "100 seconds").writeStream.format("parquet").outputMode("append")
+        .option("checkpointLocation", folder + "/checkpoint").option("path", folder + "/out").trigger(availableNow=True).start()
+    )
+    query.awaitTermination(240)
+    assert late_rows(query) == 0
+    found = spark.read.parquet(folder + "/out").where("driver_id < 9")
+    last = {r["driver_id"]: r["s"] for r in found.groupBy("driver_id").agg(F.max_by(F.struct("*"), "applied_to_ms").alias("s")).collect()}
+    one, two = last[1], last[2]
+    assert (one["applied_to_ms"], one["position"], one["laps_completed"]) == (begin + 99_000, 2, 1)
+    assert (one["current_stint"], one["compound"], one["in_pit"], one["pit_stop_count"]) == (1, "soft", True, 1)
+    assert (two["current_stint"], two["compound"], two["applied_to_ms"]) == (1, "hard", begin)
