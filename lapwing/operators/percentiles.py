@@ -7,14 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lapwing.operators.scan import running_sum, scan, series
+from lapwing.operators.scan import join_same, running_sum, scan, series
 
 
 def _with_totals(running: DataFrame, counts: DataFrame, keys: Sequence[str]) -> DataFrame:
     totals = counts.groupBy(*keys).agg(F.sum("__n").alias("__total"))
     if not keys:
         return running.withColumn("__total", totals.scalar())
-    return running.join(totals, list(keys), "inner")
+    return join_same(running, totals, keys)
 
 
 def grouped_percentiles(

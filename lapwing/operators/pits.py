@@ -2,115 +2,67 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lapwing.operators.scan import latest, position, scan, series
 from lapwing.session import durable
-from lapwing.operators.scan import latest, position, scan, series, upcoming
 
-_MARK = "session_id {sid}, driver_id {did}, t long, kind int, lap_number int, mark_id long"
-_OUT = _MARK + ", entry_t long, entry_lap int, entry_id long, state string"
+_ORDER = ("t", "kind", "lap_number", "mark_id")
 
 
-def _match(group: pd.DataFrame) -> pd.DataFrame:
-    """Resolve one ordered block; what needs earlier or later blocks stays open.
-
-    An exit takes the newest open entry if its lap is the entry's or the next
-    one, otherwise it stays partial and the entry stays on top.  An exit that
-    meets no entry of this block is left open for the blocks before it.
-    """
-    rows = group.sort_values(["t", "kind", "lap_number", "mark_id"])
-    entry_t: list = []
-    entry_lap: list = []
-    entry_id: list = []
-    states: list = []
-    open_entries: list[int] = []
-    for i, (t, kind, lap, mark) in enumerate(
-        zip(rows["t"], rows["kind"], rows["lap_number"], rows["mark_id"])
-    ):
-        hit = None
-        state = "open"
-        if kind == 0:
-            open_entries.append(i)
-        elif open_entries:
-            top = open_entries[-1]
-            if lap - rows["lap_number"].iat[top] in (0, 1):
-                hit = open_entries.pop()
-                states[hit] = "consumed"
-                state = "paired"
-            else:
-                state = "partial"
-        states.append(state)
-        entry_t.append(None if hit is None else int(rows["t"].iat[hit]))
-        entry_lap.append(None if hit is None else int(rows["lap_number"].iat[hit]))
-        entry_id.append(None if hit is None else int(rows["mark_id"].iat[hit]))
-    out = rows[["session_id", "driver_id", "t", "kind", "lap_number", "mark_id"]].copy()
-    out["entry_t"] = pd.array(entry_t, dtype="Int64")
-    out["entry_lap"] = pd.array(entry_lap, dtype="Int32")
-    out["entry_id"] = pd.array(entry_id, dtype="Int64")
-    out["state"] = states
-    return out
-
-
-def pair_pits(
-    marks: DataFrame, block: int | None = None, growth: int = 8, levels: int = 4, ident: str = "event_id", rows: int = 200_000
-) -> DataFrame:
+def pair_pits(marks: DataFrame, ident: str = "event_id", rows: int | None = None) -> DataFrame:
     """Stops from pit entry and exit marks of each (session, driver).
 
     ``marks``: session_id, driver_id, lap_number, session_time_ms, kind
-    (``in``/``out``) and a unique ``ident``.  With a ``block`` the marks are
-    matched in time blocks first; entries with no later open exit and exits with
-    no earlier open entry are final, so only true leftovers enter larger blocks,
-    ``levels`` times ``growth`` times as wide, and the few left after those meet.
+    (``in``/``out``) and a unique ``ident``.  An exit takes the newest open entry
+    if its lap is the entry's or the next one; otherwise it stays partial and the
+    entry stays open.  ``rows`` is the size of a chunk of the ordered scans.
+
+    Each round looks at the exits between an entry and the next one: the first
+    that fits closes the entry, those before it are partial, those after it meet
+    the entry below in the next round.  So there are as many rounds as entries
+    are closed without another in between, one or two for real stops, and rounds
+    after the first read only what is still open.
     """
-    types = dict(marks.dtypes)
-    schema = _OUT.format(sid=types["session_id"], did=types["driver_id"])
+    keys = ("session_id", "driver_id")
     todo = marks.select(
-        "session_id", "driver_id",
+        *keys,
         F.col("session_time_ms").alias("t"),
         F.when(F.col("kind") == "in", 0).otherwise(1).alias("kind"),
         F.col("lap_number").cast("int").alias("lap_number"),
         F.col(ident).cast("long").alias("mark_id"),
     )
-    sizes = [] if block is None else [block * growth**i for i in range(levels)]
-    done = None
-    for size in [*sizes, None]:
-        keys = ["session_id", "driver_id"]
-        blocks = todo
-        if size is not None:
-            keys = [*keys, "block"]
-            blocks = todo.withColumn("block", F.floor(F.col("t") / F.lit(size)))
-        matched = blocks.groupBy(*keys).applyInPandas(_match, schema)
-        if size is None:
-            done = matched if done is None else done.unionByName(matched)
-            break
-        # Read twice below; the Python pass runs once.
-        matched = durable(matched)
-        settled = matched.where(F.col("state") != "open")
-        done = settled if done is None else done.unionByName(settled)
-        opened = scan(
-            matched.where(F.col("state") == "open"),
-            series(("session_id", "driver_id"), ("t", "kind", "lap_number", "mark_id"), rows),
-            entry_before=latest(F.when(F.col("kind") == 0, F.lit(1)), inclusive=False),
-            exit_after=upcoming(F.when(F.col("kind") == 1, F.lit(1))),
+    is_exit, place = F.col("kind") == 1, F.struct(*_ORDER)
+    top, close = F.col("top"), F.col("close")
+    stops = None
+    while True:
+        seen = scan(todo, series(keys, _ORDER, rows), top=latest(F.when(~is_exit, place)))
+        seen = seen.withColumn("top_id", F.col("top.mark_id"))
+        fits = (F.col("lap_number") - top["lap_number"]).isin(0, 1)
+        closing = seen.where(is_exit & fits).groupBy("top_id").agg(F.min(place).alias("close"))
+        judged = durable(seen.join(closing, "top_id", "left"))
+        after = is_exit & F.coalesce(place > close, F.lit(False))
+        paired = is_exit & F.coalesce(place == close, F.lit(False))
+        settled = judged.where(is_exit & ~after).select(
+            *keys,
+            F.when(paired, top["lap_number"]).otherwise(F.col("lap_number")).alias("lap_number"),
+            F.when(paired, top["t"]).alias("pit_in_time_ms"),
+            F.col("t").alias("pit_out_time_ms"),
+            F.when(paired, top["mark_id"]).otherwise(F.col("mark_id")).alias("__id"),
         )
-        final = F.when(F.col("kind") == 1, F.col("entry_before").isNull()).otherwise(
-            F.col("exit_after").isNull()
-        )
-        done = done.unionByName(opened.where(final).drop("entry_before", "exit_after"))
-        todo = opened.where(~final).select("session_id", "driver_id", "t", "kind", "lap_number", "mark_id")
-    stops = done.where(F.col("state") != "consumed").select(
-        "session_id", "driver_id",
-        F.coalesce("entry_lap", "lap_number").alias("lap_number"),
-        F.when(F.col("kind") == 0, F.col("t")).otherwise(F.col("entry_t")).alias("pit_in_time_ms"),
-        F.when(F.col("kind") == 1, F.col("t")).alias("pit_out_time_ms"),
-        F.coalesce("entry_t", "t").alias("__first"),
-        F.coalesce("entry_id", "mark_id").alias("__id"),
+        stops = settled if stops is None else stops.unionByName(settled)
+        entries = judged.where(~is_exit & close.isNull())
+        if judged.where(after).isEmpty():
+            break
+        todo = judged.where(after | (~is_exit & close.isNull())).select(*keys, *_ORDER)
+    left = entries.select(
+        *keys, "lap_number", F.col("t").alias("pit_in_time_ms"), F.lit(None).cast("long").alias("pit_out_time_ms"),
+        F.col("mark_id").alias("__id"),
     )
-    s = series(("session_id", "driver_id"), ("__first", "lap_number", "__id"), None if block is None else rows)
-    return scan(stops, s, __n=position()).select(
-        "session_id", "driver_id", F.col("__n").cast("int").alias("stop_number"), "lap_number",
+    ordered = stops.unionByName(left).withColumn("__first", F.coalesce("pit_in_time_ms", "pit_out_time_ms"))
+    return scan(ordered, series(keys, ("__first", "lap_number", "__id"), rows), __n=position()).select(
+        *keys, F.col("__n").cast("int").alias("stop_number"), "lap_number",
         "pit_in_time_ms", "pit_out_time_ms",
         (F.col("pit_out_time_ms") - F.col("pit_in_time_ms")).alias("pit_lane_duration_ms"),
     )

@@ -19,6 +19,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 CHUNK = "__chunk"
+#: Key and chunk as one value: rows are dealt by it once, and NULL parts of it are equal in joins.
+KEY = "__key"
 _PAST = W.unboundedPreceding
 
 
@@ -26,8 +28,8 @@ _PAST = W.unboundedPreceding
 class Series:
     """Rows of one ordered sequence.
 
-    ``keys`` and ``order`` are column names without NULLs; ``rows`` is how many
-    rows a chunk has on average.  Without it the key is taken to be small (one
+    ``keys`` and ``order`` are column names; NULL is a key like others and comes
+    first in the order.  ``rows`` is how many rows a chunk has on average.  Without it the key is taken to be small (one
     driver in one race) and a plain window is used.
     """
 
@@ -46,8 +48,15 @@ def series(keys: Sequence[str], order: Sequence[str], rows: int | None = None) -
     return Series(tuple(keys), tuple(order), rows)
 
 
+def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` where NULL equals NULL; the keys of ``left`` stay."""
+    renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys]
+    return left.join(renamed, same, how).drop(*[f"__r_{k}" for k in keys])
+
+
 def chunked(df: DataFrame, s: Series) -> DataFrame:
-    """``df`` with each row's chunk: spans of ``order[0]``, one for every ``rows`` rows of the key.
+    """``df`` with each row's ``KEY``: spans of ``order[0]``, one for every ``rows`` rows of the key.
 
     Counts and ends are exact, so every reader of a plan cuts alike.
     """
@@ -56,13 +65,23 @@ def chunked(df: DataFrame, s: Series) -> DataFrame:
         F.ceil(F.count(F.lit(1)) / F.lit(s.rows)).alias("n"), F.min(at).alias("low"), F.max(at).alias("high")
     ).alias("__facts")
     if s.keys:
-        placed = df.join(df.groupBy(*s.keys).agg(facts), list(s.keys))
+        placed = join_same(df, df.groupBy(*s.keys).agg(facts), s.keys)
     else:
         placed = df.withColumn("__facts", df.agg(facts).scalar())
     f = F.col("__facts")
     place = F.floor((at - f["low"]) / (f["high"] - f["low"]) * f["n"])
-    chunk = F.when((f["n"] > 1) & (f["high"] > f["low"]), F.least(place, f["n"] - 1)).otherwise(F.lit(0))
-    return placed.withColumn(CHUNK, chunk.cast("long")).drop("__facts")
+    cut = (f["n"] > 1) & (f["high"] > f["low"]) & at.isNotNull()
+    chunk = F.when(cut, F.least(place, f["n"] - 1)).otherwise(F.lit(0))
+    return placed.withColumn(KEY, F.struct(*s.keys, chunk.cast("long").alias(CHUNK))).drop("__facts")
+
+
+def _within(s: Series) -> Series:
+    """The rows of one chunk."""
+    return Series((KEY,), s.order)
+
+
+def _unpacked(s: Series) -> list[Column]:
+    return [KEY, *[F.col(KEY)[name].alias(name) for name in (*s.keys, CHUNK)]]
 
 
 @dataclass(frozen=True)
@@ -183,18 +202,13 @@ def scan(df: DataFrame, s: Series, /, **steps: Step) -> DataFrame:
     if s.rows is None:
         none = F.lit(None)
         return df.select("*", *[st.combine(st.window(s, ()), none).alias(n) for n, st in steps.items()])
-    base = chunked(df, s)
-    names = list(steps)
-    summary = base.groupBy(*s.keys, CHUNK).agg(
-        *[steps[n].summary(s).alias(f"__s_{n}") for n in names]
-    )
-    carried = summary.select(
-        *s.keys,
-        CHUNK,
-        *[steps[n].carry(F.col(f"__s_{n}"), s).alias(f"__c_{n}") for n in names],
+    base, names = chunked(df, s), list(steps)
+    summary = base.groupBy(KEY).agg(*[steps[n].summary(s).alias(f"__s_{n}") for n in names])
+    carried = summary.select(*_unpacked(s), *[f"__s_{n}" for n in names]).select(
+        KEY, *[steps[n].carry(F.col(f"__s_{n}"), s).alias(f"__c_{n}") for n in names]
     )
-    local = base.select("*", *[steps[n].window(s, (CHUNK,)).alias(f"__l_{n}") for n in names])
-    joined = local.join(carried, [*s.keys, CHUNK], "left")
+    local = base.select("*", *[steps[n].window(_within(s), ()).alias(f"__l_{n}") for n in names])
+    joined = local.join(carried, KEY, "left")
     return joined.select(
         *df.columns,
         *[steps[n].combine(F.col(f"__l_{n}"), F.col(f"__c_{n}")).alias(n) for n in names],
@@ -209,26 +223,25 @@ def trailing(df: DataFrame, s: Series, n: int, /, **values: Column) -> DataFrame
         out = df.withColumn("__t", frame.over(s.asc().rowsBetween(-(n - 1), 0)))
     else:
         base = chunked(df, s)
-        rank = F.row_number().over(s.desc((CHUNK,)))
+        rank = F.row_number().over(_within(s).desc())
         tails = (
-            base.select(*s.keys, CHUNK, *[c for c in s.order if c not in s.keys],
-                        cols.alias("__v"), rank.alias("__rn"))
+            base.select(KEY, *s.order, cols.alias("__v"), rank.alias("__rn"))
             .where(F.col("__rn") <= n)
-            .groupBy(*s.keys, CHUNK)
+            .groupBy(KEY)
             .agg(
                 F.array_sort(F.collect_list(F.struct((-F.col("__rn")).alias("o"), "__v"))).alias("__a")
             )
-            .select(*s.keys, CHUNK, F.transform("__a", lambda e: e["__v"]).alias("__a"))
+            .select(*_unpacked(s), F.transform("__a", lambda e: e["__v"]).alias("__a"))
         )
         before = W.partitionBy(*s.keys).orderBy(CHUNK).rowsBetween(-n, -1)
         carried = tails.select(
-            *s.keys, CHUNK, F.flatten(F.collect_list("__a").over(before)).alias("__c")
+            KEY, F.flatten(F.collect_list("__a").over(before)).alias("__c")
         )
-        local = base.withColumn("__l", frame.over(s.asc((CHUNK,)).rowsBetween(-(n - 1), 0)))
+        local = base.withColumn("__l", frame.over(_within(s).asc().rowsBetween(-(n - 1), 0)))
         both = F.concat(F.coalesce("__c", F.array().cast("array<struct<" + ",".join(
             f"{k}:{t}" for k, t in _types(df, values)) + ">>")), F.col("__l"))
         out = (
-            local.join(carried, [*s.keys, CHUNK], "left")
+            local.join(carried, KEY, "left")
             .withColumn("__b", both)
             .withColumn(
                 "__t",

@@ -370,6 +370,31 @@ def equal_windows(supports: DataFrame, count: int = 10) -> DataFrame:
     )
 
 
+def both_laps(
+    trace: DataFrame, supports: DataFrame, windows: DataFrame, columns: Sequence[str]
+) -> tuple[DataFrame, DataFrame]:
+    """The traces and the windows of both laps of every pair, for one scan over them all.
+
+    ``windows``: pair_id, window_index, low_m, high_m.  A lap is in several pairs, whose windows may overlap, so
+    ``lap_id`` becomes the struct of pair, side and lap.
+    """
+    walk = F.struct("pair_id", "side", "lap").alias("lap_id")
+    sides = supports.select(
+        "pair_id",
+        F.explode(
+            F.array(
+                F.struct(F.lit("a").alias("side"), F.col("lap_a").alias("lap")),
+                F.struct(F.lit("b").alias("side"), F.col("lap_b").alias("lap")),
+            )
+        ).alias("x"),
+    ).select("pair_id", "x.side", "x.lap")
+    bare = trace.select("lap_id", "distance_m", *columns)
+    return (
+        bare.join(sides, F.col("lap_id") == F.col("lap")).select(walk, "distance_m", *columns),
+        windows.join(sides, "pair_id").select(walk, F.col("window_index").alias("window_id"), "low_m", "high_m"),
+    )
+
+
 def window_points(
     trace: DataFrame, windows: DataFrame, channels: Sequence[str],
     max_gap_m: float = 100.0, max_gap_s: float = 2.0, chunk_rows: int | None = None,
@@ -527,23 +552,7 @@ def microsectors(
     """
     if not 5 <= count <= 1000:
         raise ValueError("between 5 and 1000 micro-sectors are supported")
-    bins = equal_windows(supports, count)
-    sides = supports.select(
-        "pair_id",
-        F.explode(
-            F.array(
-                F.struct(F.lit("a").alias("side"), F.col("lap_a").alias("lap")),
-                F.struct(F.lit("b").alias("side"), F.col("lap_b").alias("lap")),
-            )
-        ).alias("x"),
-    ).select("pair_id", "x.side", "x.lap")
-    bare = trace.select("lap_id", "distance_m", "elapsed_s")
-    paired = bare.join(sides, F.col("lap_id") == F.col("lap")).select(
-        F.struct("pair_id", "side").alias("lap_id"), "distance_m", "elapsed_s"
-    )
-    windows = bins.join(sides, "pair_id").select(
-        F.struct("pair_id", "side").alias("lap_id"), F.col("window_index").alias("window_id"), "low_m", "high_m"
-    )
+    paired, windows = both_laps(trace, supports, equal_windows(supports, count), ["elapsed_s"])
     times = window_times(window_points(paired, windows, [], max_gap_m, max_gap_s, chunk_rows))
     return times.groupBy(F.col("lap_id.pair_id").alias("pair_id"), F.col("window_id").alias("sector")).agg(
         F.max(F.when(F.col("lap_id.side") == "a", F.col("time_s"))).alias("time_a_s"),

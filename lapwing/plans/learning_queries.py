@@ -10,11 +10,10 @@ from lapwing.operators import asof as J
 from lapwing.operators import features as M
 from lapwing.operators import learning as L
 from lapwing.operators.digest import rejections
-from lapwing.operators.pits import pair_pits
 from lapwing.operators.scan import following, scan, series, trailing
 from lapwing.plans.registry import query
-from lapwing.plans.replay_queries import PITS_SQL, W_TIMING
-from lapwing.plans.standin import DAY_MS, ROWS, TIMING_SQL, stored, table, timing
+from lapwing.plans.replay_queries import PITS_SQL, W_TIMING, canonical
+from lapwing.plans.standin import ROWS, TIMING_SQL, stored, table, timing
 from lapwing.session import shared_path
 
 W_FEED = "WITH " + TIMING_SQL
@@ -29,19 +28,15 @@ RULES = M.Rules(
 
 
 def quiet(spark, folder):
-    """Timing tables with fewer stops and less rain, so that clean laps exist."""
-    v = timing(spark, folder)
-    marks = v.marks.join(
-        v.feed.where(F.col("k") % 7 == 0).select("event_id"), "event_id", "left_semi"
-    )
-    pits = stored(spark, folder, "quiet_pits", lambda: pair_pits(marks, block=2 * DAY_MS))
+    """Timing tables with all stops and less rain, so that clean laps exist."""
+    v = canonical(spark, folder)
     sky = v.feed.where(F.col("event_type") == "view").select(
         "session_id", F.col("t_ms").alias("session_time_ms"), F.col("value").alias("air_temperature_c"),
         F.when(F.col("k") % 37 != 0, F.col("value") + 10).alias("track_temperature_c"),
         F.col("k").cast("double").alias("humidity_percent"),
         F.when(F.col("k") != 41, F.col("k") == 29).alias("rainfall"), "event_id",
     )
-    return SimpleNamespace(feed=v.feed, laps=v.laps, weather=sky, control=v.control, pits=pits, positions=v.positions)
+    return SimpleNamespace(feed=v.feed, laps=v.laps, weather=sky, control=v.control, pits=v.pits, positions=v.positions)
 
 
 def labelled(spark, folder):
@@ -56,7 +51,7 @@ def featured(spark, folder):
     return stored(spark, folder, "featured", lambda: M.features(labelled(spark, folder), RULES, ROWS))
 
 
-LABEL_SQL = PITS_SQL.replace("FROM tm)", "FROM tm WHERE event_id IN (SELECT event_id FROM feed WHERE k % 7 = 0))") + """,
+LABEL_SQL = PITS_SQL + """,
 qw AS (SELECT session_id, t_ms AS session_time_ms, value AS air, CASE WHEN k % 37 <> 0 THEN value + 10 END AS track, CAST(k AS DOUBLE) AS hum, CASE WHEN k <> 41 THEN k = 29 END AS rain, event_id FROM feed WHERE event_type = 'view'),
 rc AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY session_time_ms, event_id) AS rn, lower(trim(message)) = 'started' AS go FROM tc),
 rd AS (SELECT *, max(CASE WHEN track_status = 'red-flag' THEN rn END) OVER (PARTITION BY session_id ORDER BY rn) AS red, max(CASE WHEN go THEN rn END) OVER (PARTITION BY session_id ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pgo FROM rc),
@@ -166,18 +161,23 @@ def lap_eligibility(spark, folder):
     )
 
 
-@query("lap_features", W_TIMING + FEATURE_SQL + """
-SELECT session_id, driver_id, lap_number, feature_reason, rolling_median_3_ms, round(rolling_std_3_ms, 2) AS rolling_std_3_ms, rolling_trend_3_ms, tyre_life_laps * lap_number AS tyre_age_x_lap FROM fea WHERE reason IS NULL AND hn >= 2
-UNION ALL SELECT session_id, driver_id, lap_number, feature_reason, NULL, NULL, NULL, NULL FROM fea WHERE reason IS NOT NULL OR coalesce(hn, 0) < 2""")
-def lap_features(spark, folder):
+FEATURE_COLUMNS = (*M.FEATURES, *M.NONLINEAR)
+FEATURE_OUT = """feature_reason, tyre_life_laps AS tyre_age_laps, CAST(stint_number AS INT) AS stint_number, pit_count, race_position, CAST(lap_time_ms AS DOUBLE) AS latest_lap_ms, CASE WHEN reason IS NULL AND hn >= 2 THEN rolling_median_3_ms END AS rolling_median_3_ms,
+  CASE WHEN reason IS NULL AND hn >= 2 THEN round(rolling_std_3_ms, 2) END AS rolling_std_3_ms, CASE WHEN reason IS NULL AND hn >= 2 THEN rolling_trend_3_ms END AS rolling_trend_3_ms, w.track AS track_temperature_c, w.air AS air_temperature_c, w.hum AS humidity_percent,
+  CAST(compound = 'soft' AS DOUBLE) AS compound_soft, CAST(compound = 'medium' AS DOUBLE) AS compound_medium, CAST(compound = 'hard' AS DOUBLE) AS compound_hard,
+  tyre_life_laps * tyre_life_laps AS tyre_age_squared, tyre_life_laps * lap_number AS tyre_age_x_lap, tyre_life_laps * w.track AS tyre_age_x_track_temperature"""
+
+
+def all_features(rows):
+    """The 18 feature columns; recent pace only where the feature set has it."""
     full = F.col("reason").isNull() & (F.size("recent") >= 2)
-    return featured(spark, folder).select(
-        *CAR, "lap_number", "feature_reason",
-        F.when(full, F.col("rolling_median_3_ms")).alias("rolling_median_3_ms"),
-        F.when(full, F.round("rolling_std_3_ms", 2)).alias("rolling_std_3_ms"),
-        F.when(full, F.col("rolling_trend_3_ms")).alias("rolling_trend_3_ms"),
-        F.when(full, F.col("tyre_age_x_lap")).alias("tyre_age_x_lap"),
-    )
+    recent = {n: F.when(full, F.round(n, 2) if "std" in n else F.col(n)) for n in FEATURE_COLUMNS if n.startswith("rolling")}
+    return rows.withColumns({**recent, "stint_number": F.col("stint_number").cast("int")})
+
+
+@query("lap_features", W_TIMING + FEATURE_SQL + " SELECT session_id, driver_id, lap_number, " + FEATURE_OUT + " FROM fea")
+def lap_features(spark, folder):
+    return all_features(featured(spark, folder)).select(*CAR, "feature_reason", *FEATURE_COLUMNS)
 
 
 @query("feature_rejections", W_TIMING + FEATURE_SQL + " SELECT feature_reason, count(*) AS rows FROM fea WHERE feature_reason IS NOT NULL GROUP BY 1".replace("AS rows", 'AS "rows"'))
@@ -188,14 +188,14 @@ def feature_rejections(spark, folder):
 CUTOFF_SQL = """, cut AS (SELECT session_id, driver_id, c::BIGINT AS cursor_ms FROM (SELECT DISTINCT session_id, driver_id FROM feed), (VALUES (50000000), (300000000), (600000000)) v(c))"""
 
 
-@query("features_at_cutoffs", W_TIMING + FEATURE_SQL + CUTOFF_SQL + """
-SELECT c.session_id, c.driver_id, c.cursor_ms, f.lap_number, CASE WHEN f.lap_number IS NULL THEN 'no_completed_lap' ELSE feature_reason END AS feature_reason
-FROM cut c ASOF LEFT JOIN fea f ON f.session_id = c.session_id AND f.driver_id = c.driver_id AND c.cursor_ms >= f.lap_end_time_ms""")
+@query("features_at_cutoffs", W_TIMING + FEATURE_SQL + CUTOFF_SQL + ", ftf AS (SELECT session_id, driver_id, lap_number, lap_end_time_ms, " + FEATURE_OUT + """ FROM fea)
+SELECT c.cursor_ms, c.session_id, c.driver_id, f.* EXCLUDE (session_id, driver_id, lap_end_time_ms, feature_reason), CASE WHEN f.lap_number IS NULL THEN 'no_completed_lap' ELSE feature_reason END AS feature_reason
+FROM cut c ASOF LEFT JOIN ftf f ON f.session_id = c.session_id AND f.driver_id = c.driver_id AND c.cursor_ms >= f.lap_end_time_ms""")
 def features_at_cutoffs(spark, folder):
     cars = timing(spark, folder).feed.select(*CAR).distinct()
     cutoffs = cars.withColumn("cursor_ms", F.explode(F.array(*[F.lit(c).cast("long") for c in (50_000_000, 300_000_000, 600_000_000)])))
-    slim = featured(spark, folder).select(*CAR, "lap_number", "lap_end_time_ms", "feature_reason")
-    return M.features_at(slim, cutoffs, ROWS).select(*CAR, "cursor_ms", "lap_number", "feature_reason")
+    rows = all_features(featured(spark, folder)).select(*CAR, "lap_end_time_ms", "feature_reason", *FEATURE_COLUMNS)
+    return M.features_at(rows, cutoffs, ROWS).select(*CAR, "cursor_ms", "feature_reason", *FEATURE_COLUMNS)
 
 
 PACE_SQL = FEATURE_SQL + """,
@@ -335,12 +335,12 @@ BUNDLE_NAMES, BUNDLE_MORE = ("tyre_age_laps", "disc"), ("tyre_age_laps", "disc",
 
 def bundle_laps(spark, folder):
     age = (F.col("l_quantity") * 2).cast("double")
+    usual, lap_ms = 45_000 + age * 250, 40_000 + age * age * 3 + F.col("l_extendedprice").cast("double") / 10
     laps = table(spark, folder, "lineitem").select(
         F.col("l_orderkey").alias("session_id"), F.col("l_suppkey").alias("driver_id"), F.col("l_linenumber").alias("lap_number"),
         F.col("l_partkey").alias("circuit_id"), age.alias("tyre_age_laps"), (age * age).alias("tyre_age_squared"),
-        (F.col("l_discount") * 100).cast("double").alias("disc"), (age * 700).alias("rolling_median_3_ms"),
-        F.col("l_extendedprice").cast("double").alias("target_lap_time_ms"),
-        (F.col("l_extendedprice").cast("double") - age * 700).alias("target_pace_residual_ms"),
+        (F.col("l_discount") * 100).cast("double").alias("disc"), usual.alias("rolling_median_3_ms"),
+        lap_ms.alias("target_lap_time_ms"), (lap_ms - usual).alias("target_pace_residual_ms"),
         F.round(F.col("l_extendedprice") * 100).cast("double").alias("target_effective_loss_ms"),
         F.when(F.col("l_tax") == 0, "opening_lap").alias("feature_reason"), F.lit(20.0).alias("track_temperature_c"),
     )
@@ -375,8 +375,8 @@ def _solved(target: str, kind: str, strength: int) -> str:
 
 
 BUNDLE_SQL = """
-WITH lp AS (SELECT l_orderkey AS session_id, l_suppkey AS driver_id, l_linenumber AS lap_number, l_partkey AS circuit_id, l_quantity * 2.0::DOUBLE AS age, CAST(l_discount * 100 AS DOUBLE) AS disc, CAST(l_extendedprice AS DOUBLE) AS y1,
-  CAST(l_extendedprice AS DOUBLE) - l_quantity * 2.0::DOUBLE * 700 AS y2, l_quantity * 2.0::DOUBLE * 700 AS rolling, CAST(round(l_extendedprice * 100) AS DOUBLE) AS loss, CASE WHEN l_tax = 0 THEN 'opening_lap' END AS fr, o_orderstatus = 'F' AS ended,
+WITH lp AS (SELECT l_orderkey AS session_id, l_suppkey AS driver_id, l_linenumber AS lap_number, l_partkey AS circuit_id, l_quantity * 2.0::DOUBLE AS age, CAST(l_discount * 100 AS DOUBLE) AS disc, 40000 + l_quantity * l_quantity * 12.0::DOUBLE + CAST(l_extendedprice AS DOUBLE) / 10 AS y1,
+  40000 + l_quantity * l_quantity * 12.0::DOUBLE + CAST(l_extendedprice AS DOUBLE) / 10 - (45000 + l_quantity * 500.0::DOUBLE) AS y2, 45000 + l_quantity * 500.0::DOUBLE AS rolling, CAST(round(l_extendedprice * 100) AS DOUBLE) AS loss, CASE WHEN l_tax = 0 THEN 'opening_lap' END AS fr, o_orderstatus = 'F' AS ended,
   CASE WHEN year(o_orderdate) <= 1997 THEN 'train' WHEN year(o_orderdate) = 1998 THEN 'validation' WHEN year(o_orderdate) = 1999 THEN 'calibration' ELSE 'test' END AS split FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
 mo AS (SELECT avg(age) AS ma, greatest(1, stddev_pop(age)) AS sa, avg(disc) AS mb, greatest(1, stddev_pop(disc)) AS sb, avg(age * age) AS mc, greatest(1, stddev_pop(age * age)) AS sc, avg(y1) AS m1, avg(y2) AS m2 FROM lp WHERE split = 'train'),
 z AS (SELECT lp.*, (age - ma) / sa AS a, (disc - mb) / sb AS b, (age * age - mc) / sc AS c FROM lp, mo),
@@ -463,15 +463,15 @@ m2 AS (SELECT selected, mean, wa, wb, wc, w80, w90 FROM cho JOIN wd USING (targe
 sc AS (SELECT z.*, cir.circuit_id AS known, coalesce(cm, g) AS pit, p80, p90, m1.w80, m1.w90, coalesce(m1.mean + m1.wa * a + m1.wb * b + m1.wc * c, rolling) AS pace, m2.w80 AS t80, m2.w90 AS t90,
   [coalesce(m2.mean + m2.wa * (age + h - ma) / sa + m2.wb * b + m2.wc * ((age + h) * (age + h) - mc) / mo.sc, 0) for h in [0, 1, 2, 3, 4, 5]] AS f
   FROM z CROSS JOIN mo CROSS JOIN m1 CROSS JOIN m2 CROSS JOIN gmd CROSS JOIN pw LEFT JOIN cir ON cir.circuit_id = z.circuit_id),
-g AS (SELECT *, CASE WHEN ended THEN 'session_finished' WHEN fr IS NOT NULL THEN fr WHEN known IS NULL THEN 'unsupported_circuit' WHEN age + 5 > 100 THEN 'tyre_forecast_out_of_distribution' WHEN pace NOT BETWEEN 5000 AND 60000 THEN 'implausible_pace_output'
-  WHEN pace - w90 <= 0 THEN 'implausible_prediction_interval' WHEN len(list_filter(f, lambda x: abs(x) > 2000)) > 0 THEN 'implausible_tyre_output' END AS reason FROM sc)
+g AS (SELECT *, CASE WHEN ended THEN 'session_finished' WHEN fr IS NOT NULL THEN fr WHEN known IS NULL THEN 'unsupported_circuit' WHEN age + 5 > 100 THEN 'tyre_forecast_out_of_distribution' WHEN pace NOT BETWEEN 46000 AND 70000 THEN 'implausible_pace_output'
+  WHEN pace - w90 <= 0 THEN 'implausible_prediction_interval' WHEN len(list_filter(f, lambda x: abs(x) > 4000)) > 0 THEN 'implausible_tyre_output' END AS reason FROM sc)
 SELECT reason, count(*) AS n, CAST(sum(CASE WHEN reason IS NULL THEN round_even(pace, 0) END) AS BIGINT) AS pace_total, CAST(sum(CASE WHEN reason IS NULL THEN round_even(pace - w80, 0) + round_even(pace + w90, 0) END) AS BIGINT) AS bounds_total,
   CAST(sum(CASE WHEN reason IS NULL THEN round_even(f[1], 0) + round_even(t80, 0) + round_even(t90, 0) END) AS BIGINT) AS residual_total, CAST(sum(CASE WHEN reason IS NULL THEN round_even(greatest(0, f[2] - f[1], f[3] - f[1], f[4] - f[1], f[5] - f[1], f[6] - f[1]), 0) END) AS BIGINT) AS wear_total,
   CAST(sum(CASE WHEN reason IS NULL THEN round_even(pit, 0) END) AS BIGINT) AS pit_total, CAST(sum(CASE WHEN reason IS NULL THEN round_even(greatest(0, pit - p80), 0) + round_even(greatest(0, pit - p90), 0) + round_even(pit + p80, 0) + round_even(pit + p90, 0) END) AS BIGINT) AS pit_bounds_total FROM g GROUP BY 1""")
 def lap_predictions(spark, folder):
     """Every lap scored by the trained bundle, behind all guards."""
     out = L.predict(
-        bundle_laps(spark, folder), bundle(spark, folder), min_lap_ms=5_000, max_lap_ms=60_000, max_residual_ms=2_000
+        bundle_laps(spark, folder), bundle(spark, folder), min_lap_ms=46_000, max_lap_ms=70_000, max_residual_ms=4_000
     )
 
     def total(name, *columns):

@@ -74,7 +74,7 @@ def log(spark, folder):
 
 def canonical(spark, folder):
     v = timing(spark, folder)
-    v.pits = stored(spark, folder, "pits", lambda: PT.pair_pits(v.marks, block=2 * DAY_MS))
+    v.pits = stored(spark, folder, "pits", lambda: PT.pair_pits(v.marks, rows=ROWS))
     v.stints = PT.derive_stints(v.laps)
     return v
 
@@ -91,7 +91,7 @@ def cursors(v):
 
 @query("pit_stops", W_TIMING + PITS_SQL + " SELECT * FROM tpit")
 def pit_stops(spark, folder):
-    return PT.pair_pits(timing(spark, folder).marks, block=2 * DAY_MS)
+    return PT.pair_pits(timing(spark, folder).marks, rows=ROWS)
 
 
 @query("stints", W_TIMING + PITS_SQL + " SELECT * FROM tst")

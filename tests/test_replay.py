@@ -110,21 +110,24 @@ def pair(marks):
     return sorted(stops + [(t, None, lap) for t, lap in stack], key=str)
 
 
-@pytest.mark.parametrize("width, levels", [(None, 1), (10, 1), (5, 2)])
-def test_pit_pairing_against_stack(spark, width, levels):
-    rng = random.Random(11)
+@pytest.mark.parametrize("rows, seed", [(None, 11), (10, 12), (3, 13)])
+def test_pit_pairing_against_stack(spark, rows, seed):
+    rng = random.Random(seed)
     marks = []
     for driver in range(4):
         lap = 1
         for t in sorted(rng.sample(range(400), 60)):
             lap += rng.random() < 0.4
             marks.append((1, driver, t, rng.choice(["in", "out"]), lap + rng.choice([0, 0, 0, 1])))
+    # Nested entries of one lap, closed one after the other, then exits that meet none; then a driver without exits.
+    marks += [(1, 8, t, "in" if t < 6 else "out", 3) for t in range(15)]
+    marks += [(1, 9, t, "in", 3) for t in range(4)]
     df = spark.createDataFrame(
         [(*m[:3], m[3], m[4], i) for i, m in enumerate(marks)],
         "session_id int, driver_id int, session_time_ms long, kind string, lap_number int, event_id long",
     )
-    got = PT.pair_pits(df, block=width, growth=4, levels=levels).collect()
-    for driver in range(4):
+    got = PT.pair_pits(df, rows=rows).collect()
+    for driver in (0, 1, 2, 3, 8, 9):
         mine = sorted(((r["pit_in_time_ms"], r["pit_out_time_ms"], r["lap_number"]) for r in got if r["driver_id"] == driver), key=str)
         assert mine == pair([(t, k, lap) for _, d, t, k, lap in marks if d == driver])
         assert sorted(r["stop_number"] for r in got if r["driver_id"] == driver) == list(range(1, len(mine) + 1))

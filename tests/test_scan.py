@@ -53,6 +53,24 @@ def test_steps(data, width):
     assert collected(plain) == collected(chunked)
 
 
+@pytest.mark.parametrize("width", [5, 1000])
+def test_null_keys_and_times_keep_their_rows(spark, width):
+    """The size of a chunk never changes the answer, whatever is NULL."""
+    values = [(None if k == 3 else k, "x" if i % 2 else None, None if i % 50 == 0 else t, i, v) for k, t, i, v in rows(9, 300)]
+    data = spark.createDataFrame(values, "k int, g string, t long, i int, v int")
+    steps = dict(a=latest(F.col("v")), d=previous(F.col("v")), e=following(F.col("v")), f=running_sum(F.col("v")), n=position())
+    keys, order = ["k", "g"], ["t", "i"]
+    want = scan(data, series(keys, order), **steps)
+    got = scan(data, series(keys, order, width), **steps)
+    assert want.count() == got.count() == 300 and got.exceptAll(want).isEmpty()
+    plain, cut = (trailing(data, series(keys, order, n), 3, r=F.col("i")) for n in (None, width))
+    assert cut.exceptAll(plain).isEmpty() and cut.count() == 300
+    shares = grouped_percentiles(data, keys, "v", {"m": 0.5}, width)
+    assert shares.count() == data.where("v IS NOT NULL").select(*keys).distinct().count()
+    ranks = conformal_rank(data, keys, "v", {"w": 0.8}, width)
+    assert ranks.count() == shares.count()
+
+
 @pytest.mark.parametrize("width", [3, 50])
 def test_trailing(data, width):
     plain = trailing(data, series(["k"], ["t", "i"]), 3, r=F.col("i")).withColumn("r", F.col("r").cast("string"))
@@ -133,12 +151,12 @@ def test_percentiles_and_conformal_rank(spark):
 
 def test_chunks_follow_the_rows(spark):
     """Ten times the rows in the same thirty days make ten times the chunks."""
-    from lapwing.operators.scan import CHUNK, chunked
+    from lapwing.operators.scan import KEY, chunked
 
     def chunks(n):
         month = 30 * 86_400_000
         rows = spark.range(n).select(F.lit("s").alias("k"), (F.col("id") * (month // n)).alias("t"))
-        return chunked(rows, series(["k"], ["t"], 100)).select(CHUNK).distinct().count()
+        return chunked(rows, series(["k"], ["t"], 100)).select(KEY).distinct().count()
 
     assert (chunks(1000), chunks(10_000)) == (10, 100)
 
