@@ -86,27 +86,57 @@ def recommend(
     )
 
 
-def recommendations(paths: DataFrame, limited_field: bool, chunk_rows: int) -> DataFrame:
-    """Leading strategy, runner-up and guard reasons.
+def limited_fields(field: DataFrame) -> DataFrame:
+    """Whether the others of each driver's field are incomplete at a cursor: excluded, or without a model.
 
-    The two best of a handful of strategies are named first; the paired
-    comparison then filters the paths by those names.
+    ``field`` is what ``active_field`` gives.  A driver who is excluded has no row: there is nothing to recommend.
     """
-    table = outcome_distribution(paths, chunk_rows)
-    top = table.orderBy("expected_position", "p50", "strategy_id").select("strategy_id", "horizon_exceeded_probability").head(2)
-    if len(top) < 2:
-        raise ValueError("a recommendation needs two strategies")
-    (leading, first), (runner_up, second) = top
-    pair = paired_superiority(paths, leading, runner_up)
-    flips = sensitivity(paths).agg(F.bool_or("fragile").alias("fragile"))
-    row = pair.select(
-        F.lit(leading).alias("leading"), F.lit(runner_up).alias("runner_up"), F.col("probability").alias("superiority"),
-        F.col("raw"),
-    ).withColumn("fragile", flips.scalar())
-    reasons = recommend(F.col("raw"), F.col("fragile"), F.lit(first), F.lit(second), F.lit(limited_field))
-    return row.withColumn("guard_reasons", reasons).withColumn(
-        "recommended", F.when(F.size("guard_reasons") == 0, F.col("leading"))
-    ).drop("raw")
+    others = W.partitionBy("session_id", "cursor_ms")
+    weak = (~F.col("model_supported")).cast("int")
+    counted = field.withColumn("__weak", F.sum(weak).over(others) - weak)
+    return counted.where(F.col("excluded_reason").isNull()).select(
+        "session_id", "cursor_ms", "driver_id", (F.col("__weak") > 0).alias("limited_field")
+    )
+
+
+def recommendations(paths: DataFrame, limited: DataFrame, keys: Sequence[str], chunk_rows: int) -> DataFrame:
+    """Leading strategy, runner-up and guard reasons of every decision.
+
+    ``keys`` name a decision in both inputs: ``paths`` hold its simulated strategies, two at least, ``limited`` its
+    ``limited_field``.  A strategy is recommended where no guard fails.
+    """
+    keys = list(keys)
+    table = outcome_distribution(paths, chunk_rows, (*keys, "strategy_id"))
+    best = W.partitionBy(*keys).orderBy("expected_position", "p50", "strategy_id")
+    ranked = table.withColumn("__r", F.row_number().over(best)).where(F.col("__r") <= 2)
+
+    def nth(place: int, column: str) -> Column:
+        return F.max(F.when(F.col("__r") == place, F.col(column)))
+
+    top = ranked.groupBy(*keys).agg(
+        nth(1, "strategy_id").alias("leading"), nth(2, "strategy_id").alias("runner_up"),
+        nth(1, "horizon_exceeded_probability").alias("__h1"), nth(2, "horizon_exceeded_probability").alias("__h2"),
+    ).where(F.col("runner_up").isNotNull())
+
+    def side(name: str) -> Column:
+        return F.min(F.when(F.col("strategy_id") == F.col(name), F.struct("position", "final_time_ms")))
+
+    pairs = paths.join(top.select(*keys, "leading", "runner_up"), keys).groupBy(*keys, "iteration").agg(
+        side("leading").alias("x"), side("runner_up").alias("y")
+    )
+    wins = pairs.where(F.col("x").isNotNull() & F.col("y").isNotNull()).groupBy(*keys).agg(
+        F.avg((F.col("x") < F.col("y")).cast("double")).alias("__raw")
+    )
+    modes = paths.groupBy(*keys, "pit_loss_mode", "strategy_id").agg(
+        F.avg("position").alias("p"), F.avg("final_time_ms").alias("t")
+    ).groupBy(*keys, "pit_loss_mode").agg(F.min_by("strategy_id", F.struct("p", "t", "strategy_id")).alias("winner"))
+    flips = modes.groupBy(*keys).agg((F.min("winner") != F.max("winner")).alias("fragile"))
+    rows = top.join(wins, keys, "left").join(flips, keys).join(limited.select(*keys, "limited_field"), keys)
+    raw = F.coalesce("__raw", F.lit(0.0))
+    reasons = recommend(raw, F.col("fragile"), F.col("__h1"), F.col("__h2"), F.col("limited_field"))
+    return rows.select(
+        *keys, "leading", "runner_up", round_binary(raw, 4).alias("superiority"), "fragile", reasons.alias("guard_reasons"),
+    ).withColumn("recommended", F.when(F.size("guard_reasons") == 0, F.col("leading")))
 
 
 def classify(field: DataFrame, path: Sequence[str]) -> DataFrame:

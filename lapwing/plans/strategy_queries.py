@@ -68,16 +68,48 @@ def pit_loss_sensitivity(spark, folder):
     return S.sensitivity(paths(spark, folder))
 
 
-@query("recommendation", PATHS_SQL + SENS_SQL + f""",
-rk AS (SELECT strategy_id, row_number() OVER (ORDER BY {sql_round('ap', 3)}, {sql_round('q5', 0)}, strategy_id) AS r, hz FROM od),
-su AS (SELECT avg(CAST((a.position, a.final_time_ms) < (b.position, b.final_time_ms) AS DOUBLE)) AS s FROM pth a JOIN pth b ON a.iteration = b.iteration AND a.strategy_id = (SELECT strategy_id FROM rk WHERE r = 1) AND b.strategy_id = (SELECT strategy_id FROM rk WHERE r = 2)),
-gd AS (SELECT s, (SELECT count(DISTINCT winner) > 1 FROM wi) AS fr, (SELECT max(hz) FROM rk WHERE r <= 2) AS h FROM su)
-SELECT (SELECT strategy_id FROM rk WHERE r = 1) AS leading, (SELECT strategy_id FROM rk WHERE r = 2) AS runner_up, {sql_round('s', 4)} AS superiority, fr AS fragile,
-  concat_ws(',', CASE WHEN s < 0.6 THEN 'paired_superiority_below_product_threshold' END, CASE WHEN fr THEN 'pit_loss_sensitivity_winner_flip' END, CASE WHEN h > 0.5 THEN 'local_tyre_horizon_exceeded' END, 'incomplete_or_fallback_background_field') AS guard_reasons,
-  NULL::VARCHAR AS recommended FROM gd""")
+def decisions(spark, folder):
+    """A customer's orders as the iterations of one decision, taken by the car of line 1 in a field of seven."""
+    orders = table(spark, folder, "orders").select(F.col("o_orderkey").alias("iteration"), F.col("o_custkey").alias("session_id"))
+    simulated = paths(spark, folder).join(orders, "iteration").withColumns(
+        {"driver_id": F.lit(1), "cursor_ms": F.lit(0).cast("long")}
+    )
+    lines = table(spark, folder, "lineitem").join(orders, F.col("l_orderkey") == F.col("iteration"))
+    cars = lines.groupBy("session_id", F.col("l_linenumber").cast("int").alias("driver_id")).agg(
+        F.max("l_quantity").alias("age"), F.max("l_discount").alias("disc"), F.min("l_tax").alias("tax")
+    ).withColumn("cursor_ms", F.lit(0).cast("long"))
+    states = cars.select(
+        "session_id", "driver_id", "cursor_ms", F.when(F.col("age") < 6, "retired").otherwise("active").alias("status"),
+        F.lit(False).alias("in_pit"), F.lit("soft").alias("compound"), F.col("age").alias("tyre_age_laps"),
+        F.lit(90_000).alias("last_lap_time_ms"),
+    )
+    feats = cars.select(
+        "session_id", "driver_id", "cursor_ms", F.lit(5).alias("lap_number"),
+        F.when((F.col("disc") >= 0.1) & (F.col("tax") == 0), "insufficient_clean_history").alias("feature_reason"),
+    )
+    return simulated, S.limited_fields(S.active_field(states, feats))
+
+
+@query("recommendation", """
+WITH od AS (SELECT o_orderkey AS iteration, o_custkey AS session_id FROM orders),
+pth AS (SELECT session_id, strategy_id, iteration, CAST(i.l_partkey % 20 + 1 AS INT) AS position, CAST(round(i.l_extendedprice * 100) AS BIGINT) AS final_time_ms, i.l_discount >= 0.09::DOUBLE AS hz,
+  (['lower-90','point','upper-90'])[iteration % 3 + 1] AS pit_loss_mode FROM (SELECT l_orderkey AS iteration, l_returnflag AS strategy_id, arg_min(lineitem, (l_linenumber, l_partkey, l_extendedprice, l_discount)) AS i FROM lineitem GROUP BY 1, 2) JOIN od USING (iteration)),
+oc AS (SELECT session_id, strategy_id, avg(position) AS ap, quantile_cont(final_time_ms, 0.5) AS q5, avg(CAST(hz AS DOUBLE)) AS hz FROM pth GROUP BY 1, 2),
+rk AS (SELECT session_id, strategy_id, hz, row_number() OVER (PARTITION BY session_id ORDER BY """ + f"{sql_round('ap', 3)}, {sql_round('q5', 0)}" + """, strategy_id) AS r FROM oc),
+tp AS (SELECT session_id, max(strategy_id) FILTER (r = 1) AS ld, max(strategy_id) FILTER (r = 2) AS ru, max(hz) FILTER (r <= 2) AS h FROM rk GROUP BY 1 HAVING max(r) >= 2),
+su AS (SELECT tp.session_id, avg(CAST((a.position, a.final_time_ms) < (b.position, b.final_time_ms) AS DOUBLE)) AS s FROM tp JOIN pth a ON a.session_id = tp.session_id AND a.strategy_id = ld JOIN pth b ON b.session_id = tp.session_id AND b.strategy_id = ru AND b.iteration = a.iteration GROUP BY 1),
+wi AS (SELECT session_id, arg_min(strategy_id, (p, t, strategy_id)) AS winner FROM (SELECT session_id, pit_loss_mode, strategy_id, avg(position) AS p, avg(final_time_ms) AS t FROM pth GROUP BY 1, 2, 3) GROUP BY session_id, pit_loss_mode),
+fr AS (SELECT session_id, count(DISTINCT winner) > 1 AS fragile FROM wi GROUP BY 1),
+cr AS (SELECT o_custkey AS session_id, l_linenumber AS driver_id, max(l_quantity) < 6 AS gone, max(l_discount) >= 0.1::DOUBLE AND min(l_tax) = 0 AS bare FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2),
+lm AS (SELECT session_id, bool_or(gone OR bare) FILTER (driver_id <> 1) AS lim, bool_or(gone) FILTER (driver_id = 1) AS own FROM cr GROUP BY 1),
+gd AS (SELECT tp.session_id, ld, ru, coalesce(s, 0) AS s, fragile, h, coalesce(lim, false) AS lim FROM tp LEFT JOIN su USING (session_id) JOIN fr USING (session_id) JOIN lm USING (session_id) WHERE NOT own)
+SELECT session_id, ld AS leading, ru AS runner_up, """ + sql_round("s", 4) + """ AS superiority, fragile,
+  concat_ws(',', CASE WHEN s < 0.6 THEN 'paired_superiority_below_product_threshold' END, CASE WHEN fragile THEN 'pit_loss_sensitivity_winner_flip' END, CASE WHEN h > 0.5 THEN 'local_tyre_horizon_exceeded' END, CASE WHEN lim THEN 'incomplete_or_fallback_background_field' END) AS guard_reasons,
+  CASE WHEN s >= 0.6 AND NOT fragile AND h <= 0.5 AND NOT lim THEN ld END AS recommended FROM gd""")
 def recommendation(spark, folder):
-    out = S.recommendations(paths(spark, folder), True, ROWS)
-    return out.withColumn("guard_reasons", F.array_join("guard_reasons", ","))
+    simulated, limited = decisions(spark, folder)
+    out = S.recommendations(simulated, limited, ["session_id", "driver_id", "cursor_ms"], ROWS)
+    return out.withColumn("guard_reasons", F.array_join("guard_reasons", ",")).drop("driver_id", "cursor_ms")
 
 
 @query("path_classification", """

@@ -111,9 +111,13 @@ def paths(spark, a, b, modes=("lower-90", "point", "upper-90"), horizon=0.0):
 
 
 def test_guard_reasons(spark):
-    clear = S.recommendations(paths(spark, 90, 10), False, 100.0).head()
+    def decide(rows, limited):
+        field = spark.createDataFrame([(1, limited)], "race int, limited_field boolean")
+        return S.recommendations(rows.withColumn("race", F.lit(1)), field, ["race"], 100).head()
+
+    clear = decide(paths(spark, 90, 10), False)
     assert clear["leading"] == "A" and clear["recommended"] == "A" and clear["guard_reasons"] == []
-    limited = S.recommendations(paths(spark, 90, 10, horizon=0.6), True, 100.0).head()
+    limited = decide(paths(spark, 90, 10, horizon=0.6), True)
     assert limited["recommended"] is None
     assert limited["guard_reasons"] == ["local_tyre_horizon_exceeded", "incomplete_or_fallback_background_field"]
 
