@@ -31,6 +31,8 @@ SILENT = frozenset(
     " noframes noscript object option optgroup output progress script select style svg template textarea title video"
     " aside".split()
 )
+#: Lists, tables, quotes and figures: in an article they belong to the region of the block that holds them.
+PARTS = frozenset("blockquote center dd details dl figcaption figure ol table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed frame hr img input link meta param source track wbr".split())
 SELF_ENDING = frozenset("p li h1 h2 h3 h4 h5 h6 dt dd option tr td th".split())
 ARTICLES = frozenset(("article", "main"))
@@ -45,7 +47,8 @@ OTHER_WORDS = frozenset(
 #: Words that may stand beside them in a name; any other word makes it the name of something else (has-sidebar).
 PLAIN_WORDS = frozenset(
     "area bar block bottom box button buttons container footer global group icons inner item items left link links list"
-    " page panel post posts primary right secondary section site slot stories top unit".split()
+    " page panel post posts primary reader readers right secondary section site slot stories thread top unit user users"
+    " visitor visitors".split()
 )
 #: Elements among the silent that can wrap a whole page.
 WRAPPERS = frozenset(("form", "fieldset"))
@@ -67,26 +70,34 @@ def _names_other(value: str, allowed: frozenset[str] = frozenset()) -> bool:
 
 
 class _Lines(HTMLParser):
-    """Collects lines: (text, tags, region, in_article)."""
+    """Collects lines: (text, tags, region, in_article).
+
+    Named elements and articles are numbered as they open and know the one around them (0 for none), so a line keeps
+    only the innermost of each, however deep the markup is.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        #: (parts with the named elements that hold them, tags, region, open articles).
-        self.found: list[tuple[list[tuple[str, tuple[int, ...]]], int, int, tuple[int, ...]]] = []
-        #: Open elements that matter: (tag, silent, article or 0, region, named elements that hold it).
-        self.open: list[tuple[str, bool, int, int, tuple[int, ...]]] = []
-        self.parts: list[tuple[str, tuple[int, ...]]] = []
+        #: (parts with the named element that holds them, tags, region, article).
+        self.found: list[tuple[list[tuple[str, int]], int, int, int]] = []
+        #: Open elements that matter: (tag, silent, article, region, named element).
+        self.open: list[tuple[str, bool, int, int, int]] = []
+        self.tags_open: Counter[str] = Counter()
+        self.parts: list[tuple[str, int]] = []
         self.tags = 0
         self.regions = 0
-        self.articles = 0
-        self.named = 0
-        #: The named elements that hold each article.
-        self.holders: dict[int, tuple[int, ...]] = {}
+        self.named_around = [0]
+        self.article_around = [0]
+        #: The named element that holds each article.
+        self.holders = [0]
+
+    def _now(self) -> tuple[str, bool, int, int, int]:
+        return self.open[-1] if self.open else ("", False, 0, 0, 0)
 
     def _end_line(self) -> None:
         if self.parts:
-            region = self.open[-1][3] if self.open else 0
-            self.found.append((self.parts, self.tags, region, tuple(x[2] for x in self.open if x[2])))
+            _, _, article, region, _ = self._now()
+            self.found.append((self.parts, self.tags, region, article))
             self.tags = 0
         self.parts = []
 
@@ -102,7 +113,7 @@ class _Lines(HTMLParser):
         return False
 
     def _is_named(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-        in_article = any(x[2] for x in self.open)
+        in_article = self._now()[2] > 0
         if tag in WRAPPERS or (tag == "header" and not in_article):
             return True
         for name, value in attrs:
@@ -122,37 +133,38 @@ class _Lines(HTMLParser):
             # A block ends an open paragraph and its like.
             if tag in SELF_ENDING or tag in CONTAINERS:
                 while self.open and self.open[-1][0] in SELF_ENDING and self.open[-1][0] not in CONTAINERS:
-                    self.open.pop()
+                    self.tags_open[self.open.pop()[0]] -= 1
         elif tag == "br":
-            self.parts.append((" ", self.open[-1][4] if self.open else ()))
+            self.parts.append((" ", self._now()[4]))
         self.tags += 1
         if tag in VOID:
             return
-        silent = bool(self.open and self.open[-1][1])
+        _, silent, article, region, named = self._now()
         hidden = silent or self._is_hidden(tag, attrs)
-        named = self.open[-1][4] if self.open else ()
         is_named = not hidden and self._is_named(tag, attrs)
         if is_named:
-            self.named += 1
-            named = (*named, self.named)
+            self.named_around.append(named)
+            named = len(self.named_around) - 1
         if hidden or named or tag in CONTAINERS:
-            article = 0
-            if tag in ARTICLES and not hidden and not is_named:
-                self.articles += 1
-                article = self.articles
-                self.holders[article] = named
-            region = self.open[-1][3] if self.open else 0
-            if tag in CONTAINERS:
+            if tag in CONTAINERS and not (article and tag in PARTS):
                 self.regions += 1
                 region = self.regions
+            if tag in ARTICLES and not hidden and not is_named:
+                self.article_around.append(article)
+                self.holders.append(named)
+                article = len(self.holders) - 1
             self.open.append((tag, hidden, article, region, named))
+            self.tags_open[tag] += 1
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
             self._end_line()
         self.tags += 1
+        if not self.tags_open[tag]:
+            return
         for place in range(len(self.open) - 1, -1, -1):
             if self.open[place][0] == tag:
+                self.tags_open.subtract(x[0] for x in self.open[place:])
                 del self.open[place:]
                 break
             # Only an element's own end closes what it hides; a stray end inside an article doesn't close the article.
@@ -160,36 +172,52 @@ class _Lines(HTMLParser):
                 break
 
     def handle_data(self, data: str) -> None:
-        if not (self.open and self.open[-1][1]):
-            self.parts.append((data, self.open[-1][4] if self.open else ()))
+        _, silent, _, _, named = self._now()
+        if not silent:
+            self.parts.append((data, named))
 
-    def _kept(self) -> frozenset[int]:
-        """Named elements that are not silent: those that hold the largest article, or most of a page without one."""
-        sizes, articles = Counter(), Counter()
+    def _kept(self) -> list[bool]:
+        """For each named element, whether its text counts: with what holds it, it holds the largest article, or on a
+        page without one most of the text."""
+        sizes, articles = [0] * len(self.named_around), [0] * len(self.holders)
         total = 0
-        for parts, _, _, inside in self.found:
+        for parts, _, _, article in self.found:
             for text, named in parts:
                 size = len("".join(text.split()))
                 total += size
-                sizes.update(dict.fromkeys(named, size))
-                for article in inside:
-                    # What has a name of its own inside an article is not counted for it.
-                    if named == self.holders[article]:
-                        articles[article] += size
-        if articles:
-            return frozenset(self.holders[max(articles, key=lambda article: (articles[article], -article))])
-        return frozenset(key for key, size in sizes.items() if 2 * size > total)
+                sizes[named] += size
+                # What has a name of its own inside an article is not counted for it.
+                if article and named == self.holders[article]:
+                    articles[article] += size
+        for article in range(len(articles) - 1, 0, -1):
+            around = self.article_around[article]
+            if around and self.holders[around] == self.holders[article]:
+                articles[around] += articles[article]
+        kept = [False] * len(sizes)
+        if any(articles):
+            named = self.holders[max(range(1, len(articles)), key=lambda article: (articles[article], -article))]
+            while named:
+                kept[named] = True
+                named = self.named_around[named]
+        else:
+            for named in range(len(sizes) - 1, 0, -1):
+                kept[named] = 2 * sizes[named] > total
+                sizes[self.named_around[named]] += sizes[named]
+        kept[0] = True
+        for named in range(1, len(kept)):
+            kept[named] = kept[named] and kept[self.named_around[named]]
+        return kept
 
     def finish(self) -> list[tuple[str, int, int, bool]]:
         self.close()
         self._end_line()
         kept = self._kept()
         lines, carried = [], 0
-        for parts, tags, region, inside in self.found:
-            text = " ".join("".join(data for data, named in parts if kept.issuperset(named)).split())
+        for parts, tags, region, article in self.found:
+            text = " ".join("".join(data for data, named in parts if kept[named]).split())
             carried += tags
             if text:
-                lines.append((text, carried, region, bool(inside)))
+                lines.append((text, carried, region, article > 0))
                 carried = 0
         return lines
 
