@@ -25,7 +25,10 @@ def quality_gate(events: DataFrame) -> DataFrame:
 
 
 def resolve_circuit(events: DataFrame, identities: DataFrame | None = None) -> DataFrame:
-    """Add ``circuit_id``: the (season, round) identity or a slug of the name."""
+    """Add ``circuit_id``: the (season, round) identity or a slug of the name.
+
+    ``identities`` has one row a (season, round), as ``circuit_identities`` gives.
+    """
     fallback = slug(F.col("circuit_name"))
     if identities is None:
         return events.withColumn("circuit_id", fallback)
@@ -37,6 +40,20 @@ def resolve_circuit(events: DataFrame, identities: DataFrame | None = None) -> D
     )
 
 
+def circuit_identities(seasons: DataFrame, rounds: DataFrame, circuits: DataFrame) -> DataFrame:
+    """season, round_number and the provider's circuit ``reference`` of each numbered round of a dump.
+
+    ``seasons``: id, year; ``rounds``: id, season_id, number, circuit_id; ``circuits``: id, reference.  Rounds without a
+    number or without a known circuit have none.  Of several rounds with one number the last (by id) counts.
+    """
+    years = seasons.select(F.col("id").alias("season_id"), F.col("year").alias("season"))
+    known = circuits.where(F.col("reference").isNotNull()).select(F.col("id").alias("circuit_id"), "reference")
+    rows = rounds.where(F.col("number").isNotNull()).join(years, "season_id").join(known, "circuit_id")
+    return rows.groupBy("season", F.col("number").alias("round_number")).agg(
+        F.max_by("reference", rounds["id"]).alias("reference")
+    )
+
+
 def finish_order(c: str = "finish_position") -> Column:
     """Sort key that puts missing and zero finishes last."""
     return F.when(F.coalesce(F.col(c), F.lit(0)) == 0, LAST_PLACE).otherwise(F.col(c))
@@ -499,6 +516,79 @@ def pit_trend(obs: DataFrame) -> DataFrame:
     )
 
 
+def paged_by(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], offset: int = 0, limit: int = 50
+) -> DataFrame:
+    """One page of every entity's rows, numbered from 1 (``item_rank``), with the ``total`` before paging.
+
+    An entity's rows are its races or partners: some thousand at most.
+    """
+    if offset < 0 or limit < 1:
+        raise ValueError("offset must not be negative and limit at least 1")
+    each = W.partitionBy(*keys)
+    ranked = df.withColumn("item_rank", F.row_number().over(each.orderBy(*order))).withColumn(
+        "total", F.count(F.lit(1)).over(each)
+    )
+    return ranked.where((F.col("item_rank") > offset) & (F.col("item_rank") <= offset + limit))
+
+
+def _newest_first() -> list[Column]:
+    return [F.col("season").desc(), F.col("round_number").desc(), F.col("session_id")]
+
+
+def constructor_circuits(obs: DataFrame) -> DataFrame:
+    """A constructor's record at each circuit, most starts first."""
+    keys = ["constructor_id", "circuit_id"]
+    rows = constructor_summary(obs.where(F.col("constructor_id").isNotNull()), keys)
+    order = W.partitionBy("constructor_id").orderBy(F.col("starts").desc(), "circuit_id")
+    return rows.withColumn("circuit_rank", F.row_number().over(order))
+
+
+def constructor_races(obs: DataFrame, offset: int = 0, limit: int = 50) -> DataFrame:
+    """A page of each constructor's races, newest first, with the record of its cars in the race."""
+    keys = ["constructor_id", "session_id"]
+    held = obs.where(F.col("constructor_id").isNotNull())
+    race = held.groupBy(*keys).agg(
+        *[F.max(c).alias(c) for c in ("event_id", "season", "round_number", "event_name", "circuit_id", "circuit_name")]
+    )
+    return paged_by(race.join(summary(held, keys), keys), ["constructor_id"], _newest_first(), offset, limit)
+
+
+def _top_of_circuit(rows: DataFrame, entity: str, order: Sequence[str], n: int) -> DataFrame:
+    by = W.partitionBy("circuit_id").orderBy(*[F.col(c).desc() for c in order], entity)
+    return rows.withColumn("place", F.row_number().over(by)).where(F.col("place") <= n)
+
+
+def circuit_drivers(obs: DataFrame, n: int = 50) -> DataFrame:
+    """The ``n`` best drivers of each circuit: wins, podiums, points, starts; equal ones by id."""
+    keys = ["circuit_id", "driver_id"]
+    rows = summary(obs, keys).join(latest_name_by(obs, keys, "driver_name"), keys)
+    return _top_of_circuit(rows, "driver_id", ("wins", "podiums", "points", "starts"), n)
+
+
+def circuit_constructors(obs: DataFrame, n: int = 50) -> DataFrame:
+    """The ``n`` best constructors of each circuit: wins, points; equal ones by id."""
+    keys = ["circuit_id", "constructor_id"]
+    held = obs.where(F.col("constructor_id").isNotNull())
+    rows = constructor_summary(held, keys).join(latest_name_by(held, keys, "constructor_name"), keys)
+    return _top_of_circuit(rows, "constructor_id", ("wins", "points"), n)
+
+
+def circuit_races(obs: DataFrame, offset: int = 0, limit: int = 50) -> DataFrame:
+    """A page of each circuit's races, newest season first: winner, stops where supported, retirements."""
+    return paged_by(race_rows(obs), ["circuit_id"], _newest_first(), offset, limit)
+
+
+def race_summary(obs: DataFrame) -> DataFrame:
+    """Headline of each race: winner, size of the field and the podium, laps, stops where supported, who fell out."""
+    scored = F.col("outcome").isin(*SCORED)
+    more = obs.groupBy("session_id").agg(
+        F.count(F.lit(1)).alias("driver_count"), _when((F.col("finish_position") <= 3) & scored).alias("podium_size"),
+        F.sum("recorded_lap_count").alias("recorded_laps"), _when(F.col("outcome") == "dns").alias("dns_count"),
+    )
+    return race_rows(obs).join(more, "session_id")
+
+
 def podium(obs: DataFrame) -> DataFrame:
     return obs.where(
         (F.col("finish_position") <= 3) & F.col("outcome").isin(*SCORED)
@@ -518,14 +608,22 @@ def top_movers(obs: DataFrame, n: int = 8) -> DataFrame:
     )
 
 
-def position_progression(obs: DataFrame, laps: DataFrame, top: int = 5) -> DataFrame:
-    """Lap-by-lap position of the first ``top`` finishers of each race."""
+def position_progression(obs: DataFrame, laps: DataFrame, top: int = 5, drivers: DataFrame | None = None) -> DataFrame:
+    """Lap-by-lap position in each race of the chosen ``drivers`` (session_id, driver_id), else of the first ``top``.
+
+    A race without a chosen driver shows its first ones; chosen drivers who took no part show nothing.
+    """
     w = W.partitionBy("session_id").orderBy(finish_order(), F.col("driver_id"))
     chosen = (
         obs.withColumn("rank", F.row_number().over(w))
         .where(F.col("rank") <= top)
         .select("session_id", "driver_id")
     )
+    if drivers is not None:
+        wanted = drivers.select("session_id", "driver_id").distinct()
+        chosen = chosen.join(wanted.select("session_id").distinct(), "session_id", "left_anti").unionByName(
+            wanted.join(obs.select("session_id", "driver_id"), ["session_id", "driver_id"], "left_semi")
+        )
     return (
         laps.where(F.col("position").isNotNull())
         .select("session_id", "driver_id", "lap_number", "position")

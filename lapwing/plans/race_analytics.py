@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lapwing.operators import analytics as A
 from lapwing.plans.registry import query, sql_round
-from lapwing.plans.standin import ARCHIVE_SQL, OBS_SQL, ROWS, archive, stored
+from lapwing.plans.standin import ARCHIVE_SQL, OBS_SQL, ROWS, archive, stored, table
 
 FLOOR = 1995  # the test orders start in 1995
 W_ARCHIVE = "WITH " + ARCHIVE_SQL
@@ -283,6 +283,91 @@ def circuit_pit_trend(spark, folder):
     return A.pit_trend(observations(spark, folder))
 
 
+PAGE = 20
+
+RACES_SQL = f""", win AS (SELECT session_id, min(driver_id) AS winner_driver_id, arg_min(driver_name, driver_id) AS winner_name FROM obs WHERE finish_position = 1 AND outcome IN ('finished','classified') GROUP BY 1),
+races AS (SELECT o.session_id, any_value(event_id) AS event_id, any_value(season) AS season, any_value(round_number) AS round_number, any_value(event_name) AS event_name, any_value(circuit_id) AS circuit_id,
+  any_value(winner_driver_id) AS winner_driver_id, any_value(winner_name) AS winner_name, CAST(CASE WHEN bool_or(pit_data_available) THEN sum(coalesce(pit_stop_count, 0)) END AS BIGINT) AS pit_stop_count,
+  count(*) FILTER (outcome = 'dnf') AS dnf_count FROM obs o LEFT JOIN win USING (session_id) GROUP BY 1)"""
+
+
+@query("constructor_circuits", W_OBS + f"""
+SELECT *, row_number() OVER (PARTITION BY constructor_id ORDER BY starts DESC, circuit_id) AS circuit_rank FROM ({sql_constructor("constructor_id, circuit_id")}) WHERE constructor_id IS NOT NULL""")
+def constructor_circuits(spark, folder):
+    return A.constructor_circuits(observations(spark, folder))
+
+
+@query("constructor_races", W_OBS + f"""
+SELECT s.*, m.* EXCLUDE (constructor_id, session_id), row_number() OVER (PARTITION BY s.constructor_id ORDER BY season DESC, round_number DESC, s.session_id) AS item_rank, count(*) OVER (PARTITION BY s.constructor_id) AS total
+FROM ({sql_summary("constructor_id, session_id")}) s JOIN (SELECT constructor_id, session_id, any_value(event_id) AS event_id, any_value(season) AS season, any_value(round_number) AS round_number, any_value(event_name) AS event_name,
+  any_value(circuit_id) AS circuit_id, any_value(circuit_name) AS circuit_name FROM obs GROUP BY 1, 2) m ON m.constructor_id = s.constructor_id AND m.session_id = s.session_id QUALIFY item_rank > {PAGE} AND item_rank <= {2 * PAGE}""")
+def constructor_races(spark, folder):
+    """The second page of every constructor's races."""
+    return A.constructor_races(observations(spark, folder), offset=PAGE, limit=PAGE)
+
+
+@query("circuit_drivers", W_OBS + f"""
+SELECT s.*, driver_name, row_number() OVER (PARTITION BY s.circuit_id ORDER BY wins DESC, podiums DESC, points DESC, starts DESC, s.driver_id) AS place
+FROM ({sql_summary("circuit_id, driver_id")}) s JOIN (SELECT circuit_id, driver_id, arg_max(driver_name, (season, round_number, {FINISH}, session_id, driver_id)) AS driver_name FROM obs GROUP BY 1, 2) n
+  ON n.circuit_id = s.circuit_id AND n.driver_id = s.driver_id QUALIFY place <= 50""")
+def circuit_drivers(spark, folder):
+    return A.circuit_drivers(observations(spark, folder))
+
+
+@query("circuit_constructors", W_OBS + f"""
+SELECT s.*, constructor_name, row_number() OVER (PARTITION BY s.circuit_id ORDER BY wins DESC, points DESC, s.constructor_id) AS place
+FROM ({sql_constructor("circuit_id, constructor_id")}) s JOIN (SELECT circuit_id, constructor_id, arg_max(constructor_name, (season, round_number, {FINISH}, session_id, driver_id)) AS constructor_name FROM obs GROUP BY 1, 2) n
+  ON n.circuit_id = s.circuit_id AND n.constructor_id = s.constructor_id QUALIFY place <= 50""")
+def circuit_constructors(spark, folder):
+    return A.circuit_constructors(observations(spark, folder))
+
+
+@query("circuit_races", W_OBS + RACES_SQL + """
+SELECT *, row_number() OVER (PARTITION BY circuit_id ORDER BY season DESC, round_number DESC, session_id) AS item_rank, count(*) OVER (PARTITION BY circuit_id) AS total FROM races QUALIFY item_rank <= 50""")
+def circuit_races(spark, folder):
+    return A.circuit_races(observations(spark, folder))
+
+
+@query("race_summaries", W_OBS + RACES_SQL + """
+SELECT races.*, driver_count, podium_size, recorded_laps, dns_count FROM races JOIN (SELECT session_id, count(*) AS driver_count, count(*) FILTER (finish_position <= 3 AND outcome IN ('finished','classified')) AS podium_size,
+  CAST(sum(recorded_lap_count) AS BIGINT) AS recorded_laps, count(*) FILTER (outcome = 'dns') AS dns_count FROM obs GROUP BY 1) USING (session_id)""")
+def race_summaries(spark, folder):
+    return A.race_summary(observations(spark, folder))
+
+
+@query("chosen_progression", W_OBS + f"""
+SELECT session_id, driver_id, lap_number, position FROM laps
+WHERE position IS NOT NULL AND ((session_id, driver_id) IN (SELECT (session_id, driver_id) FROM obs WHERE driver_id IN (3, 5, 8))
+  OR session_id NOT IN (SELECT session_id FROM obs WHERE driver_id IN (3, 5, 8)) AND (session_id, driver_id) IN (SELECT (session_id, driver_id) FROM obs QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY {FINISH}, driver_id) <= 5))""")
+def chosen_progression(spark, folder):
+    """Three drivers where they took part, the first five elsewhere."""
+    obs = observations(spark, folder)
+    chosen = obs.where(F.col("driver_id").isin(3, 5, 8)).select("session_id", "driver_id")
+    return A.position_progression(obs, archive(spark, folder).laps, drivers=chosen)
+
+
+@query("circuit_identities", W_OBS + """,
+rnd AS (SELECT c_custkey AS id, 1992 + c_custkey % 10 AS season, CASE WHEN c_custkey % 7 <> 0 THEN c_custkey % 24 + 1 END AS number, CASE WHEN c_custkey % 11 <> 0 THEN n_name END AS reference FROM customer JOIN nation ON n_nationkey = c_nationkey),
+idn AS (SELECT season, number, arg_max(reference, id) AS reference FROM rnd WHERE number IS NOT NULL AND reference IS NOT NULL GROUP BY 1, 2),
+ev AS (SELECT DISTINCT session_id, season, round_number, circuit_id AS slug FROM obs)
+SELECT session_id, ev.season, round_number, coalesce(reference, slug) AS circuit_id FROM ev LEFT JOIN idn ON idn.season = ev.season AND number = round_number""")
+def circuit_identities(spark, folder):
+    """Circuits of the races by the identities of rounds: several rounds of one number, some without number or circuit."""
+    nations, customers = table(spark, folder, "nation"), table(spark, folder, "customer")
+    key = F.col("c_custkey")
+    rounds = customers.select(
+        key.alias("id"), (key % 10).alias("season_id"), F.when(key % 7 != 0, key % 24 + 1).alias("number"),
+        F.when(key % 11 != 0, F.col("c_nationkey")).alias("circuit_id"),
+    )
+    seasons = customers.select((key % 10).alias("id"), (key % 10 + 1992).alias("year")).distinct()
+    circuits = nations.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("reference"))
+    events = A.quality_gate(archive(spark, folder).events)
+    resolved = A.resolve_circuit(events, A.circuit_identities(seasons, rounds, circuits))
+    return resolved.join(observations(spark, folder).select("session_id").distinct(), "session_id", "left_semi").select(
+        "session_id", "season", "round_number", "circuit_id"
+    )
+
+
 @query("race_podium", W_OBS + """
 SELECT session_id, finish_position, driver_id, driver_name FROM obs
 WHERE finish_position <= 3 AND outcome IN ('finished','classified')""")
