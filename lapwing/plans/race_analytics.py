@@ -349,8 +349,8 @@ def chosen_progression(spark, folder):
 @query("circuit_identities", W_OBS + """,
 rnd AS (SELECT c_custkey AS id, 1992 + c_custkey % 10 AS season, CASE WHEN c_custkey % 7 <> 0 THEN c_custkey % 24 + 1 END AS number, CASE WHEN c_custkey % 11 <> 0 THEN n_name END AS reference FROM customer JOIN nation ON n_nationkey = c_nationkey),
 idn AS (SELECT season, number, arg_max(reference, id) AS reference FROM rnd WHERE number IS NOT NULL AND reference IS NOT NULL GROUP BY 1, 2),
-ev AS (SELECT DISTINCT session_id, season, round_number, circuit_id AS slug FROM obs)
-SELECT session_id, ev.season, round_number, coalesce(reference, slug) AS circuit_id FROM ev LEFT JOIN idn ON idn.season = ev.season AND number = round_number""")
+evs AS (SELECT DISTINCT session_id, season, round_number, circuit_id AS slug FROM obs)
+SELECT session_id, evs.season, round_number, coalesce(reference, slug) AS circuit_id FROM evs LEFT JOIN idn ON idn.season = evs.season AND number = round_number""")
 def circuit_identities(spark, folder):
     """Circuits of the races by the identities of rounds: several rounds of one number, some without number or circuit."""
     nations, customers = table(spark, folder, "nation"), table(spark, folder, "customer")
