@@ -22,15 +22,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lapwing.llm.pieces import PieceCache
+from lapwing.llm.pieces import MatchCache, PieceCache
 
 BLOCK = 512
 #: Ids after which a chunk of documents is closed; a longer document is a chunk of its own.
 CHUNK_IDS = 1 << 17
 #: Widths are taken from these percentiles of a block; the one with the smallest result is used.
 PERCENTILES = (100, 99, 95, 90)
-#: Pieces in a generation of the encoder's cache: about 100 MB a worker.
-KEPT_PIECES = 600_000
+#: Matches in a generation of the encoder's cache: about 100 MB a worker.
+KEPT_MATCHES = 400_000
 _HEAD = np.dtype("<u4")
 
 
@@ -127,10 +127,23 @@ def unpack(payload: bytes, begin: int = 0, end: int | None = None) -> np.ndarray
 
 # -- tokenizer ------------------------------------------------------------------------------------
 
-_ENCODERS: dict[str, PieceCache] = {}
+_ENCODERS: dict[str, MatchCache] = {}
 
+#: The characters that byte-level vocabularies write for bytes.
+_SIGNS = list(map(chr, range(256)))
+for _sign, _byte in enumerate([*range(33), *range(127, 161), 173], 256):
+    _SIGNS[_byte] = chr(_sign)
 
-def encoder(path: str) -> PieceCache:
+
+def _visible(part: str) -> str:
+    """What byte-level vocabularies write for the bytes of a match."""
+    body = part[1:] if part[0] == " " else part
+    if body.isascii() and body.isalnum():
+        return part if body is part else _SIGNS[32] + body
+    return "".join([_SIGNS[byte] for byte in part.encode("utf-8")])
+
+
+def encoder(path: str) -> MatchCache:
     """This worker's encoder for the tokenizers file; ids come as little-endian unsigned 32-bit integers."""
     if path not in _ENCODERS:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -148,6 +161,10 @@ def encoder(path: str) -> PieceCache:
 
         # White space that a piece seldom holds: between two pieces it is an id of its own.
         (between,) = tokenizer.encode("\x0b", add_special_tokens=False).ids
+        merge = tokenizer.model.tokenize
+
+        def one_match(part: str) -> bytes:
+            return array("I", [token.id for token in merge(_visible(part))]).tobytes()
 
         def plain(pieces: list[str]) -> list[bytes]:
             found = tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
@@ -172,7 +189,8 @@ def encoder(path: str) -> PieceCache:
                     out[i] = data[a:b]
             return out
 
-        cache = PieceCache(encode, KEPT_PIECES)
+        pieces = PieceCache(encode, KEPT_MATCHES // 8)
+        cache = MatchCache(one_match, pieces.ids, KEPT_MATCHES)
         whole = cache.ids
         # Marks of the tokenizer written in a text are ids of their own and end what stands before them.
         marks = [token["content"] for token in kinds.get("added_tokens") or []]
