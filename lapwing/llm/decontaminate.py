@@ -29,6 +29,8 @@ STRIDE = 64
 PIECE = 48
 #: Pieces in a block, and items in one index: an index is broadcast, so its size is bounded.
 BLOCK, SHARD = 2, 20_000
+#: Windows times blocks whose bounds are held at once.
+CELLS = 1 << 20
 #: Share of the threshold that the terms below the pivot may reach together.
 WEAK = 0.5
 THRESHOLD = 0.5
@@ -166,15 +168,26 @@ def leaks_of(texts: list[str], index: Index) -> list[list[tuple[int, float, floa
     cell = np.unique(half[known] * len(index.terms) + flat[known])
     half_of, term = cell // len(index.terms), cell % len(index.terms)
     count = index.ups[term + 1] - index.ups[term]
-    at = np.repeat(index.ups[term] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-    bound = np.bincount(
-        np.repeat(half_of, count) * index.blocks + index.up_blocks[at], index.up_values[at],
-        minlength=int(first[-1] + 1) * index.blocks,
-    ).reshape(-1, index.blocks)
-    window = bound[:-1] + bound[1:]
-    # A window that begins with the empty half belongs to no document.
-    window[first[1:] - 1] = -1.0
-    opened, block = np.nonzero(window + index.rest >= THRESHOLD)
+    last = first[1:] - 1
+    opened, block = [], []
+    # Some windows at a time, so that the bounds of all blocks stay small whatever the batch and the index hold.
+    step = max(1, CELLS // index.blocks)
+    for low in range(0, int(first[-1]), step):
+        high = min(low + step, int(first[-1]))
+        a, b = np.searchsorted(half_of, [low, high + 1])
+        ups = count[a:b]
+        at = np.repeat(index.ups[term[a:b]] - np.concatenate([[0], np.cumsum(ups)[:-1]]), ups) + np.arange(ups.sum())
+        bound = np.bincount(
+            np.repeat(half_of[a:b] - low, ups) * index.blocks + index.up_blocks[at], index.up_values[at],
+            minlength=(high - low + 1) * index.blocks,
+        ).reshape(-1, index.blocks)
+        window = bound[:-1] + bound[1:]
+        # A window that begins with the empty half belongs to no document.
+        window[last[slice(*np.searchsorted(last, [low, high]))] - low] = -1.0
+        rows, columns = np.nonzero(window + index.rest >= THRESHOLD)
+        opened.append(rows + low)
+        block.append(columns)
+    opened, block = np.concatenate(opened), np.concatenate(block)
     marks = np.zeros(len(index.terms), bool)
     found: dict[tuple[int, int], float] = {}
     at_window = -1
