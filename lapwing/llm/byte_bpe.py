@@ -18,7 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lapwing.llm.pieces import PieceCache
+from lapwing.llm.pieces import BYTE_LEVEL, MatchCache, PieceCache
+
+#: Matches in a generation of the encoder's cache.
+KEPT_MATCHES = 80_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -32,7 +35,7 @@ class ByteBpe:
     ``ranks`` holds every single byte and, for every longer token, tokens of lower rank that merge into it.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, kept_pairs: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, kept_pairs: int = 120_000):
         import ahocorasick
         import regex
 
@@ -146,26 +149,25 @@ class ByteBpe:
         return b"".join(map(self.token.__getitem__, ids))
 
 
-_CODECS: dict[tuple[str, str], tuple[ByteBpe, PieceCache]] = {}
+_CODECS: dict[tuple[str, str], tuple[ByteBpe, MatchCache | PieceCache]] = {}
 
 
-def codec(path: str, pattern: str) -> tuple[ByteBpe, PieceCache]:
+def codec(path: str, pattern: str) -> tuple[ByteBpe, MatchCache | PieceCache]:
     """This worker's codec; the cache gives ids as little-endian unsigned 32-bit integers."""
     if (path, pattern) not in _CODECS:
         bpe = ByteBpe(read_ranks(path), pattern)
-        known: dict[str, bytes] = {}
+
+        def one_match(part: str) -> bytes:
+            return array("I", bpe.encode_bytes(part.encode("utf-8"))).tobytes()
 
         def encode(pieces: list[str]) -> Iterator[bytes]:
-            if len(known) > 100_000:
-                known.clear()
             for piece in pieces:
-                parts = bpe.split(piece)
-                for part in parts:
-                    if part not in known:
-                        known[part] = array("I", bpe.encode_bytes(part.encode("utf-8"))).tobytes()
-                yield b"".join([known[part] for part in parts])
+                yield b"".join(map(one_match, bpe.split(piece)))
 
-        _CODECS[path, pattern] = bpe, PieceCache(encode)
+        # Another pattern is matched as it stands, piece by piece.
+        usual = pattern == BYTE_LEVEL
+        pieces = PieceCache(encode, KEPT_MATCHES // 4 if usual else KEPT_MATCHES)
+        _CODECS[path, pattern] = bpe, MatchCache(one_match, pieces.ids, KEPT_MATCHES) if usual else pieces
     return _CODECS[path, pattern]
 
 
@@ -187,28 +189,51 @@ def encode_documents(
     return rows.mapInArrow(encode, f"id {rows.schema['id'].dataType.simpleString()}, ids binary")
 
 
+def _decoded(bpe: ByteBpe, rows: pa.RecordBatch, data: list[bytes], keep_ids: bool) -> pa.RecordBatch:
+    """id, n_tokens, ids_sha256, decoded, and the ids where they are kept."""
+    columns = [
+        rows.column(0),
+        pa.array([len(d) // 4 for d in data], pa.int64()),
+        pa.array([hashlib.sha256(d).hexdigest() for d in data]),
+        pa.array([bpe.decode(np.frombuffer(d, "<u4").tolist()) for d in data], pa.binary()),
+    ]
+    if keep_ids:
+        columns.append(pa.array(data, pa.binary()))
+    return pa.RecordBatch.from_arrays(columns, names=["id", "n_tokens", "ids_sha256", "decoded", "ids"][: len(columns)])
+
+
+def _decoded_schema(rows: DataFrame, keep_ids: bool) -> str:
+    kind = rows.schema["id"].dataType.simpleString()
+    return f"id {kind}, n_tokens long, ids_sha256 string, decoded binary" + (", ids binary" if keep_ids else "")
+
+
 def decode_documents(encoded: DataFrame, ranks: str, pattern: str, keep_ids: bool = False) -> DataFrame:
     """``id``, n_tokens, ids_sha256 and ``decoded``, the bytes of the ids, for rows of ``encode_documents``.
 
     With ``keep_ids`` also their ``ids``.
     """
-    names = ["id", "n_tokens", "ids_sha256", "decoded", *(["ids"] if keep_ids else [])]
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, _ = codec(ranks, pattern)
         for batch in batches:
-            data = [value or b"" for value in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([len(d) // 4 for d in data], pa.int64()),
-                    pa.array([hashlib.sha256(d).hexdigest() for d in data]),
-                    pa.array([bpe.decode(np.frombuffer(d, "<u4").tolist()) for d in data], pa.binary()),
-                    *([batch.column(1)] if keep_ids else []),
-                ],
-                names=names,
-            )
-
-    kind = encoded.schema["id"].dataType.simpleString()
-    more = ", ids binary" if keep_ids else ""
-    return encoded.mapInArrow(decode, f"id {kind}, n_tokens long, ids_sha256 string, decoded binary{more}")
+            yield _decoded(bpe, batch, [value or b"" for value in batch.column(1).to_pylist()], keep_ids)
+
+    return encoded.mapInArrow(decode, _decoded_schema(encoded, keep_ids))
+
+
+def round_trip(
+    docs: DataFrame, ranks: str, pattern: str, keep_ids: bool = False, id_column: str = "doc_id", text_column: str = "text"
+) -> DataFrame:
+    """``encode_documents`` and ``decode_documents`` in one worker, which holds one codec for both.
+
+    What the codec remembers beyond its newest pieces goes when a task ends, so idle workers hold less.
+    """
+    rows = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe, cache = codec(ranks, pattern)
+        for batch in batches:
+            yield _decoded(bpe, batch, cache.ids(batch.column(1).to_pylist()), keep_ids)
+        cache.shrink()
+
+    return rows.mapInArrow(both, _decoded_schema(rows, keep_ids))

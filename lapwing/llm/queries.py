@@ -79,8 +79,7 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_byte_bpe")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     file, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    encoded = byte_bpe.encode_documents(table(spark, folder, "documents"), file, pattern)
-    decoded = byte_bpe.decode_documents(encoded, file, pattern)
+    decoded = byte_bpe.round_trip(table(spark, folder, "documents"), file, pattern)
     return decoded.select(
         F.col("id").alias("doc_id"), "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256")
     )
