@@ -34,8 +34,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Token ids of each document, with the size and the digest of what they decode to; ``id`` is ``doc_id`` again."""
     file, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    encoded = byte_bpe.encode_documents(docs, file, pattern)
-    return byte_bpe.decode_documents(encoded, file, pattern, keep_ids=True).select(
+    return byte_bpe.round_trip(docs, file, pattern, keep_ids=True).select(
         F.col("id").alias("doc_id"), "id", "ids", "n_tokens", F.octet_length("decoded").alias("n_bytes"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
