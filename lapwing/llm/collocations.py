@@ -5,7 +5,8 @@ join those of the next word at the adjacent position of the same piece: a merge
 dealt alike, so rows don't move.  The joined phrases are grouped and counted; only occurrences of phrases that are
 frequent go on (a semi-join) to be extended by one more word.
 
-Words are 64-bit keys while they are joined and counted; the key's seed is changed until no two words share one.
+Words have 64-bit keys until frequent ones are numbered (the key's seed is changed until no two words share one); frequent
+phrases are numbered too, so a longer phrase is the number of the shorter one and that of its last word.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapwing.llm.spelling import lower_ascii
+from lapwing.operators.scan import position, scan, series
 from lapwing.session import durable, shared_path
 
 #: Fixed values of the contract: what ends a piece, and what parts words.
@@ -28,8 +30,11 @@ LONGEST = 3
 TOP = 2000
 #: Percent of a candidate's occurrences that lie inside one longer candidate and make it go.
 INSIDE_PERCENT = 50
-#: Frequent phrases are broadcast to filter occurrences up to this many (16 bytes a pair); beyond it they are dealt.
-BROADCAST_PHRASES = 500_000
+#: Frequent groups are broadcast to filter occurrences up to this many (two long numbers each); beyond it they are dealt.
+BROADCAST_GROUPS = 2_000_000
+#: Largest dictionary of ids in a stored bucket, and rows of a chunk where groups are numbered.
+DICTIONARY_BYTES, CHUNK_ROWS = 16 << 20, 200_000
+LOW_BITS = (1 << 32) - 1
 
 
 def pieces_of(docs: DataFrame, lang_column: str = "lang", text_column: str = "text") -> DataFrame:
@@ -65,16 +70,22 @@ def word_counts(pieces: DataFrame) -> tuple[DataFrame, int]:
 
 
 class _Occurrences:
-    """Relations (piece, pos, w1 ... wk), each written bucketed and sorted by piece to the shared folder."""
+    """Relations (piece, place, id), each written bucketed by piece and sorted by piece and place."""
 
     def __init__(self, pieces: DataFrame):
         self.spark = pieces.sparkSession
         self.buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         self.names: list[str] = []
 
+    def deal(self, rows: DataFrame) -> DataFrame:
+        return rows.repartition(self.buckets, "piece")
+
     def store(self, relation: DataFrame) -> DataFrame:
         name = f"lapwing_occurrences_{uuid.uuid4().hex}"
-        writer = relation.write.format("parquet").bucketBy(self.buckets, "piece").sortBy("piece", "pos")
+        writer = relation.write.format("parquet").option("compression", "zstd")
+        # A bucket repeats most of its ids: let its dictionary hold them.
+        writer = writer.option("parquet.dictionary.page.size", str(DICTIONARY_BYTES))
+        writer = writer.bucketBy(self.buckets, "piece").sortBy("piece", "place")
         writer.option("path", shared_path(self.spark, "occurrences")).saveAsTable(name)
         self.names.append(name)
         return self.spark.table(name)
@@ -85,46 +96,78 @@ class _Occurrences:
             self.spark.sql(f"DROP TABLE {name}")
 
 
-def _keys(length: int) -> list[str]:
-    return [f"w{i}" for i in range(1, length + 1)]
+def _numbered(groups: DataFrame, key: str) -> DataFrame:
+    """``groups`` with a dense ``id`` from 0, in the order of a key that is spread evenly or of its hash."""
+    spread = groups.withColumn("__h", F.xxhash64(key))
+    return scan(spread, series((), ("__h", key), CHUNK_ROWS), id=position()).withColumn("id", F.col("id") - 1).drop("__h")
+
 
+def _only(rows: DataFrame, frequent: DataFrame, key: str, tables: _Occurrences) -> DataFrame:
+    """Rows of frequent groups with the groups' ids, dealt by piece."""
+    groups = frequent.select(key, "id")
+    if frequent.count() <= BROADCAST_GROUPS:
+        return rows.join(F.broadcast(groups), key).drop(key)
+    return tables.deal(rows.join(groups, key).drop(key))
 
-def _extend(phrases: DataFrame, length: int, following: DataFrame) -> DataFrame:
-    """Occurrences of ``length`` words with the word that ``following`` has at the next position of the piece."""
-    begin = phrases.select("piece", F.col("pos").alias("begin"), (F.col("pos") + length).alias("pos"), *_keys(length))
-    joined = begin.hint("merge").join(following, ["piece", "pos"])
-    return joined.select("piece", F.col("begin").alias("pos"), *_keys(length + 1))
 
+def phrase_counts(pieces: DataFrame, seed: int, common: DataFrame, least: int, longest: int) -> list[DataFrame]:
+    """For each length from 2 on: the phrases found at least ``least`` times, as (id, first, last, a): the id of the
+    phrase without its last word, the id of that word, and the count.
 
-def phrase_counts(pieces: DataFrame, seed: int, least: int, longest: int) -> list[DataFrame]:
-    """For each length from 2 on: the phrases (w1 ... wk) found at least ``least`` times and their count ``a``."""
+    ``common`` holds word_key and id of the words found as often.  A stored phrase's place is the one after it, where its
+    next word would be.
+    """
     spark = pieces.sparkSession
-    flag = "spark.sql.requireAllClusterKeysForCoPartition"
-    kept = spark.conf.get(flag)
-    # Relations dealt by piece alone are joined by piece and position as they are.
-    spark.conf.set(flag, "false")
+    settings = {
+        # Relations dealt by piece alone are joined by piece and place as they are, and buckets are read in their order.
+        "spark.sql.requireAllClusterKeysForCoPartition": "false",
+        "spark.sql.legacy.bucketedTableScan.outputOrdering": "true",
+        # A stored table needs no shuffle files once it is written.
+        "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    }
+    before = {name: spark.conf.get(name, None) for name in settings}
     tables = _Occurrences(pieces)
     try:
-        spoken = pieces.repartition(tables.buckets, "piece").select(
-            "lang", "piece", F.posexplode(_words()).alias("pos", "word")
-        )
-        words = tables.store(spoken.select("piece", "pos", _key(seed).alias("w1")))
-        phrases, counts = words, []
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        spoken = tables.deal(pieces).select("lang", "piece", F.posexplode(_words()).alias("place", "word"))
+        keyed = spoken.select("piece", "place", _key(seed).alias("word_key"))
+        words = tables.store(_only(keyed, common, "word_key", tables))
+        phrases, counts = words.withColumn("place", F.col("place") + 1), []
+        following = words.withColumnRenamed("id", "last")
         for length in range(2, longest + 1):
-            following = words.select("piece", "pos", F.col("w1").alias(f"w{length}"))
-            phrases = tables.store(_extend(phrases, length - 1, following))
-            keys = _keys(length)
-            frequent = durable(phrases.groupBy(keys).agg(F.count("*").alias("a")).where(F.col("a") >= least))
-            counts.append(frequent)
+            joined = phrases.hint("merge").join(following, ["piece", "place"])
+            # Both ids are below 2^32.
+            grown = joined.select(
+                "piece", (F.col("place") + 1).alias("place"), F.shiftleft("id", 32).bitwiseOR(F.col("last")).alias("both")
+            )
+            frequent = durable(grown.groupBy("both").agg(F.count("*").alias("a")).where(F.col("a") >= least))
+            frequent = durable(_numbered(frequent, "both"))
+            counts.append(
+                frequent.select(
+                    "id", F.shiftrightunsigned("both", 32).alias("first"), F.col("both").bitwiseAND(F.lit(LOW_BITS)).alias("last"), "a"
+                )
+            )
             if length < longest:
-                if frequent.count() <= BROADCAST_PHRASES:
-                    phrases = phrases.join(F.broadcast(frequent.select(keys)), keys, "left_semi")
-                else:
-                    phrases = phrases.join(frequent.select(keys), keys, "left_semi").repartition(tables.buckets, "piece")
+                phrases = tables.store(_only(grown, frequent, "both", tables))
         return counts
     finally:
         tables.forget()
-        spark.conf.set(flag, kept)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def _spelled(common: DataFrame, counts: list[DataFrame]) -> list[DataFrame]:
+    """Each length's phrases with the ids of their words (w1 ... wk) and their count; single words first."""
+    out = [common.select("id", F.col("id").alias("w1"), "a")]
+    for length, frequent in enumerate(counts, 2):
+        shorter = out[-1].select(F.col("id").alias("first"), *_keys(length - 1))
+        out.append(frequent.join(shorter, "first").select("id", *_keys(length - 1), F.col("last").alias(f"w{length}"), "a"))
+    return [durable(phrases.drop("id")) for phrases in out]
+
+
+def _keys(length: int) -> list[str]:
+    return [f"w{i}" for i in range(1, length + 1)]
 
 
 def _score(a: Column, left: Column, right: Column) -> Column:
@@ -147,8 +190,9 @@ def collocations(
     pieces = pieces_of(docs, lang_column, text_column)
     words, seed = word_counts(pieces)
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
-    common = durable(words.where(F.col("n") >= least).select("lang", "word", F.col("n").alias("a"), "word_key"))
-    counts = [common.withColumnRenamed("word_key", "w1"), *phrase_counts(pieces, seed, least, longest)]
+    common = words.where(F.col("n") >= least).select("lang", "word", F.col("n").alias("a"), "word_key")
+    common = durable(_numbered(common, "word_key"))
+    counts = _spelled(common, phrase_counts(pieces, seed, common.select("word_key", "id"), least, longest))
 
     found = []
     for length in range(2, longest + 1):
@@ -179,7 +223,7 @@ def collocations(
         named = phrase
         for i, key in enumerate(keys):
             spelled = common.select(
-                F.col("word_key").alias(key), F.col("word").alias(f"word{i}"), *(["lang"] if not i else [])
+                F.col("id").alias(key), F.col("word").alias(f"word{i}"), *(["lang"] if not i else [])
             )
             named = named.join(spelled, key)
         found.append(

@@ -222,7 +222,7 @@ def test_collocations_match_plain_counts(spark, monkeypatch, longest, top, broad
     rows += [("en", None), ("de", ""), ("de", " \t."), ("en", "the the the " * 3000), ("und", "a b"), rows[0], rows[0]]
     schema = "lang string, text string, piece long, word string, n long, place int, w1 long, a long"
     docs = spark.createDataFrame([(*row, 1, "x", 2, 3, 4, 5) for row in rows], schema).repartition(5)
-    monkeypatch.setattr(collocations, "BROADCAST_PHRASES", broadcast)
+    monkeypatch.setattr(collocations, "BROADCAST_GROUPS", broadcast)
     got = collocations.collocations(docs, least=10, longest=longest, top=top)
     assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
     assert sorted(map(tuple, got.collect())) == plain_collocations(rows, 10, longest, top)
