@@ -28,6 +28,7 @@ ASSIGN_WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 CHECKED_WORDS = ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "npm_")
 CHECKED = re.compile(rb"(?:gh[pousr]|npm)_([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])")
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+SIGNED_RUN = re.compile(rb"[A-Za-z0-9_-]+")
 SIGNED = re.compile(rb"(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+")
 BLOCK = re.compile(rb"-----BEGIN ([A-Z ]*)PRIVATE KEY-----([A-Za-z0-9+/=\s]+)-----END \1PRIVATE KEY-----")
 
@@ -50,7 +51,8 @@ def checked_token(body: bytes, check: bytes) -> bool:
 def _signed_token(head: bytes, claims: bytes) -> bool:
     try:
         both = [json.loads(base64.urlsafe_b64decode(part + b"=" * (-len(part) % 4))) for part in (head, claims)]
-    except (ValueError, binascii.Error):
+    except (ValueError, binascii.Error, RecursionError):
+        # Deeper than any signed token: not one.
         return False
     return all(isinstance(x, dict) for x in both) and "alg" in both[0]
 
@@ -106,6 +108,9 @@ def scan(text: str) -> list[tuple[int, int, str]]:
         elif kind == "signed":
             match = SIGNED.match(raw, start)
             good = match is not None and _signed_token(match[1], match[2])
+            if match is None:
+                # What follows the run is the same for every later place in it.
+                past[kind] = SIGNED_RUN.match(raw, start).end()
         else:
             match = BLOCK.match(raw, start)
             good = match is not None and _whole_block(match[2])
