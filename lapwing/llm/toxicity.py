@@ -7,6 +7,7 @@ Labels come from a bounded sample of labelled rows; every document is scored in
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,14 +24,39 @@ BITS, KEPT, SAMPLE_ROWS, SMOOTHING = 20, 6000, 24_000, 1.0
 PENALTY, STEPS = 0.05, 600
 THRESHOLD = 0.7
 _SEGMENT = 1 << 14
+#: Characters whose n-grams are held at once, about 50 MB.
+SLICE = 1 << 19
 
 
-def hashed_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(document, feature) of every n-gram of the lower-cased texts; occurrences may repeat."""
-    lowered = [" " + " ".join(text.lower().split()) + " " for text in texts]
-    codes = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    sizes = np.array([len(text) for text in lowered], np.int64)
-    owner = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
+_WHITE = re.compile(r"\s+")
+
+
+def _slices(texts: list[str]) -> Iterator[tuple[list[int], list[str]]]:
+    """Owners and pieces of the lower-cased texts, about ``SLICE`` characters at a time.
+
+    Pieces of a long text overlap, so that each of its n-grams lies in one of them.
+    """
+    owners: list[int] = []
+    pieces: list[str] = []
+    held = 0
+    for owner, text in enumerate(texts):
+        lowered = " " + _WHITE.sub(" ", text.lower()).strip() + " "
+        for at in range(0, max(1, len(lowered) - max(GRAMS) + 1), SLICE):
+            owners.append(owner)
+            pieces.append(lowered[at : at + SLICE + max(GRAMS) - 1])
+            held += len(pieces[-1])
+            if held >= SLICE:
+                yield owners, pieces
+                owners, pieces, held = [], [], 0
+    if pieces:
+        yield owners, pieces
+
+
+def hashed_grams(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(piece, feature) of every n-gram of the pieces; occurrences may repeat."""
+    codes = np.frombuffer("".join(pieces).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    sizes = np.array([len(piece) for piece in pieces], np.int64)
+    owner = np.repeat(np.arange(len(pieces), dtype=np.int32), sizes)
     h = codes * np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(29)
     rolled = h
@@ -50,9 +76,20 @@ def hashed_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(owners), np.concatenate(features)
 
 
-def _distinct(owner: np.ndarray, feature: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    both = np.unique(owner.astype(np.int64) * width + feature)
-    return (both // width).astype(np.int64), both % width
+def distinct_grams(texts: list[str], place: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(document, column) of the features that each text holds, each once and in order.
+
+    ``place`` gives the column of each feature, below 0 where it has none; without it every feature is a column.
+    """
+    found = [np.zeros(0, np.int64)]
+    for owners, pieces in _slices(texts):
+        piece, feature = hashed_grams(pieces)
+        if place is not None:
+            feature = place[feature]
+            piece, feature = piece[feature >= 0], feature[feature >= 0]
+        found.append(np.unique((np.array(owners, np.int64)[piece] << BITS) | feature))
+    both = np.unique(np.concatenate(found))
+    return both >> BITS, both & ((1 << BITS) - 1)
 
 
 @dataclass(frozen=True)
@@ -63,9 +100,8 @@ class Model:
     intercept: float
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        owner, feature = hashed_grams(texts)
-        used = self.weights[feature] != 0
-        owner, feature = _distinct(owner[used], feature[used], len(self.weights))
+        place = np.where(self.weights != 0, np.arange(len(self.weights), dtype=np.int32), np.int32(-1))
+        owner, feature = distinct_grams(texts, place)
         sums = np.bincount(owner, self.weights[feature], minlength=len(texts)) + self.intercept
         return 1 / (1 + np.exp(-np.clip(sums, -30, 30)))
 
@@ -78,7 +114,7 @@ def _counts(sample: DataFrame) -> np.ndarray:
         table = np.zeros((2, 1 << BITS), np.int64)
         for batch in batches:
             texts, label = batch.column(1).to_pylist(), np.array(batch.column(2).to_pylist(), np.int64)
-            owner, feature = _distinct(*hashed_grams(texts), 1 << BITS)
+            owner, feature = distinct_grams(texts)
             for kind in (0, 1):
                 table[kind] += np.bincount(feature[label[owner] == kind], minlength=1 << BITS)
         parts = table.astype("<u4").reshape(2, segments, _SEGMENT)
@@ -135,6 +171,9 @@ def train(
     rows = docs.where(F.col(text_column).isNotNull()).select(F.col(id_column).alias("__id"), F.col(text_column).alias("__text"))
     # The parameter bounds what is broadcast here, and with it the stored sample.
     sample = durable(rows.join(F.broadcast(chosen), "__id").select("__id", "__text", "__label"))
+    if sample.count() > sample_rows:
+        # Ids that several documents share: the bound holds for the documents.
+        sample = durable(sample.orderBy(F.xxhash64("__id", "__text"), "__id", "__text").limit(sample_rows))
     class_rows = np.zeros(2, np.int64)
     for label, n in sample.groupBy("__label").count().collect():
         class_rows[label] = n
@@ -151,9 +190,7 @@ def train(
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            owner, feature = hashed_grams(batch.column(1).to_pylist())
-            kept = place[feature]
-            owner, column = _distinct(owner[kept >= 0], kept[kept >= 0], len(best))
+            owner, column = distinct_grams(batch.column(1).to_pylist(), place)
             cut = np.searchsorted(owner, np.arange(batch.num_rows + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array([column[a:b].astype("<u2").tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())],

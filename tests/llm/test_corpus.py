@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -204,6 +205,58 @@ def test_toxicity(spark, texts, nothing):
     assert {r["score"] for r in toxicity.score(docs.limit(3), one_class).collect()} and toxicity.score(nothing, one_class).count() == 0
 
 
+def test_toxicity_like_plain_counts_and_a_plain_fit(spark, monkeypatch):
+    """Features in plain sets, ratios in plain counts, and the weights by Newton steps on the whole matrix."""
+    rng = random.Random(3)
+    rows = []
+    for key in range(160):
+        words = [rng.choice("river stone glass cloud ocean paper".split()) for _ in range(rng.randint(5, 30))]
+        if key % 2:
+            words[rng.randrange(len(words))] = rng.choice(["blockhead", "nitwit"])
+        rows.append((key, " ".join(words) * (1 + 40 * (key == 11)), key % 2))
+    # Long texts are cut, an id that several documents share stays within the bound.
+    monkeypatch.setattr(toxicity, "SLICE", 64)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label int").repartition(3)
+    model = toxicity.train(docs, docs.select("doc_id", F.col("label").alias("toxic")))
+    sets = []
+    for _, text, _ in rows:
+        lowered = f" {text.lower()} "
+        grams = {lowered[i : i + n] for n in toxicity.GRAMS for i in range(len(lowered) - n + 1)}
+        sets.append({int(toxicity.hashed_grams([gram])[1][-1]) for gram in grams})
+    monkeypatch.undo()
+    for (_, text, _), want in zip(rows, sets, strict=True):
+        assert set(toxicity.distinct_grams([text])[1].tolist()) == want
+    label = np.array([r[2] for r in rows], float)
+    counts = [Counter(f for one, r in zip(sets, rows, strict=True) if r[2] == kind for f in one) for kind in (0, 1)]
+    size = [label.tolist().count(kind) for kind in (0.0, 1.0)]
+    every = sorted(set().union(*sets))
+    ratio = {f: np.log((counts[1][f] + 1) / (size[1] + 2) / ((counts[0][f] + 1) / (size[0] + 2))) for f in every}
+    used = [f for f in every if model.weights[f] != 0]
+    x = np.array([[ratio[f] if f in one else 0.0 for f in used] for one in sets])
+    w, b = np.zeros(len(used)), 0.0
+    for _ in range(40):
+        p = 1 / (1 + np.exp(-(x @ w + b)))
+        full = np.hstack([x, np.ones((len(x), 1))])
+        slope = full.T @ (p - label) + np.append(toxicity.PENALTY * w, 0)
+        curve = full.T @ (full * (p * (1 - p))[:, None]) + np.diag(np.append(np.full(len(used), toxicity.PENALTY), 1e-9))
+        step = np.linalg.solve(curve, slope)
+        w, b = w - step[:-1], b - step[-1]
+    plain = 1 / (1 + np.exp(-(x @ w + b)))
+    got = model.scores([r[1] for r in rows])
+    assert np.abs(got - plain).max() < 0.05 and ((got >= 0.7) == (plain >= 0.7)).all()
+
+
+def test_toxicity_bounds_its_sample_and_its_memory(spark):
+    docs = spark.createDataFrame([(i % 4, f"text {i} {'bad' if i % 2 else 'good'} " * 5) for i in range(400)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id long, toxic int")
+    model = toxicity.train(docs, marks, sample_rows=50)
+    assert model.scores(["bad " * 20])[0] > model.scores(["good " * 20])[0]
+    tracemalloc.start()
+    model.scores(["some words of a very long text " * 200_000])
+    assert tracemalloc.get_traced_memory()[1] < 400 << 20
+    tracemalloc.stop()
+
+
 ITEMS = [
     (1, "What color is the river stone near the old glass lamp by the ocean?\nIt is deep green, says the paper."),
     (2, "Quel est le nom du nuage que la pierre regarde? Le nom est lumière verte."),

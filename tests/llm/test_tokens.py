@@ -73,6 +73,15 @@ def test_pieces_encode_like_the_whole(tokenizer):
     assert token_blocks.encoder(JSON).ids(texts) == want
 
 
+def test_every_ascii_character_and_latin_letter_encodes_like_the_library(tokenizer):
+    rng = random.Random(12)
+    every = [*map(chr, range(128)), *" \n\t'streAZ09.,", *map(chr, range(0xA0, 0x250))]
+    texts = ["".join(rng.choice(every[: rng.choice([128, 141, len(every)])]) for _ in range(rng.randint(0, 50))) for _ in range(20_000)]
+    want = [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    work = token_blocks.encoder(JSON)
+    assert [one for i in range(0, len(texts), 200) for one in work.ids(texts[i : i + 200])] == want
+
+
 def test_marks_in_texts_encode_like_the_library():
     from tokenizers import Tokenizer
 
@@ -140,5 +149,9 @@ def test_bpe_of_documents(docs, texts, nothing, reference):
     for key, text in texts:
         ids = reference.encode_ordinary(text or "")
         assert got[key] == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), (text or "").encode())
+    once = byte_bpe.round_trip(docs, RANKS, public_tokenizers.PATTERN, keep_ids=True)
+    assert {r["id"]: (r["n_tokens"], r["ids_sha256"], bytes(r["decoded"])) for r in once.collect()} == got
+    assert {r["id"]: hashlib.sha256(r["ids"]).hexdigest() for r in once.collect()} == {key: one[1] for key, one in got.items()}
+    assert byte_bpe.round_trip(nothing, RANKS, public_tokenizers.PATTERN).count() == 0
     assert digest(nothing).count() == 0
     assert digest(docs.where("doc_id < 2").withColumn("doc_id", F.lit(None).cast("long"))).count() == 2
