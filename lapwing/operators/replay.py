@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lapwing.functions.vocab import TERMINAL_STATUSES
 from lapwing.operators.scan import latest, previous, running_max, running_sum, scan, series
@@ -197,40 +203,152 @@ def finished_at(control: DataFrame, cutoffs: DataFrame) -> DataFrame:
     )
 
 
+class _Held:
+    """A sample that some windows hold as their accepted one; windows that come to hold the same sample are one."""
+
+    __slots__ = ("into", "sample", "windows")
+
+    def __init__(self, sample: tuple | None):
+        self.sample, self.windows, self.into = sample, 0, None
+
+    def now(self) -> _Held:
+        held = self
+        while held.into is not None:
+            held = held.into
+        return held
+
+
+class _Fold:
+    """All windows of one driver's stretch of time, folded over its samples in one pass.
+
+    Windows are equally long, so they close in the order in which they open.  What is kept is one entry per open
+    window and the distinct samples they hold, however many samples pass by.
+    """
+
+    def __init__(self, stale_ms: int, max_speed: float):
+        self.stale_ms, self.max_speed = stale_ms, max_speed
+        self.waiting, self.held, self.open = _Held(None), [], deque()
+
+    def window(self, cursor: int) -> None:
+        self.waiting.windows += 1
+        self.open.append((cursor, self.waiting))
+
+    def close(self, before: int | None) -> Iterator[tuple]:
+        """Windows whose cursor lies before a time (None: all), with what they hold."""
+        while self.open and (before is None or self.open[0][0] < before):
+            cursor, held = self.open.popleft()
+            held = held.now()
+            held.windows -= 1
+            if held.sample is not None:
+                yield (cursor, *held.sample)
+
+    def sample(self, time: int, x: float, y: float) -> None:
+        taken, left, sample = None, [], (time, x, y)
+        moving = [self.waiting] if self.waiting.windows else []
+        for held in self.held:
+            if held.windows:
+                (left if self._jumps(held.sample, sample) else moving).append(held)
+        if moving:
+            # The class of most windows moves on, the others join it.
+            taken = max(moving, key=lambda held: held.windows)
+            for held in moving:
+                if held is not taken:
+                    held.into, taken.windows = taken, taken.windows + held.windows
+            taken.sample = sample
+            if self.waiting.windows:
+                self.waiting = _Held(None)
+            left.append(taken)
+        self.held = left
+
+    def _jumps(self, kept: tuple, sample: tuple) -> bool:
+        elapsed = (sample[0] - kept[0]) / 1000.0
+        if elapsed <= 0:
+            return False
+        # A speed that is no number is a jump.
+        return not math.sqrt((sample[1] - kept[1]) ** 2 + (sample[2] - kept[2]) ** 2) / elapsed <= self.max_speed
+
+
 def latest_positions(
     positions: DataFrame, cursors: DataFrame, stale_ms: int = 5000, max_speed: float = 150.0
 ) -> DataFrame:
     """Newest believable position per driver at each cursor.
 
     Only samples of the last ``stale_ms`` count; a sample implying more than
-    ``max_speed`` from the accepted one before it is skipped.  Samples meet
-    cursors by time bucket, so a group holds one driver's few seconds.
+    ``max_speed`` from the accepted one before it is skipped; equal times go by
+    x, then y.  Samples and cursors are dealt by session, driver and stretch of
+    time (each sample to the stretches whose cursors it can reach, two at most),
+    sorted, and folded as a stream that goes on over Arrow batches: neither the
+    samples of a window nor those of a stretch are gathered, and a sample is
+    sent on once or twice however many cursors see it.  Samples without a time
+    or coordinate and cursors that see no sample give no row.
     """
-    bucket = F.floor(F.col("session_time_ms") / F.lit(stale_ms))
-    points = positions.where(F.col("x_m").isNotNull() & F.col("y_m").isNotNull()).select(
-        "session_id", "driver_id", "session_time_ms", "x_m", "y_m", bucket.alias("__b")
+    width = F.lit(4 * max(stale_ms, 1))
+
+    def stretch(time: Column) -> Column:
+        return F.floor(time / width).cast("long")
+
+    time = F.col("session_time_ms")
+    ends = F.array_distinct(F.array(stretch(time), stretch(time + F.lit(stale_ms))))
+    points = positions.where(
+        F.col("session_id").isNotNull() & time.isNotNull() & F.col("x_m").isNotNull() & F.col("y_m").isNotNull()
+    ).select(
+        "session_id", "driver_id", F.explode(ends).alias("stretch"), time.cast("long").alias("at"), F.lit(1).alias("kind"),
+        F.col("x_m").cast("double").alias("x_m"), F.col("y_m").cast("double").alias("y_m"),
+    )
+    asked = cursors.where(F.col("cursor_ms").isNotNull()).select(
+        "session_id", F.col("cursor_ms").cast("long").alias("cursor_ms"), stretch(F.col("cursor_ms")).alias("stretch")
+    ).distinct()
+    seen = points.select("session_id", "driver_id", "stretch").distinct()
+    # A window opens when its oldest sample may come, before the samples of that time.
+    windows = seen.join(asked, ["session_id", "stretch"]).select(
+        "session_id", "driver_id", "stretch", (F.col("cursor_ms") - F.lit(stale_ms)).alias("at"), F.lit(0).alias("kind")
     )
-    at = F.floor(F.col("cursor_ms") / F.lit(stale_ms))
-    probes = cursors.select("session_id", "cursor_ms").distinct().withColumn("__b", F.explode(F.array(at - 1, at)))
-    near = points.join(probes, ["session_id", "__b"]).where(
-        (F.col("session_time_ms") <= F.col("cursor_ms"))
-        & (F.col("cursor_ms") - F.col("session_time_ms") <= stale_ms)
+    place = ["session_id", "driver_id", "stretch"]
+    stream = (
+        points.unionByName(windows, allowMissingColumns=True)
+        .repartition(*place)
+        .sortWithinPartitions(*place, "at", "kind", "x_m", "y_m")
     )
-    trail = near.groupBy("session_id", "cursor_ms", "driver_id").agg(
-        F.array_sort(F.collect_list(F.struct("session_time_ms", "x_m", "y_m"))).alias("trail")
+    fields = {f.name: f.dataType for f in positions.schema.fields}
+    schema = T.StructType(
+        [
+            *[T.StructField(c, stream.schema[c].dataType) for c in ("session_id", "driver_id")],
+            T.StructField("cursor_ms", T.LongType()), T.StructField("session_time_ms", T.LongType()),
+            T.StructField("x_m", T.DoubleType()), T.StructField("y_m", T.DoubleType()),
+        ]
     )
 
-    def step(kept: Column, point: Column) -> Column:
-        elapsed = (point["session_time_ms"] - kept["session_time_ms"]) / 1000.0
-        distance = F.sqrt(F.pow(point["x_m"] - kept["x_m"], 2) + F.pow(point["y_m"] - kept["y_m"], 2))
-        jump = (elapsed > 0) & (distance / elapsed > max_speed)
-        return F.when(jump, kept).otherwise(point)
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state, out, types = None, _Fold(stale_ms, max_speed), [], None
+        for batch in batches:
+            types = types or [batch.schema.field(0).type, batch.schema.field(1).type, pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+            for session, driver, part, at, kind, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (session, driver, part) != key:
+                    if key is not None:
+                        out += [(*key[:2], *found) for found in state.close(None)]
+                    key, state = (session, driver, part), _Fold(stale_ms, max_speed)
+                if kind == 0:
+                    state.window(at + stale_ms)
+                else:
+                    out += [(*key[:2], *found) for found in state.close(at)]
+                    state.sample(at, x, y)
+                if len(out) >= 8192:
+                    yield _batch(out, schema.names, types)
+                    out = []
+        if key is not None:
+            out += [(*key[:2], *found) for found in state.close(None)]
+        if out:
+            yield _batch(out, schema.names, types)
 
-    rest = F.slice("trail", 2, F.greatest(F.size("trail") - 1, F.lit(0)))
-    return trail.select(
+    return stream.mapInArrow(fold, schema).select(
         "session_id", "cursor_ms", "driver_id",
-        F.aggregate(rest, F.element_at("trail", 1), step).alias("p"),
-    ).select("session_id", "cursor_ms", "driver_id", "p.*")
+        *[F.col(c).cast(fields[c]).alias(c) for c in ("session_time_ms", "x_m", "y_m")],
+    )
+
+
+def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=names)
 
 
 def longest_trace(positions: DataFrame) -> DataFrame:

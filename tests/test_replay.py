@@ -1,5 +1,6 @@
 """Replay: hand-built session, causality, order-independence, streaming."""
 
+import math
 import random
 import tempfile
 
@@ -205,6 +206,45 @@ def test_latest_positions_gate(spark):
     assert got == {(1, 3500): 100.0, (1, 4500): 300.0, (2, 3500): 1.0, (2, 4500): 1.0}
 
 
+def _fold_one(points, cursor, stale, most):
+    kept = None
+    for t, x, y in sorted(p for p in points if 0 <= cursor - p[0] <= stale):
+        if kept is not None and t > kept[0] and math.hypot(x - kept[1], y - kept[2]) / ((t - kept[0]) / 1000) > most:
+            continue
+        kept = (t, x, y)
+    return kept
+
+
+@pytest.mark.parametrize("stale", [1, 700, 5000])
+def test_latest_positions_equal_a_fold_per_cursor(spark, stale):
+    """One pass over many overlapping windows, equal times, jumps, missing values and times before 0."""
+    rng = random.Random(stale)
+    points = []
+    for driver in (None, 1, 2, 3):
+        at = -3000
+        for _ in range(400):
+            at += rng.choice([0, 40, 90, 400, 2500])
+            far = 5000.0 if rng.random() < 0.2 else 0.0
+            points.append((1, driver, at, rng.choice([None, at / 100.0 + far, float(rng.randrange(50))]), rng.random() * 9))
+    points += [(1, 1, None, 1.0, 1.0), (None, 1, 5, 1.0, 1.0), (2, 1, 5, 1.0, 1.0)]
+    cursors = [(1, rng.randrange(-4000, 150_000)) for _ in range(600)] + [(1, None), (None, 5), (3, 5)]
+    frame = spark.createDataFrame(points, "session_id int, driver_id int, session_time_ms long, x_m double, y_m double")
+    asked = spark.createDataFrame(cursors, "session_id int, cursor_ms long")
+    found = R.latest_positions(frame, asked, stale, 60.0).collect()
+    got = {(r["driver_id"], r["cursor_ms"]): (r["session_time_ms"], r["x_m"], r["y_m"]) for r in found}
+    assert len(got) == len(found)
+    want = {}
+    for driver in (None, 1, 2, 3):
+        mine = [p[2:] for p in points if p[:2] == (1, driver) and None not in p[2:]]
+        for cursor in {c for s, c in cursors if s == 1 and c is not None}:
+            kept = _fold_one(mine, cursor, stale, 60.0)
+            if kept:
+                want[driver, cursor] = kept
+    assert got == want
+    plan = R.latest_positions(frame, asked, stale)._jdf.queryExecution().toString()
+    assert "collect_list" not in plan
+
+
 def _event_row(driver, time, sequence, kind="driver-position-changed", **values):
     names = ("position", "lap_number", "lap_time_ms", "stint_number", "compound", "tyre_age_laps", "status")
     return (1, driver, time, 60, sequence, kind, *(values.get(name) for name in names))
