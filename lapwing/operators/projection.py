@@ -48,42 +48,77 @@ def projection_totals(distribution: DataFrame, margin: float = 0.25) -> DataFram
     )
 
 
-def _draw(seed: int) -> Column:
-    digest = F.sha2(F.concat_ws("|", F.lit(str(seed)), "stratum", "rep", "draw"), 256)
+#: Draws of one repetition that one task makes, as a number of runs of that many draws.
+_RUN, _RUNS = 10_000, 10_000
+
+
+def _draw(seed: int, *parts: Column | str) -> Column:
+    digest = F.sha2(F.concat_ws("|", F.lit(str(seed)), *parts), 256)
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("long")
 
 
+def _runs(start: Column, end: Column, step: int) -> Column:
+    """Starts of the runs of ``step`` numbers in [start, end)."""
+    return F.explode(F.sequence(start, end - 1, F.lit(step).cast("long")))
+
+
+def _block_hits(sizes: DataFrame, reps: int, seed: int, block: int) -> DataFrame:
+    """How many of a stratum's draws fall into each block, per repetition."""
+    rep = F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep")
+    one = sizes.where(F.col("n") <= block).select("stratum", rep, F.lit(0).cast("long").alias("block"), F.col("n").alias("k"))
+    # A task draws for one repetition, so that its counts are few beside its draws.
+    part = _RUN * _RUNS
+    tasks = (
+        sizes.where(F.col("n") > block)
+        .select("stratum", "n", rep)
+        .select("*", _runs(F.lit(0).cast("long"), F.col("n"), part).alias("part"))
+        .repartition("stratum", "rep", "part")
+    )
+    runs = tasks.select("*", _runs(F.col("part"), F.least(F.col("part") + part, F.col("n")), _RUN).alias("run"))
+    draws = runs.select("*", _runs(F.col("run"), F.least(F.col("run") + _RUN, F.col("n")), 1).alias("draw"))
+    place = F.pmod(_draw(seed, "stratum", "rep", "draw"), F.col("n"))
+    many = draws.groupBy("stratum", "rep", F.floor(place / F.lit(block)).cast("long").alias("block")).agg(
+        F.count(F.lit(1)).alias("k")
+    )
+    return one.unionByName(many)
+
+
 def bootstrap_totals(
     counts: DataFrame, samples: DataFrame, ident: str, reps: int = 1000, seed: int = 2216,
-    chunk_rows: int | None = None,
+    chunk_rows: int | None = None, block: int = 16_384,
 ) -> DataFrame:
     """Resampled stratified totals, one row per repetition.
 
-    Each stratum of n samples draws n positions with replacement per repetition;
-    a draw is a digest of (seed, repetition, draw number), so reruns agree.  Draws
-    are first counted per sample position, and only then meet the sizes.
+    Each stratum of n samples draws n of them with replacement per repetition, in two steps: how many draws fall into
+    each block of ``block`` samples, then which samples of the block they are.  The first needs no samples and is
+    counted where it is drawn; the second happens beside the block's sizes.  So every sample is moved once, whatever
+    the number of repetitions, and what else moves is counts of blocks and repetitions.  Draws are digests, so reruns
+    agree.  Samples without a stratum or size are none; strata without samples or without a count add nothing.
     """
+    known = samples.where(F.col("stratum").isNotNull() & F.col("bytes").isNotNull())
     numbered = scan(
-        samples.select("stratum", ident, "bytes"),
+        known.select("stratum", ident, F.col("bytes").cast("long").alias("bytes")),
         series(("stratum",), ("bytes", ident), chunk_rows),
         pos=position(),
-    )
-    sizes = numbered.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"))
-    draws = (
-        numbered.select("stratum", F.col("pos").alias("draw"))
-        .join(sizes, "stratum")
-        .withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-        .withColumn("pos", 1 + F.pmod(_draw(seed), F.col("n")))
-        .groupBy("rep", "stratum", "pos")
-        .agg(F.count(F.lit(1)).alias("hits"))
-    )
-    means = (
-        draws.join(numbered.select("stratum", "pos", "bytes"), ["stratum", "pos"])
-        .groupBy("rep", "stratum")
-        .agg((F.sum(F.col("bytes") * F.col("hits")) / F.sum("hits")).alias("mean"))
-    )
-    return means.join(counts, "stratum").groupBy("rep").agg(
-        F.sum(F.col("completed_count") * F.col("mean")).alias("total")
+    ).withColumn("block", F.floor((F.col("pos") - 1) / F.lit(block)).cast("long"))
+    # At most ``block`` samples each.
+    blocks = numbered.groupBy("stratum", "block").agg(F.array_sort(F.collect_list(F.struct("pos", "bytes")))["bytes"].alias("held"))
+    sizes = known.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"))
+    hits = _block_hits(sizes, reps, seed, block).groupBy("stratum", "block").agg(F.collect_list(F.struct("rep", "k")).alias("hits"))
+
+    def drawn(hit: Column) -> Column:
+        def add(total: Column, j: Column) -> Column:
+            pick = F.pmod(_draw(seed, "stratum", hit["rep"], "block", j), F.size("held"))
+            return total + F.get("held", pick.cast("int"))
+
+        total = F.aggregate(F.sequence(F.lit(0).cast("long"), hit["k"] - 1), F.lit(0).cast("long"), add)
+        return F.struct(hit["rep"].alias("rep"), total.alias("total"))
+
+    sums = blocks.join(hits, ["stratum", "block"]).select("stratum", F.explode(F.transform("hits", drawn)).alias("s"))
+    totals = sums.groupBy("stratum", F.col("s.rep").alias("rep")).agg(F.sum("s.total").alias("bytes"))
+    return (
+        totals.join(sizes, "stratum").join(counts, "stratum")
+        .groupBy("rep").agg(F.sum(F.col("completed_count") * (F.col("bytes") / F.col("n"))).alias("total"))
     )
 
 

@@ -598,13 +598,17 @@ def stratified_projection(spark, folder):
 
 @query("bootstrap_interval", SIZED_SQL + """,
 num AS (SELECT stratum, bytes, row_number() OVER (PARTITION BY stratum ORDER BY bytes, doc_id) AS pos, count(*) OVER (PARTITION BY stratum) AS n FROM smp),
-drw AS (SELECT stratum, rep, 1 + CAST('0x' || substr(sha256('2216|' || stratum || '|' || rep || '|' || pos), 1, 12) AS BIGINT) % n AS pick FROM num, range(0, 1000) r(rep)),
-mn AS (SELECT rep, d.stratum, avg(bytes) AS mean FROM drw d JOIN num ON num.stratum = d.stratum AND num.pos = d.pick GROUP BY 1, 2),
+dr AS (SELECT stratum, rep, CAST('0x' || substr(sha256('2216|' || stratum || '|' || rep || '|' || (pos - 1)), 1, 12) AS BIGINT) % n // 64 AS block FROM num, range(0, 1000) r(rep)),
+hit AS (SELECT stratum, rep, block, count(*) AS k FROM dr GROUP BY 1, 2, 3),
+blk AS (SELECT stratum, (pos - 1) // 64 AS block, count(*) AS size FROM num GROUP BY 1, 2),
+pk AS (SELECT stratum, rep, block * 64 + 1 + CAST('0x' || substr(sha256('2216|' || stratum || '|' || rep || '|' || block || '|' || j), 1, 12) AS BIGINT) % size AS pick
+  FROM (SELECT stratum, rep, block, size, unnest(range(k)) AS j FROM hit JOIN blk USING (stratum, block))),
+mn AS (SELECT rep, pk.stratum, avg(bytes) AS mean FROM pk JOIN num ON num.stratum = pk.stratum AND num.pos = pk.pick GROUP BY 1, 2),
 tot AS (SELECT rep, sum(completed_count * mean) AS total FROM mn JOIN counts USING (stratum) GROUP BY 1)
 SELECT count(*) AS repetitions, round(quantile_cont(total, 0.025), 3) AS low_bytes, round(quantile_cont(total, 0.975), 3) AS high_bytes FROM tot""")
 def bootstrap_interval(spark, folder):
     v = sized(spark, folder)
-    totals = P.bootstrap_totals(v.counts, v.samples, "doc_id", chunk_rows=ROWS)
+    totals = P.bootstrap_totals(v.counts, v.samples, "doc_id", chunk_rows=ROWS, block=64)
     return P.bootstrap_interval(totals).withColumns(
         {c: F.round(c, 3) for c in ("low_bytes", "high_bytes")}
     )
