@@ -6,10 +6,14 @@ Patterns are possessive and begin where a run begins or the last match ended: th
 linear time and without recursion.  An account number is proposed by its head alone, with the text that follows, and
 the checksum decides among the ends of its groups, the longest first: what follows a number never belongs to it unless
 the checksum says so.
+
+Positions, and the text around a span, cost the same for every match however many a text has: found spans are gathered
+in short runs, and what is near a span is cut from a piece of the text, not counted from its beginning.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -52,28 +56,55 @@ ACCOUNTS = tuple(
 )
 #: Characters on each side in which words count, and what a word adds.
 NEAR, WORD_WORTH = 40, 0.1
+#: Matches gathered in a run, and characters in a piece of a text.
+RUN, PIECE = 128, 1024
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def _matches(text: Column, kind: Kind) -> Column:
-    """(start, value) of every match; null where the text can hold none."""
+def _parts(text: Column, kind: Kind) -> Column:
+    """What lies before each match, and the match; null where the text can hold none."""
     parts = F.arrays_zip(
         F.split(text, kind.pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)).alias("hit")
     )
-    empty = F.array().cast("array<struct<start:int,value:string>>")
+    return F.when(text.contains(kind.needs), parts) if kind.needs else parts
+
+
+def _fold(items: str, step: Callable[[Column, Column], Column]) -> Column:
+    """What ``step`` finds in the array column ``items``, from one item to the next.
+
+    ``step`` takes and gives (at, found).  Found items are gathered run by run and the runs put together at the end:
+    adding to one long array would copy it for every item.
+    """
+    none = F.array().cast("array<struct<start:int,value:string>>")
+    runs = F.transform(
+        F.sequence(F.lit(0), F.floor(F.size(items) / F.lit(RUN)).cast("int")),
+        lambda run: F.slice(items, run * RUN + 1, F.lit(RUN)),
+    )
+
+    def over(done: Column, run: Column) -> Column:
+        begin = F.coalesce(F.get(done, F.size(done) - 1)["at"], F.lit(0))
+        return F.array_append(done, F.aggregate(run, F.struct(begin.alias("at"), none.alias("found")), step))
+
+    first = F.array().cast("array<struct<at:int,found:array<struct<start:int,value:string>>>>")
+    return F.flatten(F.transform(F.aggregate(runs, first, over), lambda run: run["found"]))
+
+
+def _place(done: Column, part: Column) -> Column:
+    """Adds (start, value) of one match; its start is the length of all that comes before."""
+    start = done["at"] + F.char_length(part["gap"])
+    return F.struct(
+        (start + F.coalesce(F.char_length(part["hit"]), F.lit(0))).alias("at"),
+        F.when(part["hit"].isNull(), done["found"])
+        .otherwise(F.array_append(done["found"], F.struct(start.alias("start"), part["hit"].alias("value"))))
+        .alias("found"),
+    )
 
-    def step(done: Column, part: Column) -> Column:
-        start = done["at"] + F.char_length(part["gap"])
-        return F.struct(
-            (start + F.coalesce(F.char_length(part["hit"]), F.lit(0))).alias("at"),
-            F.when(part["hit"].isNull(), done["found"])
-            .otherwise(F.array_append(done["found"], F.struct(start.alias("start"), part["hit"].alias("value"))))
-            .alias("found"),
-        )
 
-    first = F.struct(F.lit(0).alias("at"), empty.alias("found"))
-    found = F.aggregate(parts, first, step, lambda done: done["found"])
-    return F.when(text.contains(kind.needs), found) if kind.needs else found
+def _cut(pieces: str, start: Column, size: Column) -> Column:
+    """``size`` characters from ``start`` of the text that ``pieces`` holds, without counting from its beginning."""
+    at = F.floor(start / F.lit(PIECE)).cast("int")
+    two = F.concat(F.coalesce(F.get(pieces, at), F.lit("")), F.coalesce(F.get(pieces, at + 1), F.lit("")))
+    return F.substr(two, start % PIECE + 1, size)
 
 
 def _digits(value: Column) -> Column:
@@ -130,25 +161,24 @@ def _account(proposed: Column) -> Column:
     return F.get(F.filter(forms, lambda value: size(value).between(15, 34) & mod97(value)), F.lit(0))
 
 
-def _account_matches(text: Column, kind: Kind) -> Column:
-    """(start, value) of every account number; one that begins inside another is not counted."""
-    ahead = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(1))
-    proposed = F.zip_with(
-        _matches(text, kind), ahead,
-        lambda head, rest: F.struct(head["start"].alias("start"), _account(F.concat(head["value"], rest)).alias("value")),
+def _free(done: Column, one: Column) -> Column:
+    """Adds an account number unless it begins inside the one before."""
+    free = one["start"] >= done["at"]
+    return F.struct(
+        F.when(free, one["start"] + F.char_length(one["value"])).otherwise(done["at"]).alias("at"),
+        F.when(free, F.array_append(done["found"], one)).otherwise(done["found"]).alias("found"),
     )
-    empty = F.array().cast("array<struct<start:int,value:string>>")
 
-    def step(done: Column, one: Column) -> Column:
-        free = one["start"] >= done["at"]
-        return F.struct(
-            F.when(free, one["start"] + F.char_length(one["value"])).otherwise(done["at"]).alias("at"),
-            F.when(free, F.array_append(done["found"], one)).otherwise(done["found"]).alias("found"),
-        )
 
-    good = F.filter(proposed, lambda one: one["value"].isNotNull())
-    first = F.struct(F.lit(0).alias("at"), empty.alias("found"))
-    return F.aggregate(good, first, step, lambda done: done["found"])
+def _with_accounts(rows: DataFrame, kind: Kind) -> DataFrame:
+    """Account numbers in place of the heads that were matched; one that begins inside another is not counted."""
+    ahead = F.regexp_extract_all(F.col("text"), F.lit(kind.pattern), F.lit(1))
+    proposed = F.zip_with(
+        f"__{kind.name}", ahead,
+        lambda head, rest: F.struct(head["start"].alias("start"), _account(F.concat(head["value"], rest)).alias("value")),
+    )
+    good = rows.withColumn(f"__{kind.name}", F.filter(proposed, lambda one: one["value"].isNotNull()))
+    return good.withColumn(f"__{kind.name}", _fold(f"__{kind.name}", _free))
 
 
 def find_pii(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -157,15 +187,17 @@ def find_pii(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     Null and empty texts have none.  Null and repeated ids pass through; other columns are not read.
     """
     rows = docs.select(F.col(id_column).alias("id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    matches = lambda kind: (_account_matches if kind.name == "iban" else _matches)(F.col("text"), kind)
-    rows = rows.withColumns({f"__{kind.name}": matches(kind) for kind in KINDS})
+    rows = rows.withColumns({f"__{kind.name}": _parts(F.col("text"), kind) for kind in KINDS})
+    rows = rows.withColumns({f"__{kind.name}": _fold(f"__{kind.name}", _place) for kind in KINDS})
+    rows = _with_accounts(rows, KINDS[BASE])
+    rows = rows.withColumn("__pieces", F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)))
 
     def spans(kind: Kind) -> Column:
         def span(match: Column) -> Column:
             end = match["start"] + F.char_length(match["value"])
             before = F.greatest(match["start"] - NEAR, F.lit(0))
             near = F.concat(
-                F.substr("text", before + 1, match["start"] - before), F.lit(" "), F.substr("text", end + 1, F.lit(NEAR))
+                _cut("__pieces", before, match["start"] - before), F.lit(" "), _cut("__pieces", end, F.lit(NEAR))
             )
             worth = F.when(near.rlike(f"(?i)(?<![A-Za-z])(?:{kind.words})"), kind.score + WORD_WORTH)
             return F.struct(

@@ -115,6 +115,40 @@ def test_pii_like_plain_patterns(spark):
         assert [row[f"n_{k}"] for k in base] == [sum(w.startswith(k) for w in want) for k in base]
 
 
+def _many(n):
+    """A text of n matches of several kinds, characters outside the basic plane between them."""
+    piece = "call \U0001f4de a{0}@example{0}.org from 10.0.{1}.7, card 4111 1111 1111 1111 or GB82 WEST 1234 5698 7654 32 é\n"
+    return "".join(piece.format(i, i % 300) for i in range(n))
+
+
+@pytest.mark.parametrize("matches", [pii.RUN - 1, pii.RUN, 2 * pii.RUN, 300])
+def test_pii_of_many_matches_like_plain_patterns(spark, matches):
+    text = _many(matches)
+    frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    row = pii.pii_digest(frame).first()
+    want = plain_pii(text)
+    base = [kind.name for kind in pii.KINDS[: pii.BASE]]
+    spans = [s.split(":") for s in row["spans"].split(",")]
+    assert [":".join(s) for s in spans if s[0] in base] == want
+    for kind, a, b in spans:
+        if kind == "iban":
+            assert text[int(a) : int(b)] == "GB82 WEST 1234 5698 7654 32"
+    assert sum(kind == "iban" for kind, _, _ in spans) == matches
+    # The words near a span are read where the span is: an address stands after "call", a card after its name.
+    scores = dict(zip(map(tuple, spans), row["scores"].split(","), strict=True))
+    assert {v for k, v in scores.items() if k[0] == "card"} == {"0.90"}
+
+
+def test_pii_time_grows_with_the_matches(spark):
+    """A text of 40 000 addresses takes seconds."""
+    text = " ".join(f"a{i}@b.cd" for i in range(40_000))
+    frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    pii.pii_digest(frame.limit(0)).count()
+    begin = time.time()
+    assert pii.pii_digest(frame).first()["n_email"] == 40_000
+    assert time.time() - begin < 20
+
+
 def test_pii_adds_accounts_and_scores(spark, nothing):
     rows = spark.createDataFrame([(1, "IBAN GB82 WEST 1234 5698 7654 32."), (2, "GB83 WEST 1234 5698 7654 32")], "doc_id long, text string")
     one, two = sorted(tuple(r)[-2:] for r in pii.pii_digest(rows).collect())[::-1]
