@@ -35,8 +35,9 @@ def cut(
     """Samples strictly inside each span plus both edges with their neighbours.
 
     Spans of one key must not overlap (they may touch).  Rows carry ``span``
-    (all span columns), ``side`` (start, inner, end), ``at`` and the structs
-    ``before`` (at or before) and ``after`` of ``fields``.
+    (all span columns), ``side`` (start, inner, end), ``at``, the structs
+    ``before`` (at or before) and ``after`` of ``fields``, and whether the sample
+    is ``repeated``: the one before it lies at the same place.
     """
     record = F.struct(F.col(axis).alias("__x"), *fields)
     span = F.struct(*spans.columns)
@@ -57,6 +58,7 @@ def cut(
         __open=latest(F.when(F.col("__kind") == "open", F.col("__span"))),
         before=latest(F.col("__s")),
         after=upcoming(F.col("__s")),
+        __prior=latest(F.col("__s.__x"), inclusive=False),
     )
     inner = F.col("__s").isNotNull()
     within = (F.col("__at") > F.col(f"__open.{low}")) & (F.col("__at") < F.col(f"__open.{high}"))
@@ -66,6 +68,7 @@ def cut(
         F.when(inner, F.col("__open")).otherwise(F.col("__span")).alias("span"),
         F.when(inner, "inner").otherwise(F.col("__kind")).alias("side"),
         F.col("__at").alias("at"), "before", "after",
+        (inner & F.coalesce(F.col("__prior") == F.col("__at"), F.lit(False))).alias("repeated"),
     )
 
 
@@ -108,15 +111,13 @@ def slice_laps(
         usable.alias("usable"),
         (~inner & ~exact & bracketed & ~gap_ok).alias("edge_gap"),
         (~inner & ~exact & usable).alias("interpolated"),
+        # A lap without length begins and ends at one time.
+        (F.col("repeated") | (usable & (F.col("side") == "end") & (F.col("at") == F.col("span.start_ns")))).alias("repeated"),
         *[_at(c, c in DISCRETE, usable).alias(c) for c in channels],
     )
     trace = rows.where("usable").select(
         "lap_id", "side", "t_ns", ((F.col("t_ns") - F.col("start_ns")) / 1e9).alias("elapsed_s"), *channels
     )
-    seen = scan(
-        rows.where("usable").select("lap_id", "t_ns", "side"), series(("lap_id",), ("t_ns", "side"), chunk_rows),
-        __p=previous(F.col("t_ns")),
-    ).groupBy("lap_id").agg(F.bool_or(F.coalesce(F.col("t_ns") == F.col("__p"), F.lit(False))).alias("repeated"))
     # A stretch without a speed has no distance, so the lap has none either.
     speed = F.col("speed_kmh").cast("double") if "speed_kmh" in channels else F.lit(0.0)
     bad_speed = speed.isNull() | F.isnan(speed) | (speed < 0) | (speed == float("inf"))
@@ -125,9 +126,9 @@ def slice_laps(
         F.bool_or((F.col("side") == "start") & F.col("usable")).alias("start_covered"),
         F.bool_or((F.col("side") == "end") & F.col("usable")).alias("finish_covered"),
         F.bool_or("interpolated").alias("interpolated"), F.bool_or("edge_gap").alias("edge_gap"),
-        F.bool_or(F.col("usable") & bad_speed).alias("bad_speed"),
+        F.bool_or(F.col("usable") & bad_speed).alias("bad_speed"), F.bool_or("repeated").alias("repeated"),
     )
-    joined = laps.join(facts, "lap_id", "left").join(seen, "lap_id", "left")
+    joined = laps.join(facts, "lap_id", "left")
     no = F.lit(False)
     facts_by_name = {
         "pit_in": F.coalesce("pit_in", no), "pit_out": F.coalesce("pit_out", no),

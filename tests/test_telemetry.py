@@ -117,3 +117,19 @@ def test_corner_windows_split_at_midpoints(spark):
     support = spark.createDataFrame([(1, 7, 0.0, 500.0)], "track int, pair_id int, start_m double, end_m double")
     got = {r["label"]: (r["low_m"], r["high_m"]) for r in X.corner_windows(corners, support, "track").collect()}
     assert got == {"1": (0.0, 100.0), "2A": (100.0, 250.0)}
+
+
+@pytest.mark.parametrize("width", [None, 2])
+def test_repeated_timestamps_are_flagged(spark, width):
+    """Two samples at one time inside a lap count, at its edges or outside it they don't; a lap without length does."""
+    at = [0, 10, 10, 20, 30, 30, 40, 50, 50, 60, 60, 60, 70, 80]
+    samples = spark.createDataFrame([(1, t * 10**9, 100.0 + i) for i, t in enumerate(at)], "car int, t_ns long, speed_kmh double")
+    spans = {1: (0, 30), 2: (30, 50), 3: (50, 70), 4: (70, 80), 5: (80, 80)}
+    laps = spark.createDataFrame(
+        [(1, lap, a * 10**9, b * 10**9, float(b - a), False, False, False, False, True) for lap, (a, b) in spans.items()],
+        "car int, lap_id int, start_ns long, end_ns long, lap_time_seconds double, pit_in boolean, pit_out boolean, "
+        "deleted boolean, provider_generated boolean, reliable boolean",
+    )
+    _, verdicts = X.slice_laps(samples, laps, ["car"], ["speed_kmh"], max_edge_gap_s=60.0, chunk_rows=width)
+    got = {r["lap_id"] for r in verdicts.collect() if "duplicate_timestamp" in (r["flags"] or "")}
+    assert got == {1, 3, 5}
