@@ -50,10 +50,17 @@ def projection_totals(distribution: DataFrame, margin: float = 0.25) -> DataFram
 
 #: Draws of one repetition that one task makes, as a number of runs of that many draws.
 _RUN, _RUNS = 10_000, 10_000
+#: Tasks that the draws are dealt to.
+_TASKS = 192
 
 
-def _draw(seed: int, *parts: Column | str) -> Column:
-    digest = F.sha2(F.concat_ws("|", F.lit(str(seed)), *parts), 256)
+def _stem(seed: int, *parts: Column | str) -> Column:
+    """What the draws of one run have in common, put together once."""
+    return F.concat_ws("|", F.lit(str(seed)), *parts, F.lit("")).alias("stem")
+
+
+def _draw(stem: Column | str, number: Column | str) -> Column:
+    digest = F.sha2(F.concat(stem, F.col(number).cast("string")), 256)
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("long")
 
 
@@ -66,17 +73,18 @@ def _block_hits(sizes: DataFrame, reps: int, seed: int, block: int) -> DataFrame
     """How many of a stratum's draws fall into each block, per repetition."""
     rep = F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep")
     one = sizes.where(F.col("n") <= block).select("stratum", rep, F.lit(0).cast("long").alias("block"), F.col("n").alias("k"))
-    # A task draws for one repetition, so that its counts are few beside its draws.
+    # A task draws for whole repetitions, so that its counts are few beside its draws.  What says whose draws they are
+    # is few bytes for hours of drawing, so the tasks are a number of their own: by size they would become one.
     part = _RUN * _RUNS
     tasks = (
         sizes.where(F.col("n") > block)
         .select("stratum", "n", rep)
         .select("*", _runs(F.lit(0).cast("long"), F.col("n"), part).alias("part"))
-        .repartition("stratum", "rep", "part")
+        .repartition(_TASKS, "stratum", "rep", "part")
     )
-    runs = tasks.select("*", _runs(F.col("part"), F.least(F.col("part") + part, F.col("n")), _RUN).alias("run"))
+    runs = tasks.select("*", _stem(seed, "stratum", "rep"), _runs(F.col("part"), F.least(F.col("part") + part, F.col("n")), _RUN).alias("run"))
     draws = runs.select("*", _runs(F.col("run"), F.least(F.col("run") + _RUN, F.col("n")), 1).alias("draw"))
-    place = F.pmod(_draw(seed, "stratum", "rep", "draw"), F.col("n"))
+    place = F.pmod(_draw("stem", "draw"), F.col("n"))
     many = draws.groupBy("stratum", "rep", F.floor(place / F.lit(block)).cast("long").alias("block")).agg(
         F.count(F.lit(1)).alias("k")
     )
@@ -102,20 +110,15 @@ def bootstrap_totals(
         pos=position(),
     ).withColumn("block", F.floor((F.col("pos") - 1) / F.lit(block)).cast("long"))
     # At most ``block`` samples each.
-    blocks = numbered.groupBy("stratum", "block").agg(F.array_sort(F.collect_list(F.struct("pos", "bytes")))["bytes"].alias("held"))
+    dealt = numbered.repartition(_TASKS, "stratum", "block")
+    blocks = dealt.groupBy("stratum", "block").agg(F.array_sort(F.collect_list(F.struct("pos", "bytes")))["bytes"].alias("held"))
     sizes = known.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"))
-    hits = _block_hits(sizes, reps, seed, block).groupBy("stratum", "block").agg(F.collect_list(F.struct("rep", "k")).alias("hits"))
-
-    def drawn(hit: Column) -> Column:
-        def add(total: Column, j: Column) -> Column:
-            pick = F.pmod(_draw(seed, "stratum", hit["rep"], "block", j), F.size("held"))
-            return total + F.get("held", pick.cast("int"))
-
-        total = F.aggregate(F.sequence(F.lit(0).cast("long"), hit["k"] - 1), F.lit(0).cast("long"), add)
-        return F.struct(hit["rep"].alias("rep"), total.alias("total"))
-
-    sums = blocks.join(hits, ["stratum", "block"]).select("stratum", F.explode(F.transform("hits", drawn)).alias("s"))
-    totals = sums.groupBy("stratum", F.col("s.rep").alias("rep")).agg(F.sum("s.total").alias("bytes"))
+    # Rows of an expression, not elements of a lambda: Spark compiles these, and sums them where they are drawn.
+    picks = blocks.join(_block_hits(sizes, reps, seed, block), ["stratum", "block"]).select(
+        "stratum", "rep", "held", _stem(seed, "stratum", "rep", "block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("draw")
+    )
+    pick = F.pmod(_draw("stem", "draw"), F.size("held"))
+    totals = picks.groupBy("stratum", "rep").agg(F.sum(F.get("held", pick.cast("int"))).alias("bytes"))
     return (
         totals.join(sizes, "stratum").join(counts, "stratum")
         .groupBy("rep").agg(F.sum(F.col("completed_count") * (F.col("bytes") / F.col("n"))).alias("total"))
