@@ -68,9 +68,9 @@ def driver_race(
 ) -> DataFrame:
     """One observation per result row of a gated event.
 
-    Laps and stops are stacked and aggregated once on (session, driver), so
-    both are combined map-side and cross the network together; results, already
-    one row per key, join the reduced side.
+    Laps and stops are stacked, dealt by (session, driver) and aggregated there: medians and lists hold every value, so
+    combining before the shuffle would sort each input file whole and send buffers larger than the rows.  Results,
+    already one row per key, join the reduced side.
     """
     keys = ["session_id", "driver_id"]
     stacked = laps.select(
@@ -81,7 +81,7 @@ def driver_race(
     ).unionByName(
         pits.select(*keys, F.lit(1).alias("pit"), F.col("duration_ms").alias("pit_ms")), allowMissingColumns=True
     )
-    stats = stacked.groupBy(*keys).agg(
+    stats = stacked.repartition(*keys).groupBy(*keys).agg(
         F.count("lap").alias("recorded_lap_count"),
         F.count("lap_ms").alias("timed_lap_count"),
         F.avg("lap_ms").alias("raw_mean_lap_ms"),

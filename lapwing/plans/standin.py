@@ -59,9 +59,12 @@ def archive(spark: SparkSession, folder: str) -> SimpleNamespace:
         "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
         "l_returnflag", "l_linestatus",
     )
+    # Dealt by order first: the smallest struct is found by sorting, here shuffled parts and not whole files, and the join
+    # with the order's event needs no shuffle of its own.
     picked = (
-        items.groupBy("l_orderkey", "l_suppkey")
-        .agg(F.min(first).alias("i"))
+        items.select("l_orderkey", "l_suppkey", first.alias("i")).repartition("l_orderkey")
+        .groupBy("l_orderkey", "l_suppkey")
+        .agg(F.min("i").alias("i"))
         .join(supplier.select("s_suppkey", "s_name", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
         .join(home, F.col("s_nationkey") == F.col("n_nationkey"))
     )
