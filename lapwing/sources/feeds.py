@@ -9,6 +9,7 @@ from lapwing.functions.values import as_int, as_text, parse_duration_ms
 from lapwing.functions.vocab import session_type
 from lapwing.operators.inventory import KNOWN_STATUSES
 from lapwing.operators.scan import latest, previous, scan, series
+from lapwing.session import durable
 
 RESULTS_SCHEMA = (
     "Results array<struct<Driver:struct<driverId:string,code:string,givenName:string,familyName:string>,"
@@ -147,10 +148,12 @@ def parse_status_lines(lines: DataFrame, chunk_rows: int | None = None) -> DataF
     rows = rows.withColumn("status", F.when(c("__ok"), status)).withColumn(
         "value_json", F.when(c("__ok"), F.to_json("__v"))
     ).drop("__v")
+    # A scan reads its input three times: what was parsed is stored, as is what the second scan and the rest both read.
     chain = scan(
-        rows, series(("session_id",), ("number",), chunk_rows),
+        durable(rows), series(("session_id",), ("number",), chunk_rows),
         __before=latest(c("millis"), inclusive=False),
     )
+    chain = durable(chain)
     timed = chain.where(c("millis").isNotNull())
     same = scan(
         timed, series(("session_id", "millis"), ("number",), chunk_rows),
