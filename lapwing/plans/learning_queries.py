@@ -247,16 +247,24 @@ def corpus(spark, folder):
     )
 
 
-def examples(spark, folder):
+def build_items(spark, folder):
+    """Line items with the split of their order."""
     items = table(spark, folder, "lineitem").select(
         F.col("l_orderkey").alias("session_id"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("circuit_id"),
-        F.col("l_quantity").alias("qty"), (F.col("l_discount") * 100).alias("disc"), F.col("l_linenumber").alias("line"),
+        F.col("l_quantity").alias("qty"), "l_discount", F.col("l_linenumber").alias("line"),
         F.col("l_extendedprice").alias("price"), F.col("l_returnflag").alias("compound"),
-        F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"),
     )
     return M.assign_split(items, corpus(spark, folder))
 
 
+def examples(spark, folder):
+    """The examples with their split, joined once: training, calibration and scoring read them several times."""
+    return stored(spark, folder, "examples", lambda: build_items(spark, folder)).select(
+        "session_id", "part", "circuit_id", "qty", (F.col("l_discount") * 100).alias("disc"), "line", "price", "compound",
+        F.round(F.col("price") * 100).cast("long").alias("cents"), "split",
+    )
+
+
 EX_SQL = """
 WITH co AS (SELECT o_orderkey AS session_id, CASE WHEN year(o_orderdate) <= 1997 THEN 'train' WHEN year(o_orderdate) = 1998 THEN 'validation' WHEN year(o_orderdate) = 1999 THEN 'calibration' ELSE 'test' END AS split FROM orders),
 ex AS (SELECT l_orderkey AS session_id, l_partkey AS part, l_suppkey AS circuit_id, l_quantity AS qty, l_discount * 100 AS disc, l_linenumber AS line, l_extendedprice AS price, l_returnflag AS compound, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents, split
@@ -333,16 +341,12 @@ def interval_coverage(spark, folder):
 BUNDLE_NAMES, BUNDLE_MORE = ("tyre_age_laps", "disc"), ("tyre_age_laps", "disc", "tyre_age_squared")
 
 
-def bundle_laps(spark, folder):
-    age = (F.col("l_quantity") * 2).cast("double")
-    usual, lap_ms = 45_000 + age * 250, 40_000 + age * age * 3 + F.col("l_extendedprice").cast("double") / 10
+def build_bundle_items(spark, folder):
+    """Line items with their split and whether their order has ended."""
     laps = table(spark, folder, "lineitem").select(
         F.col("l_orderkey").alias("session_id"), F.col("l_suppkey").alias("driver_id"), F.col("l_linenumber").alias("lap_number"),
-        F.col("l_partkey").alias("circuit_id"), age.alias("tyre_age_laps"), (age * age).alias("tyre_age_squared"),
-        (F.col("l_discount") * 100).cast("double").alias("disc"), usual.alias("rolling_median_3_ms"),
-        lap_ms.alias("target_lap_time_ms"), (lap_ms - usual).alias("target_pace_residual_ms"),
-        F.round(F.col("l_extendedprice") * 100).cast("double").alias("target_effective_loss_ms"),
-        F.when(F.col("l_tax") == 0, "opening_lap").alias("feature_reason"), F.lit(20.0).alias("track_temperature_c"),
+        F.col("l_partkey").alias("circuit_id"), "l_quantity", "l_discount", "l_extendedprice",
+        (F.col("l_tax") == 0).alias("opening"),
     )
     ended = table(spark, folder, "orders").select(
         F.col("o_orderkey").alias("session_id"), (F.col("o_orderstatus") == "F").alias("session_finished")
@@ -350,6 +354,21 @@ def bundle_laps(spark, folder):
     return M.assign_split(laps, corpus(spark, folder)).join(ended, "session_id")
 
 
+def bundle_laps(spark, folder):
+    """Laps of the bundle.  What training and scoring read many times is joined and stored once, without derived columns."""
+    age = (F.col("l_quantity") * 2).cast("double")
+    usual, lap_ms = 45_000 + age * 250, 40_000 + age * age * 3 + F.col("l_extendedprice").cast("double") / 10
+    items = stored(spark, folder, "bundle_items", lambda: build_bundle_items(spark, folder))
+    return items.select(
+        "session_id", "driver_id", "lap_number", "circuit_id", age.alias("tyre_age_laps"), (age * age).alias("tyre_age_squared"),
+        (F.col("l_discount") * 100).cast("double").alias("disc"), usual.alias("rolling_median_3_ms"),
+        lap_ms.alias("target_lap_time_ms"), (lap_ms - usual).alias("target_pace_residual_ms"),
+        F.round(F.col("l_extendedprice") * 100).cast("double").alias("target_effective_loss_ms"),
+        F.when(F.col("opening"), "opening_lap").alias("feature_reason"), F.lit(20.0).alias("track_temperature_c"),
+        "split", "session_finished",
+    )
+
+
 def bundle(spark, folder):
     """The bundle trained on the whole table, stored and read back as scoring would."""
     laps = bundle_laps(spark, folder)

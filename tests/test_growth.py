@@ -7,6 +7,7 @@ import pytest
 from lapwing.operators import projection as P
 from lapwing.plans import learning_queries as LQ
 from lapwing.plans import race_analytics as RA
+from lapwing.sources import feeds
 
 
 def _plan(df):
@@ -62,3 +63,11 @@ def test_observations_deal_rows_before_they_gather_values(spark, folder):
     assert plan.count("REPARTITION_BY_COL") == 2
     got = obs.where("recorded_lap_count > 0").count()
     assert 0 < got == obs.count()
+
+
+def test_status_lines_are_parsed_once(spark):
+    """Scans read their input three times; what they read is parsed and stored."""
+    lines = spark.createDataFrame([(1, 1, '00:00:01.000{"Status": "Started"}')], "session_id int, number long, line string")
+    out = feeds.parse_status_lines(lines, 4)
+    assert "parse_json" not in _plan(out).lower()
+    assert [(r["millis"], r["status"], r["issues"]) for r in out.collect()] == [(1000, "Started", [])]
