@@ -134,6 +134,46 @@ def test_pit_pairing_against_stack(spark, rows, seed):
         assert sorted(r["stop_number"] for r in got if r["driver_id"] == driver) == list(range(1, len(mine) + 1))
 
 
+@pytest.mark.parametrize("rows", [None, 1000, 7])
+def test_deep_stops_take_no_more_passes(spark, monkeypatch, rows):
+    """Entries of one moment, as many exits later: a pass for each level of them grew with the table."""
+    marks = [(1, 2, t // 40, "in" if t < 40 else "out", 3) for t in range(80)]
+    marks += [(1, 3, t, "in" if t < 40 else "out", 3 + t // 39) for t in range(80)]
+    marks += [(None, None, 5, "in", 3), (None, None, 9, "out", None), (None, None, 11, "out", 4)]
+    df = spark.createDataFrame(
+        [(*m, i) for i, m in enumerate(marks)],
+        "session_id int, driver_id int, session_time_ms long, kind string, lap_number int, event_id long",
+    )
+    writes = []
+    monkeypatch.setattr(PT, "durable", lambda df, kept=PT.durable: writes.append(df) or kept(df))
+    got = PT.pair_pits(df, rows=rows).collect()
+    for driver in (2, 3, None):
+        mine = sorted(((r["pit_in_time_ms"], r["pit_out_time_ms"], r["lap_number"]) for r in got if r["driver_id"] == driver), key=str)
+        of = [m[2:] for m in marks if m[1] == driver]
+        if driver is None:
+            assert mine == sorted([(None, 9, None), (5, 11, 3)], key=str)
+        else:
+            assert mine == pair(of)
+    assert len(writes) <= 4
+
+
+def test_repeated_marks_and_marks_without_a_number(spark):
+    """A repeated entry is one entry, a repeated exit gives its row again; an entry without a number stays open."""
+    marks = [
+        (1, 1, 10, "in", 3, 1), (1, 1, 20, "in", 3, 2), (1, 1, 20, "in", 3, 2), (1, 1, 30, "out", 3, 3), (1, 1, 30, "out", 3, 3),
+        (1, 1, 40, "out", 3, 4), (1, 1, 50, "in", 4, None), (1, 1, 60, "out", 4, 5), (1, 1, 70, "in", 5, 6), (1, 1, 70, "in", 5, 6),
+    ]
+    df = spark.createDataFrame(
+        marks, "session_id int, driver_id int, session_time_ms long, kind string, lap_number int, event_id long"
+    )
+    want = sorted(
+        [(20, 30, 3), (20, 30, 3), (10, 40, 3), (50, None, 4), (None, 60, 4), (70, None, 5), (70, None, 5)], key=str
+    )
+    for rows in (None, 3):
+        got = [(r["pit_in_time_ms"], r["pit_out_time_ms"], r["lap_number"]) for r in PT.pair_pits(df, rows=rows).collect()]
+        assert sorted(got, key=str) == want
+
+
 def random_log(spark, n=400):
     rng = random.Random(23)
     rows = []
