@@ -7,6 +7,7 @@ import pytest
 from lapwing.operators import projection as P
 from lapwing.plans import learning_queries as LQ
 from lapwing.plans import race_analytics as RA
+from lapwing.plans import source_queries as SQ
 from lapwing.sources import feeds
 
 
@@ -71,3 +72,17 @@ def test_status_lines_are_parsed_once(spark):
     out = feeds.parse_status_lines(lines, 4)
     assert "parse_json" not in _plan(out).lower()
     assert [(r["millis"], r["status"], r["issues"]) for r in out.collect()] == [(1000, "Started", [])]
+
+
+def test_dump_entries_deal_rows_before_they_sort(spark, folder):
+    """The first row of an entry was found by sorting whole files."""
+    entries = SQ.dump_tables(spark, folder)["session_entry"]
+    assert _plan(entries).count("REPARTITION_BY_COL") == 1
+    assert entries.count() == len(set(map(tuple, spark.read.parquet(f"{folder}/lineitem.parquet").select("l_orderkey", "l_suppkey").collect())))
+
+
+def test_dump_is_compressed(spark, folder):
+    """As plain text the files were larger than the shuffled rows."""
+    laps = SQ.csv_dump_laps(spark, folder)
+    assert all(f.endswith(".csv.gz") for f in laps.inputFiles())
+    assert sorted(map(str, laps.collect())) == sorted(map(str, SQ.dump_laps(spark, folder).collect()))
