@@ -12,7 +12,7 @@ from lapwing.operators import strategy as S
 from lapwing.plans.learning_queries import FEATURE_SQL, featured
 from lapwing.plans.registry import query, sql_round
 from lapwing.plans.replay_queries import CURSOR_SQL, PITS_SQL, STATE_OUT, STATE_SQL, W_TIMING, canonical, cursors, full_log
-from lapwing.plans.standin import ROWS, table
+from lapwing.plans.standin import ROWS, stored, table
 
 MODES = ("lower-90", "point", "upper-90")
 
@@ -20,9 +20,12 @@ MODES = ("lower-90", "point", "upper-90")
 def paths(spark, folder):
     """One simulated path per (order, return flag)."""
     items = table(spark, folder, "lineitem")
-    one = items.groupBy(F.col("l_orderkey").alias("iteration"), F.col("l_returnflag").alias("strategy_id")).agg(
-        F.min(F.struct("l_linenumber", "l_partkey", "l_extendedprice", "l_discount")).alias("i")
-    )
+    first = F.struct("l_linenumber", "l_partkey", "l_extendedprice", "l_discount")
+    # Dealt first: the smallest struct is found by sorting, here shuffled parts and not whole files.
+    dealt = items.select(
+        F.col("l_orderkey").alias("iteration"), F.col("l_returnflag").alias("strategy_id"), first.alias("i")
+    ).repartition("iteration", "strategy_id")
+    one = dealt.groupBy("iteration", "strategy_id").agg(F.min("i").alias("i"))
     return one.select(
         "strategy_id", "iteration", (F.col("i.l_partkey") % 20 + 1).cast("int").alias("position"),
         F.round(F.col("i.l_extendedprice") * 100).cast("long").alias("final_time_ms"),
@@ -71,13 +74,20 @@ def pit_loss_sensitivity(spark, folder):
 def decisions(spark, folder):
     """A customer's orders as the iterations of one decision, taken by the car of line 1 in a field of seven."""
     orders = table(spark, folder, "orders").select(F.col("o_orderkey").alias("iteration"), F.col("o_custkey").alias("session_id"))
-    simulated = paths(spark, folder).join(orders, "iteration").withColumns(
-        {"driver_id": F.lit(1), "cursor_ms": F.lit(0).cast("long")}
+    # Read several times each: every decision's paths, then its cars.
+    simulated = stored(
+        spark, folder, "decision_paths",
+        lambda: paths(spark, folder).join(orders, "iteration").withColumns(
+            {"driver_id": F.lit(1), "cursor_ms": F.lit(0).cast("long")}
+        ),
     )
     lines = table(spark, folder, "lineitem").join(orders, F.col("l_orderkey") == F.col("iteration"))
-    cars = lines.groupBy("session_id", F.col("l_linenumber").cast("int").alias("driver_id")).agg(
-        F.max("l_quantity").alias("age"), F.max("l_discount").alias("disc"), F.min("l_tax").alias("tax")
-    ).withColumn("cursor_ms", F.lit(0).cast("long"))
+    cars = stored(
+        spark, folder, "decision_cars",
+        lambda: lines.groupBy("session_id", F.col("l_linenumber").cast("int").alias("driver_id")).agg(
+            F.max("l_quantity").alias("age"), F.max("l_discount").alias("disc"), F.min("l_tax").alias("tax")
+        ).withColumn("cursor_ms", F.lit(0).cast("long")),
+    )
     states = cars.select(
         "session_id", "driver_id", "cursor_ms", F.when(F.col("age") < 6, "retired").otherwise("active").alias("status"),
         F.lit(False).alias("in_pit"), F.lit("soft").alias("compound"), F.col("age").alias("tyre_age_laps"),

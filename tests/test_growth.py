@@ -8,6 +8,7 @@ from lapwing.operators import projection as P
 from lapwing.plans import learning_queries as LQ
 from lapwing.plans import race_analytics as RA
 from lapwing.plans import source_queries as SQ
+from lapwing.plans import strategy_queries as TQ
 from lapwing.sources import feeds
 
 
@@ -86,3 +87,11 @@ def test_dump_is_compressed(spark, folder):
     laps = SQ.csv_dump_laps(spark, folder)
     assert all(f.endswith(".csv.gz") for f in laps.inputFiles())
     assert sorted(map(str, laps.collect())) == sorted(map(str, SQ.dump_laps(spark, folder).collect()))
+
+
+def test_decisions_are_joined_once(spark, folder):
+    """Paths and cars of a decision are read several times; each reading joined orders and line items anew."""
+    simulated, limited = TQ.decisions(spark, folder)
+    assert "Join" not in _plan(simulated) and _plan(limited).count("Join") == 1
+    assert simulated.count() == 60
+    assert _plan(TQ.paths(spark, folder)).count("REPARTITION_BY_COL") == 1
