@@ -1,12 +1,14 @@
 """Phrase collocations by relational mining of occurrences.
 
-Every occurrence of a word is a row (piece, pos, word), stored bucketed and sorted by piece.  Occurrences of a phrase
-join those of the next word at the adjacent position of the same piece: a merge join of two stored relations that are
-dealt alike, so rows don't move.  The joined phrases are grouped and counted; only occurrences of phrases that are
-frequent go on (a semi-join) to be extended by one more word.
-
-Words have 64-bit keys until frequent ones are numbered (the key's seed is changed until no two words share one); frequent
-phrases are numbered too, so a longer phrase is the number of the shorter one and that of its last word.
+Every occurrence of a word is a row (doc, place, word), stored bucketed and sorted by document; the end of a piece takes a
+place too, so words of two pieces are never next to each other.  Occurrences join those of the adjacent place of the same
+document: a merge join of two stored relations that are dealt and sorted alike, so rows neither move nor are sorted anew.
+The joined phrases are grouped and counted; only occurrences of phrases that are frequent go on (a semi-join), and join
+those that overlap with all but their first word.
+
+Words have 64-bit keys, as they are spelled, until frequent ones are numbered (the key's seed is changed until no two
+spellings share one); spellings that differ in A-Z alone are one word and get one number.  Frequent phrases are numbered
+too, so a longer phrase is the number of what it starts with and that of what it ends with.
 """
 
 from __future__ import annotations
@@ -21,9 +23,9 @@ from lapwing.llm.spelling import lower_ascii
 from lapwing.operators.scan import position, scan, series
 from lapwing.session import durable, shared_path
 
-#: Fixed values of the contract: what ends a piece, and what parts words.
-PIECE_ENDS = r"[.,;:!?\x0A-\x0D]"
-WORD = r"[^\x20\x09]+"
+#: Fixed values of the contract: what ends a piece, and words of a piece.
+PIECE_END = r"[.,;:!?\x0A\x0B\x0C\x0D]"
+WORD = r"[^\x20\x09.,;:!?\x0A\x0B\x0C\x0D]+"
 
 MIN_COUNT = 10
 LONGEST = 3
@@ -32,63 +34,85 @@ TOP = 2000
 INSIDE_PERCENT = 50
 #: Frequent groups are broadcast to filter occurrences up to this many (two long numbers each); beyond it they are dealt.
 BROADCAST_GROUPS = 2_000_000
-#: Largest dictionary of ids in a stored bucket, and rows of a chunk where groups are numbered.
-DICTIONARY_BYTES, CHUNK_ROWS = 16 << 20, 200_000
+#: Rows of a chunk where groups are numbered.
+CHUNK_ROWS = 200_000
 LOW_BITS = (1 << 32) - 1
-
-
-def pieces_of(docs: DataFrame, lang_column: str = "lang", text_column: str = "text") -> DataFrame:
-    """lang, piece (a number of its own) and words of every piece that has words; null languages are ``und``."""
-    pieces = docs.select(
+#: What the session is set to while occurrences are joined.
+SETTINGS = {
+    # Relations dealt by document alone are joined by document and place as they are, and buckets are read in their order.
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    "spark.sql.legacy.bucketedTableScan.outputOrdering": "true",
+    # A stored table needs no shuffle files once it is written.
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+}
+
+
+def texts_of(docs: DataFrame, lang_column: str = "lang", text_column: str = "text") -> DataFrame:
+    """lang, doc (a number of its own) and text of every row; null languages are ``und``."""
+    return docs.select(
         F.coalesce(F.col(lang_column).cast("string"), F.lit("und")).alias("lang"),
-        F.explode(F.split(F.col(text_column), PIECE_ENDS)).alias("text"),
+        F.monotonically_increasing_id().alias("doc"),
+        F.col(text_column).alias("text"),
     )
-    spoken = pieces.where(F.col("text").rlike(r"[^\x20\x09]"))
-    return spoken.select("lang", F.monotonically_increasing_id().alias("piece"), lower_ascii(F.col("text")).alias("text"))
 
 
 def _words(text: str = "text") -> Column:
     return F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0))
 
 
+def _words_and_ends(text: str = "text") -> Column:
+    """Words in their order, and an empty one wherever pieces end between them."""
+    return F.regexp_extract_all(F.col(text), F.lit(f"({WORD})|{PIECE_END}+"), F.lit(1))
+
+
 def _key(seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), F.col("lang"), F.col("word"))
+    return F.xxhash64(F.lit(seed), F.col("lang"), F.col("spelled"))
 
 
-def word_counts(pieces: DataFrame) -> tuple[DataFrame, int]:
-    """lang, word, n and word_key of every word, and the seed that gives no key twice."""
-    counted = durable(
-        pieces.select("lang", F.explode(_words()).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
-    )
+def word_counts(texts: DataFrame) -> tuple[DataFrame, int]:
+    """lang, spelled, word (A-Z in lower case), n and word_key of every spelling, and the seed that gives no key twice."""
+    spoken = texts.select("lang", F.explode(_words()).alias("spelled"))
+    counted = durable(spoken.groupBy("lang", "spelled").agg(F.count("*").alias("n")))
     seed = 0
     while True:
         keyed = counted.withColumn("word_key", _key(seed))
         totals = keyed.agg(F.count("*").alias("words"), F.count_distinct("word_key").alias("keys")).first()
         if totals["words"] == totals["keys"]:
-            return keyed, seed
+            return keyed.withColumn("word", lower_ascii(F.col("spelled"))), seed
         seed += 1
 
 
 class _Occurrences:
-    """Relations (piece, place, id), each written bucketed by piece and sorted by piece and place."""
+    """Relations (doc, place, after, id), each written bucketed by document and sorted by document and place.
+
+    ``after`` is the place after ``place``, so the files are sorted by document and ``after`` as well.
+    """
 
-    def __init__(self, pieces: DataFrame):
-        self.spark = pieces.sparkSession
+    def __init__(self, texts: DataFrame):
+        self.spark = texts.sparkSession
         self.buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         self.names: list[str] = []
 
     def deal(self, rows: DataFrame) -> DataFrame:
-        return rows.repartition(self.buckets, "piece")
-
-    def store(self, relation: DataFrame) -> DataFrame:
-        name = f"lapwing_occurrences_{uuid.uuid4().hex}"
-        writer = relation.write.format("parquet").option("compression", "zstd")
-        # A bucket repeats most of its ids: let its dictionary hold them.
-        writer = writer.option("parquet.dictionary.page.size", str(DICTIONARY_BYTES))
-        writer = writer.bucketBy(self.buckets, "piece").sortBy("piece", "place")
-        writer.option("path", shared_path(self.spark, "occurrences")).saveAsTable(name)
-        self.names.append(name)
-        return self.spark.table(name)
+        return rows.repartition(self.buckets, "doc")
+
+    def store(self, relation: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The stored relation as (doc, place, id), and as (doc, after, id): two tables over the same files."""
+        by_place, by_after = (f"lapwing_occurrences_{uuid.uuid4().hex}" for _ in range(2))
+        path = shared_path(self.spark, "occurrences")
+        writer = relation.withColumn("after", F.col("place") + 1).write.format("parquet").option("compression", "zstd")
+        # Sorted numbers compress as they are; looking each up in a dictionary costs more than it saves.
+        writer = writer.option("parquet.enable.dictionary", "false")
+        writer = writer.bucketBy(self.buckets, "doc").sortBy("doc", "place")
+        writer.option("path", path).saveAsTable(by_place)
+        self.names.append(by_place)
+        columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in self.spark.table(by_place).schema)
+        self.spark.sql(
+            f"CREATE TABLE {by_after} ({columns}) USING parquet "
+            f"CLUSTERED BY (doc) SORTED BY (doc, after) INTO {self.buckets} BUCKETS LOCATION '{path}'"
+        )
+        self.names.append(by_after)
+        return self.spark.table(by_place).select("doc", "place", "id"), self.spark.table(by_after).select("doc", "after", "id")
 
     def forget(self) -> None:
         """Take the tables out of the catalog."""
@@ -103,44 +127,35 @@ def _numbered(groups: DataFrame, key: str) -> DataFrame:
 
 
 def _only(rows: DataFrame, frequent: DataFrame, key: str, tables: _Occurrences) -> DataFrame:
-    """Rows of frequent groups with the groups' ids, dealt by piece."""
+    """Rows of frequent groups with the groups' ids, dealt by document."""
     groups = frequent.select(key, "id")
     if frequent.count() <= BROADCAST_GROUPS:
         return rows.join(F.broadcast(groups), key).drop(key)
     return tables.deal(rows.join(groups, key).drop(key))
 
 
-def phrase_counts(pieces: DataFrame, seed: int, common: DataFrame, least: int, longest: int) -> list[DataFrame]:
-    """For each length from 2 on: the phrases found at least ``least`` times, as (id, first, last, a): the id of the
-    phrase without its last word, the id of that word, and the count.
+def phrase_counts(texts: DataFrame, seed: int, common: DataFrame, least: int, longest: int) -> list[DataFrame]:
+    """For each length from 2 on: the phrases found at least ``least`` times, as (id, first, last, a): the ids of the
+    phrase without its last word and without its first word, and the count.
 
-    ``common`` holds word_key and id of the words found as often.  A stored phrase's place is the one after it, where its
-    next word would be.
+    ``common`` holds word_key and id of the spellings of words found as often; the parts of a frequent phrase are frequent.
+    A phrase's place is that of its last word.
     """
-    spark = pieces.sparkSession
-    settings = {
-        # Relations dealt by piece alone are joined by piece and place as they are, and buckets are read in their order.
-        "spark.sql.requireAllClusterKeysForCoPartition": "false",
-        "spark.sql.legacy.bucketedTableScan.outputOrdering": "true",
-        # A stored table needs no shuffle files once it is written.
-        "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
-    }
-    before = {name: spark.conf.get(name, None) for name in settings}
-    tables = _Occurrences(pieces)
+    spark = texts.sparkSession
+    before = {name: spark.conf.get(name, None) for name in SETTINGS}
+    tables = _Occurrences(texts)
     try:
-        for name, value in settings.items():
+        for name, value in SETTINGS.items():
             spark.conf.set(name, value)
-        spoken = tables.deal(pieces).select("lang", "piece", F.posexplode(_words()).alias("place", "word"))
-        keyed = spoken.select("piece", "place", _key(seed).alias("word_key"))
-        words = tables.store(_only(keyed, common, "word_key", tables))
-        phrases, counts = words.withColumn("place", F.col("place") + 1), []
-        following = words.withColumnRenamed("id", "last")
+        spoken = tables.deal(texts).select("lang", "doc", F.posexplode(_words_and_ends()).alias("place", "spelled"))
+        keyed = spoken.where("spelled <> ''").select("doc", "place", _key(seed).alias("word_key"))
+        stored, counts = tables.store(_only(keyed, common, "word_key", tables)), []
         for length in range(2, longest + 1):
-            joined = phrases.hint("merge").join(following, ["piece", "place"])
+            ends, starts = stored
+            starts = starts.select("doc", F.col("after").alias("place"), "id")
+            joined = starts.hint("merge").join(ends.withColumnRenamed("id", "last"), ["doc", "place"])
             # Both ids are below 2^32.
-            grown = joined.select(
-                "piece", (F.col("place") + 1).alias("place"), F.shiftleft("id", 32).bitwiseOR(F.col("last")).alias("both")
-            )
+            grown = joined.select("doc", "place", F.shiftleft("id", 32).bitwiseOR(F.col("last")).alias("both"))
             frequent = durable(grown.groupBy("both").agg(F.count("*").alias("a")).where(F.col("a") >= least))
             frequent = durable(_numbered(frequent, "both"))
             counts.append(
@@ -149,7 +164,7 @@ def phrase_counts(pieces: DataFrame, seed: int, common: DataFrame, least: int, l
                 )
             )
             if length < longest:
-                phrases = tables.store(_only(grown, frequent, "both", tables))
+                stored = tables.store(_only(grown, frequent, "both", tables))
         return counts
     finally:
         tables.forget()
@@ -161,8 +176,10 @@ def _spelled(common: DataFrame, counts: list[DataFrame]) -> list[DataFrame]:
     """Each length's phrases with the ids of their words (w1 ... wk) and their count; single words first."""
     out = [common.select("id", F.col("id").alias("w1"), "a")]
     for length, frequent in enumerate(counts, 2):
-        shorter = out[-1].select(F.col("id").alias("first"), *_keys(length - 1))
-        out.append(frequent.join(shorter, "first").select("id", *_keys(length - 1), F.col("last").alias(f"w{length}"), "a"))
+        shorter = _keys(length - 1)
+        starts = out[-1].select(F.col("id").alias("first"), *shorter)
+        ends = out[-1].select(F.col("id").alias("last"), F.col(shorter[-1]).alias(f"w{length}"))
+        out.append(frequent.join(starts, "first").join(ends, "last").select("id", *_keys(length), "a"))
     return [durable(phrases.drop("id")) for phrases in out]
 
 
@@ -187,12 +204,14 @@ def collocations(
     Null texts are empty, null languages ``und``; repeated rows count again; an empty table gives no rows.  Other
     columns are not read.
     """
-    pieces = pieces_of(docs, lang_column, text_column)
-    words, seed = word_counts(pieces)
+    texts = texts_of(docs, lang_column, text_column)
+    words, seed = word_counts(texts)
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
-    common = words.where(F.col("n") >= least).select("lang", "word", F.col("n").alias("a"), "word_key")
-    common = durable(_numbered(common, "word_key"))
-    counts = _spelled(common, phrase_counts(pieces, seed, common.select("word_key", "id"), least, longest))
+    common = words.groupBy("lang", "word").agg(F.sum("n").alias("a"), F.min("word_key").alias("word_key"))
+    common = durable(_numbered(common.where(F.col("a") >= least), "word_key"))
+    spellings = durable(words.select("lang", "word", "word_key").join(common.select("lang", "word", "id"), ["word", "lang"]))
+    phrases = phrase_counts(texts, seed, spellings.select("word_key", "id"), least, longest)
+    counts = _spelled(common, phrases)
 
     found = []
     for length in range(2, longest + 1):

@@ -228,6 +228,35 @@ def test_collocations_match_plain_counts(spark, monkeypatch, longest, top, broad
     assert sorted(map(tuple, got.collect())) == plain_collocations(rows, 10, longest, top)
 
 
+def test_spellings_count_as_one_word_and_pieces_part_words(spark):
+    texts = [("en", "New York")] * 4 + [("en", "new\tYORK.")] * 4 + [("en", ".nEw york")] * 4
+    texts += [("en", "big,apple"), ("en", "big ; apple"), ("en", "big\x0bapple"), ("en", "big "), ("en", "apple"), ("fr", "É é")] * 10
+    got = collocations.collocations(spark.createDataFrame(texts, "lang string, text string").repartition(3))
+    assert sorted(map(tuple, got.collect())) == plain_collocations(texts, 10, 3, 2000)
+    assert {row["phrase"]: row["a"] for row in got.collect()} == {"new york": 12, "É é": 10}
+
+
+def test_stored_occurrences_join_without_moving_or_sorting(spark):
+    before = {name: spark.conf.get(name, None) for name in collocations.SETTINGS}
+    rows = [(doc, place, doc * place % 7) for doc in range(40) for place in range(30)]
+    relation = spark.createDataFrame(rows, "doc long, place int, id long")
+    tables = collocations._Occurrences(relation)
+    try:
+        for name, value in collocations.SETTINGS.items():
+            spark.conf.set(name, value)
+        ends, starts = tables.store(tables.deal(relation))
+        starts = starts.select("doc", F.col("after").alias("place"), "id").hint("merge")
+        joined = starts.join(ends.withColumnRenamed("id", "last"), ["doc", "place"])
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+        want = sorted((doc, place + 1, n, doc * (place + 1) % 7) for doc, place, n in rows if place < 29)
+        assert sorted(map(tuple, joined.collect())) == want
+    finally:
+        tables.forget()
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def test_scores_past_64_bits_are_exact(spark):
     a, l, r = 3_000_000_000_001, 3_000_000_000_007, 3_000_000_000_019
     row = spark.range(1).select(collocations._score(F.lit(a), F.lit(l), F.lit(r)).alias("s")).first()
